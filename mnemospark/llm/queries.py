@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.llm import mixture
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
@@ -16,11 +17,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_simhash": op6_simhash,
+        "op9_mixture": op9_mixture,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_mixture": mixture.ORACLE.format(docs="documents"),
+    }
