@@ -7,28 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import mixture
+from mnemospark.llm import mixture, secrets, urls
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan_documents(read_table(spark, sf_dir, "documents"))
+    return secrets.digest(findings)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, action string")
+    return urls.judge_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secrets": op3_secrets,
         "op6_simhash": op6_simhash,
+        "op8_urls": op8_urls,
         "op9_mixture": op9_mixture,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_secrets": secrets.oracle_sql(),
+        "op8_urls": urls.oracle_sql(),
         "op9_mixture": mixture.ORACLE.format(docs="documents"),
     }
