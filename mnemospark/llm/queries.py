@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import mixture, secrets, urls
+from mnemospark.llm import decontaminate, mixture, secrets, urls
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched_words", "item_words", "coverage")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan_documents(read_table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
@@ -33,6 +38,7 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op3_secrets": op3_secrets,
         "op6_simhash": op6_simhash,
         "op8_urls": op8_urls,

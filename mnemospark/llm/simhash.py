@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators.components import connected_components
-from mnemospark.session import checkpointed
+from mnemospark.session import broadcast_if_small, checkpointed
 
 SEED = 42
 RADIUS = 3
 TILE = 4096
+MAX_BROADCAST_IDS = 1_000_000
 _CHUNK = 1 << 15
 
 
@@ -203,8 +204,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Keep the document with the smallest id of every component, with all its columns.
 
     Rows with a null id cannot be compared by id and stay; of rows that repeat an id one stays.
+    Texts are shuffled only for ids that repeat, or where the losers are too many to broadcast.
     """
     classes = simhash_components(docs, radius=radius)
-    losers = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("lost"), F.count(F.lit(1)).alias("n"))
+    odd = checkpointed(ids.where("lost or n > 1").select("doc_id", "lost"))
+    once = docs.join(broadcast_if_small(odd.select("doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_anti")
+    again = docs.join(broadcast_if_small(odd.where("not lost").select("doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(docs.columns).unionByName(again.select(docs.columns))
