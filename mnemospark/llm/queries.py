@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, mixture, secrets, urls
+from mnemospark.llm import decontaminate, mixture, quality, secrets, toxicity, urls
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
@@ -17,11 +17,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched_words", "item_words", "coverage")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan_documents(read_table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,7 +51,9 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
+        "op4_quality": op4_quality,
         "op6_simhash": op6_simhash,
         "op8_urls": op8_urls,
         "op9_mixture": op9_mixture,
