@@ -23,45 +23,64 @@ NUM, NAME, UNIT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Fixed list: measures that may follow a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|sec|min|h|hr|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|liters?|litres?|grams?|pounds?|dollars?|euros?|cents?|percent"
 
-#: Replacements in this order; each works alike in Java's and in RE2's regular expressions.
-STEPS = (
-    (r"([\p{Ll},;:]\x20)(\p{Lu}\p{Ll}+)", rf"$1{NAME}$2"),
-    (r"([\p{Ll},;:]\x20)(\p{Lu}\p{Ll}+)", rf"$1{NAME}$2"),  # again: names that follow a name
-    (r"(\p{Nd})[.,](\p{Nd})", rf"$1{JOIN}$2"),
-    (rf"\p{{Nd}}[\p{{Nd}}{JOIN}]*", rf" {NUM}$0 "),
-    (rf"({NUM}[\p{{Nd}}{JOIN}]+\x20+)({UNITS})\b", rf"$1{UNIT}$2"),
+#: A run of capitalised words inside a sentence is one name; its value is the first of them.
+NAMES = (r"([\p{Ll},;:]\x20)(\p{Lu}\p{Ll}+)(?:\x20\p{Lu}\p{Ll}+)*", rf"$1{NAME}$2")
+#: Replacements in texts with digits, in this order; all work alike in Java's and in RE2's regular expressions.
+NUMBERS = (
+    (r"([0-9])[.,]([0-9])", rf"$1{JOIN}$2"),
+    (rf"[0-9][0-9{JOIN}]*", rf" {NUM}$0 "),
+    (rf"({NUM}[0-9{JOIN}]+\x20+)({UNITS})\b", rf"$1{UNIT}$2"),
 )
-_SPLIT = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUM}-{JOIN}]+"
+#: Blanks, ASCII punctuation, and Latin-1 and general punctuation part words.
+_SPLIT = "[\\s\\p{Punct} -¿ -⁯]+"
+
+
+def canonical_text(text: Column) -> Column:
+    """Lower-cased text in which a placeholder is its type character and the value it replaced."""
+    named = F.regexp_replace(text, *NAMES)
+    full = named
+    for pattern, new in NUMBERS:
+        full = F.regexp_replace(full, pattern, new)
+    return F.lower(F.when(text.rlike("[0-9]"), full).otherwise(named))
 
 
 def canonical_words(text: Column) -> Column:
-    """Lower-cased words without punctuation; a placeholder is its type character and the raw value."""
-    for pattern, new in STEPS:
-        text = F.regexp_replace(text, pattern, new)
-    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
+    return F.array_remove(F.split(text, _SPLIT), "")
+
+
+def _is_slot(word: Column) -> Column:
+    return (word >= NUM) & (word < JOIN)
 
 
 def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, h, at, slots, literals) from (keys, raw words ``w``): one per window of five words.
+    """Rows (keys, h, at, r0 ... r4) from (keys, canonical text ``c``): one per window of five words.
 
-    ``slots`` lists the placeholders of the window with their values; ``literals`` counts the rest.
+    ``h`` hashes the window with placeholders reduced to their types; ``r``
+    hashes a placeholder with its value, and is null for other words. Arrays are
+    shifted and zipped, never indexed from inside a lambda, so that the work stays linear.
     """
-    is_slot = lambda x: (x >= NUM) & (x < JOIN)
-    typed = rows.withColumn("c", F.transform("w", lambda x: F.when(is_slot(x), F.substring(x, 1, 1)).otherwise(x)))
-    starts = F.when(F.size("w") >= WINDOW, F.sequence(F.lit(0), F.size("w") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    held = F.exists("c", is_slot)
-    slots = lambda i: F.when(held, F.filter(F.slice("w", i + 1, WINDOW), is_slot))
-    each = F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get("c", i + k) for k in range(WINDOW)]).alias("h"), i.alias("at"), slots(i).alias("slots")))
-    flat = typed.select(*keys, F.explode(each).alias("x"))
-    return flat.select(*keys, "x.h", "x.at", F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
+    held = F.contains("c", F.lit(NUM)) | F.contains("c", F.lit(NAME)) | F.contains("c", F.lit(UNIT))
+    words = rows.select(*keys, canonical_words(F.col("c")).alias("w"), held.alias("held"))
+    typed = F.transform("w", lambda x: F.xxhash64(F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x)))
+    plain = F.transform("w", lambda x: F.xxhash64(x))
+    value = F.transform("w", lambda x: F.when(_is_slot(x), F.xxhash64(x)))
+    none = F.array().cast("array<bigint>")
+    hashed = words.where(F.size("w") >= WINDOW).select(*keys, F.when(F.col("held"), typed).otherwise(plain).alias("t"), F.when(F.col("held"), value).otherwise(none).alias("r"))
+    shift = lambda c: [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))).alias(f"{c}{k}") for k in range(WINDOW)]
+    flat = hashed.select(*keys, F.posexplode(F.arrays_zip(*shift("t"), *shift("r"))).alias("at", "x")).where("x.t4 is not null")
+    return flat.select(*keys, F.xxhash64(*[F.col(f"x.t{k}") for k in range(WINDOW)]).alias("h"), "at", *[F.col(f"x.r{k}") for k in range(WINDOW)])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Rows (h, item_id, n_words, item_at, item_slots). Items of under five words have no window and match nothing."""
-    words = benchmark.where("item_id is not null").select("item_id", canonical_words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
-    rows = _windows(words.withColumn("n_words", F.size("w")), ["item_id", "n_words"])
-    literals = WINDOW - F.coalesce(F.size("slots"), F.lit(0))
-    return rows.where(literals >= LEAST_LITERALS).select("h", "item_id", "n_words", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    """Rows (h, item_id, n_words, item_at, a0 ... a4): ``a`` is the hashed value of a slot, null for a literal word.
+
+    Items of under five words have no window and match nothing.
+    """
+    words = benchmark.where("item_id is not null").select("item_id", canonical_text(F.coalesce(F.col("text"), F.lit(""))).alias("c"))
+    rows = _windows(words.withColumn("n_words", F.size(canonical_words(F.col("c")))), ["item_id", "n_words"])
+    slot = [F.col(f"r{k}") for k in range(WINDOW)]
+    literals = sum((s.isNull().cast("int") for s in slot), F.lit(0))
+    return rows.where(literals >= LEAST_LITERALS).select("h", "item_id", "n_words", F.col("at").alias("item_at"), *[s.alias(f"a{k}") for k, s in enumerate(slot)])
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -80,11 +99,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     items = benchmark_windows(benchmark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), canonical_words(text).alias("w"))
-    hits = _windows(words, ["key", "doc_id"]).join(broadcast_if_small(items, MAX_BROADCAST_WINDOWS), "h")
-    same_number = F.coalesce(F.size("slots"), F.lit(0)) == F.coalesce(F.size("item_slots"), F.lit(0))
-    pairs = F.coalesce(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), F.array().cast("array<struct<a:string,b:string>>"))
-    line = hits.where(same_number).groupBy("key", "doc_id", "item_id", "n_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    words = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), canonical_text(text).alias("c"))
+    items = broadcast_if_small(checkpointed(items), MAX_BROADCAST_WINDOWS)
+    hits = _windows(words, ["key", "doc_id"]).join(items, "h")
+    pairs = F.filter(F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"r{k}").alias("b")) for k in range(WINDOW)]), lambda p: p.a.isNotNull())
+    line = hits.groupBy("key", "doc_id", "item_id", "n_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     one_way = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.a)))

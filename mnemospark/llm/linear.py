@@ -33,18 +33,23 @@ def dual_coordinate_descent(indptr: np.ndarray, indices: np.ndarray, data: np.nd
     return w
 
 
-def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve fitted to margins by Newton steps, with smoothed targets."""
-    pos, neg = (y > 0).sum(), (y <= 0).sum()
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Coefficients of a logistic curve fitted by Newton steps, with smoothed targets; the last column of ``x`` is constant."""
+    pos, neg = int((y > 0).sum()), int((y <= 0).sum())
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
+    scale = np.abs(x).max(axis=0) + 1e-9
+    z, c = x / scale, np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - t) * margin).sum() + 1e-6 * a, (p - t).sum()])
+        p = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
         v = p * (1 - p) + 1e-9
-        h = np.array([[(v * margin * margin).sum() + 1e-6, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        step = np.linalg.solve((z * v[:, None]).T @ z + ridge * np.eye(len(c)), z.T @ (p - t) + ridge * c)
+        c = c - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return c / scale
+
+
+def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from margins to scores."""
+    slope, offset = logistic(np.column_stack([margin, np.ones(len(margin))]), y)
+    return float(slope), float(offset)

@@ -3,11 +3,13 @@
 The kernel compares words by the subsequences of three characters that they share, each weighted
 by a decay for every character it spans, so that inserted, doubled or gapped characters cost
 little. Landmark words span the feature space (Nystrom); the linear model on it is a weighted sum
-of landmark kernels, which folds into one weight per subsequence. A sentence is as toxic as its
-worst word, a document as its worst sentence.
+of landmark kernels, which folds into one weight per subsequence. A logistic curve over the
+margins of a text's worst words, and over how many words it has, gives the score: one doubtful word
+counts for less in a long text than several in a short one.
 
-Labels mark whole documents, so the words that make a labelled sentence toxic are found first: a
-greedy cover picks words that explain the toxic documents and hardly occur in clean ones.
+Labels mark whole documents, so the words that make a labelled sentence toxic are found first: those
+that occur in toxic documents far more often than by chance. Copies would make any rare word look
+so, and therefore texts that share their smallest or largest shingle hash count as one.
 """
 
 from __future__ import annotations
@@ -19,26 +21,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.labelled import held_out, training_rows
-from mnemospark.llm.linear import dual_coordinate_descent, platt
+from mnemospark.llm.linear import dual_coordinate_descent, logistic
 from mnemospark.session import checkpointed
 
 #: Bounds of the fit: documents of each class, clean words, words that may be picked, landmarks of each class.
 PER_CLASS = 4000
-CLEAN_WORDS = 20_000
+CLEAN_WORDS = 8_000
 PICKED_WORDS = 400
-LANDMARKS = 96
-#: A picked word occurs in two toxic documents at least, and this many times as often as in clean ones.
-LEAST_RATIO = 25.0
+LANDMARKS = 64
+#: A picked word occurs in toxic documents more often than by chance, by this many standard deviations.
+LEAST_DEVIATION = 5.0
+#: Worst words of a text that count.
+WORST = 4
 
 DECAY = 0.6
 SPAN = 5
 WIDTH = 16
 _CODES = 64
-_CACHE = 400_000
+_CACHE = 1_000_000
 _PARTS = re.compile(r"[^\W_]+")
 
 
@@ -56,7 +61,7 @@ def sentence_windows(text: str) -> set[str]:
 
 
 def forms(word: str) -> list[str]:
-    """What the kernel sees of a raw word: its letters and digits joined and, if separated, each part.
+    """What the kernel sees of a raw word: a start mark and its letters and digits joined; if separated, each part too.
 
     Long forms are cut into overlapping windows, so that nothing is left out.
     """
@@ -65,7 +70,7 @@ def forms(word: str) -> list[str]:
         return []
     whole = "".join(parts)
     out = []
-    for f in [whole, *parts] if len(parts) > 1 else [whole]:
+    for f in ["^" + whole, *parts] if len(parts) > 1 else ["^" + whole]:
         out += [f] if len(f) <= WIDTH else [f[a : a + WIDTH] for a in range(0, len(f) - WIDTH // 2, WIDTH // 2)]
     return out
 
@@ -74,7 +79,7 @@ def _encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code matrix, one row a word, and a mask of its characters."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
-    code = np.where((flat >= 97) & (flat <= 122), flat - 96, 27 + flat % (_CODES - 27))
+    code = np.where((flat >= 97) & (flat <= 122), flat - 96, np.where(flat == 94, 27, 28 + flat % (_CODES - 28)))
     mask = np.arange(WIDTH)[None, :] < n[:, None]
     m = np.zeros((len(words), WIDTH), np.int64)
     m[mask] = code
@@ -116,12 +121,11 @@ def _dense(words: list[str]) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """One weight per subsequence, and the logistic curve from a document's margin to its score."""
+    """One weight per subsequence, and the logistic curve from a text's features to its score."""
 
     weight: np.ndarray
     bias: float
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: np.ndarray
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -141,44 +145,44 @@ class ToxicityModel:
             np.maximum.at(out, owner, np.concatenate(values))
         return out
 
-    def margins(self, texts: list[str | None]) -> list[float]:
-        """Margin of each text: that of its worst word; the bias for empty and null texts."""
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Per text the margins of its worst distinct words, largest first, the log of their number, and 1.
+
+        Texts with fewer words, empty and null ones are filled up with the bias.
+        """
         sets = [sentence_windows(t) if t else set() for t in texts]
         if len(self.cache) > _CACHE:
             self.cache.clear()
         new = list(set().union(*sets).difference(self.cache)) if sets else []
         known = self.cache
         known.update(zip(new, self.word_margins(new).tolist(), strict=True))
-        return [max((known[w] for w in s), default=self.bias) for s in sets]
-
-    def scores(self, margins: list[float]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.array(margins, float) + self.offset, -30, 30)))
-
-
-def _cover(holds: dict[str, set[int]], most: int) -> Counter:
-    """Words picked greedily, each with the number of documents it newly explains; single documents are not enough."""
-    left = {w: set(d) for w, d in holds.items()}
-    picked: Counter = Counter()
-    size = {w: len(d) for w, d in left.items()}
-    done: set[int] = set()
-    while left and len(picked) < most:
-        w = max(size, key=lambda k: (size[k], k))
-        fresh = left[w] - done
-        if len(fresh) < size[w]:
-            size[w] = len(fresh)
-            if size[w] < 2:
-                del size[w], left[w]
-            continue
-        if size[w] < 2:
-            break
-        picked[w] = size.pop(w)
-        done |= left.pop(w)
-    return picked
+        out = np.full((len(texts), WORST + 2), self.bias)
+        for row, s in zip(out, sets, strict=True):
+            m = np.fromiter((known[w] for w in s), float, len(s))
+            if len(m) > WORST:
+                m = np.partition(m, len(m) - WORST)[-WORST:]
+            row[: len(m)] = np.sort(m)[::-1]
+            row[WORST:] = np.log1p(len(s)), 1.0
+        return out
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.curve, -30, 30)))
+
+
+def _never(intercept: float = -3.0) -> ToxicityModel:
+    return ToxicityModel(np.zeros(_CODES**3, np.float32), -1.0, np.array([0.0] * (WORST + 1) + [intercept]))
+
+
+def _extreme_shingles(text: str | None) -> tuple[int, int]:
+    """Smallest and largest hash of a text's runs of three words: what copies of a text mostly share."""
+    words = (text or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) >> 1 for i in range(max(1, len(words) - 2))]
+    return min(h), max(h)
 
 
 def _garbled(word: str) -> list[str]:
     """The word with a foreign character put in, and with a character doubled, at every inner place."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i])][: 4 * WIDTH]
+    return [word[:i] + c + word[i:] for i in range(2, len(word)) for c in ("x", word[i])][: 4 * WIDTH]
 
 
 def fit_words(bad: Counter, clean: dict[str, int], seed: int = 7) -> ToxicityModel:
@@ -193,7 +197,7 @@ def fit_words(bad: Counter, clean: dict[str, int], seed: int = 7) -> ToxicityMod
             if f not in toxic and len(f) > 2:
                 good[f] += n
     if not toxic:
-        return ToxicityModel(np.zeros(_CODES**3, np.float32), -1.0)
+        return _never()
     extra = [g for w in toxic for g in _garbled(w) if len(g) <= WIDTH]
     rows = [*toxic, *extra, *good]
     y = np.array([1.0] * (len(toxic) + len(extra)) + [-1.0] * len(good))
@@ -212,10 +216,10 @@ def fit_words(bad: Counter, clean: dict[str, int], seed: int = 7) -> ToxicityMod
         z.append(np.stack([(d[ids] * w).sum(axis=1) / norm for d in dense], axis=1) @ root)
     z = np.concatenate(z)
     full = np.hstack([z, np.ones((len(z), 1))])
-    cost = np.concatenate([np.full(len(toxic), 20.0), np.full(len(extra), 2.0), np.full(len(good), 1.0)])
+    cost = np.concatenate([5.0 + np.array(list(toxic.values())), np.full(len(extra), 3.0), np.full(len(good), 1.0)])
     width = full.shape[1]
-    u = dual_coordinate_descent(np.arange(0, full.size + 1, width), np.tile(np.arange(width), len(full)), full.ravel(), y, width, cost, epochs=30, seed=seed)
-    return ToxicityModel(((root @ u[:-1]) @ dense).astype(np.float32), float(u[-1]))
+    u = dual_coordinate_descent(np.arange(0, full.size + 1, width), np.tile(np.arange(width), len(full)), full.ravel(), y, width, cost, epochs=15, seed=seed)
+    return ToxicityModel(((root @ u[:-1]) @ dense).astype(np.float32), float(u[-1]), _never().curve)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
@@ -227,26 +231,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
                 words = sorted(w for w in sentence_windows(t or "") if _PARTS.search(w))
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(words), pa.int64()), pa.array([y] * len(words), pa.int32()), pa.array(words, pa.string())], ["doc", "y", "word"])
 
-    rows = checkpointed(training_rows(docs, labels, label, per_class).groupBy("text").agg(F.max("y").alias("y")).select(F.xxhash64("text").alias("doc"), "y", "text"))
+    def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.array([_extreme_shingles(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["y", "text", "low", "high"])
+
+    rows = training_rows(docs, labels, label, per_class).select("y", "text").mapInArrow(with_keys, "y int, text string, low long, high long")
+    rows = rows.dropDuplicates(["y", "low"]).dropDuplicates(["y", "high"]).select(F.xxhash64("text").alias("doc"), "y", "text")
+    rows = checkpointed(rows)
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
-        return ToxicityModel(np.zeros(_CODES**3, np.float32), -1.0, offset=0.0 if not n else (6.0 if n.get(1) else -3.0))
+        return _never(3.0 if n.get(1) else -3.0)
     pairs = checkpointed(rows.mapInArrow(run, "doc long, y int, word string"))
     stats = checkpointed(pairs.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
-    telling = stats.where((F.col("pos") >= 2) & (F.col("pos") / n[1] >= LEAST_RATIO * (F.col("neg") + 0.1) / n[0]))
-    telling = telling.orderBy(F.desc("pos"), "word").limit(20 * PICKED_WORDS)
-    holds: dict[str, set[int]] = {}
-    for r in pairs.where("y = 1").join(F.broadcast(telling.select("word")), "word").groupBy("word").agg(F.collect_set("doc").alias("docs")).toArrow().to_pylist():
-        holds[r["word"]] = set(r["docs"])
+    chance = (F.col("pos") + F.col("neg")) * (n[1] / (n[1] + n[0]))
+    telling = stats.where((F.col("pos") - chance) / F.sqrt(chance) >= LEAST_DEVIATION)
+    picked = Counter({r.word: r.pos for r in telling.orderBy(F.desc((F.col("pos") - chance) / F.sqrt(chance)), "word").limit(PICKED_WORDS).collect()})
     clean = {r.word: r.neg for r in stats.where("neg > 0").orderBy(F.md5("word")).limit(CLEAN_WORDS).collect()}
-    model = fit_words(_cover(holds, PICKED_WORDS), clean)
+    model = fit_words(picked, clean)
     # clean words that still score high correct the model once, then documents calibrate it
     hard = _word_scores(stats.where("neg > 0").select("word", "neg"), model).where(F.col("margin") > -0.5).orderBy(F.desc("margin"), "word").limit(CLEAN_WORDS // 4)
     clean |= {r.word: r.neg for r in hard.collect()}
-    model = fit_words(_cover(holds, PICKED_WORDS), clean)
-    held = score_margins(rows.select(F.col("y").cast("long").alias("doc_id"), "text"), model).toArrow()
-    y = np.where(held.column("doc_id").to_numpy() == 1, 1.0, -1.0)
-    model.slope, model.offset = platt(held.column("margin").to_numpy(), y)
+    model = fit_words(picked, clean)
+    seen = text_features(rows.select(F.col("y").cast("long").alias("doc_id"), "text"), model).toArrow()
+    x = np.array(seen.column("features").to_pylist())
+    model.curve = logistic(x, seen.column("doc_id").to_numpy() == 1)
     return model
 
 
@@ -258,14 +267,15 @@ def _word_scores(words: DataFrame, model: ToxicityModel) -> DataFrame:
     return words.mapInArrow(run, "word string, neg long, margin double")
 
 
-def score_margins(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Rows (doc_id, margin), one per input row."""
+def text_features(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """Rows (doc_id, features), one per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.margins(b.column(1).to_pylist()), pa.float64())], ["doc_id", "margin"])
+            x = model.features(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, margin double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<double>")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -273,8 +283,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Null texts score like empty ones; null and repeated ids stay rows of their own; other columns are ignored.
     """
-    score = 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.offset)))
-    return score_margins(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = pa.array(model.scores(model.features(b.column(2).to_pylist())), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), score], ["doc_id", "held_out", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, at_least: float = 0.5) -> DataFrame:
@@ -283,7 +299,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, at_least: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = model.scores(model.margins(b.column("text").to_pylist())) < at_least
+            keep = model.scores(model.features(b.column("text").to_pylist())) < at_least
             yield b.append_column("_toxic", pa.array(~keep)).filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema).drop("_toxic")

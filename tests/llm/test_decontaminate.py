@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from mnemospark.llm.decontaminate import STEPS, UNITS, canonical_words, contaminated, drop_contaminated
+from mnemospark.llm.decontaminate import _SPLIT, NAMES, NUMBERS, UNITS, canonical_text, canonical_words, contaminated, drop_contaminated
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, item_id string, w int"
@@ -31,9 +31,9 @@ def docs():
 def words(text):
     import regex
 
-    for pattern, new in STEPS:
+    for pattern, new in (NAMES, *(NUMBERS if regex.search("[0-9]", text) else ())):
         text = regex.sub(pattern, regex.sub(r"\$(\d)", r"\\g<\1>", new), text)
-    return [w for w in regex.split("[^\\p{L}\\p{M}\\p{Nd}\ue000-\ue003]+", text.lower()) if w]
+    return [w for w in regex.split(_SPLIT.replace("\\p{Punct}", r"!-/:-@\[-`{-~"), text.lower(), flags=regex.V0) if w]
 
 
 def slot(w):
@@ -83,7 +83,7 @@ def test_matches_brute_force(spark):
 
 def test_words_like_the_brute_force(spark):
     texts = [t for _, t, *_ in docs() if t] + ["She met John Smith Jones, Bob; Ann", "1,000,000 kg 3.5 km x5y 7 Hours", "a1.2.3"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", canonical_words(F.col("t")).alias("w")).collect()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", canonical_words(canonical_text(F.col("t"))).alias("w")).collect()
     assert {r.t: r.w for r in got} == {t: words(t) for t in texts}
     assert re.fullmatch(UNITS, "miles")
 
