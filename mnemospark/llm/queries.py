@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, mixture, quality, secrets, toxicity, urls
+from mnemospark.llm import decontaminate, html, mixture, pii, quality, secrets, toxicity, urls
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
@@ -34,6 +34,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_pii(docs, pii.fit_pii(docs)))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,15 +53,22 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html.extract_pages(pages, html.fit_pages(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
+        "op5_pii": op5_pii,
         "op6_simhash": op6_simhash,
         "op8_urls": op8_urls,
         "op9_mixture": op9_mixture,
+        "op10_html": op10_html,
     }
 
 
