@@ -43,7 +43,8 @@ DECAY = 0.6
 SPAN = 5
 WIDTH = 16
 _CODES = 64
-_CACHE = 1_000_000
+_CACHE = 150_000
+_CHUNK = 1_000_000
 _PARTS = re.compile(r"[^\W_]+")
 
 
@@ -139,8 +140,8 @@ class ToxicityModel:
         if flat:
             owner = np.repeat(np.arange(len(words)), [len(fs) for fs in split])
             values = []
-            for at in range(0, len(flat), 20_000):
-                ids, w = subsequences(flat[at : at + 20_000])
+            for at in range(0, len(flat), 4000):
+                ids, w = subsequences(flat[at : at + 4000])
                 values.append((self.weight[ids] * w).sum(axis=1) / (_norms(ids, w) + 1e-9) + self.bias)
             np.maximum.at(out, owner, np.concatenate(values))
         return out
@@ -150,20 +151,30 @@ class ToxicityModel:
 
         Texts with fewer words, empty and null ones are filled up with the bias.
         """
+        out = np.full((len(texts), WORST + 2), self.bias)
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size < _CHUNK):
+                size += len(texts[end] or "")
+                end += 1
+            self._fill(out[at:end], texts[at:end])
+            at = end
+        return out
+
+    def _fill(self, out: np.ndarray, texts: list[str | None]) -> None:
         sets = [sentence_windows(t) if t else set() for t in texts]
         if len(self.cache) > _CACHE:
             self.cache.clear()
-        new = list(set().union(*sets).difference(self.cache)) if sets else []
+        new = list(set().union(*sets).difference(self.cache))
         known = self.cache
         known.update(zip(new, self.word_margins(new).tolist(), strict=True))
-        out = np.full((len(texts), WORST + 2), self.bias)
         for row, s in zip(out, sets, strict=True):
             m = np.fromiter((known[w] for w in s), float, len(s))
             if len(m) > WORST:
                 m = np.partition(m, len(m) - WORST)[-WORST:]
             row[: len(m)] = np.sort(m)[::-1]
             row[WORST:] = np.log1p(len(s)), 1.0
-        return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.curve, -30, 30)))
