@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, html, mixture, pii, quality, secrets, toxicity, urls
+from mnemospark.llm import decontaminate, html, mixture, neighbours, pii, quality, secrets, toxicity, urls
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
@@ -44,6 +44,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, action string")
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_pii": op5_pii,
         "op6_simhash": op6_simhash,
+        "op7_neighbours": op7_neighbours,
         "op8_urls": op8_urls,
         "op9_mixture": op9_mixture,
         "op10_html": op10_html,
