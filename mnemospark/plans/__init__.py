@@ -1 +1,6 @@
+"""Registered queries; importing this package fills the registry."""
 
+from mnemospark.plans import retrieval
+from mnemospark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "retrieval"]
