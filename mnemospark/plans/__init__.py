@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from mnemospark.plans import retrieval
+from mnemospark.plans import graph, jobs, retrieval, scopes, storage, streams, texts
 from mnemospark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "graph", "jobs", "retrieval", "scopes", "storage", "streams", "texts"]
