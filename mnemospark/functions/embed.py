@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 DIMENSIONS = 32
 MAX_BYTES = 32_000
@@ -22,7 +23,7 @@ def hashed_vector(text: str | None, n: int = DIMENSIONS) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashed_vectors(text: pd.Series) -> pd.Series:
     return text.map(hashed_vector)
 

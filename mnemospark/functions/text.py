@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def words(text: Column) -> Column:
@@ -108,7 +109,7 @@ def stem(word: str) -> str:
     return word[:-1] + "i" if word.endswith("y") and _measure(word[:-1]) >= 1 else word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def english_terms(text: pd.Series) -> pd.Series:
     """Stems of the words without accents and stop words, in order; an empty string marks a stop word's place."""
     seen: dict[str, str] = {}
@@ -179,6 +180,6 @@ def chunk_text(text: str | None, limit: int = 1000, overlap: int = 2) -> list[st
     return [*out, " ".join(now)] if now else out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def chunks(text: pd.Series) -> pd.Series:
     return text.map(chunk_text)
