@@ -7,7 +7,7 @@ tables lack follow from the keys, so that every run and the SQL oracle see the s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.session import read_table
@@ -15,6 +15,11 @@ from mnemospark.session import read_table
 NOW = "2024-02-01 00:00:00"
 
 
+def now() -> Column:
+    """The time that the queries take as the present, so that reruns agree."""
+    return F.lit(NOW).cast("timestamp")
+
+
 def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, kind, parent_id, path, depth): the tree company (region) > team (nation) > user (customer)."""
     r = read_table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS id", "'company' AS kind", "CAST(NULL AS STRING) AS parent_id", "concat('r', r_regionkey) AS path", "1 AS depth")

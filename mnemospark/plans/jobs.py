@@ -11,7 +11,6 @@ from mnemospark.operators import jobs as J
 from mnemospark.plans.registry import query
 from mnemospark.session import read_table
 
-NOW = F.lit(A.NOW).cast("timestamp")
 _COS = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_product({1}, {1}))"
 _DAYS = f"(epoch(TIMESTAMP '{A.NOW}') - epoch({{0}})) / 86400.0"
 _RATE = "CASE memory_type WHEN 'working' THEN 0.015 WHEN 'episodic' THEN 0.010 ELSE 0.005 END"
@@ -56,12 +55,12 @@ def consolidation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("expire_ttl", f"WITH {A.MEMORIES_SQL} SELECT id, is_active AND NOT coalesce(expires_at < TIMESTAMP '{A.NOW}', false) AS is_active FROM memories")
 def expire_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.expire(A.memories(spark, sf_dir), NOW).select("id", "is_active")
+    return J.expire(A.memories(spark, sf_dir), A.now()).select("id", "is_active")
 
 
 @query("decay_step", f"WITH {A.MEMORIES_SQL} SELECT id, round(greatest(0, importance * exp(-({_RATE}) * {_DAYS.format('coalesce(last_accessed, created_at)')})), 6) AS importance FROM memories WHERE is_active")
 def decay_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.decay_step(A.memories(spark, sf_dir).where("is_active"), NOW).select("id", F.round("importance", 6).alias("importance"))
+    return J.decay_step(A.memories(spark, sf_dir).where("is_active"), A.now()).select("id", F.round("importance", 6).alias("importance"))
 
 
 @query("prune_low_value", f"WITH {A.MEMORIES_SQL} SELECT id FROM memories WHERE is_active AND importance < 0.3 AND access_count < 8 AND memory_type IN ('episodic', 'working')")
@@ -75,7 +74,7 @@ FROM artifacts WHERE status = 'published' AND {_DAYS.format('created_at')} > 180
 def stale_low_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every thirteenth artifact has an open flag already."""
     rows = A.artifacts(spark, sf_dir)
-    return J.stale_artifacts(rows, rows.where("id % 13 = 0").select(F.col("id").alias("artifact_id")), NOW)
+    return J.stale_artifacts(rows, rows.where("id % 13 = 0").select(F.col("id").alias("artifact_id")), A.now())
 
 
 @query("contradictions", f"""WITH e AS (SELECT vec_id AS id, label AS block, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT v AS q FROM e WHERE id = 1),
@@ -121,4 +120,4 @@ def unchunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stale_promotions", f"WITH {A.MEMORIES_SQL} SELECT id FROM memories WHERE promotion_status = 'nominated' AND created_at < TIMESTAMP '{A.NOW}' - INTERVAL 24 HOURS")
 def stale_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.memories(spark, sf_dir).where((F.col("promotion_status") == "nominated") & (F.col("created_at") < NOW - F.expr("INTERVAL 24 HOURS"))).select("id")
+    return A.memories(spark, sf_dir).where((F.col("promotion_status") == "nominated") & (F.col("created_at") < A.now() - F.expr("INTERVAL 24 HOURS"))).select("id")

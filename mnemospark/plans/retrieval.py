@@ -13,7 +13,6 @@ from mnemospark.operators import scoping as S
 from mnemospark.plans.registry import query
 from mnemospark.session import read_table
 
-NOW = F.lit(A.NOW).cast("timestamp")
 QUESTION = "why the thing are with this only"
 LIMIT = 10
 
@@ -47,7 +46,7 @@ SELECT id, memory_type, round({_MSCORE}, 6) AS score FROM k ORDER BY {_MSCORE} D
 def recall_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _active(spark, sf_dir).join(A.vectors(spark, sf_dir), "id")
     near = rows.withColumn("vector", F.round(cosine_similarity(F.col("vec"), _query_vector(spark, sf_dir)), 9)).orderBy(F.desc("vector"), "id").limit(2 * LIMIT)
-    near = near.withColumns({"text": F.lit(0.0), "trigram": F.lit(0.0)}).withColumn("score", R.memory_score(NOW))
+    near = near.withColumns({"text": F.lit(0.0), "trigram": F.lit(0.0)}).withColumn("score", R.memory_score(A.now()))
     return _rounded(R.best(near, LIMIT).select("id", "memory_type", "score"), "score")
 
 
@@ -68,7 +67,7 @@ def recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_vec = rows.select("id").join(A.vectors(spark, sf_dir), "id")
     near = with_vec.select("id", F.round(cosine_similarity(F.col("vec"), _query_vector(spark, sf_dir)), 9).alias("vector")).orderBy(F.desc("vector"), "id").limit(2 * LIMIT)
     found = R.merged(near, R.by_terms(rows, QUESTION, 2 * LIMIT), R.by_trigram(rows, QUESTION, 2 * LIMIT))
-    scored = rows.drop("content").join(F.broadcast(found), "id").withColumn("score", R.memory_score(NOW))
+    scored = rows.drop("content").join(F.broadcast(found), "id").withColumn("score", R.memory_score(A.now()))
     return _rounded(R.best(scored, LIMIT).select("id", "memory_type", "score"), "score")
 
 
@@ -128,10 +127,10 @@ s AS (SELECT id, kind, {_KSCORE} AS sc FROM (SELECT * FROM f ORDER BY text DESC,
 
 def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.artifacts(spark, sf_dir).where("status = 'published'")
-    rows = rows.where(F.coalesce("published_at", "created_at").between(F.lit("2023-06-01").cast("timestamp"), NOW))
+    rows = rows.where(F.coalesce("published_at", "created_at").between(F.lit("2023-06-01").cast("timestamp"), A.now()))
     found = R.merged(R.by_terms(rows, "the and", 60))
     scored = rows.drop("content").join(F.broadcast(found), "id")
-    return scored.withColumn("score", R.knowledge_score(NOW) + R.intent_boost(F.col("kind"), QUESTION)).select("id", "kind", "score")
+    return scored.withColumn("score", R.knowledge_score(A.now()) + R.intent_boost(F.col("kind"), QUESTION)).select("id", "kind", "score")
 
 
 @query("knowledge_recall", f"WITH {_KFROM} SELECT id, kind, round(sc, 6) AS score FROM s ORDER BY sc DESC, id LIMIT 20")
@@ -195,7 +194,7 @@ SELECT id, layer, round(sc, 6) AS score FROM u WHERE sc >= 0.1 ORDER BY sc DESC,
 def cross_layer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     knowledge = R.best(_knowledge(spark, sf_dir), 20)
     zero = {n: F.lit(0.0) for n in ("vector", "text", "trigram")}
-    memory = R.best(_active(spark, sf_dir).withColumns(zero).withColumn("score", R.memory_score(NOW)).select("id", "score", "promoted_to"), 20)
+    memory = R.best(_active(spark, sf_dir).withColumns(zero).withColumn("score", R.memory_score(A.now())).select("id", "score", "promoted_to"), 20)
     both = knowledge.select("id", F.lit("knowledge").alias("layer"), "score").unionByName(R.without_promoted(memory, knowledge).select("id", F.lit("memory").alias("layer"), "score"))
     return _rounded(both.where("score >= 0.1").orderBy(F.desc("score"), "id", "layer").limit(30), "score")
 
@@ -208,7 +207,7 @@ def cross_scope_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read_table(spark, sf_dir, "nation").where("n_regionkey < 3").selectExpr("concat('n', n_nationkey) AS scope_id")
     zero = {n: F.lit(0.0) for n in ("vector", "text", "trigram")}
     rows = _active(spark, sf_dir).where("created_at >= timestamp'2023-09-01'").join(F.broadcast(asked), "scope_id", "left_semi")
-    return _rounded(R.best(rows.withColumns(zero).withColumn("score", R.memory_score(NOW)).select("scope_id", "id", "score"), 5, by=["scope_id"]), "score")
+    return _rounded(R.best(rows.withColumns(zero).withColumn("score", R.memory_score(A.now())).select("scope_id", "id", "score"), 5, by=["scope_id"]), "score")
 
 
 @query("context_pack", f"""WITH {A.MEMORIES_SQL}, {_KFROM},

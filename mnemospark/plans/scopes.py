@@ -9,7 +9,6 @@ from mnemospark import adapters as A
 from mnemospark.operators import scoping as S
 from mnemospark.plans.registry import query
 
-NOW = F.lit(A.NOW).cast("timestamp")
 
 _UP = "up AS (SELECT a.id, u.id AS ancestor_id, a.depth - u.depth AS distance FROM scopes a JOIN scopes u ON a.path = u.path OR starts_with(a.path, u.path || '.'))"
 _CLOSURE = "clo AS (SELECT member_id AS principal_id, parent_id AS ancestor_id FROM memberships UNION SELECT c.principal_id, m.parent_id FROM clo c JOIN memberships m ON m.member_id = c.ancestor_id)"
@@ -69,7 +68,7 @@ def scope_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
 direct AS (SELECT principal_id, ancestor_id AS scope_id FROM clo UNION SELECT principal_id, scope_id FROM grants WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{A.NOW}')
 SELECT principal_id, scope_id FROM direct UNION SELECT d.principal_id, u.ancestor_id FROM direct d JOIN up u ON u.id = d.scope_id""")
 def reachable_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = A.grants(spark, sf_dir).where(F.col("expires_at").isNull() | (F.col("expires_at") > NOW)).select("principal_id", "scope_id")
+    live = A.grants(spark, sf_dir).where(F.col("expires_at").isNull() | (F.col("expires_at") > A.now())).select("principal_id", "scope_id")
     direct = S.closure(A.memberships(spark, sf_dir)).select("principal_id", F.col("ancestor_id").alias("scope_id")).unionByName(live).distinct()
     up = S.ancestors(A.scopes(spark, sf_dir)).select(F.col("id").alias("scope_id"), "ancestor_id")
     return direct.join(up, "scope_id").select("principal_id", F.col("ancestor_id").alias("scope_id")).distinct()
@@ -93,7 +92,7 @@ def effective_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = lambda c: F.length(c) <= 3
     members = A.memberships(spark, sf_dir).where(short(F.col("member_id")))
     grants = A.grants(spark, sf_dir).where(short(F.col("principal_id")))
-    found = S.effective_permissions(A.scopes(spark, sf_dir), members, grants, NOW)
+    found = S.effective_permissions(A.scopes(spark, sf_dir), members, grants, A.now())
     return found.withColumn("permissions", F.array_join("permissions", ","))
 
 
@@ -102,14 +101,14 @@ def effective_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT principal_id, scope_id, array_to_string(list_sort(list_intersect(declared, permissions)), ',') AS permissions FROM t""")
 def token_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token that declares reading memories, skills and knowledge may do what its principal may too."""
-    live = A.grants(spark, sf_dir).where(F.col("expires_at").isNull() | (F.col("expires_at") > NOW))
+    live = A.grants(spark, sf_dir).where(F.col("expires_at").isNull() | (F.col("expires_at") > A.now()))
     declared = F.array(F.lit("memories:read"), F.lit("skills:read"), F.lit("knowledge:read"))
     return live.select("principal_id", "scope_id", F.array_join(F.sort_array(F.array_intersect(declared, "permissions")), ",").alias("permissions"))
 
 
 @query("shared_memories", f"WITH {A.MEMORIES_SQL}, {A.GRANTS_SQL} SELECT id FROM memories WHERE is_active AND scope_id IN (SELECT scope_id FROM grants WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{A.NOW}')")
 def shared_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = A.grants(spark, sf_dir).where(F.col("expires_at").isNull() | (F.col("expires_at") > NOW)).select("scope_id")
+    live = A.grants(spark, sf_dir).where(F.col("expires_at").isNull() | (F.col("expires_at") > A.now())).select("scope_id")
     return A.memories(spark, sf_dir).where("is_active").join(live, "scope_id", "left_semi").select("id")
 
 
