@@ -306,11 +306,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, at_least: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``at_least`` or more; all columns and all other rows stay."""
-    schema = docs.schema.add("_toxic", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = model.scores(model.features(b.column("text").to_pylist())) < at_least
-            yield b.append_column("_toxic", pa.array(~keep)).filter(pa.array(keep))
+            yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema).drop("_toxic")
+    return docs.mapInArrow(run, docs.schema)
