@@ -34,6 +34,7 @@ FURNITURE_NAMES = {
     "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo", "related", "replies", "respond", "share",
     "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "reader-comments", "discussion", "alert", "login", "search", "cta",
 }
+COMMENT_NAMES = {"comment", "comments", "reply", "replies", "reader-comments", "discussion"}
 CONTENT_TAGS = {"article", "main"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>?|</?[A-Za-z][^<>]*>?|[^<]+|<", re.S)
@@ -54,7 +55,7 @@ class Block:
 
 
 def _kind(name: str, tag: str) -> str:
-    """The furniture that an opening tag starts, or nothing; content elements are never furniture by class."""
+    """The furniture that an opening tag starts, or nothing; content elements are furniture only as comments."""
     if name in FURNITURE_TAGS:
         return name
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(tag)} if "=" in tag else {}
@@ -62,12 +63,13 @@ def _kind(name: str, tag: str) -> str:
         return "role:" + attrs["role"].lower()
     if "hidden" in tag and re.search(r"\shidden(?:[\s=/>]|$)", tag) or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return "hidden"
-    if name in CONTENT_TAGS or name in ("body", "html"):
+    if name in ("body", "html"):
         return ""
+    known = COMMENT_NAMES if name in CONTENT_TAGS else FURNITURE_NAMES
     for key in ("class", "id"):
         for part in re.split(r"[\s_]+", attrs.get(key, "").lower()):
-            for word in {part, *part.split("-")}:
-                if word in FURNITURE_NAMES:
+            for word in {part, *part.split("-")} if part.split("-")[0] not in ("has", "with", "no", "is") else ():
+                if word in known:
                     return f"{key}:{word}"
     return ""
 
@@ -140,20 +142,37 @@ class ContentModel:
     furniture: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
     other_furniture: float = -2.0
+    most_furniture: float = -3.0
     other_tag: float = -0.2
 
-    def score(self, b: Block) -> tuple[float, float]:
-        """Score of the tags before the block, and of its words."""
-        words = b.text.count(" ") + 1
-        before = sum(self.tags.get(t, self.other_tag) for t in b.tags)
-        each = self.furniture.get(b.furniture, self.other_furniture) if b.furniture else self.word
-        return before, each * words
+    def scores(self, parts: list[Block]) -> list[tuple[float, float]]:
+        """Per block the score of the tags before it, and of its words.
+
+        If the page names its content (an ``article`` or ``main`` element with text), whatever stands
+        outside is furniture, and nothing inside costs: the region can neither leave the element nor
+        end before it does. Else a run of furniture costs no more than ``most_furniture``, since it is left out anyway.
+        """
+        named = any(b.inside and not b.furniture for b in parts)
+        out: list[tuple[float, float]] = []
+        spent = 0.0
+        for b in parts:
+            words = b.text.count(" ") + 1
+            kind = b.furniture or ("outside" if named and not b.inside else "")
+            before = 0.0 if named and b.inside else sum(self.tags.get(t, self.other_tag) for t in b.tags)
+            if not kind:
+                own, spent = self.word * words, 0.0
+            elif named:
+                own = 0.0 if b.inside else self.furniture.get(kind, self.other_furniture) * words
+            else:
+                own = max(self.furniture.get(kind, self.other_furniture) * words, self.most_furniture - spent)
+                before, spent = 0.0, spent + own
+            out.append((before, own))
+        return out
 
     def region(self, parts: list[Block]) -> tuple[int, int]:
         """First and last but one index of the blocks with the largest sum; ties go to the longer, then to the earlier region."""
         best, span, run, start = 0.0, (0, 0), 0.0, 0
-        for i, b in enumerate(parts):
-            before, own = self.score(b)
+        for i, (before, own) in enumerate(self.scores(parts)):
             if run <= 0 or run + before <= 0:
                 run, start = own, i
             else:
@@ -163,18 +182,11 @@ class ContentModel:
         return span
 
     def extract(self, page: str | None) -> str:
-        """The blocks of the best region without furniture, joined by spaces; empty if nothing scores above 0.
-
-        If the page names its content (an ``article`` or ``main`` element with text), blocks outside
-        it are furniture, so that the region can neither leave nor cut it short.
-        """
+        """The blocks of the best region without furniture, joined by spaces; empty if nothing scores above 0."""
         parts = blocks(page or "")
-        if any(b.inside and not b.furniture for b in parts):
-            for b in parts:
-                if not b.inside and not b.furniture:
-                    b.furniture = "outside"
+        named = any(b.inside and not b.furniture for b in parts)
         a, z = self.region(parts)
-        return " ".join(b.text for b in parts[a:z] if not b.furniture)
+        return " ".join(b.text for b in parts[a:z] if not b.furniture and (b.inside or not named))
 
 
 def page_counts(page: str | None) -> Counter:
