@@ -24,8 +24,8 @@ ROUNDS = 3
 LEAF = 160
 TREES = 2
 POOL = 1200
-EXPAND = 48
-SEARCH_ROUNDS = 10
+EXPAND = 80
+SEARCH_ROUNDS = 6
 RESCORE = 60
 _PAIR = np.dtype([("id", "<i8"), ("sim", "<f4")])
 _SEEN = np.dtype([("id", "<i8"), ("sim", "<f4"), ("done", "?")])
@@ -134,68 +134,68 @@ def _first_lists(nodes: DataFrame, n: int, width: int, degree: int) -> DataFrame
                 out.append(_nearest(pairs, degree, ids[a + r]).tobytes())
         return [pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary())], ["node", "pairs"])]
 
-    dealt = nodes.select("node", "code").mapInArrow(leaves, "leaf long, node long, code binary")
+    dealt = checkpointed(nodes.select("node", "code").mapInArrow(leaves, "leaf long, node long, code binary"))
     sizes = dealt.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts"))
     cut = dealt.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "code")
     return cut.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(lambda it: by_group(it, work, 2), "node long, pairs binary")
 
 
 def _merged(lists: DataFrame, degree: int) -> DataFrame:
-    """One list per node from several: its nearest ``degree``."""
+    """Rows (node, pairs, floor): one list per node from several, its nearest ``degree``, and how near a newcomer must be."""
 
     def work(t: pa.Table, edges: np.ndarray) -> list[pa.RecordBatch]:
         ids, raw = t.column(0).to_numpy(), _raw(t.column(1))
-        out = [_nearest(np.frombuffer(b"".join(raw[a:z]), _PAIR), degree, ids[a]).tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)]
-        return [pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]]), pa.array(out, pa.binary())], ["node", "pairs"])]
+        best = [_nearest(np.frombuffer(b"".join(raw[a:z]), _PAIR), degree, ids[a]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        low = [float(p["sim"][-1]) if len(p) >= degree else -2.0 for p in best]
+        return [pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]]), pa.array([p.tobytes() for p in best], pa.binary()), pa.array(low, pa.float32())], ["node", "pairs", "floor"])]
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: by_group(it, work), "node long, pairs binary")
+    dealt = lists.select("node", "pairs").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(lambda it: by_group(it, work), "node long, pairs binary, floor float")
 
 
 def _edges(lists: DataFrame, degree: int) -> DataFrame:
-    """Rows (at, other): the neighbours of a node, forward and the nearest ``degree`` reverse ones."""
+    """Rows (at, other): the neighbours of a node, forward and the nearest ``degree`` reverse ones; some show twice."""
 
     def run(batches: Rows) -> Rows:
         for b in batches:
             ids, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
             pairs = np.frombuffer(b"".join(raw), _PAIR)
             own = np.repeat(ids, [len(r) // _PAIR.itemsize for r in raw])
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(pairs["id"].copy()), pa.array(pairs["sim"].copy())], ["at", "other", "sim"])
+            both = [np.concatenate([own, pairs["id"]]), np.concatenate([pairs["id"], own]), np.concatenate([pairs["sim"], pairs["sim"]]), np.repeat([True, False], len(own))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], ["at", "other", "sim", "ahead"])
 
-    ahead = lists.mapInArrow(run, "at long, other long, sim float")
-    place = F.row_number().over(Window.partitionBy("other").orderBy(F.desc("sim"), "at"))
-    back = ahead.withColumn("place", place).where(F.col("place") <= degree).select(F.col("other").alias("at"), F.col("at").alias("other"))
-    return ahead.select("at", "other").unionByName(back).distinct()
+    each = lists.select("node", "pairs").mapInArrow(run, "at long, other long, sim float, ahead boolean")
+    # a forward list has no more than ``degree`` rows; the limit applies before the shuffle
+    place = F.row_number().over(Window.partitionBy("at", "ahead").orderBy(F.desc("sim"), "other"))
+    return each.withColumn("place", place).where(F.col("place") <= degree).select("at", "other")
 
 
 def _introduced(lists: DataFrame, nodes: DataFrame, width: int, degree: int) -> DataFrame:
     """Rows (node, pairs): what each node learns where two of its neighbours, or it and another, meet at a third."""
 
-    def floors(batches: Rows) -> Rows:
-        for b in batches:
-            low = [float(np.frombuffer(r, _PAIR)["sim"][-1]) if len(r) >= degree * _PAIR.itemsize else -2.0 for r in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.float32())], ["node", "floor"])
-
     def work(t: pa.Table, edges: np.ndarray) -> list[pa.RecordBatch]:
         ids, low, x = t.column(1).to_numpy(), t.column(2).to_numpy(), _matrix(t.column(3), width)
         at, out = [], []
         for a, z in zip(edges[:-1], edges[1:], strict=True):
-            m = z - a
-            if m < 2:
+            _, here = np.unique(ids[a:z], return_index=True)
+            here = here + a
+            if len(here) < 2:
                 continue
-            sims = x[a:z] @ x[a:z].T
+            sims = x[here] @ x[here].T
             np.fill_diagonal(sims, -2)
-            k = min(_OFFERS, m - 1)
+            k = min(_OFFERS, len(here) - 1)
             best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             value = np.take_along_axis(sims, best, 1)
-            for r in np.flatnonzero((value > low[a:z, None]).any(axis=1)):
-                good = value[r] > low[a + r]
+            useful = value > low[here][:, None]
+            for r in np.flatnonzero(useful.any(axis=1)):
+                good = useful[r]
                 pairs = np.empty(int(good.sum()), _PAIR)
-                pairs["id"], pairs["sim"] = ids[a:z][best[r][good]], value[r][good]
-                at.append(ids[a + r])
+                pairs["id"], pairs["sim"] = ids[here][best[r][good]], value[r][good]
+                at.append(ids[here[r]])
                 out.append(pairs.tobytes())
         return [pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary())], ["node", "pairs"])]
 
-    known = nodes.select("node", "code").join(lists.mapInArrow(floors, "node long, floor float"), "node")
+    known = nodes.select("node", "code").join(lists.select("node", "floor"), "node")
     met = _edges(lists, degree).join(known.withColumnRenamed("node", "other"), "other").select("at", "other", "floor", "code")
     # a node is at its own table too
     self_ = known.select(F.col("node").alias("at"), F.col("node").alias("other"), "floor", "code")
@@ -203,10 +203,10 @@ def _introduced(lists: DataFrame, nodes: DataFrame, width: int, degree: int) ->
 
 
 def descent_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (node, pairs): every node's nearest neighbours as NN-descent finds them."""
+    """Rows (node, pairs, floor): every node's nearest neighbours as NN-descent finds them."""
     lists = checkpointed(_merged(_first_lists(nodes, n, width, degree), degree))
     for _ in range(rounds):
-        lists = checkpointed(_merged(lists.unionByName(_introduced(lists, nodes, width, degree)), degree))
+        lists = checkpointed(_merged(lists.select("node", "pairs").unionByName(_introduced(lists, nodes, width, degree)), degree))
     return lists
 
 
@@ -215,7 +215,10 @@ def adjacency(lists: DataFrame, nodes: DataFrame, degree: int = DEGREE) -> DataF
 
     def work(t: pa.Table, edges: np.ndarray) -> list[pa.RecordBatch]:
         at, others, codes = t.column(0).to_numpy(), t.column(1).to_numpy(), _raw(t.column(2))
-        packed = [(others[a:z].tobytes(), b"".join(codes[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        packed = []
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            ids, here = np.unique(others[a:z], return_index=True)
+            packed.append((ids.tobytes(), b"".join(codes[a + k] for k in here)))
         return [pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]]), pa.array([p for p, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], ["node", "others", "codes"])]
 
     met = _edges(lists, degree).join(nodes.select(F.col("node").alias("other"), "code"), "other").select("at", "other", "code")
