@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from mnemospark.llm.labelled import held_out
-from mnemospark.llm.toxicity import _norms, _dense, drop_toxic, fit_toxicity, forms, score_toxicity, sentence_windows, subsequences
+from mnemospark.llm.toxicity import _dense, _norms, drop_toxic, fit_toxicity, forms, score_toxicity, sentence_windows, subsequences
 from pyspark.sql import functions as F
 
 BAD = ["grobnak", "vilmosh", "terrachun"]
@@ -37,7 +37,7 @@ def test_kernel_matches_brute_force():
 
 
 def test_windows_and_forms():
-    assert sentence_windows("You i d i o t, x") == {"you", "i", "d", "o", "t,", "x"} or "idio" in sentence_windows("You i d i o t, x")
+    assert sentence_windows("You i d i o t x!") == {"you", "i", "d", "o", "t", "x!", "idiot"}
     assert forms("i.d.i.o.t")[0] == "^idiot"
     assert forms("...") == []
     assert len("".join(forms("a" * 100))) >= 100
@@ -68,7 +68,7 @@ def test_held_out_accuracy_and_edge_cases(spark):
     by = {r.doc_id: r for r in got}
     truth = {i: t for i, _, t in labels}
     test = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert all(by[i].held_out for i in test) and not by[5002 if zlib.crc32(b"5002") % 5 else 5003].held_out or True
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     right = sum((by[i].score >= 0.5) == bool(truth[i]) for i in test)
     assert right / len(test) > 0.95
     assert by[5002].score > 0.5 and by[5003].score > 0.3
