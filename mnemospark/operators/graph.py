@@ -82,3 +82,19 @@ def augmented(hits: DataFrame, relations: DataFrame, memories: DataFrame, per_ne
     few = memories.withColumn("place", newest).where(F.col("place") <= per_neighbour).select("id", F.col("entity_id").alias("neighbour_id"))
     score: Column = F.col("score") * F.col("confidence") * 0.6
     return near.join(hits, "entity_id").join(few, "neighbour_id").groupBy("id").agg(F.max(score).alias("score"))
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file, name, symbol): what a called name in a file stands for.
+
+    ``calls``: (file, name); ``symbols``: (file, name, symbol); ``imports``: (file, target). The name is looked up in the
+    file itself, then in the files it imports, then anywhere if only one symbol there bears it.
+    """
+    asked = calls.select("file", "name").distinct()
+    local = asked.join(symbols, ["file", "name"]).select("file", "name", "symbol", F.lit(1).alias("stage"))
+    there = symbols.select(F.col("file").alias("target"), "name", "symbol")
+    through = asked.join(imports.select("file", "target").distinct(), "file").join(there, ["target", "name"]).select("file", "name", "symbol", F.lit(2).alias("stage"))
+    alone = symbols.groupBy("name").agg(F.min("symbol").alias("symbol"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    anywhere = asked.join(alone.drop("n"), "name").select("file", "name", "symbol", F.lit(3).alias("stage"))
+    every = local.unionByName(through).unionByName(anywhere)
+    return every.groupBy("file", "name").agg(F.min(F.struct("stage", "symbol")).alias("s")).select("file", "name", "s.symbol", "s.stage")

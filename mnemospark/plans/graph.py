@@ -134,3 +134,17 @@ def code_symbols_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = part.select(F.concat(F.lit("src/f"), "p_partkey", F.lit(f".{end}")).alias("path"), F.format_string(form, F.col("p_partkey").cast("string"), F.col("p_partkey").cast("string")).alias("content"))
         files = one if files is None else files.unionByName(one)
     return symbols_by_pattern(files)
+
+
+@query("resolved_calls", """WITH sym AS (SELECT DISTINCT l_suppkey AS file, l_partkey % 97 AS name, l_partkey AS symbol FROM lineitem WHERE l_linenumber = 1),
+calls AS (SELECT DISTINCT l_suppkey AS file, l_partkey % 97 AS name FROM lineitem WHERE l_linenumber = 2), imp AS (SELECT s_suppkey AS file, s_suppkey + 1 AS target FROM supplier),
+c AS (SELECT calls.*, symbol, 1 AS stage FROM calls JOIN sym USING (file, name) UNION ALL SELECT calls.*, symbol, 2 FROM calls JOIN imp USING (file) JOIN sym ON sym.file = imp.target AND sym.name = calls.name
+  UNION ALL SELECT calls.*, s.symbol, 3 FROM calls JOIN (SELECT name, min(symbol) AS symbol FROM sym GROUP BY name HAVING count(*) = 1) s USING (name))
+SELECT file, name, arg_min(symbol, (stage, symbol)) AS symbol, min(stage) AS stage FROM c GROUP BY file, name""")
+def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as files whose first lines define parts and whose second lines call them."""
+    line = read_table(spark, sf_dir, "lineitem")
+    symbols = line.where("l_linenumber = 1").selectExpr("l_suppkey AS file", "l_partkey % 97 AS name", "l_partkey AS symbol").distinct()
+    calls = line.where("l_linenumber = 2").selectExpr("l_suppkey AS file", "l_partkey % 97 AS name")
+    imports = read_table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file", "s_suppkey + 1 AS target")
+    return G.resolve_calls(calls, symbols, imports)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark import adapters as A
 from mnemospark.functions import text as T
+from mnemospark.functions.skills import front_matter, parameter_fits
 from mnemospark.plans.registry import query
 from mnemospark.session import read_table
 
@@ -94,3 +95,21 @@ def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("token_hashes", "SELECT c_custkey AS id, sha256('tok_' || c_name) AS token_hash FROM customer")
 def token_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.sha2(F.concat(F.lit("tok_"), "c_name"), 256).alias("token_hash"))
+
+
+@query("skill_frontmatter", "SELECT p_partkey AS id, p_name AS name, p_type AS description, CASE p_partkey % 3 WHEN 0 THEN 'any' WHEN 1 THEN 'coder,reviewer' ELSE 'planner' END AS agent_types, p_partkey % 5 <> 0 AS closed FROM part WHERE p_partkey % 5 <> 0")
+def skill_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as skill files with front matter, read back; heads that are not closed are errors."""
+    agents = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, "agent_types: [coder, reviewer]\n").otherwise("agent_types:\n  - planner\n")
+    end = F.when(F.col("p_partkey") % 5 == 0, "").otherwise("---\n")
+    text = F.concat(F.lit("---\nname: "), "p_name", F.lit("\ndescription: "), "p_type", F.lit("\n"), agents, end, F.lit("Do it.\n"))
+    parsed = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), front_matter(text).alias("f")).where("f.closed")
+    return parsed.select("id", "f.name", "f.description", F.array_join("f.agent_types", ",").alias("agent_types"), "f.closed")
+
+
+@query("parameter_checks", r"""SELECT o_orderkey AS id, regexp_matches(o_orderstatus, '^[+-]?\d+$') AS as_integer, o_orderstatus IN ('F', 'O') AS as_enum FROM orders""")
+def parameter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, allowed = F.col("o_orderstatus"), F.array(F.lit("F"), F.lit("O"))
+    return read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), parameter_fits(F.lit("integer"), value, allowed).alias("as_integer"), parameter_fits(F.lit("enum"), value, allowed).alias("as_enum")
+    )
