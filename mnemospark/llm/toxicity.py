@@ -2,20 +2,19 @@
 
 The kernel compares words by the subsequences of three characters that they share, each weighted
 by a decay for every character it spans, so that inserted, doubled or gapped characters cost
-little. Landmark words span the feature space (Nystrom); the linear model on it is a weighted sum
-of landmark kernels, which folds into one weight per subsequence. A logistic curve over the
-margins of a text's worst words, and over how many words it has, gives the score: one doubtful word
-counts for less in a long text than several in a short one.
+little. A text is described by how near its nearest word comes to each of a set of landmark words;
+the landmarks' own kernel matrix whitens that description (Nystrom), and a linear hinge-loss model on
+it, fitted by dual coordinate descent, gives the margin that a logistic curve turns into a score.
 
 Labels mark whole documents, so the words that make a labelled sentence toxic are found first: those
-that occur in toxic documents far more often than by chance. Copies would make any rare word look
-so, and therefore texts that share their smallest or largest shingle hash count as one.
+that occur in toxic documents far more often than by chance; they are the landmarks. Copies would make any
+rare word look so, and therefore texts that share their smallest or largest shingle hash count as
+one. Toxic texts are also learned with those words garbled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,18 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.labelled import held_out, training_rows
-from mnemospark.llm.linear import dual_coordinate_descent, logistic
+from mnemospark.llm.linear import dual_coordinate_descent, platt
 from mnemospark.session import checkpointed
 
-#: Bounds of the fit: documents of each class, clean words, words that may be picked, landmarks of each class.
+#: Bounds of the fit: documents of each class, and landmark words.
 PER_CLASS = 4000
-CLEAN_WORDS = 8_000
-PICKED_WORDS = 400
-LANDMARKS = 64
-#: A picked word occurs in toxic documents more often than by chance, by this many standard deviations.
+LANDMARKS = 128
+#: A landmark occurs in toxic documents more often than by chance, by this many standard deviations.
 LEAST_DEVIATION = 5.0
-#: Worst words of a text that count.
-WORST = 4
+#: Landmarks are no nearer to each other than this, and words farther than ``NEAR`` from one say nothing.
+APART = 0.97
+#: The curve is moved until no more than about this share of the clean texts scores 0.5 or more.
+CLEAN_SHARE = 0.006
+#: Hinge-loss cost of a toxic text, how much more a clean one costs, and the ridge under the whitening.
+COST, CLEAN_COST, RIDGE = 10.0, 10.0, 1.0
+NEAR = 0.4
 
 DECAY = 0.6
 SPAN = 5
@@ -111,77 +113,124 @@ def _norms(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(row, total * total, minlength=len(i)))
 
 
-def _dense(words: list[str]) -> np.ndarray:
-    """Unit feature vectors of a few words, one row each."""
-    ids, w = subsequences(words)
-    out = np.zeros((len(words), _CODES**3), np.float32)
-    for r in range(len(words)):
-        np.add.at(out[r], ids[r], w[r])
-    return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
+class Landmarks:
+    """Landmark words with the subsequences they hold; only those are looked up in other words."""
+
+    def __init__(self, words: list[str]):
+        ids, w = subsequences(words)
+        self.words = words
+        used, back = np.unique(ids[w > 0], return_inverse=True)
+        self.row = np.zeros(_CODES**3, np.int32)
+        self.row[used] = np.arange(1, len(used) + 1)
+        self.table = np.zeros((len(used) + 1, len(words)), np.float32)
+        owner = np.nonzero(w > 0)[0]
+        np.add.at(self.table, (back + 1, owner), w[w > 0])
+        self.table /= np.linalg.norm(self.table, axis=0, keepdims=True) + 1e-9
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel of words with all landmarks, one row a word."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        for at in range(0, len(words), 1000):
+            ids, w = subsequences(words[at : at + 1000])
+            rows = self.row[ids]
+            hit = np.flatnonzero((rows > 0).any(axis=1))  # most words share nothing with any landmark
+            if len(hit):
+                value = np.einsum("nk,nkl->nl", w[hit].astype(np.float32), self.table[rows[hit]])
+                out[at + hit] = value / (_norms(ids[hit], w[hit])[:, None] + 1e-9)
+        return out
 
 
 @dataclass
 class ToxicityModel:
-    """One weight per subsequence, and the logistic curve from a text's features to its score."""
+    """Landmarks, one weight for each, the bias, and the logistic curve from margins to scores."""
 
+    landmarks: Landmarks | None
     weight: np.ndarray
     bias: float
-    curve: np.ndarray
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
+    slope: float = 1.0
+    offset: float = 0.0
+    cache: dict[str, tuple | None] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def word_margins(self, words: list[str]) -> np.ndarray:
-        """Margin of each raw word: the largest of its forms; the bias alone for words without letters."""
+    def _learn(self, words: list[str]) -> None:
+        """Keep for each raw word which landmarks it comes near, and how near; mostly none."""
         split = [forms(w) for w in words]
         flat = [f for fs in split for f in fs]
-        out = np.full(len(words), self.bias)
-        if flat:
-            owner = np.repeat(np.arange(len(words)), [len(fs) for fs in split])
-            values = []
-            for at in range(0, len(flat), 4000):
-                ids, w = subsequences(flat[at : at + 4000])
-                values.append((self.weight[ids] * w).sum(axis=1) / (_norms(ids, w) + 1e-9) + self.bias)
-            np.maximum.at(out, owner, np.concatenate(values))
+        owner = np.repeat(np.arange(len(words)), [len(fs) for fs in split])
+        self.cache.update(dict.fromkeys(words))
+        if not flat or self.landmarks is None:
+            return
+        k = self.landmarks.kernel(flat)
+        for r in np.flatnonzero((k > NEAR).any(axis=1)):
+            at = np.flatnonzero(k[r] > NEAR)
+            word = words[owner[r]]
+            near = (k[r][at] - NEAR) / (1 - NEAR)
+            self.cache[word] = (*(self.cache[word] or ()), (at, near))
+
+    def pooled(self, sets: list[set[str]]) -> np.ndarray:
+        """Per set of words how near its nearest word comes to each landmark, 0 to 1; then how many words come near one, and how many there are."""
+        if len(self.cache) > _CACHE:
+            self.cache.clear()
+        known = self.cache
+        self._learn(list(set().union(*sets).difference(known)) if sets else [])
+        out = np.zeros((len(sets), len(self.weight)))
+        for row, s in zip(out, sets, strict=True):
+            close = [known[w] for w in s if known[w]]
+            for found in close:
+                for at, near in found:
+                    row[at] = np.maximum(row[at], near)
+            row[-2:] = np.log1p(len(close)), np.log1p(len(s)) / 8
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text the margins of its worst distinct words, largest first, the log of their number, and 1.
-
-        Texts with fewer words, empty and null ones are filled up with the bias.
-        """
-        out = np.full((len(texts), WORST + 2), self.bias)
-        at = 0
+        """``pooled`` of whole texts; empty and null ones are near nothing. Works through about a million characters at a time."""
+        out, at = np.zeros((len(texts), len(self.weight))), 0
         while at < len(texts):
             size, end = 0, at
             while end < len(texts) and (end == at or size < _CHUNK):
                 size += len(texts[end] or "")
                 end += 1
-            self._fill(out[at:end], texts[at:end])
+            out[at:end] = self.pooled([sentence_windows(t) if t else set() for t in texts[at:end]])
             at = end
         return out
 
-    def _fill(self, out: np.ndarray, texts: list[str | None]) -> None:
-        sets = [sentence_windows(t) if t else set() for t in texts]
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        new = list(set().union(*sets).difference(self.cache))
-        known = self.cache
-        known.update(zip(new, self.word_margins(new).tolist(), strict=True))
-        for row, s in zip(out, sets, strict=True):
-            m = np.fromiter((known[w] for w in s), float, len(s))
-            if len(m) > WORST:
-                m = np.partition(m, len(m) - WORST)[-WORST:]
-            row[: len(m)] = np.sort(m)[::-1]
-            row[WORST:] = np.log1p(len(s)), 1.0
-
     def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.curve, -30, 30)))
-
-
-def _never(intercept: float = -3.0) -> ToxicityModel:
-    return ToxicityModel(np.zeros(_CODES**3, np.float32), -1.0, np.array([0.0] * (WORST + 1) + [intercept]))
+        margin = features @ self.weight + self.bias
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+
+
+def _never(offset: float = -3.0) -> ToxicityModel:
+    return ToxicityModel(None, np.zeros(2), 0.0, 1.0, offset)
+
+
+def pick_landmarks(words: list[str], most: int = LANDMARKS) -> Landmarks:
+    """The first words that stay apart from those before them."""
+    shapes = list(dict.fromkeys(f for w in words for f in forms(w)[:1] if len(f) > 3))[: 4 * most]
+    k = Landmarks(shapes).kernel(shapes)
+    chosen: list[int] = []
+    for i in range(len(shapes)):
+        if len(chosen) < most and (not chosen or k[i, chosen].max() < APART):
+            chosen.append(i)
+    return Landmarks([shapes[i] for i in chosen])
+
+
+def fit_documents(landmarks: Landmarks, x: np.ndarray, y: np.ndarray, seed: int = 7) -> ToxicityModel:
+    """Hinge-loss model on whitened descriptions; an error on a clean text costs ``CLEAN_COST`` times as much."""
+    n, k = len(landmarks.words), landmarks.kernel(landmarks.words).astype(float)
+    value, vector = np.linalg.eigh((k + k.T) / 2)
+    root = np.eye(n + 2)
+    root[:n, :n] = vector / np.sqrt(np.maximum(value, 0) + RIDGE)
+    z = np.hstack([x @ root, np.ones((len(x), 1))])
+    cost, width = np.where(y > 0, COST, COST * CLEAN_COST), z.shape[1]
+    u = dual_coordinate_descent(np.arange(0, z.size + 1, width), np.tile(np.arange(width), len(z)), z.ravel(), y, width, cost, epochs=25, seed=seed)
+    model = ToxicityModel(landmarks, root @ u[:-1], float(u[-1]))
+    margin = x @ model.weight + model.bias
+    model.slope, model.offset = platt(margin, y)
+    bound = float(np.quantile(margin[y <= 0], 1 - CLEAN_SHARE)) + 0.05 if (y <= 0).any() else 0.0
+    model.offset = -model.slope * bound
+    return model
 
 
 def _extreme_shingles(text: str | None) -> tuple[int, int]:
@@ -191,46 +240,10 @@ def _extreme_shingles(text: str | None) -> tuple[int, int]:
     return min(h), max(h)
 
 
-def _garbled(word: str) -> list[str]:
-    """The word with a foreign character put in, and with a character doubled, at every inner place."""
-    return [word[:i] + c + word[i:] for i in range(2, len(word)) for c in ("x", word[i])][: 4 * WIDTH]
-
-
-def fit_words(bad: Counter, clean: dict[str, int], seed: int = 7) -> ToxicityModel:
-    """Fit on picked toxic words and on clean words, both with counts. Without picked words nothing is toxic."""
-    toxic = Counter()
-    for w, n in bad.items():
-        for f in forms(w):
-            toxic[f] += n
-    good = Counter()
-    for w, n in clean.items():
-        for f in forms(w):
-            if f not in toxic and len(f) > 2:
-                good[f] += n
-    if not toxic:
-        return _never()
-    extra = [g for w in toxic for g in _garbled(w) if len(g) <= WIDTH]
-    rows = [*toxic, *extra, *good]
-    y = np.array([1.0] * (len(toxic) + len(extra)) + [-1.0] * len(good))
-    # landmarks: the strongest toxic words, and clean words nearest to them and at random
-    marks = [w for w, _ in toxic.most_common(LANDMARKS)]
-    marks += [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[:LANDMARKS]]
-    dense = _dense(marks)
-    k = dense @ dense.T
-    value, vector = np.linalg.eigh(k.astype(float))
-    keep = value > 1e-6
-    root = vector[:, keep] / np.sqrt(value[keep])
-    z = []
-    for at in range(0, len(rows), 2000):
-        ids, w = subsequences(rows[at : at + 2000])
-        norm = _norms(ids, w) + 1e-9
-        z.append(np.stack([(d[ids] * w).sum(axis=1) / norm for d in dense], axis=1) @ root)
-    z = np.concatenate(z)
-    full = np.hstack([z, np.ones((len(z), 1))])
-    cost = np.concatenate([5.0 + np.array(list(toxic.values())), np.full(len(extra), 3.0), np.full(len(good), 1.0)])
-    width = full.shape[1]
-    u = dual_coordinate_descent(np.arange(0, full.size + 1, width), np.tile(np.arange(width), len(full)), full.ravel(), y, width, cost, epochs=15, seed=seed)
-    return ToxicityModel(((root @ u[:-1]) @ dense).astype(np.float32), float(u[-1]), _never().curve)
+def _garbled(word: str, turn: int) -> str:
+    """The word with a foreign character put in, or a character doubled, at an inner place that ``turn`` picks."""
+    at = 1 + turn % max(1, len(word) - 1)
+    return word[:at] + ("x", word[at - 1])[turn // 7 % 2] + word[at:]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
@@ -253,40 +266,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return _never(3.0 if n.get(1) else -3.0)
-    pairs = checkpointed(rows.mapInArrow(run, "doc long, y int, word string"))
-    stats = checkpointed(pairs.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    pairs = rows.mapInArrow(run, "doc long, y int, word string")
+    stats = pairs.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     chance = (F.col("pos") + F.col("neg")) * (n[1] / (n[1] + n[0]))
-    telling = stats.where((F.col("pos") - chance) / F.sqrt(chance) >= LEAST_DEVIATION)
-    picked = Counter({r.word: r.pos for r in telling.orderBy(F.desc((F.col("pos") - chance) / F.sqrt(chance)), "word").limit(PICKED_WORDS).collect()})
-    clean = {r.word: r.neg for r in stats.where("neg > 0").orderBy(F.md5("word")).limit(CLEAN_WORDS).collect()}
-    model = fit_words(picked, clean)
-    # clean words that still score high correct the model once, then documents calibrate it
-    hard = _word_scores(stats.where("neg > 0").select("word", "neg"), model).where(F.col("margin") > -0.5).orderBy(F.desc("margin"), "word").limit(CLEAN_WORDS // 4)
-    clean |= {r.word: r.neg for r in hard.collect()}
-    model = fit_words(picked, clean)
-    seen = text_features(rows.select(F.col("y").cast("long").alias("doc_id"), "text"), model).toArrow()
-    x = np.array(seen.column("features").to_pylist())
-    model.curve = logistic(x, seen.column("doc_id").to_numpy() == 1)
-    return model
-
-
-def _word_scores(words: DataFrame, model: ToxicityModel) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.word_margins(b.column(0).to_pylist()), pa.float64())], ["word", "neg", "margin"])
-
-    return words.mapInArrow(run, "word string, neg long, margin double")
-
-
-def text_features(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Rows (doc_id, features), one per input row."""
+    beyond = (F.col("pos") - chance) / F.sqrt(chance)
+    found = stats.where(beyond >= LEAST_DEVIATION).orderBy(F.desc(beyond), "word").limit(4 * LANDMARKS).collect()
+    telling, pure = [r.word for r in found], {r.word for r in found if not r.neg}
+    marks = pick_landmarks(telling) if telling else None
+    if marks is None or not marks.words:
+        return _never()
+    blank, known = ToxicityModel(marks, np.zeros(len(marks.words) + 2), 0.0), set(telling)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = model.features(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "features"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<double>")
+            y, out = [], []
+            for label, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = sentence_windows(t or "")
+                sets = [words]
+                if label and words & known:
+                    turn, held = len(t), sorted(words & known)
+                    sets.append(words - known | {_garbled(w, turn + k) for k, w in enumerate(held)})
+                    if one := sorted(words & pure)[turn % max(1, len(words & pure)) :][:1]:  # a word that no clean text has is enough
+                        sets += [words - known | set(one), words - known | {_garbled(one[0], turn)}]
+                y += [label] * len(sets)
+                out += [r.astype(np.float32).tobytes() for r in blank.pooled(sets)]
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out, pa.binary())], ["y", "x"])
+
+    seen = rows.select("y", "text").mapInArrow(describe, "y int, x binary").toArrow()
+    x = np.frombuffer(b"".join(seen.column("x").to_pylist()), np.float32).reshape(-1, len(marks.words) + 2).astype(float)
+    return fit_documents(marks, x, np.where(seen.column("y").to_numpy() == 1, 1.0, -1.0))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

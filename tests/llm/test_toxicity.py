@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from mnemospark.llm.labelled import held_out
-from mnemospark.llm.toxicity import _dense, _norms, drop_toxic, fit_toxicity, forms, score_toxicity, sentence_windows, subsequences
+from mnemospark.llm.toxicity import Landmarks, _norms, drop_toxic, fit_toxicity, forms, score_toxicity, sentence_windows, subsequences
 from pyspark.sql import functions as F
 
 BAD = ["grobnak", "vilmosh", "terrachun"]
@@ -28,12 +28,12 @@ def brute_kernel(a, b, decay=0.6, span=5):
 
 def test_kernel_matches_brute_force():
     words = ["idiot", "idxiot", "stupid", "banana", "bababa", "xyz"]
-    d = _dense(words)
+    d = Landmarks(words).kernel(words)
     ids, w = subsequences(words)
     for i, a in enumerate(words):
         assert np.isclose(_norms(ids, w)[i], np.linalg.norm(np.bincount(ids[i], w[i])))
         for j, b in enumerate(words):
-            assert abs(float(d[i] @ d[j]) - brute_kernel(a, b)) < 1e-5
+            assert abs(float(d[i, j]) - brute_kernel(a, b)) < 1e-5
 
 
 def test_windows_and_forms():
@@ -71,7 +71,7 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     right = sum((by[i].score >= 0.5) == bool(truth[i]) for i in test)
     assert right / len(test) > 0.95
-    assert by[5002].score > 0.5 and by[5003].score > 0.3
+    assert by[5002].score > 0.5 and by[5003].score > 0.5
     assert by[5000].score == by[5001].score < 0.5
     assert by[5004].score < 0.5
     assert all(0 <= r.score <= 1 for r in got)
