@@ -23,9 +23,9 @@ DEGREE = 24
 ROUNDS = 3
 LEAF = 160
 TREES = 2
-POOL = 1200
-EXPAND = 80
-SEARCH_ROUNDS = 6
+POOL = 1600
+EXPAND = 120
+SEARCH_ROUNDS = 7
 RESCORE = 60
 _PAIR = np.dtype([("id", "<i8"), ("sim", "<f4")])
 _SEEN = np.dtype([("id", "<i8"), ("sim", "<f4"), ("done", "?")])
