@@ -110,6 +110,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column(1)], ["ids", "y"])
 
     rows = training_rows(docs, labels, label, per_class).select(F.col("text").cast("binary").alias("t"), "y").mapInArrow(run, "ids binary, y int").toArrow()
+    rows = rows.sort_by([("y", "ascending"), ("ids", "ascending")])  # rows arrive in any order
     y = rows.column("y").to_numpy()
     return fit_features([np.frombuffer(x, np.int32) for x in rows.column("ids").to_pylist()], y)
 

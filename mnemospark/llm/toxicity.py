@@ -261,7 +261,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["y", "text", "low", "high"])
 
     rows = training_rows(docs, labels, label, per_class).select("y", "text").mapInArrow(with_keys, "y int, text string, low long, high long")
-    rows = rows.dropDuplicates(["y", "low"]).dropDuplicates(["y", "high"]).select(F.xxhash64("text").alias("doc"), "y", "text")
+    rows = rows.groupBy("y", "low").agg(F.min(F.struct("text", "high")).alias("m")).groupBy("y", "m.high").agg(F.min("m.text").alias("text"))
+    rows = rows.select(F.xxhash64("text").alias("doc"), "y", "text")
     rows = checkpointed(rows)
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
@@ -293,6 +294,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out, pa.binary())], ["y", "x"])
 
     seen = rows.select("y", "text").mapInArrow(describe, "y int, x binary").toArrow()
+    seen = seen.sort_by([("y", "ascending"), ("x", "ascending")])  # rows arrive in any order
     x = np.frombuffer(b"".join(seen.column("x").to_pylist()), np.float32).reshape(-1, len(marks.words) + 2).astype(float)
     return fit_documents(marks, x, np.where(seen.column("y").to_numpy() == 1, 1.0, -1.0))
 
