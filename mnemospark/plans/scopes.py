@@ -96,6 +96,22 @@ def effective_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("permissions", F.array_join("permissions", ","))
 
 
+@query("effective_permissions_all", f"""WITH RECURSIVE {A.MEMBERSHIPS_SQL}, {A.SCOPES_SQL}, {A.GRANTS_SQL}, {_CLOSURE}, {_UP},
+m AS (SELECT *, CASE role WHEN 'owner' THEN 0 WHEN 'admin' THEN 1 ELSE 2 END AS rank FROM memberships),
+r AS (SELECT principal_id, group_id, min(rank) AS rank FROM (SELECT member_id AS principal_id, parent_id AS group_id, rank FROM m
+  UNION ALL SELECT c.principal_id, m.parent_id, m.rank FROM clo c JOIN m ON m.member_id = c.ancestor_id) GROUP BY ALL),
+ops AS (SELECT unnest([0, 1, 2]) AS rank, unnest([['read', 'write', 'edit', 'delete'], ['read', 'write', 'edit'], ['read']]) AS o),
+res AS (SELECT unnest({_RES}) AS name),
+held AS (SELECT principal_id, group_id AS at_id, name || ':' || op AS p FROM (SELECT r.*, unnest(o) AS op FROM r JOIN ops USING (rank)) CROSS JOIN res
+  UNION ALL SELECT principal_id, scope_id, unnest(permissions) FROM grants WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{A.NOW}')
+SELECT principal_id, up.id AS scope_id, array_to_string(list_sort(list(DISTINCT p)), ',') AS permissions FROM held JOIN up ON up.ancestor_id = held.at_id
+GROUP BY ALL""")
+def effective_permissions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every principal: what it may do in which scope."""
+    found = S.effective_permissions(A.scopes(spark, sf_dir), A.memberships(spark, sf_dir), A.grants(spark, sf_dir), A.now())
+    return found.withColumn("permissions", F.array_join("permissions", ","))
+
+
 @query("token_permissions", f"""WITH {A.GRANTS_SQL}, t AS (SELECT principal_id, scope_id, permissions, ['memories:read', 'skills:read', 'knowledge:read'] AS declared FROM grants
   WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{A.NOW}')
 SELECT principal_id, scope_id, array_to_string(list_sort(list_intersect(declared, permissions)), ',') AS permissions FROM t""")
