@@ -4,7 +4,8 @@ Equal vectors are one node that knows its smallest ids. Nodes first meet in leav
 hyperplane codes; then every node repeatedly introduces its neighbours (forward and reverse) to
 each other, by Spark joins of neighbours of neighbours, and each keeps its nearest. A query keeps
 a pool of the nearest nodes seen and in every round expands the best ones not expanded yet. Graph and
-search compare vectors rounded to 8 bits a component; the results are scored on the originals.
+search carry the components as given (single or double precision) and compare them in double precision,
+so that near copies of one vector are told apart; the results are scored on the originals.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ POOL = 1600
 EXPAND = 120
 SEARCH_ROUNDS = 7
 RESCORE = 60
-_PAIR = np.dtype([("id", "<i8"), ("sim", "<f4")])
-_SEEN = np.dtype([("id", "<i8"), ("sim", "<f4"), ("done", "?")])
+#: Cosines that lie this close may change places when they are scored on the originals.
+TIE = 1e-12
+_PAIR = np.dtype([("id", "<i8"), ("sim", "<f8")])
+_SEEN = np.dtype([("id", "<i8"), ("sim", "<f8"), ("done", "?")])
 _OFFERS = 8
 
 Rows = Iterator[pa.RecordBatch]
@@ -68,10 +71,16 @@ def _raw(col: pa.ChunkedArray) -> list[bytes]:
     return col.to_pylist()
 
 
+def _units(raw: bytes, width: int, rows: int) -> np.ndarray:
+    """Unit vectors in double precision from ``rows`` packed codes, one row each."""
+    m = np.frombuffer(raw, "<f4" if len(raw) == 4 * width * rows else "<f8").reshape(rows, width).astype(float)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Unit vectors from 8-bit codes, one row each."""
-    m = np.frombuffer(b"".join(col.to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    raw = col.to_pylist()
+    return _units(b"".join(raw), width, len(raw))
 
 
 def _nearest(pairs: np.ndarray, k: int, not_id: int) -> np.ndarray:
@@ -90,9 +99,11 @@ def usable(vec: Column) -> Column:
     return F.coalesce(F.exists(vec, lambda x: x != 0) & ~F.exists(vec, bad), F.lit(False))
 
 
-def vector_classes(rows: DataFrame, keep: int) -> DataFrame:
+def vector_classes(rows: DataFrame, keep: int, dtype: str = "<f8") -> DataFrame:
     """Rows (node, ids, vec, code) from usable rows (id, vec): one per distinct vector, with its ``keep`` smallest ids.
 
+    ``code`` packs the components as ``dtype``, which must hold them exactly.
+
     The limit is applied before the shuffle, so that a vector that a third of all rows share costs
     ``keep`` rows a task.
     """
@@ -103,8 +114,7 @@ def vector_classes(rows: DataFrame, keep: int) -> DataFrame:
         for b in batches:
             codes = []
             for v in b.column(2).to_pylist():
-                x = np.array(v, float)
-                codes.append(np.round(127 * (x / np.abs(x).max())).astype(np.int8).tobytes())
+                codes.append(np.array(v, dtype).tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary())], ["node", "ids", "vec", "code"])
 
     return few.select(F.col("ids")[0].alias("node"), "ids", "vec").mapInArrow(run, "node long, ids array<long>, vec array<double>, code binary")
@@ -118,7 +128,7 @@ def _first_lists(nodes: DataFrame, n: int, width: int, degree: int) -> DataFrame
         for b in batches:
             x = _matrix(pa.chunked_array([b.column(1)]), width)
             for tree in range(TREES):
-                planes = np.random.default_rng(100 + tree).normal(size=(width, bits)).astype(np.float32)
+                planes = np.random.default_rng(100 + tree).normal(size=(width, bits))
                 leaf = ((x @ planes > 0) * (1 << np.arange(bits))).sum(axis=1) * TREES + tree
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), b.column(0), b.column(1)], ["leaf", "node", "code"])
 
@@ -134,9 +144,10 @@ def _first_lists(nodes: DataFrame, n: int, width: int, degree: int) -> DataFrame
                 out.append(_nearest(pairs, degree, ids[a + r]).tobytes())
         return [pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary())], ["node", "pairs"])]
 
+    # parts differ between the codes, or a tight group, whole in one leaf of each, would fall into closed islands
     dealt = checkpointed(nodes.select("node", "code").mapInArrow(leaves, "leaf long, node long, code binary"))
     sizes = dealt.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts"))
-    cut = dealt.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "code")
+    cut = dealt.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("node", "leaf"), F.col("parts")).alias("part"), "node", "code")
     return cut.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(lambda it: by_group(it, work, 2), "node long, pairs binary")
 
 
@@ -147,10 +158,10 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
         ids, raw = t.column(0).to_numpy(), _raw(t.column(1))
         best = [_nearest(np.frombuffer(b"".join(raw[a:z]), _PAIR), degree, ids[a]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
         low = [float(p["sim"][-1]) if len(p) >= degree else -2.0 for p in best]
-        return [pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]]), pa.array([p.tobytes() for p in best], pa.binary()), pa.array(low, pa.float32())], ["node", "pairs", "floor"])]
+        return [pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]]), pa.array([p.tobytes() for p in best], pa.binary()), pa.array(low, pa.float64())], ["node", "pairs", "floor"])]
 
     dealt = lists.select("node", "pairs").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(lambda it: by_group(it, work), "node long, pairs binary, floor float")
+    return dealt.mapInArrow(lambda it: by_group(it, work), "node long, pairs binary, floor double")
 
 
 def _edges(lists: DataFrame, degree: int) -> DataFrame:
@@ -164,7 +175,7 @@ def _edges(lists: DataFrame, degree: int) -> DataFrame:
             both = [np.concatenate([own, pairs["id"]]), np.concatenate([pairs["id"], own]), np.concatenate([pairs["sim"], pairs["sim"]]), np.repeat([True, False], len(own))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], ["at", "other", "sim", "ahead"])
 
-    each = lists.select("node", "pairs").mapInArrow(run, "at long, other long, sim float, ahead boolean")
+    each = lists.select("node", "pairs").mapInArrow(run, "at long, other long, sim double, ahead boolean")
     # a forward list has no more than ``degree`` rows; the limit applies before the shuffle
     place = F.row_number().over(Window.partitionBy("at", "ahead").orderBy(F.desc("sim"), "other"))
     return each.withColumn("place", place).where(F.col("place") <= degree).select("at", "other")
@@ -256,15 +267,13 @@ def greedy_search(starts: DataFrame, graph: DataFrame, width: int, pool: int = P
                 query += [q] * len(nodes)
                 code += [c] * len(nodes)
                 low += [float(mine["sim"][-1]) if len(mine) >= pool else -2.0] * len(nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(query, pa.int64()), pa.array(code, pa.binary()), pa.array(low, pa.float32())], ["node", "query", "code", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(query, pa.int64()), pa.array(code, pa.binary()), pa.array(low, pa.float64())], ["node", "query", "code", "low"])
 
     def answer(batches: Rows) -> Rows:
         for b in batches:
             query, out = [], []
             for q, c, low, others, codes in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                mine = np.frombuffer(c, np.int8).astype(np.float32)
-                x = np.frombuffer(codes, np.int8).reshape(-1, width).astype(np.float32)
-                sims = (x @ mine) / (np.linalg.norm(x, axis=1) * np.linalg.norm(mine) + 1e-9)
+                sims = _units(codes, width, len(others) // 8) @ _units(c, width, 1)[0]
                 good = sims > low
                 if good.any():
                     found = np.zeros(int(good.sum()), _SEEN)
@@ -289,7 +298,7 @@ def greedy_search(starts: DataFrame, graph: DataFrame, width: int, pool: int = P
 
     state = starts.select("query", "code", "start").mapInArrow(first, "query long, code binary, seen binary")
     for _ in range(rounds):
-        asked = state.mapInArrow(ask, "node long, query long, code binary, low float")
+        asked = state.mapInArrow(ask, "node long, query long, code binary, low double")
         met = asked.hint("shuffle_hash").join(graph, "node").select("query", "code", "low", "others", "codes")
         told = met.mapInArrow(answer, "query long, code binary, seen binary")
         state = checkpointed(state.unionByName(told).repartition("query").sortWithinPartitions("query").mapInArrow(lambda it: by_group(it, merge), "query long, code binary, seen binary"))
@@ -309,12 +318,13 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 5, id_c
     one take no part; of rows that repeat an id the smallest vector counts. Fewer than ``k`` other
     rows give fewer results; an empty input gives none. Other columns are ignored.
     """
+    dtype = "<f4" if embeddings.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
     common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).head()
     width = common.d if common else 1
     rows = rows.where(F.size("vec") == width).groupBy("id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks"))
-    classes = checkpointed(vector_classes(rows.select("id", "vec"), k + 1))
+    classes = checkpointed(vector_classes(rows.select("id", "vec"), k + 1, dtype))
     n = classes.count()
     graph = checkpointed(adjacency(descent_graph(classes, n, width), classes))
     asks = checkpointed(rows.where("asks").join(classes.select("node", "code", "vec"), "vec").select(F.col("id").alias("query_id"), "node"))
@@ -325,7 +335,9 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 5, id_c
         for b in batches:
             query, node = [], []
             for q, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                near = np.frombuffer(raw, _SEEN)["id"][:RESCORE].tolist()
+                pool = np.frombuffer(raw, _SEEN)
+                tied = int((pool["sim"] >= pool["sim"][min(k + 1, len(pool) - 1)] - TIE).sum())
+                near = pool["id"][: max(RESCORE, tied)].tolist()
                 near = near if q in near else [q, *near]
                 query += [q] * len(near)
                 node += near

@@ -60,3 +60,28 @@ def test_few_and_none(spark):
     check(spark, rows, 1.0)
     assert nearest_neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
     assert nearest_neighbours(spark.createDataFrame(rows[:1], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def unit_recall(spark, x, asks, k=5):
+    """Share of the true ``k`` nearest of every ``asks``-th row of ``x`` that are found."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest_neighbours(df, F.col("vec_id") % asks == 0, k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, len(x), asks):
+        sims = u @ u[q]
+        sims[q] = -2
+        hit += len(got[q] & set(np.argsort(-sims)[:k].tolist()))
+    return hit / (k * len(range(0, len(x), asks)))
+
+
+def test_near_copies_are_told_apart(spark):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=64)
+    near = one + 0.003 * rng.normal(size=(1200, 64))
+    peak = 0.003 * rng.normal(size=(800, 64))
+    peak[:, 5] += 1
+    assert unit_recall(spark, np.concatenate([near, peak]).astype(np.float32), 40) >= 0.95
