@@ -121,8 +121,12 @@ def vector_classes(rows: DataFrame, keep: int, dtype: str = "<f8") -> DataFrame:
 
 
 def _first_lists(nodes: DataFrame, n: int, width: int, degree: int) -> DataFrame:
-    """Rows (node, pairs): the nearest in the node's leaf, for each of a few random codes."""
-    bits = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
+    """Rows (node, pairs): the nearest in the node's leaf, for each of a few random codes, and in a group dealt by hash.
+
+    The dealt group gives every node a full list, however lonely its leaves are; up to ``LEAF`` nodes all meet.
+    """
+    groups = max(1, -(-n // LEAF))
+    bits = int(np.ceil(np.log2(groups)))
 
     def leaves(batches: Rows) -> Rows:
         for b in batches:
@@ -145,7 +149,9 @@ def _first_lists(nodes: DataFrame, n: int, width: int, degree: int) -> DataFrame
         return [pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary())], ["node", "pairs"])]
 
     # parts differ between the codes, or a tight group, whole in one leaf of each, would fall into closed islands
-    dealt = checkpointed(nodes.select("node", "code").mapInArrow(leaves, "leaf long, node long, code binary"))
+    group = (-1 - F.pmod(F.xxhash64("node"), F.lit(groups))).cast("long")
+    dealt = nodes.select("node", "code").mapInArrow(leaves, "leaf long, node long, code binary")
+    dealt = checkpointed(dealt.unionByName(nodes.select(group.alias("leaf"), "node", "code")))
     sizes = dealt.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts"))
     cut = dealt.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("node", "leaf"), F.col("parts")).alias("part"), "node", "code")
     return cut.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(lambda it: by_group(it, work, 2), "node long, pairs binary")

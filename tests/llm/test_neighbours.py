@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemospark.llm.neighbours import nearest_neighbours
+from mnemospark.llm.neighbours import _PAIR, DEGREE, _first_lists, _merged, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 
@@ -85,3 +85,13 @@ def test_near_copies_are_told_apart(spark):
     peak = 0.003 * rng.normal(size=(800, 64))
     peak[:, 5] += 1
     assert unit_recall(spark, np.concatenate([near, peak]).astype(np.float32), 40) >= 0.95
+
+
+def test_opposite_vectors_and_outliers_are_met(spark):
+    rows = [(0, [1.0, 2.0] * 4, 1, "x"), (1, [-1.0, -2.0] * 4, 1, "x")]
+    check(spark, rows, 1.0)
+    rng = np.random.default_rng(8)
+    nodes = [(i, v.astype("<f8").tobytes()) for i, v in enumerate(np.concatenate([5 + 0.1 * rng.normal(size=(900, 8)), rng.normal(size=(40, 8))]))]
+    lists = _merged(_first_lists(spark.createDataFrame(nodes, "node long, code binary"), len(nodes), 8, DEGREE), DEGREE).collect()
+    assert len(lists) == len(nodes)
+    assert {len(r.pairs) // _PAIR.itemsize for r in lists} == {DEGREE}
