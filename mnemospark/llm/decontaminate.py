@@ -52,10 +52,16 @@ def _is_slot(word: Column) -> Column:
     return (word >= NUM) & (word < JOIN)
 
 
+def _literals(slots: list[Column]) -> Column:
+    """How many words of a window are no placeholders."""
+    return sum((s.isNull().cast("int") for s in slots), F.lit(0))
+
+
 def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, h, at, r0 ... r4) from (keys, canonical text ``c``): one per window of five words.
 
-    ``h`` hashes the window with placeholders reduced to their types; ``r``
+    ``h`` hashes the window with placeholders reduced to their types, or with their values where
+    it has fewer than ``LEAST_LITERALS`` other words and would match too much; ``r``
     hashes a placeholder with its value, and is null for other words. Arrays are
     shifted and zipped, never indexed from inside a lambda, so that the work stays linear.
     """
@@ -68,7 +74,10 @@ def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     hashed = words.where(F.size("w") >= WINDOW).select(*keys, F.when(F.col("held"), typed).otherwise(plain).alias("t"), F.when(F.col("held"), value).otherwise(none).alias("r"))
     shift = lambda c: [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))).alias(f"{c}{k}") for k in range(WINDOW)]
     flat = hashed.select(*keys, F.posexplode(F.arrays_zip(*shift("t"), *shift("r"))).alias("at", "x")).where("x.t4 is not null")
-    return flat.select(*keys, F.xxhash64(*[F.col(f"x.t{k}") for k in range(WINDOW)]).alias("h"), "at", *[F.col(f"x.r{k}") for k in range(WINDOW)])
+    by_type = F.xxhash64(*[F.col(f"x.t{k}") for k in range(WINDOW)])
+    by_value = F.xxhash64(*[F.coalesce(f"x.r{k}", f"x.t{k}") for k in range(WINDOW)])
+    few = _literals([F.col(f"x.r{k}") for k in range(WINDOW)]) < LEAST_LITERALS
+    return flat.select(*keys, F.when(few, by_value).otherwise(by_type).alias("h"), "at", *[F.col(f"x.r{k}") for k in range(WINDOW)])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -79,8 +88,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     words = benchmark.where("item_id is not null").select("item_id", canonical_text(F.coalesce(F.col("text"), F.lit(""))).alias("c"))
     rows = _windows(words.withColumn("n_words", F.size(canonical_words(F.col("c")))), ["item_id", "n_words"])
     slot = [F.col(f"r{k}") for k in range(WINDOW)]
-    literals = sum((s.isNull().cast("int") for s in slot), F.lit(0))
-    return rows.where(literals >= LEAST_LITERALS).select("h", "item_id", "n_words", F.col("at").alias("item_at"), *[s.alias(f"a{k}") for k, s in enumerate(slot)])
+    return rows.select("h", "item_id", "n_words", F.col("at").alias("item_at"), *[s.alias(f"a{k}") for k, s in enumerate(slot)])
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -93,7 +101,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     ``coverage`` is the share of the item's words inside five-word windows that the document has
     too, at ``coverage`` or more. Windows of one alignment (document position less item position)
-    count only if equal slot values of the item stand for equal values in the document. Null
+    count only if equal slot values of the item stand for equal values in the document. A window
+    with fewer than ``LEAST_LITERALS`` words that are no slots counts only word for word, and then
+    asks nothing of the other slots. Items of under five words match nothing. Null
     and empty texts hold nothing; rows with a repeated id count as one document; rows with a null
     id are told apart by their text; other columns are ignored; empty inputs give an empty result.
     """
@@ -102,7 +112,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     words = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), canonical_text(text).alias("c"))
     items = broadcast_if_small(checkpointed(items), MAX_BROADCAST_WINDOWS)
     hits = _windows(words, ["key", "doc_id"]).join(items, "h")
-    pairs = F.filter(F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"r{k}").alias("b")) for k in range(WINDOW)]), lambda p: p.a.isNotNull())
+    few = _literals([F.col(f"a{k}") for k in range(WINDOW)]) < LEAST_LITERALS
+    pairs = F.filter(F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"r{k}").alias("b")) for k in range(WINDOW)]), lambda p: p.a.isNotNull() & ~few)
     line = hits.groupBy("key", "doc_id", "item_id", "n_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )

@@ -95,3 +95,11 @@ def test_empty(spark):
     assert contaminated(none, bench).count() == 0
     assert contaminated(some, bench.limit(0)).count() == 0
     assert drop_contaminated(some, bench.limit(0)).count() == some.count()
+
+
+def test_items_dense_in_numbers(spark):
+    items = [(0, "Compute 3 4 5 6 7 8"), (1, "12 7 19 4 33 8 21")]
+    texts = ["intro words. Compute 3 4 5 6 7 8 and go on", "Compute 3 4 5 9 7 8", "row 12 7 19 4 33 8 21 end", "row 12 7 19 5 33 8 21 9", "Compute 13 14 15 16 17 18", "9 8 7 6 5 4 3 2 1"]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in contaminated(df, bench).collect()} == {(0, 0, 1.0), (2, 1, 1.0)}
