@@ -46,16 +46,20 @@ def text_fingerprint(text: bytes | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_mark(text: F.Column) -> F.Column:
+    return F.xxhash64(text.cast("binary"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, fp)``: one per input row, ``fp`` the fingerprint as a signed long."""
+    """Rows ``(doc_id, fp, mark)``: one per input row, ``fp`` the fingerprint as a signed long, ``mark`` a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([text_fingerprint(t) for t in b.column(1).to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2)], ["doc_id", "fp", "mark"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), text_mark(F.col(text_col)).alias("mark"))
+    return rows.mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 class BitPlanes:
@@ -183,6 +187,18 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     return dealt.mapInArrow(lambda it: _links(it, radius), "src long, dst long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """Rows ``(fp, group, component_id)`` for the fingerprints of rows with an id.
+
+    The nodes are fingerprints, so that different texts under one id are not linked by it: ``group``
+    is the smallest fingerprint reachable, ``component_id`` the smallest id of the group's rows.
+    """
+    reps = checkpointed(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = connected_components(near_links(reps.select(F.col("fp").alias("rep"), "fp"), radius))
+    each = checkpointed(reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
+    return each.join(each.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select("fp", "group", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)``, one per input row.
 
@@ -192,23 +208,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of ``docs`` are ignored, and an empty input gives an empty result.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    reps = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = checkpointed(reps)
-    found = connected_components(near_links(reps, radius))
-    classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(classes, "fp", "left")
+    out = prints.join(_classes(prints, radius), "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Keep the document with the smallest id of every component, with all its columns.
+    """Keep one document of every component, that with the smallest id, with all its columns.
 
-    Rows with a null id cannot be compared by id and stay; of rows that repeat an id one stays.
-    Texts are shuffled only for ids that repeat, or where the losers are too many to broadcast.
+    Rows with a null id cannot be compared by id and stay. Different texts under one id are judged
+    each by its own component; where several rows of a component bear its smallest id, the text with the smallest
+    hash stays, once. Texts are shuffled only for ids that repeat, or where the losers are too many to broadcast.
     """
-    classes = simhash_components(docs, radius=radius)
-    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("lost"), F.count(F.lit(1)).alias("n"))
-    odd = checkpointed(ids.where("lost or n > 1").select("doc_id", "lost"))
+    prints = checkpointed(fingerprints(docs))
+    rows = prints.where("doc_id is not null").join(_classes(prints, radius), "fp")
+    first = F.col("doc_id") == F.col("component_id")
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(~first).alias("lost"))
+    odd = checkpointed(ids.where("lost or n > 1").select("doc_id", "n"))
     once = docs.join(broadcast_if_small(odd.select("doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_anti")
-    again = docs.join(broadcast_if_small(odd.where("not lost").select("doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    many = broadcast_if_small(odd.where("n > 1").select("doc_id"), MAX_BROADCAST_IDS)
+    stay = checkpointed(rows.where(first).join(many, "doc_id", "left_semi").groupBy("group", "doc_id").agg(F.min("mark").alias("_mark")).select("doc_id", "_mark"))
+    marked = docs.join(many, "doc_id", "left_semi").withColumn("_mark", text_mark(F.col("text")))
+    again = marked.join(broadcast_if_small(stay, MAX_BROADCAST_IDS), ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
     return once.select(docs.columns).unionByName(again.select(docs.columns))

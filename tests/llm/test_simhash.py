@@ -106,3 +106,14 @@ def test_empty(spark):
 def test_spark_hash_is_the_same_function(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b c"))).head()[0]
     assert got % 2**64 == xxhash.xxh64_intdigest(b"a b c", seed=42)
+
+
+def test_different_texts_under_one_id_are_judged_apart(spark):
+    a = " ".join(f"river{i} stone{i}" for i in range(300))
+    near, other, third = a + " end", "nothing like the others in any word of it", "yet another text that stands for itself alone"
+    assert 0 < bin(text_fingerprint(a.encode()) ^ text_fingerprint(near.encode())).count("1") <= RADIUS
+    rows = [(3, a), (5, near), (5, other), (7, third), (7, third), (7, other), (9, "one more text by itself"), (9, "a last one of its own kind")]
+    for order in (rows, rows[::-1]):
+        kept = drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3))
+        assert sorted(map(tuple, kept.collect())) == sorted({rows[0], rows[2], rows[3], rows[6], rows[7]})
+    assert {r.component_id for r in simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 5").collect()} == {3, 5}
