@@ -11,11 +11,12 @@ so that near copies of one vector are told apart; the results are scored on the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.session import checkpointed
@@ -33,6 +34,8 @@ TIE = 1e-12
 _PAIR = np.dtype([("id", "<i8"), ("sim", "<f8")])
 _SEEN = np.dtype([("id", "<i8"), ("sim", "<f8"), ("done", "?")])
 _OFFERS = 8
+#: Rows of an Arrow batch in the search, where a row holds the vectors of all neighbours of a node.
+SEARCH_BATCH = 500
 
 Rows = Iterator[pa.RecordBatch]
 
@@ -67,6 +70,18 @@ def _with_end(batches: Rows) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
     yield True, None
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _raw(col: pa.ChunkedArray) -> list[bytes]:
     return col.to_pylist()
 
@@ -335,7 +350,8 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 5, id_c
     graph = checkpointed(adjacency(descent_graph(classes, n, width), classes))
     asks = checkpointed(rows.where("asks").join(classes.select("node", "code", "vec"), "vec").select(F.col("id").alias("query_id"), "node"))
     starts = asks.select("node").distinct().join(classes, "node").select(F.col("node").alias("query"), "code", F.col("node").alias("start"))
-    seen = greedy_search(starts, graph, width)
+    with _batches_of(embeddings.sparkSession, SEARCH_BATCH):
+        seen = greedy_search(starts, graph, width)
 
     def best(batches: Rows) -> Rows:
         for b in batches:
