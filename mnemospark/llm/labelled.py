@@ -16,9 +16,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
 
     The ids are the first by hash, chosen from the labels alone; only their texts are read on.
     Labels other than 0 and 1, null ids and ids that ``docs`` lacks give no row; of an id that repeats
-    with two labels the larger counts.
+    with two labels the larger counts, with several texts the smallest. Empty tables give none.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = known.where("y = 1").orderBy(order).limit(per_class).unionByName(known.where("y = 0").orderBy(order).limit(per_class))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").limit(4 * per_class)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    return spread(rows.select("doc_id", "text", "y"), "doc_id")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to all cores by a hash of ``key``: they are few, but each is much work."""
+    return rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism), key)

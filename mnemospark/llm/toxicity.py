@@ -2,14 +2,18 @@
 
 The kernel compares words by the subsequences of three characters that they share, each weighted
 by a decay for every character it spans, so that inserted, doubled or gapped characters cost
-little. A text is described by how near its nearest word comes to each of a set of landmark words;
-the landmarks' own kernel matrix whitens that description (Nystrom), and a linear hinge-loss model on
+little. Landmarks are points of the kernel's feature space: the means of clusters of words, one for each root. A text is
+described by its words' kernel values with every landmark, as the largest and as a sum; the
+landmarks' own kernel matrix whitens that description (Nystrom), and a linear hinge-loss model on
 it, fitted by dual coordinate descent, gives the margin that a logistic curve turns into a score.
 
 Labels mark whole documents, so the words that make a labelled sentence toxic are found first: those
-that occur in toxic documents far more often than by chance; they are the landmarks. Copies would make any
+that occur in toxic documents far more often than by chance. Copies would make any
 rare word look so, and therefore texts that share their smallest or largest shingle hash count as
-one. Toxic texts are also learned with those words garbled.
+one. A word counts towards a landmark as far as it comes nearer than the words of clean texts do, so
+that garbled insults count where no other word looks like them. Texts with words that no clean text has are
+also learned with just one of them. The curve is fitted on margins of texts that the model behind them has not
+seen, and moved from the share of toxic texts in the sample to their share among all labels and by the cost of a miss.
 """
 
 from __future__ import annotations
@@ -24,22 +28,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.labelled import held_out, training_rows
+from mnemospark.llm.labelled import held_out, spread, training_rows
 from mnemospark.llm.linear import dual_coordinate_descent, platt
 from mnemospark.session import checkpointed
 
-#: Bounds of the fit: documents of each class, and landmark words.
+#: Bounds of the fit: documents of each class, telling words, and landmarks.
 PER_CLASS = 4000
-LANDMARKS = 128
-#: A landmark occurs in toxic documents more often than by chance, by this many standard deviations.
+TELLING = 512
+LANDMARKS = 64
+#: A telling word occurs in toxic documents more often than by chance, by this many standard deviations.
 LEAST_DEVIATION = 5.0
-#: Landmarks are no nearer to each other than this, and words farther than ``NEAR`` from one say nothing.
-APART = 0.97
-#: The curve is moved until no more than about this share of the clean texts scores 0.5 or more.
-CLEAN_SHARE = 0.006
-#: Hinge-loss cost of a toxic text, how much more a clean one costs, and the ridge under the whitening.
-COST, CLEAN_COST, RIDGE = 10.0, 10.0, 1.0
-NEAR = 0.4
+#: Words nearer than this to the first of a cluster join it.
+JOIN = 0.5
+#: A word counts towards a landmark from where no other word of the clean texts comes, but from within these bounds, and as one from ``RISE`` beyond.
+NEAR, MOST_NEAR, RISE = 0.4, 0.6, 0.15
+#: A cluster is plain if at most this share of the texts with its words is clean; then one such word is enough.
+PLAIN = 0.02
+#: Hinge-loss cost of any text, the ridge under the whitening, and the folds that the curve is fitted on.
+COST, RIDGE, FOLDS = 10.0, 1.0, 3
+#: A missed toxic text is as bad as this many dropped clean ones; the scores' odds count it.
+MISS_COST = 3.0
 
 DECAY = 0.6
 SPAN = 5
@@ -48,10 +56,14 @@ _CODES = 64
 _CACHE = 150_000
 _CHUNK = 1_000_000
 _PARTS = re.compile(r"[^\W_]+")
+_ENDS = ".,;:!?\"'()[]*#$%&|"
 
 
-def sentence_windows(text: str) -> set[str]:
-    """Distinct raw words of a text, and runs of three or more one-character words as one."""
+def sentence_windows(text: str, whole: frozenset[str] = frozenset(), heads: frozenset[str] = frozenset()) -> set[str]:
+    """Distinct raw words of a text, runs of three or more one-character words as one, and neighbours that make one of ``whole``.
+
+    ``heads`` are the beginnings of the words in ``whole``; only a word among them is joined with the next.
+    """
     words = text.lower().split()
     found = set(words)
     if len(words) > 2:
@@ -60,6 +72,11 @@ def sentence_windows(text: str) -> set[str]:
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a > 2:
                 found.add("".join(words[a:b]))
+    if not heads.isdisjoint(found):
+        for k in [k for k, w in enumerate(words[:-1]) if w in heads]:
+            joined = words[k] + words[k + 1].strip(_ENDS)
+            if joined in whole:
+                found.add(joined)
     return found
 
 
@@ -114,22 +131,28 @@ def _norms(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 class Landmarks:
-    """Landmark words with the subsequences they hold; only those are looked up in other words."""
+    """Points of the feature space, the means of clusters of words; only the subsequences they hold are looked up in other words."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], clusters: list[int] | None = None):
+        """``clusters`` numbers the words' clusters from 0; without it every word is a landmark."""
+        clusters = list(range(len(words))) if clusters is None else clusters
         ids, w = subsequences(words)
-        self.words = words
+        self.words, self.clusters = words, clusters
+        self.size = max(clusters, default=-1) + 1
         used, back = np.unique(ids[w > 0], return_inverse=True)
         self.row = np.zeros(_CODES**3, np.int32)
         self.row[used] = np.arange(1, len(used) + 1)
-        self.table = np.zeros((len(used) + 1, len(words)), np.float32)
+        each = np.zeros((len(used) + 1, len(words)))
         owner = np.nonzero(w > 0)[0]
-        np.add.at(self.table, (back + 1, owner), w[w > 0])
-        self.table /= np.linalg.norm(self.table, axis=0, keepdims=True) + 1e-9
+        np.add.at(each, (back + 1, owner), w[w > 0])
+        each /= np.linalg.norm(each, axis=0, keepdims=True) + 1e-9
+        mean = each @ (np.array(clusters)[:, None] == np.arange(self.size)[None, :])
+        mean /= np.linalg.norm(mean, axis=0, keepdims=True) + 1e-9
+        self.gram, self.table = mean.T @ mean, mean.astype(np.float32)
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Normalised kernel of words with all landmarks, one row a word."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
+        out = np.zeros((len(words), self.size), np.float32)
         for at in range(0, len(words), 1000):
             ids, w = subsequences(words[at : at + 1000])
             rows = self.row[ids]
@@ -142,15 +165,26 @@ class Landmarks:
 
 @dataclass
 class ToxicityModel:
-    """Landmarks, one weight for each, the bias, and the logistic curve from margins to scores."""
+    """Landmarks, two weights for each and two more, the bias, and the logistic curve from margins to scores.
+
+    ``whole`` holds plain words, which are also looked for cut in two; ``reach`` says from where a word counts, for each landmark.
+    """
 
     landmarks: Landmarks | None
     weight: np.ndarray
     bias: float
     slope: float = 1.0
     offset: float = 0.0
+    whole: frozenset[str] = frozenset()
+    reach: np.ndarray | None = None
+    heads: frozenset[str] = field(default=frozenset(), repr=False)
     cache: dict[str, tuple | None] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self):
+        if self.reach is None and self.landmarks is not None:
+            self.reach = np.full(self.landmarks.size, NEAR)
+        self.heads = frozenset(w[:k] for w in self.whole for k in range(2, len(w) - 1))
+
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
@@ -163,25 +197,31 @@ class ToxicityModel:
         if not flat or self.landmarks is None:
             return
         k = self.landmarks.kernel(flat)
-        for r in np.flatnonzero((k > NEAR).any(axis=1)):
-            at = np.flatnonzero(k[r] > NEAR)
+        near = np.clip((k - self.reach) / RISE, 0, 1)
+        for r in np.flatnonzero((near > 0).any(axis=1)):
+            at = np.flatnonzero(near[r])
             word = words[owner[r]]
-            near = (k[r][at] - NEAR) / (1 - NEAR)
-            self.cache[word] = (*(self.cache[word] or ()), (at, near))
+            self.cache[word] = (*(self.cache[word] or ()), (at, near[r][at]))
 
     def pooled(self, sets: list[set[str]]) -> np.ndarray:
-        """Per set of words how near its nearest word comes to each landmark, 0 to 1; then how many words come near one, and how many there are."""
+        """Per set of words how far its nearest word counts towards each landmark, 0 to 1, and how many words do, on a log scale;
+        then how many words count towards any, and how many there are."""
         if len(self.cache) > _CACHE:
             self.cache.clear()
         known = self.cache
         self._learn(list(set().union(*sets).difference(known)) if sets else [])
         out = np.zeros((len(sets), len(self.weight)))
+        n = (len(self.weight) - 2) // 2
         for row, s in zip(out, sets, strict=True):
-            close = [known[w] for w in s if known[w]]
-            for found in close:
+            for found in (known[w] for w in s if known[w]):
+                most = 0.0
                 for at, near in found:
                     row[at] = np.maximum(row[at], near)
-            row[-2:] = np.log1p(len(close)), np.log1p(len(s)) / 8
+                    row[at + n] += near
+                    most = max(most, near.max())
+                row[-2] += most
+            row[n:-1] = np.log1p(row[n:-1])
+            row[-1] = np.log1p(len(s)) / 8
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -192,7 +232,7 @@ class ToxicityModel:
             while end < len(texts) and (end == at or size < _CHUNK):
                 size += len(texts[end] or "")
                 end += 1
-            out[at:end] = self.pooled([sentence_windows(t) if t else set() for t in texts[at:end]])
+            out[at:end] = self.pooled([sentence_windows(t, self.whole, self.heads) if t else set() for t in texts[at:end]])
             at = end
         return out
 
@@ -205,31 +245,53 @@ def _never(offset: float = -3.0) -> ToxicityModel:
     return ToxicityModel(None, np.zeros(2), 0.0, 1.0, offset)
 
 
-def pick_landmarks(words: list[str], most: int = LANDMARKS) -> Landmarks:
-    """The first words that stay apart from those before them."""
-    shapes = list(dict.fromkeys(f for w in words for f in forms(w)[:1] if len(f) > 3))[: 4 * most]
-    k = Landmarks(shapes).kernel(shapes)
-    chosen: list[int] = []
-    for i in range(len(shapes)):
-        if len(chosen) < most and (not chosen or k[i, chosen].max() < APART):
-            chosen.append(i)
-    return Landmarks([shapes[i] for i in chosen])
+def cluster_words(words: list[str], most: int = LANDMARKS) -> list[int]:
+    """The cluster of every word, numbered from 0: that of the first word before it that is near enough, or a new one; -1 beyond ``most`` clusters."""
+    k = Landmarks(words).kernel(words)
+    leaders: list[int] = []
+    out = []
+    for i in range(len(words)):
+        near = max(((float(k[i, j]), -n) for n, j in enumerate(leaders)), default=(0.0, 0))
+        if near[0] >= JOIN:
+            out.append(-near[1])
+        elif len(leaders) < most:
+            out.append(len(leaders))
+            leaders.append(i)
+        else:
+            out.append(-1)
+    return out
+
+
+def _margins(z: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    width = z.shape[1]
+    return dual_coordinate_descent(np.arange(0, z.size + 1, width), np.tile(np.arange(width), len(z)), z.ravel(), y, width, np.full(len(y), COST), epochs=50, seed=seed)
+
 
+def fit_documents(landmarks: Landmarks, x: np.ndarray, y: np.ndarray, fold: np.ndarray, real: np.ndarray, share: float, seed: int = 7) -> ToxicityModel:
+    """Hinge-loss model on whitened descriptions.
 
-def fit_documents(landmarks: Landmarks, x: np.ndarray, y: np.ndarray, seed: int = 7) -> ToxicityModel:
-    """Hinge-loss model on whitened descriptions; an error on a clean text costs ``CLEAN_COST`` times as much."""
-    n, k = len(landmarks.words), landmarks.kernel(landmarks.words).astype(float)
-    value, vector = np.linalg.eigh((k + k.T) / 2)
-    root = np.eye(n + 2)
-    root[:n, :n] = vector / np.sqrt(np.maximum(value, 0) + RIDGE)
+    The curve is fitted on the ``real`` rows, each judged by a model of the other folds; ``share`` is the share of toxic texts among all.
+    """
+    n = landmarks.size
+    value, vector = np.linalg.eigh((landmarks.gram + landmarks.gram.T) / 2)
+    white = vector / np.sqrt(np.maximum(value, 0) + RIDGE)
+    root = np.eye(2 * n + 2)
+    root[:n, :n] = root[n:-2, n:-2] = white
     z = np.hstack([x @ root, np.ones((len(x), 1))])
-    cost, width = np.where(y > 0, COST, COST * CLEAN_COST), z.shape[1]
-    u = dual_coordinate_descent(np.arange(0, z.size + 1, width), np.tile(np.arange(width), len(z)), z.ravel(), y, width, cost, epochs=25, seed=seed)
+    u = _margins(z, y, seed)
     model = ToxicityModel(landmarks, root @ u[:-1], float(u[-1]))
-    margin = x @ model.weight + model.bias
-    model.slope, model.offset = platt(margin, y)
-    bound = float(np.quantile(margin[y <= 0], 1 - CLEAN_SHARE)) + 0.05 if (y <= 0).any() else 0.0
-    model.offset = -model.slope * bound
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        rest, here = fold % FOLDS != k, fold % FOLDS == k
+        if here.any():
+            both = len(set(y[rest].tolist())) > 1
+            margin[here] = z[here] @ (_margins(z[rest], y[rest], seed) if both else u)
+    model.slope, model.offset = platt(margin[real], y[real])
+    model.slope = max(model.slope, 1e-3)
+    seen = float((y[real] > 0).mean())
+    if 0 < share < 1 and 0 < seen < 1:
+        model.offset += float(np.log(share / (1 - share)) - np.log(seen / (1 - seen)))
+    model.offset += float(np.log(MISS_COST))
     return model
 
 
@@ -240,12 +302,6 @@ def _extreme_shingles(text: str | None) -> tuple[int, int]:
     return min(h), max(h)
 
 
-def _garbled(word: str, turn: int) -> str:
-    """The word with a foreign character put in, or a character doubled, at an inner place that ``turn`` picks."""
-    at = 1 + turn % max(1, len(word) - 1)
-    return word[:at] + ("x", word[at - 1])[turn // 7 % 2] + word[at:]
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled documents of each class that are not held out; texts that repeat count once."""
 
@@ -263,7 +319,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     rows = training_rows(docs, labels, label, per_class).select("y", "text").mapInArrow(with_keys, "y int, text string, low long, high long")
     rows = rows.groupBy("y", "low").agg(F.min(F.struct("text", "high")).alias("m")).groupBy("y", "m.high").agg(F.min("m.text").alias("text"))
     rows = rows.select(F.xxhash64("text").alias("doc"), "y", "text")
-    rows = checkpointed(rows)
+    rows = checkpointed(spread(rows, "doc"))
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return _never(3.0 if n.get(1) else -3.0)
@@ -271,32 +327,61 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     stats = pairs.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     chance = (F.col("pos") + F.col("neg")) * (n[1] / (n[1] + n[0]))
     beyond = (F.col("pos") - chance) / F.sqrt(chance)
-    found = stats.where(beyond >= LEAST_DEVIATION).orderBy(F.desc(beyond), "word").limit(4 * LANDMARKS).collect()
-    telling, pure = [r.word for r in found], {r.word for r in found if not r.neg}
-    marks = pick_landmarks(telling) if telling else None
-    if marks is None or not marks.words:
+    found = stats.where(beyond >= LEAST_DEVIATION).orderBy(F.desc(beyond), "word").limit(TELLING).collect()
+    shapes = {r.word: next((f for f in forms(r.word)[:1] if len(f) > 3), None) for r in found}
+    found = [r for r in found if shapes[r.word]]
+    if not found:
         return _never()
-    blank, known = ToxicityModel(marks, np.zeros(len(marks.words) + 2), 0.0), set(telling)
+    cluster = cluster_words([shapes[r.word] for r in found])
+    used = [k for k, c in enumerate(cluster) if c >= 0]
+    marks = Landmarks([shapes[found[k].word] for k in used], [cluster[k] for k in used])
+    total = np.zeros((marks.size, 2))
+    for k in used:
+        total[cluster[k]] += found[k].pos, found[k].neg
+    plain = {c for c in range(marks.size) if total[c, 1] <= PLAIN * total[c].sum()}
+    pure = frozenset(found[k].word for k in used if cluster[k] in plain)
+    known = frozenset(r.word for r in found)
+
+    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, done = np.zeros(marks.size), set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                new = [f for w in sentence_windows(t or "") - known - done for f in forms(w)]
+                done = set() if len(done) > _CACHE else done
+                done |= sentence_windows(t or "")
+                most = np.maximum(most, marks.kernel(new).max(axis=0, initial=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(range(marks.size), pa.int32()), pa.array(most, pa.float64())], ["at", "most"])
+
+    clean = rows.where("y = 0").select("text").mapInArrow(reaches, "at int, most double").groupBy("at").agg(F.max("most").alias("most")).collect()
+    reach = np.full(marks.size, NEAR)
+    for r in clean:
+        reach[r["at"]] = min(MOST_NEAR, max(NEAR, r["most"]))
+    blank = ToxicityModel(marks, np.zeros(2 * marks.size + 2), 0.0, whole=pure, reach=reach)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y, out = [], []
-            for label, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = sentence_windows(t or "")
+            doc, y, real, out = [], [], [], []
+            for i, label, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = sentence_windows(t or "", pure, blank.heads)
                 sets = [words]
-                if label and words & known:
-                    turn, held = len(t), sorted(words & known)
-                    sets.append(words - known | {_garbled(w, turn + k) for k, w in enumerate(held)})
-                    if one := sorted(words & pure)[turn % max(1, len(words & pure)) :][:1]:  # a word that no clean text has is enough
-                        sets += [words - known | set(one), words - known | {_garbled(one[0], turn)}]
+                if label and words & pure:  # the text with no telling word but one of these
+                    held = sorted(words & pure)
+                    sets.append(words - known | {held[len(t) % len(held)]})
+                doc += [i] * len(sets)
                 y += [label] * len(sets)
+                real += [k == 0 for k in range(len(sets))]
                 out += [r.astype(np.float32).tobytes() for r in blank.pooled(sets)]
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out, pa.binary())], ["y", "x"])
-
-    seen = rows.select("y", "text").mapInArrow(describe, "y int, x binary").toArrow()
-    seen = seen.sort_by([("y", "ascending"), ("x", "ascending")])  # rows arrive in any order
-    x = np.frombuffer(b"".join(seen.column("x").to_pylist()), np.float32).reshape(-1, len(marks.words) + 2).astype(float)
-    return fit_documents(marks, x, np.where(seen.column("y").to_numpy() == 1, 1.0, -1.0))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(y, pa.int32()), pa.array(real, pa.bool_()), pa.array(out, pa.binary())], ["doc", "y", "real", "x"])
+
+    seen = rows.select("doc", "y", "text").mapInArrow(describe, "doc long, y int, real boolean, x binary").toArrow()
+    seen = seen.sort_by([("y", "ascending"), ("doc", "ascending"), ("real", "descending")])  # rows arrive in any order
+    x = np.frombuffer(b"".join(seen.column("x").to_pylist()), np.float32).reshape(-1, 2 * marks.size + 2).astype(float)
+    every = {r.y: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).count().collect()}
+    share = every.get(1, 0) / max(1, sum(every.values()))
+    model = fit_documents(marks, x, np.where(seen.column("y").to_numpy() == 1, 1.0, -1.0), seen.column("doc").to_numpy() % FOLDS, seen.column("real").to_numpy(zero_copy_only=False), share)
+    model.reach, model.whole = reach, pure
+    model.__post_init__()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from mnemospark.llm.labelled import held_out
-from mnemospark.llm.toxicity import Landmarks, _norms, drop_toxic, fit_toxicity, forms, score_toxicity, sentence_windows, subsequences
+from mnemospark.llm.toxicity import RISE, Landmarks, _norms, drop_toxic, fit_toxicity, forms, score_toxicity, sentence_windows, subsequences
 from pyspark.sql import functions as F
 
 BAD = ["grobnak", "vilmosh", "terrachun"]
@@ -91,3 +91,68 @@ def test_no_labels_and_empty(spark):
 def test_held_out_is_crc(spark):
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert {r.id for r in got if r.h} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def direct_score(model, text):
+    """The score of a text from the brute-force kernel, word by word."""
+    members = {}
+    for w, c in zip(model.landmarks.words, model.landmarks.clusters):
+        members.setdefault(c, []).append(w)
+
+    def weights(s):
+        out = {}
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(len(s), i + 5)):
+                    out[s[i] + s[j] + s[k]] = out.get(s[i] + s[j] + s[k], 0) + 0.6 ** (k - i - 2)
+        n = np.sqrt(sum(v * v for v in out.values())) or 1.0
+        return {u: v / n for u, v in out.items()}
+
+    means = []
+    for c in range(model.landmarks.size):
+        mean = {}
+        for w in members[c]:
+            for u, v in weights(w).items():
+                mean[u] = mean.get(u, 0) + v
+        n = np.sqrt(sum(v * v for v in mean.values()))
+        means.append({u: v / n for u, v in mean.items()})
+    words = sentence_windows(text, model.whole, model.heads) if text else set()
+    most, total, every = np.zeros(len(means)), np.zeros(len(means)), 0.0
+    for w in words:
+        best = 0.0
+        for f in forms(w):
+            near = np.array([min(1.0, max(0.0, (sum(v * m.get(u, 0) for u, v in weights(f).items()) - r) / RISE)) for m, r in zip(means, model.reach)])
+            most, total, best = np.maximum(most, near), total + near, max(best, near.max())
+        every += best
+    x = np.concatenate([most, np.log1p(total), [np.log1p(every), np.log1p(len(words)) / 8]])
+    return 1 / (1 + np.exp(-(model.slope * (x @ model.weight + model.bias) + model.offset)))
+
+
+def test_scores_match_a_direct_implementation_and_garbled_insults_are_found(spark):
+    docs, labels = corpus(600)
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    model = fit_toxicity(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [t for _, t, *_ in docs[:40]] + ["", "v-i-l-m-o-s-h", "ma grobnakgrobnakgrobnak.terrachun lo"]
+    assert np.allclose(model.scores(model.features(texts)), [direct_score(model, t) for t in texts], atol=1e-4)
+    assert model.scores(model.features([None])) == model.scores(model.features([""]))
+    ways = {
+        "as it is": lambda w: w, "inserted": lambda w: w[:3] + "x" + w[3:], "doubled": lambda w: w[:2] + w[1] + w[2:], "gap": lambda w: w[:3] + w[4:], "dotted": lambda w: w[:3] + "." + w[3:],
+        "spaced": " ".join, "split": lambda w: w[:4] + " " + w[4:], "dashed": "-".join,
+    }
+    clean = [t for (_, t, *_), (_, _, toxic) in zip(docs, labels) if not toxic][:60]
+    assert (model.scores(model.features(clean)) >= 0.5).mean() <= 0.02
+    for name, way in ways.items():
+        garbled = [" ".join([*t.split()[:4], way(BAD[k % 3]), *t.split()[4:]]) for k, t in enumerate(clean)]
+        assert (model.scores(model.features(garbled)) >= 0.5).mean() >= 0.9, name
+
+
+def test_repeated_ids_and_labels(spark):
+    docs, labels = corpus(300)
+    rows = [d[:2] for d in docs] + [(4, "other text")] * 30 + [(None, "x y")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int")
+    one, two = fit_toxicity(df, lab), fit_toxicity(df.repartition(7), lab.repartition(3))
+    assert np.allclose(one.weight, two.weight) and one.landmarks.words == two.landmarks.words
+    assert score_toxicity(df, one).count() == len(rows)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert drop_toxic(empty, fit_toxicity(empty, lab)).count() == 0
