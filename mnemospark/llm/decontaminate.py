@@ -7,6 +7,9 @@ with other numbers or names still matches; the slots of a match must then map on
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,10 @@ _SPLIT = "[\\s\\p{Punct} -¿ -⁯]+"
 
 
 def canonical_text(text: Column) -> Column:
-    """Lower-cased text in which a placeholder is its type character and the value it replaced."""
+    """Lower-cased text in which a placeholder is its type character and the value it replaced; such characters in the text itself part words."""
+    marks = NUM + NAME + UNIT + JOIN
+    own = reduce(or_, [F.contains(text, F.lit(m)) for m in marks])
+    text = F.when(own, F.translate(text, marks, " " * len(marks))).otherwise(text)
     named = F.regexp_replace(text, *NAMES)
     full = named
     for pattern, new in NUMBERS:
@@ -57,12 +63,12 @@ def _literals(slots: list[Column]) -> Column:
     return sum((s.isNull().cast("int") for s in slots), F.lit(0))
 
 
-def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, h, at, r0 ... r4) from (keys, canonical text ``c``): one per window of five words.
+def _windows(rows: DataFrame, keys: list[str], size: int = WINDOW) -> DataFrame:
+    """Rows (keys, h, at, r0 ... r4) from (keys, canonical text ``c``): one per window of ``size`` words, five at most.
 
     ``h`` hashes the window with placeholders reduced to their types, or with their values where
-    it has fewer than ``LEAST_LITERALS`` other words and would match too much; ``r``
-    hashes a placeholder with its value, and is null for other words. Arrays are
+    it has fewer than ``LEAST_LITERALS`` other words or under five words and would match too much; ``r``
+    hashes a placeholder with its value, and is null for other words and in short windows. Arrays are
     shifted and zipped, never indexed from inside a lambda, so that the work stays linear.
     """
     held = F.contains("c", F.lit(NUM)) | F.contains("c", F.lit(NAME)) | F.contains("c", F.lit(UNIT))
@@ -71,8 +77,13 @@ def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     plain = F.transform("w", lambda x: F.xxhash64(x))
     value = F.transform("w", lambda x: F.when(_is_slot(x), F.xxhash64(x)))
     none = F.array().cast("array<bigint>")
+    shift = lambda c: [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))).alias(f"{c}{k}") for k in range(size)]
+    if size < WINDOW:
+        short = words.where(F.size("w") >= size).select(*keys, plain.alias("t"))
+        flat = short.select(*keys, F.posexplode(F.arrays_zip(*shift("t"))).alias("at", "x")).where(f"x.t{size - 1} is not null")
+        blank = [F.lit(None).cast("long").alias(f"r{k}") for k in range(WINDOW)]
+        return flat.select(*keys, F.xxhash64(F.lit(size), *[F.col(f"x.t{k}") for k in range(size)]).alias("h"), "at", *blank)
     hashed = words.where(F.size("w") >= WINDOW).select(*keys, F.when(F.col("held"), typed).otherwise(plain).alias("t"), F.when(F.col("held"), value).otherwise(none).alias("r"))
-    shift = lambda c: [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))).alias(f"{c}{k}") for k in range(WINDOW)]
     flat = hashed.select(*keys, F.posexplode(F.arrays_zip(*shift("t"), *shift("r"))).alias("at", "x")).where("x.t4 is not null")
     by_type = F.xxhash64(*[F.col(f"x.t{k}") for k in range(WINDOW)])
     by_value = F.xxhash64(*[F.coalesce(f"x.r{k}", f"x.t{k}") for k in range(WINDOW)])
@@ -80,13 +91,16 @@ def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return flat.select(*keys, F.when(few, by_value).otherwise(by_type).alias("h"), "at", *[F.col(f"x.r{k}") for k in range(WINDOW)])
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """Rows (h, item_id, n_words, item_at, a0 ... a4): ``a`` is the hashed value of a slot, null for a literal word.
 
-    Items of under five words have no window and match nothing.
+    Items of under five words have no window, or with ``short_items`` one that is the whole item, word for word.
     """
     words = benchmark.where("item_id is not null").select("item_id", canonical_text(F.coalesce(F.col("text"), F.lit(""))).alias("c"))
-    rows = _windows(words.withColumn("n_words", F.size(canonical_words(F.col("c")))), ["item_id", "n_words"])
+    words = words.withColumn("n_words", F.size(canonical_words(F.col("c"))))
+    rows = _windows(words, ["item_id", "n_words"])
+    for k in range(1, WINDOW) if short_items else ():
+        rows = rows.unionByName(_windows(words.where(F.col("n_words") == k), ["item_id", "n_words"], k))
     slot = [F.col(f"r{k}") for k in range(WINDOW)]
     return rows.select("h", "item_id", "n_words", F.col("at").alias("item_at"), *[s.alias(f"a{k}") for k, s in enumerate(slot)])
 
@@ -96,29 +110,33 @@ def document_key(doc_id: Column, text: Column) -> Column:
     return F.when(doc_id.isNull(), F.concat(F.lit("~"), F.md5(F.coalesce(text, F.lit(""))))).otherwise(doc_id.cast("string"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
     """Rows (key, doc_id, item_id, matched_words, item_words, coverage) for every document that holds an item.
 
     ``coverage`` is the share of the item's words inside five-word windows that the document has
     too, at ``coverage`` or more. Windows of one alignment (document position less item position)
     count only if equal slot values of the item stand for equal values in the document. A window
     with fewer than ``LEAST_LITERALS`` words that are no slots counts only word for word, and then
-    asks nothing of the other slots. Items of under five words match nothing. Null
+    asks nothing of the other slots. Items of under five words match nothing, or with ``short_items``
+    wherever all their words stand in a row. Null
     and empty texts hold nothing; rows with a repeated id count as one document; rows with a null
     id are told apart by their text; other columns are ignored; empty inputs give an empty result.
     """
-    items = benchmark_windows(benchmark)
+    items = checkpointed(benchmark_windows(benchmark, short_items))
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), canonical_text(text).alias("c"))
-    items = broadcast_if_small(checkpointed(items), MAX_BROADCAST_WINDOWS)
-    hits = _windows(words, ["key", "doc_id"]).join(items, "h")
+    windows = _windows(words, ["key", "doc_id"])
+    if short_items:  # further windows only of lengths that some item has: four at most
+        for r in items.where(F.col("n_words") < WINDOW).select("n_words").distinct().orderBy("n_words").collect():
+            windows = windows.unionByName(_windows(words, ["key", "doc_id"], r.n_words))
+    hits = windows.join(broadcast_if_small(items, MAX_BROADCAST_WINDOWS), "h")
     few = _literals([F.col(f"a{k}") for k in range(WINDOW)]) < LEAST_LITERALS
     pairs = F.filter(F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"r{k}").alias("b")) for k in range(WINDOW)]), lambda p: p.a.isNotNull() & ~few)
     line = hits.groupBy("key", "doc_id", "item_id", "n_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     one_way = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.a)))
-    places = F.flatten(F.transform("ats", lambda a: F.sequence(a, a + WINDOW - 1)))
+    places = F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.least(F.col("n_words"), F.lit(WINDOW)) - 1)))
     found = line.where(one_way).groupBy("key", "doc_id", "item_id", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_set(places)))).alias("matched"))
     share = F.col("matched") / F.col("n_words")
     return found.where(share >= coverage).select(
@@ -126,8 +144,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns and all other rows stay."""
-    bad = checkpointed(contaminated(docs, benchmark, coverage).select(F.col("key").alias("_key")).distinct())
-    keyed = docs.withColumn("_key", document_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(broadcast_if_small(bad, MAX_BROADCAST_KEYS), "_key", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, short_items: bool = False) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; all columns, whatever their names, and all other rows stay.
+
+    Rows that repeat an id go together; rows with a null id are judged each by its text; empty inputs drop nothing.
+    """
+    bad = checkpointed(contaminated(docs, benchmark, coverage, short_items=short_items).select("key").distinct())
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(whole, document_key(F.col("doc_id"), F.col("text")).alias("key"))
+    return keyed.join(broadcast_if_small(bad, MAX_BROADCAST_KEYS), "key", "left_anti").select("row.*")

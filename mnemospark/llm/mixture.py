@@ -138,19 +138,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take_mixture(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with all their columns and ``size``, ``source_size``, ``target``, ``taken``.
 
-    Columns of ``docs`` with one of these four names are replaced. The texts are not shuffled.
+    Columns of ``docs`` with one of these four names are replaced; others stay, whatever their names. A null source is one of its own,
+    null and empty texts have size 0 and are never taken, rows that repeat an id are taken together, and an empty input gives
+    an empty result. The texts are not shuffled.
     """
     own = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c not in own]
-    sized = checkpointed(docs.select(source_key(F.col("source")).alias("key"), document_hash(F.col("doc_id")).alias("hash"), word_count(F.col("text")).alias("size")))
-    plan = checkpointed(mixture_plan(sized))
-    params = broadcast_if_small(plan.select(F.struct("*").alias("_plan"), F.col("key").alias("_key")), MAX_BROADCAST_SOURCES)
-    rows = docs.select(*kept, source_key(F.col("source")).alias("_key"), word_count(F.col("text")).alias("_size"), document_hash(F.col("doc_id")).alias("_hash")).join(params, "_key")
-    more = (F.col("_hash") < F.col("_plan.threshold")) | ((F.col("_hash") == F.col("_plan.threshold")) & (F.col("_plan.edge") == 1))
-    out = rows.select(
-        *kept, F.col("_size").alias("size"), F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"),
-        (F.col("_size") * (F.col("_plan.whole") + more.cast("long"))).alias("taken"),
-    )
+    facts = [source_key(F.col("source")).alias("key"), document_hash(F.col("doc_id")).alias("hash"), word_count(F.col("text")).alias("size")]
+    plan = checkpointed(mixture_plan(checkpointed(docs.select(*facts))))
+    params = broadcast_if_small(plan.withColumnRenamed("key", "source_key"), MAX_BROADCAST_SOURCES)
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    rows = docs.select(whole, F.struct(*facts).alias("own")).join(params, F.col("own.key") == F.col("source_key"))
+    out = rows.select("row.*", F.col("own.size").alias("size"), "source_size", "target", taken(F.col("own.size"), F.col("own.hash")).alias("taken"))
     return out.where("taken > 0")
 
 

@@ -2,8 +2,9 @@
 
 The field scores whole candidate spans by features of the entire segment (shape, digits, check digit,
 borders, words before) and a dynamic program over bounded segments picks boundaries and types
-jointly. It is trained on windows whose labels are the base spans, and on copies of these windows
-in which a span is written another way (no country code, other separators, spelled-out signs).
+jointly. It is trained on windows whose labels are the base spans, on copies of these windows
+in which a span is written another way (no country code, other separators, spelled-out signs), and on copies in which
+it is spoiled (a part above 255, a wrong check digit, a date) and stands for nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the fit: documents read for windows, and windows used of each kind.
 MAX_DOCUMENTS = 4000
 WINDOWS_PER_KIND = 250
-MAX_TOKENS = 18
+#: A segment has at most so many tokens, and a phone or card number at most so many digits and groups between blanks.
+MAX_TOKENS = 40
+MAX_DIGITS = 19
+MAX_GROUPS = 6
 REACH = 28
 _SIZE = 1 << 13
 
@@ -79,19 +86,30 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around anything that could be a candidate: no candidate lies outside them."""
+def windows(text: str, base: list[Span] = ()) -> list[tuple[int, int]]:
+    """Stretches around anything that could be a candidate; none cuts a word, and no candidate beside the ``base`` spans lies outside them."""
     marks = [(m.start(), m.end()) for m in _AT.finditer(text)] if "at" in text or "AT" in text or "At" in text else []
     at = text.find("@")
     while at >= 0:
         marks.append((at, at + 1))
         at = text.find("@", at + 1)
     marks += [(m.start(), m.end()) for m in _RUN.finditer(text)]
+    taken = sorted((a, b) for _, a, b in base)
     out: list[list[int]] = []
+    k = 0
     for a, b in sorted(marks):
-        a, b = max(0, a - REACH), min(len(text), b + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] <= a and b <= taken[k][1]:
+            continue
+        last = out[-1][1] if out else 0
+        a, b = max(0, a - REACH), max(last, min(len(text), b + REACH))
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        if out and a <= last:
+            out[-1][1] = b
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -101,60 +119,90 @@ def _hash(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % _SIZE
 
 
-_IDS: dict[str, int] = {}
+@lru_cache(maxsize=200_000)
+def _ids(kind: str, names: tuple[str, ...]) -> list[int]:
+    return [_id(kind, n) for n in names]
 
 
-def _ids(names: list[str]) -> list[int]:
-    out = []
-    for n in names:
-        if n not in _IDS:
-            if len(_IDS) > 200_000:
-                _IDS.clear()
-            _IDS[n] = _hash(n)
-        out.append(_IDS[n])
-    return out
+@lru_cache(maxsize=200_000)
+def _id(kind: str, name: str) -> int:
+    return _hash(f"{kind}|{name}")
+
+
+_SHAPE = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
+
+
+def _edge(c: str, end: str) -> str:
+    return end if not c else " " if c.isspace() else "x" if c.isalnum() else c
+
+
+@lru_cache(maxsize=100_000)
+def _shared(s: str, left: str, right: str, before: str) -> tuple[str, ...]:
+    """Names of the features of a segment that its kind does not change."""
+    d = len(_digits(s))
+    groups = [(k, sum(1 for _ in g)) for k, g in groupby(s.translate(_SHAPE))]
+    shape = "".join("a" if k == "a" else str(min(n, 9)) if k == "0" else k * n for k, n in groups)
+    kinds = [k for k, _ in groups]
+    first = "0" if kinds[0] == "0" else "a" if s[0].isalnum() else s[0]
+    return (
+        "bias", f"digits={min(d, 21)}", "shape=" + shape[:24], "first=" + first, "left=" + _edge(left, "^"), "right=" + _edge(right, "$"), "before=" + before, f"parts={min(kinds.count('0'), 8)}",
+        f"letters={'a' in kinds}", f"dots={min(s.count('.'), 4)}", f"hyphens={min(s.count('-'), 4)}", "signs=" + "".join(sorted({k for k in kinds if k not in 'a0. -'}))[:6],
+    )
 
 
 def _features(text: str, a: int, b: int, before: str, kind: str) -> list[int]:
     s = text[a:b]
-    d = _digits(s)
-    shape = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), s.lower()))
-    left, right = text[a - 1 : a], text[b : b + 1]
-    names = [
-        "bias", f"digits={len(d) if len(d) < 21 else 21}", f"shape={shape[:24]}", f"first={s[0] if not s[0].isalnum() else '0' if s[0].isdigit() else 'a'}",
-        f"left={'^' if not left else ' ' if left.isspace() else 'x' if left.isalnum() else left}", f"right={'$' if not right else ' ' if right.isspace() else 'x' if right.isalnum() else right}",
-        f"before={before}", f"parts={min(len(re.findall('[0-9]+', s)), 8)}", f"letters={any(c.isalpha() for c in s)}", f"dots={min(s.count('.'), 4)}", f"hyphens={min(s.count('-'), 4)}",
-        f"signs={''.join(sorted(set(re.findall('[^A-Za-z0-9. -]', s))))[:6]}",
-    ]
     if kind == "card" or kind == "phone":
-        names.append(f"luhn={13 <= len(d) <= 19 and luhn(d)}")
+        d = _digits(s)
+        own = f"luhn={13 <= len(d) <= 19 and luhn(d)}"
     elif kind == "ip":
-        names.append(f"ip={bool(re.fullmatch(r'[0-9]+([.][0-9]+){3}', s)) and _ip_parts(s)}")
+        own = f"ip={_ip_parts(s)}"
     else:
-        names.append(f"at={'@' in s}{bool(_AT.search(s))}{bool(re.search('dot|[.]', s, re.I))}")
-    return _ids([f"{kind}|{n}" for n in names])
+        own = f"at={'@' in s}{bool(_AT.search(s))}{'.' in s or 'dot' in s.lower()}"
+    return [*_ids(kind, _shared(s, text[a - 1 : a] if a else "", text[b : b + 1], before)), _id(kind, own)]
 
 
-def candidates(text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, str, int, int, list[int]]]]:
-    """Tokens in a window, and its candidate segments (first token, end token, kind, start, end, features)."""
+def candidates(text: str, lo: int, hi: int, base: list[Span] = ()) -> tuple[int, list[tuple[int, int, str, int, int, list[int]]]]:
+    """Tokens in a window, and its candidate segments (first token, end token, kind, start, end, features).
+
+    A candidate neither begins nor ends inside a word or a number with separators, and touches no ``base`` span.
+    """
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, lo, hi)]
+    taken = sorted((a, b) for _, a, b in base if a < hi and b > lo)
+    ends = list(accumulate((b for _, b in taken), max))  # base spans of different kinds may overlap
+    free = lambda a, b: not (k := bisect_left(taken, (b,))) or ends[k - 1] <= a
+    joined = lambda i: 0 < i < len(tokens) and tokens[i - 1][1] == tokens[i][0]
+    inner = lambda i, signs: joined(i) and (tokens[i - 1][2].isalnum() or tokens[i - 1][2] in signs and joined(i - 1) and tokens[i - 2][2].isalnum())
+    goes_on = lambda j, signs: joined(j + 1) and (tokens[j + 1][2].isalnum() or tokens[j + 1][2] in signs and joined(j + 2) and tokens[j + 2][2].isalnum())
     out = []
+    word = ""
     for i, (a, _, first) in enumerate(tokens):
-        if i and tokens[i - 1][1] == a and (tokens[i - 1][2].isdigit() or first.isalpha() and tokens[i - 1][2].isalpha()):
-            continue
-        before = next((t[2].lower() for t in reversed(tokens[max(0, i - 3) : i]) if t[2].isalpha()), "")
-        if first.isdigit() or first in "+(":
-            d = 0
+        before, word = word, first.lower() if first.isalpha() else word
+        if (first.isdigit() or first in "+(") and not inner(i, ".-"):
+            d = dots = others = blanks = 0
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 s, e, t = tokens[j]
-                if j > i and s - tokens[j - 1][1] > 1 or not (t.isdigit() or t in "().-" or t == "+" and j == i):
+                if j > i and s - tokens[j - 1][1] > 1 or not (t.isdigit() and t.isascii() or t in "().-" or t == "+" and j == i):
+                    break
+                blanks += j > i and s > tokens[j - 1][1]
+                if blanks >= MAX_GROUPS:
+                    break
+                if not t.isdigit():
+                    dots, others = dots + (t == "."), others + (t != ".")
+                    continue
+                others += j > i and s > tokens[j - 1][1]
+                d += e - s
+                if d > MAX_DIGITS:
                     break
-                if t.isdigit() and t.isascii():
-                    d += e - s
-                    if d >= 7 or text.count(".", a, e) == 3:
-                        for kind in ("ip",) if text.count(".", a, e) == 3 and d <= 12 else ("card", "phone"):
-                            out.append((i, j + 1, kind, a, e, _features(text, a, e, before, kind)))
-        if first.isalnum():
+                if goes_on(j, ".-") or not free(a, e):
+                    continue
+                if dots == 3 and not others and d <= 12:
+                    out.append((i, j + 1, "ip", a, e, _features(text, a, e, before, "ip")))
+                    continue
+                for kind, least, most in (("card", 13, 19), ("phone", 7, 15)):
+                    if least <= d <= most:
+                        out.append((i, j + 1, kind, a, e, _features(text, a, e, before, kind)))
+        if first.isalnum() and not inner(i, "._%+-"):
             sign = 0
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 s, e, t = tokens[j]
@@ -162,7 +210,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, s
                 if gap > 1 or gap and not (tokens[j - 1][2] in ")]" or t in "[("):
                     break
                 sign = sign or (j if t == "@" or t.lower() == "at" and tokens[j - 1][2] in "([" and j > i else 0)
-                if sign and j > sign + 1 and t.isalnum() and t.isascii() and t.lower() != "dot" and (tokens[j - 1][2] in ".)]-"):
+                if sign and j > sign + 1 and t.isalnum() and t.isascii() and t.lower() != "dot" and tokens[j - 1][2] in ".)]-" and not goes_on(j, ".-") and free(a, e):
                     out.append((i, j + 1, "email", a, e, _features(text, a, e, before, "email")))
     return len(tokens), out
 
@@ -171,10 +219,10 @@ class SemiMarkov:
     """Weights of whole-span features; a token outside every span scores 0."""
 
     def __init__(self, weight: np.ndarray | None = None):
-        self.weight = np.zeros(_SIZE) if weight is None else weight
+        self.weight: list[float] = [0.0] * _SIZE if weight is None else list(map(float, weight))
 
     def _score(self, seg) -> float:
-        return float(self.weight[seg[5]].sum())
+        return sum(map(self.weight.__getitem__, seg[5]))
 
     def best(self, n: int, segs: list) -> list:
         """Segments of the highest-scoring segmentation of ``n`` tokens."""
@@ -196,9 +244,28 @@ class SemiMarkov:
                 j -= 1
         return out[::-1]
 
+    def marginals(self, n: int, segs: list) -> tuple[float, list[float]]:
+        """Log of the sum of all segmentations' weights, and the probability of every segment, by forward and backward sums."""
+        score = [self._score(s) for s in segs]
+        ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        by_end: dict[int, list[int]] = {}
+        by_start: dict[int, list[int]] = {}
+        for x, s in enumerate(segs):
+            by_end.setdefault(s[1], []).append(x)
+            by_start.setdefault(s[0], []).append(x)
+        for j in range(1, n + 1):
+            terms = [ahead[j - 1]] + [ahead[segs[x][0]] + score[x] for x in by_end.get(j, ())]
+            m = max(terms)
+            ahead[j] = m + math.log(sum(math.exp(t - m) for t in terms))
+        for i in range(n - 1, -1, -1):
+            terms = [behind[i + 1]] + [behind[segs[x][1]] + score[x] for x in by_start.get(i, ())]
+            m = max(terms)
+            behind[i] = m + math.log(sum(math.exp(t - m) for t in terms))
+        return ahead[n], [math.exp(min(0.0, ahead[s[0]] + score[x] + behind[s[1]] - ahead[n])) for x, s in enumerate(segs)]
+
     def fit(self, data: list[tuple[int, list, set]], epochs: int = 8, rate: float = 0.3, seed: int = 7) -> SemiMarkov:
-        """Maximise the conditional likelihood of the gold segments by AdaGrad; forward and backward sums give the span marginals."""
-        square = np.full(_SIZE, 1e-6)
+        """Maximise the conditional likelihood of the gold segments by AdaGrad over the span marginals."""
+        square = [1e-6] * _SIZE
         order = list(range(len(data)))
         rng = random.Random(seed)
         for _ in range(epochs):
@@ -207,24 +274,9 @@ class SemiMarkov:
                 n, segs, gold = data[k]
                 if not segs:
                     continue
-                score = [self._score(s) for s in segs]
-                ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-                by_end: dict[int, list[int]] = {}
-                by_start: dict[int, list[int]] = {}
-                for x, s in enumerate(segs):
-                    by_end.setdefault(s[1], []).append(x)
-                    by_start.setdefault(s[0], []).append(x)
-                for j in range(1, n + 1):
-                    terms = [ahead[j - 1]] + [ahead[segs[x][0]] + score[x] for x in by_end.get(j, ())]
-                    m = max(terms)
-                    ahead[j] = m + math.log(sum(math.exp(t - m) for t in terms))
-                for i in range(n - 1, -1, -1):
-                    terms = [behind[i + 1]] + [behind[segs[x][1]] + score[x] for x in by_start.get(i, ())]
-                    m = max(terms)
-                    behind[i] = m + math.log(sum(math.exp(t - m) for t in terms))
                 grad: dict[int, float] = {}
-                for x, s in enumerate(segs):
-                    g = (1.0 if s[2:5] in gold else 0.0) - math.exp(min(0.0, ahead[s[0]] + score[x] + behind[s[1]] - ahead[n]))
+                for s, p in zip(segs, self.marginals(n, segs)[1], strict=True):
+                    g = (1.0 if s[2:5] in gold else 0.0) - p
                     if abs(g) > 1e-4:
                         for f in s[5]:
                             grad[f] = grad.get(f, 0.0) + g
@@ -234,10 +286,11 @@ class SemiMarkov:
                     self.weight[f] += rate * g / math.sqrt(square[f])
         return self
 
-    def spans(self, text: str) -> list[Span]:
+    def spans(self, text: str, base: list[Span] = ()) -> list[Span]:
+        """What the field finds beside the ``base`` spans."""
         out = []
-        for lo, hi in windows(text):
-            n, segs = candidates(text, lo, hi)
+        for lo, hi in windows(text, base):
+            n, segs = candidates(text, lo, hi, base)
             out += [(s[2], s[3], s[4]) for s in self.best(n, segs)] if segs else []
         return out
 
@@ -252,7 +305,10 @@ def _rewritten(window: str, span: Span, rng: random.Random) -> tuple[str, Span]:
         dot = rng.choice([".", "(dot)", " (dot) ", "[dot]"])
         s = left + at + right.replace(".", dot)
     elif kind == "phone":
-        s = rng.choice([s[s.index(" ") + 1 :] if " " in s else s[1:], s.replace(" ", "."), s[1:], re.sub(r"[()]", "", s)])
+        d = _digits(s)[-10:]
+        sep = rng.choice([" ", ".", "-"])
+        plain = sep.join((d[:3], d[3:6], d[6:])) if len(d) == 10 else d
+        s = rng.choice([s[s.index(" ") + 1 :] if " " in s else s[1:], s.replace(" ", "."), s[1:], re.sub(r"[()]", "", s), plain, plain])
     elif kind == "card":
         d = _digits(s)
         sep = rng.choice([".", " ", "-"])
@@ -260,8 +316,29 @@ def _rewritten(window: str, span: Span, rng: random.Random) -> tuple[str, Span]:
     return window[:a] + s + window[b:], (kind, a, a + len(s))
 
 
+def _spoiled(window: str, span: Span, rng: random.Random) -> str:
+    """The window with something in the place of its span that looks like it and is nothing."""
+    kind, a, b = span
+    s = window[a:b]
+    if kind == "ip":
+        parts = s.split(".")
+        parts[rng.randrange(4)] = str(rng.randint(256, 9999))
+        s = rng.choice([".".join(parts), f"{s}.{rng.randint(0, 99)}", f"v{s}"])
+    elif kind == "card":
+        d = _digits(s)
+        d = d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10)
+        sep = rng.choice(["", "", ".", " ", "-"])
+        s = sep.join(d[k : k + 4] for k in range(0, len(d), 4))
+    elif kind == "phone":
+        y, m, d = rng.randint(1900, 2099), rng.randint(10, 12), rng.randint(10, 28)
+        s = rng.choice([f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{y}-{m}-{d} {m}.{d}", f"{rng.randint(1, 99)} {m} {d} {y}", str(rng.randint(10**7, 10**12))])
+    else:
+        s = s.replace("@", " ").replace(".", " ")
+    return window[:a] + s + window[b:]
+
+
 def fit_windows(texts: list[str], seed: int = 7, per_kind: int = WINDOWS_PER_KIND) -> SemiMarkov:
-    """Fit on windows of texts: as they are, and rewritten; windows without a base span teach what is nothing."""
+    """Fit on windows of texts: as they are, rewritten, and spoiled; spoiled ones and those without a base span teach what is nothing."""
     rng = random.Random(seed)
     data, used = [], dict.fromkeys((*KINDS, ""), 0)
     for text in texts:
@@ -274,9 +351,12 @@ def fit_windows(texts: list[str], seed: int = 7, per_kind: int = WINDOWS_PER_KIN
             used[kind] += 1
             window = text[lo:hi]
             data.append((*candidates(window, 0, len(window)), set(inside)))
-            if len(inside) == 1 and kind != "ip":
-                other, span = _rewritten(window, inside[0], rng)
-                data.append((*candidates(other, 0, len(other)), {span}))
+            if len(inside) == 1:
+                if kind != "ip":
+                    other, span = _rewritten(window, inside[0], rng)
+                    data.append((*candidates(other, 0, len(other)), {span}))
+                nothing = _spoiled(window, inside[0], rng)
+                data.append((*candidates(nothing, 0, len(nothing)), set()))
     return SemiMarkov().fit(data)
 
 
@@ -301,7 +381,7 @@ def find_spans(text: str | None, model: SemiMarkov) -> tuple[list[Span], list[Sp
     if not text:
         return [], []
     base = base_spans(text)
-    extra = [s for s in model.spans(text) if not any(s[1] < b[2] and b[1] < s[2] for b in base)] if "@" in text or _DIGIT.search(text) or _AT.search(text) else []
+    extra = model.spans(text, base) if "@" in text or _DIGIT.search(text) or _AT.search(text) else []
     return base, sorted({*base, *extra}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

@@ -12,14 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.labelled import held_out, training_rows
 from mnemospark.llm.linear import dual_coordinate_descent, platt
+from mnemospark.session import checkpointed
 
 #: At most this many labelled documents of each class are used for fitting.
 PER_CLASS = 3000
+#: And at most this many n-grams of each class in all, which bounds what the driver holds: documents count in the order of their hash.
+MOST_IDS = 12_000_000
 #: A feature counts if this many of the fitted documents have it.
 LEAST_DOCUMENTS = 5
 _BI, _TRI, _RUNS, _SIZE = 256, 256 + 65536, (1 << 18) - 128, 1 << 18
@@ -101,18 +104,25 @@ def fit_features(rows: list[np.ndarray], y: np.ndarray) -> QualityModel:
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
-    """Fit on at most ``per_class`` labelled documents of each class that are not held out."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, most_ids: int = MOST_IDS) -> QualityModel:
+    """Fit on at most ``per_class`` labelled documents and ``most_ids`` n-grams of each class, none of them held out.
+
+    Null texts count as empty; labels that are null or of unknown ids are left out; without labels every score is 0.5.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [indicators(t).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column(1)], ["ids", "y"])
-
-    rows = training_rows(docs, labels, label, per_class).select(F.col("text").cast("binary").alias("t"), "y").mapInArrow(run, "ids binary, y int").toArrow()
-    rows = rows.sort_by([("y", "ascending"), ("ids", "ascending")])  # rows arrive in any order
-    y = rows.column("y").to_numpy()
-    return fit_features([np.frombuffer(x, np.int32) for x in rows.column("ids").to_pylist()], y)
+            ids = [indicators(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "y", "n", "ids"])
+
+    chosen = training_rows(docs, labels, label, per_class).select(F.col("doc_id").cast("long").alias("doc_id"), "y", F.col("text").cast("binary").alias("t"))
+    rows = checkpointed(chosen.mapInArrow(run, "doc_id long, y int, n long, ids binary"))
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))  # at most ``per_class`` rows of three numbers
+    few = rows.select("doc_id", "y", "n").withColumn("upto", upto).where(F.col("upto") <= most_ids).select("doc_id")
+    kept = rows.join(F.broadcast(few), "doc_id", "left_semi").select("ids", "y").toArrow()
+    kept = kept.sort_by([("y", "ascending"), ("ids", "ascending")])  # rows arrive in any order
+    y = kept.column("y").to_numpy()
+    return fit_features([np.frombuffer(x, np.int32) for x in kept.column("ids").to_pylist()], y)
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -1,18 +1,23 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
-A version of a text is addressed by its SHA-256. The pass that hashes the versions also tests
-literals without which no rule can match; rules run once for every (blob, rule version) pair
-that the ledger does not hold yet, and findings join back to every row that holds the blob.
+A version of a text is addressed by its SHA-256. The ledger is asked first, by hashes alone, which (blob, rule
+version) pairs it does not hold yet; texts without such a pair meet no pattern at all. The others are
+tested where they lie for literals without which no pending rule can match, rules run once for every
+blob that passes, and findings join back to every row that holds the blob. Clean blobs enter the ledger too.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.session import checkpointed
+from mnemospark.session import broadcast_if_small, checkpointed
+
+#: At most this many unseen blobs are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_BLOBS = 200_000
 
 
 @dataclass(frozen=True)
@@ -53,11 +58,30 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
-def _triggered(text: Column, rules: tuple[Rule, ...]) -> Column:
+def read_ledger(spark: SparkSession, folder: str | None) -> DataFrame:
+    """The ledger stored in a folder; an empty one where there is no folder yet."""
+    if folder:
+        try:
+            return spark.read.schema(LEDGER_SCHEMA).parquet(folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return empty_ledger(spark)
+
+
+def append_ledger(new: DataFrame, folder: str | None) -> None:
+    """Add the rows of a scan to the ledger in a folder; without a folder they are not kept."""
+    if folder:
+        new.write.mode("append").parquet(folder)
+
+
+def _triggered(text: Column, todo: Column | None, rules: tuple[Rule, ...]) -> Column:
+    """Whether some rule of ``todo`` may match; without ``todo``, any rule."""
     hit = F.lit(False)
     for r in rules:
         literal = {"access": "AKIA", "pem": "-----BEGIN", "jwt": "eyJ"}.get(r.kind)
-        hit = hit | (F.contains(text, F.lit(literal)) & text.rlike(r.trigger) if literal else text.rlike(r.trigger))
+        here = F.contains(text, F.lit(literal)) & text.rlike(r.trigger) if literal else text.rlike(r.trigger)
+        hit = hit | (here if todo is None else F.array_contains(todo, r.id) & here)
     return hit
 
 
@@ -87,35 +111,59 @@ def _scan(pending: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return placed.where("sizes is not null and parts >= least").select("blob", "rule", (F.col("end") - F.col("sizes")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-def scan_blobs(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows for every (blob, rule version) of ``blobs (blob, text)`` that ``ledger`` does not hold.
+def _every(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*[F.lit(r.id) for r in rules])
+
 
-    A blob without a match gets rows with no spans: it is known to be clean. ``blobs`` may repeat
-    a blob; it is scanned once.
+def blob_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def unseen_versions(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows (blob, todo): the rule versions that ``ledger`` does not hold for the blobs of ``blobs (blob)``; hashes are all it reads."""
+    here = blobs.select("blob").distinct()
+    held = ledger.where(F.col("rule").isin([r.id for r in rules])).join(here, "blob", "left_semi").groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    todo = F.array_except(_every(rules), F.coalesce("seen", F.array().cast("array<string>")))
+    return here.join(held, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def _with_todo(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """``rows (blob, text, ...)`` whose blobs have something to scan, with ``todo``, and the unseen (blob, todo).
+
+    An empty ledger knows nothing, so that every row is asked where it lies; otherwise the unseen blobs
+    are found by their hashes, and texts are shuffled only if those are too many to broadcast.
     """
-    ids = F.array(*[F.lit(r.id) for r in rules])
-    seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    fresh = blobs.dropDuplicates(["blob"]).join(seen, "blob", "left")
-    todo = F.array_except(ids, F.coalesce("seen", F.array().cast("array<string>")))
-    pending = checkpointed(fresh.select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0))
-    hits = _scan(pending, rules).groupBy("blob", "rule").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    pairs = pending.select("blob", F.explode("todo").alias("rule"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return pairs.join(hits, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", none).alias("spans"))
+    if ledger.isEmpty():
+        return rows.withColumn("todo", _every(rules)), rows.select("blob").distinct().withColumn("todo", _every(rules))
+    unseen = checkpointed(unseen_versions(rows.select("blob"), ledger, rules))
+    if unseen.isEmpty():
+        return rows.sparkSession.createDataFrame([], rows.withColumn("todo", _every(rules)).schema), unseen
+    return rows.join(broadcast_if_small(unseen, MAX_BROADCAST_BLOBS), "blob"), unseen
 
 
-def _candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``docs`` with ``_blob`` and ``_text``: the text where some rule may match, else null."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_blob": F.sha2(text, 256), "_text": F.when(_triggered(text, rules), text)})
+def _hits(hot: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows (blob, rule, spans) of the matches in ``hot (blob, text, todo)``; a blob that repeats is scanned once."""
+    found = _scan(hot.select("blob", "text", "todo").dropDuplicates(["blob"]), rules)
+    return found.groupBy("blob", "rule").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def _new_rows(unseen: DataFrame, hits: DataFrame) -> DataFrame:
+    """Ledger rows of every pair that was unseen; those without a match have no spans."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return unseen.select("blob", F.explode("todo").alias("rule")).join(hits, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", none).alias("spans"))
 
 
 def _by_blob(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Rows (blob, found): all spans of the current rule versions, by start, then by the order of the rules."""
+    """Rows (blob, found): all spans of the current rule versions, by start, then by the order of the rules; pairs held twice count once."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.id), F.lit(i))])
     rows = ledger.where(F.col("rule").isin([r.id for r in rules]) & (F.size("spans") > 0)).select("blob", "rule", F.explode("spans").alias("s"))
     item = F.struct(F.col("s.start").alias("start"), order[F.col("rule")].alias("place"), F.split("rule", "@")[0].alias("kind"), F.col("s.end").alias("end"))
-    return rows.groupBy("blob").agg(F.sort_array(F.collect_list(item)).alias("found"))
+    return rows.groupBy("blob").agg(F.sort_array(F.collect_set(item)).alias("found"))
+
+
+def _held(ledger: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The rows of the ledger with spans in blobs of this batch."""
+    return ledger.where(F.size("spans") > 0).select("blob", "rule", "spans").join(blobs.select("blob").distinct(), "blob", "left_semi")
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -123,16 +171,27 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tupl
 
     ``found`` is an array of (start, place, kind, end), empty where nothing is found. Append the
     second frame to the stored ledger. A null text counts as empty; null or repeated ids stay
-    rows of their own; other columns, whatever their names, are ignored.
+    rows of their own; other columns, whatever their names, are ignored; empty tables give empty results.
     """
+    fresh = ledger is None or ledger.isEmpty()
     ledger = empty_ledger(docs.sparkSession) if ledger is None else ledger
-    rows = checkpointed(_candidates(docs.select("doc_id", "text"), rules).select("doc_id", F.col("_blob").alias("blob"), F.col("_text").alias("text")))
-    new = checkpointed(scan_blobs(rows.where("text is not null").select("blob", "text"), ledger, rules))
-    found = _by_blob(ledger.select("blob", "rule", "spans").unionByName(new), rules)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", blob_of(F.col("text")).alias("blob"), text.alias("text"))
     none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
-    hit = rows.where("text is not null").select("doc_id", "blob").join(found, "blob", "left")
-    clean = rows.where("text is null").select("doc_id", "blob", none.alias("found"))
-    return hit.select("doc_id", "blob", F.coalesce("found", none).alias("found")).unionByName(clean), new
+    if fresh:  # hashes and candidate texts in one pass
+        tested = checkpointed(rows.select("doc_id", "blob", F.when(_triggered(F.col("text"), None, rules), F.col("text")).alias("text")))
+        hot = tested.where("text is not null").withColumn("todo", _every(rules))
+        unseen = tested.select("blob").distinct().withColumn("todo", _every(rules))
+        maybe, clean = hot, tested.where("text is null")
+    else:
+        todo, unseen = _with_todo(rows, ledger, rules)
+        hot = checkpointed(todo.where(_triggered(F.col("text"), F.col("todo"), rules)).select("blob", "text", "todo"))
+        maybe, clean = checkpointed(rows.select("doc_id", "blob")), None
+    hits = checkpointed(_hits(hot, rules))
+    found = _by_blob(hits if fresh else hits.unionByName(_held(ledger, maybe)), rules)
+    out = maybe.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
+    out = out if clean is None else out.unionByName(clean.select("doc_id", "blob", none.alias("found")))
+    return out, _new_rows(unseen, hits)
 
 
 def digest(findings: DataFrame) -> DataFrame:
@@ -145,33 +204,51 @@ def digest(findings: DataFrame) -> DataFrame:
     )
 
 
-def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mark`` and ``n_chars`` counted again; no row goes.
+def redact_with_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with every found span replaced by ``mark`` and ``n_chars`` counted again, and the ledger rows that this adds; no row goes.
 
-    Spans that touch or overlap become one mark. Only rows that may hold a secret are shuffled.
+    Spans that touch or overlap become one mark. Only rows that may hold a secret are shuffled, unless the ledger knows more blobs
+    with secrets than can be broadcast. Null and empty texts, null and repeated ids stay as they are; all columns stay, whatever their names.
     """
     ledger = empty_ledger(docs.sparkSession) if ledger is None else ledger
-    rows = _candidates(docs, rules)
-    maybe = checkpointed(rows.where("_text is not null"))
-    new = checkpointed(scan_blobs(maybe.select(F.col("_blob").alias("blob"), F.col("_text").alias("text")), ledger, rules))
-    found = _by_blob(ledger.select("blob", "rule", "spans").unionByName(new), rules).select("blob", F.explode("found").alias("s")).select("blob", "s.start", "s.end")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    if ledger.isEmpty():
+        hot = _triggered(F.col("text"), None, rules)
+        maybe = checkpointed(rows.where(hot))
+        rest = rows.where(~hot)
+        unseen = rows.select("blob").distinct().withColumn("todo", _every(rules))
+        hits = checkpointed(_hits(maybe.withColumn("todo", _every(rules)), rules))
+        known = hits
+    else:
+        todo, unseen = _with_todo(rows.select("blob", "text"), ledger, rules)
+        hits = checkpointed(_hits(todo.where(_triggered(F.col("text"), F.col("todo"), rules)), rules))
+        known = checkpointed(hits.unionByName(_held(ledger.where(F.col("rule").isin([r.id for r in rules])), rows)))
+        bad = broadcast_if_small(known.select("blob").distinct(), MAX_BROADCAST_BLOBS)
+        maybe, rest = rows.join(bad, "blob", "left_semi"), rows.join(bad, "blob", "left_anti")
+    found = _by_blob(known, rules).select("blob", F.explode("found").alias("s")).select("blob", "s.start", "s.end")
     order = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     step = found.withColumn("reach", reach).withColumn("g", F.sum(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joined = step.groupBy("blob", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = joined.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts")).withColumnRenamed("blob", "_blob")
-    after = lambda c, i: F.coalesce(F.get("_cuts", i + 1).getField("start"), F.length("_text").cast("long"))
-    tail = F.transform("_cuts", lambda c, i: F.concat(F.lit(mark), F.substring(F.col("_text"), (c.end + 1).cast("int"), (after(c, i) - c.end).cast("int"))))
-    text = F.concat(F.substring(F.col("_text"), F.lit(1), F.col("_cuts")[0].start.cast("int")), F.array_join(tail, ""))
-    out = maybe.join(cuts, "_blob", "left").withColumn("_new", F.when(F.col("_cuts").isNotNull(), text).otherwise(F.col("_text")))
-    changed = F.col("_cuts").isNotNull()
+    cuts = joined.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    after = lambda c, i: F.coalesce(F.get("cuts", i + 1).getField("start"), F.length("text").cast("long"))
+    tail = F.transform("cuts", lambda c, i: F.concat(F.lit(mark), F.substring(F.col("text"), (c.end + 1).cast("int"), (after(c, i) - c.end).cast("int"))))
+    text = F.concat(F.substring(F.col("text"), F.lit(1), F.col("cuts")[0].start.cast("int")), F.array_join(tail, ""))
+    changed = F.col("cuts").isNotNull()
+    out = maybe.join(cuts, "blob", "left").select("row", "cuts", F.when(changed, text).alias("new"))
     cols = [
-        F.when(changed, F.col("_new")).otherwise(F.col("text")).alias(c) if c == "text"
-        else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars"
-        else F.col(c)
+        F.when(changed, F.col("new")).otherwise(F.col("row.text")).alias(c) if c == "text"
+        else F.when(changed, F.length("new").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars"
+        else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ]
-    return out.select(*cols).unionByName(rows.where("_text is null").select(*docs.columns))
+    return out.select(*cols).unionByName(rest.select("row.*")), _new_rows(unseen, hits)
+
+
+def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """The first frame of ``redact_with_ledger``."""
+    return redact_with_ledger(docs, ledger, rules, mark)[0]
 
 
 def _oracle_kind(kind: str, place: int, pattern: str, group: int, least: int) -> str:

@@ -217,7 +217,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows with a null id cannot be compared by id and stay. Different texts under one id are judged
     each by its own component; where several rows of a component bear its smallest id, the text with the smallest
-    hash stays, once. Texts are shuffled only for ids that repeat, or where the losers are too many to broadcast.
+    hash stays, once. Null and empty texts are like any other; an empty input stays empty; other columns, whatever their names, stay. Texts are shuffled only for ids that repeat, or where the losers are too many to broadcast.
     """
     prints = checkpointed(fingerprints(docs))
     rows = prints.where("doc_id is not null").join(_classes(prints, radius), "fp")
@@ -226,7 +226,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     odd = checkpointed(ids.where("lost or n > 1").select("doc_id", "n"))
     once = docs.join(broadcast_if_small(odd.select("doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_anti")
     many = broadcast_if_small(odd.where("n > 1").select("doc_id"), MAX_BROADCAST_IDS)
-    stay = checkpointed(rows.where(first).join(many, "doc_id", "left_semi").groupBy("group", "doc_id").agg(F.min("mark").alias("_mark")).select("doc_id", "_mark"))
-    marked = docs.join(many, "doc_id", "left_semi").withColumn("_mark", text_mark(F.col("text")))
-    again = marked.join(broadcast_if_small(stay, MAX_BROADCAST_IDS), ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return once.select(docs.columns).unionByName(again.select(docs.columns))
+    stay = checkpointed(rows.where(first).join(many, "doc_id", "left_semi").groupBy("group", "doc_id").agg(F.min("mark").alias("mark")).select("doc_id", "mark"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.join(many, "doc_id", "left_semi").select(whole, F.col("doc_id"), text_mark(F.col("text")).alias("mark"))
+    again = marked.join(broadcast_if_small(stay, MAX_BROADCAST_IDS), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).unionByName(again.select("row.*"))

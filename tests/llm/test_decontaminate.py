@@ -103,3 +103,24 @@ def test_items_dense_in_numbers(spark):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id, r.coverage) for r in contaminated(df, bench).collect()} == {(0, 0, 1.0), (2, 1, 1.0)}
+
+
+def test_short_items_match_as_a_whole(spark):
+    items = [(0, "too short here"), (1, "Paris"), (2, "42 kg"), (3, LONG)]
+    texts = ["this is too short here indeed", "too short, HERE", "too short or here", "in paris. now", "parisian", "it weighs 42 kg today", "it weighs 43 kg today", LONG]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched_words, r.item_words) for r in contaminated(df, bench, short_items=True).collect()}
+    assert got == {(0, 0, 3, 3), (1, 0, 3, 3), (3, 1, 1, 1), (5, 2, 2, 2), (7, 3, len(LONG.split()), len(LONG.split()))}
+    assert {r.doc_id for r in contaminated(df, bench).collect()} == {7}
+
+
+def test_slot_marks_in_a_text_are_no_slots_and_columns_may_clash(spark):
+    text = "5 of the bob seven small boats went past"
+    df = spark.createDataFrame([(1, text, "a", "b"), (2, "clean text of five words", "c", "d")], "doc_id long, text string, key string, row string")
+    bench = spark.createDataFrame([(0, "9 of the ann seven small boats went past")], "item_id long, text string")
+    assert contaminated(df.limit(0), bench).count() == 0
+    words_ = df.select(canonical_words(canonical_text(F.col("text"))).alias("w")).first().w
+    assert [w for w in words_ if slot(w)] == ["5"]
+    kept = drop_contaminated(df, spark.createDataFrame([(0, text)], "item_id long, text string"))
+    assert kept.columns == df.columns and [r.key for r in kept.collect()] == ["c"]

@@ -1,10 +1,14 @@
 import hashlib
+import random
 import re
+import time
+
+import numpy as np
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mnemospark.llm.pii import KINDS, base_spans, digest, find_pii, find_spans, fit_pii, fit_windows, luhn
+from mnemospark.llm.pii import KINDS, SemiMarkov, base_spans, digest, find_pii, find_spans, fit_pii, fit_windows, luhn
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -63,3 +67,60 @@ def test_query_rows(spark):
     for r in got:
         assert ((r.n_email, r.n_ip, r.n_card, r.n_phone), r.base_sha256) in want[r.doc_id]
     assert digest(find_pii(df.limit(0), fit_pii(df.limit(0)))).count() == 0
+
+
+def segmentations(n, segs, at=0):
+    """All ways to cover tokens from ``at`` on by single tokens outside and by segments."""
+    if at == n:
+        yield []
+        return
+    for rest in segmentations(n, segs, at + 1):
+        yield rest
+    for x, s in enumerate(segs):
+        if s[0] == at:
+            for rest in segmentations(n, segs, s[1]):
+                yield [x, *rest]
+
+
+def test_best_and_marginals_match_all_segmentations():
+    rng = random.Random(5)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        segs = []
+        for _ in range(rng.randint(0, 6)):
+            a = rng.randrange(n)
+            segs.append((a, rng.randint(a + 1, n), rng.choice(KINDS), a, a, [rng.randrange(50) for _ in range(3)]))
+        model = SemiMarkov(np.array([rng.gauss(0, 1) for _ in range(50)]))
+        every = list(segmentations(n, segs))
+        score = [sum(model._score(segs[x]) for x in way) for way in every]
+        assert np.isclose(sum(model._score(s) for s in model.best(n, segs)), max(score))
+        total, got = model.marginals(n, segs)
+        weight = np.exp(np.array(score) - total)
+        assert np.isclose(weight.sum(), 1)
+        assert np.allclose(got, [sum(w for w, way in zip(weight, every) if x in way) for x in range(len(segs))])
+
+
+def test_fit_follows_the_slope_of_the_likelihood():
+    data = [(4, [(0, 2, "phone", 0, 5, [1, 2]), (1, 3, "card", 2, 7, [1, 3]), (3, 4, "ip", 8, 9, [4])], {("phone", 0, 5)})]
+    before, after = SemiMarkov(np.zeros(1 << 13)), SemiMarkov(np.zeros(1 << 13)).fit(data, epochs=30)
+    gold = lambda m: sum(m._score(s) for s in data[0][1] if s[2:5] in data[0][2]) - m.marginals(*data[0][:2])[0]
+    assert gold(after) > gold(before) and gold(after) > -0.3
+
+
+def test_what_the_field_learns_to_find_and_to_leave():
+    model = fit_windows(texts())
+    for text, want in (("call me at 626 555 1234 please", ("phone", 11, 23)), ("or (626) 555-1234.", ("phone", 3, 17)), ("ann.b7(at)mail1.example.com now", ("email", 0, 27)), ("a card 4111.1111.1111.1111 there", ("card", 7, 26))):
+        assert want in find_spans(text, model)[1], text
+    name = "a" * 40 + "." + "b" * 40
+    spelled = f"see {name} (at) {'c' * 35}(dot)example(dot)com for more"
+    assert ("email", 4, len(spelled) - 9) in find_spans(spelled, model)[1]
+    for text in ("version 1.2.3.4567 is out", "release 10.20.30.400 here", "on 2024-01-15 it rained", "build 1.2.3.4.5", "number 4111 1111 1111 1112 fails"):
+        assert [s for s in find_spans(text, model)[1] if s not in find_spans(text, model)[0]] == [], text
+
+
+def test_long_numeric_texts_take_linear_time():
+    model = fit_windows(texts())
+    for piece in ("1-2 ", "1.2.", "12 ", "(1) ", "a@", "1", "+1 ", "7@x.y "):
+        start = time.time()
+        find_spans(piece * 20_000, model)
+        assert time.time() - start < 8, piece

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from mnemospark.llm.secrets import BASE_RULES, RULES, digest, empty_ledger, redact_secrets, scan_documents
+from mnemospark.llm.secrets import BASE_RULES, RULES, append_ledger, digest, empty_ledger, read_ledger, redact_secrets, redact_with_ledger, scan_documents, unseen_versions
 
 SCHEMA = "doc_id long, text string, blob string, found int, n_chars long"
 KEY = "A" * 20
@@ -84,3 +84,40 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert digest(scan_documents(df)[0]).count() == 0
     assert redact_secrets(df).count() == 0
+
+
+def test_a_second_run_meets_no_pattern(spark, tmp_path):
+    df = frame(spark)
+    folder = str(tmp_path / "ledger")
+    assert read_ledger(spark, folder).count() == 0
+    first, new = redact_with_ledger(df, read_ledger(spark, folder))
+    append_ledger(new, folder)
+    ledger = read_ledger(spark, folder)
+    assert ledger.select("blob").distinct().count() == len({t or "" for t in TEXTS}) + 1  # clean blobs are known too
+    assert ledger.count() == ledger.select("blob").distinct().count() * len(RULES)
+    assert unseen_versions(ledger.select("blob"), ledger).count() == 0
+    again, none = redact_with_ledger(df, ledger)
+    assert none.count() == 0
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    found, _ = scan_documents(df, ledger)
+    plan = found._jdf.queryExecution().optimizedPlan().toString() + again._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan.lower()
+    assert sorted(map(str, digest(found).collect())) == sorted(map(str, digest(scan_documents(df)[0]).collect()))
+
+
+def test_a_batch_with_old_and_new_versions(spark):
+    df = frame(spark)
+    _, old = scan_documents(df.where("doc_id < 5"))
+    old = old.unionByName(old)  # rows that two writers added
+    found, new = scan_documents(df, old)
+    assert sorted(map(str, digest(found).collect())) == sorted(map(str, digest(scan_documents(df)[0]).collect()))
+    assert new.join(old, ["blob", "rule"], "left_semi").count() == 0
+    redacted, _ = redact_with_ledger(df, old)
+    assert sorted(map(str, redacted.collect())) == sorted(map(str, redact_secrets(df).collect()))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", 3, "a", "b")], "doc_id long, text string, row int, blob string, `todo.x` string")
+    got = redact_secrets(df)
+    assert got.columns == df.columns
+    assert [tuple(r) for r in got.collect()] == [(1, "[SECRET]", 3, "a", "b")]
