@@ -95,3 +95,28 @@ def test_opposite_vectors_and_outliers_are_met(spark):
     lists = _merged(_first_lists(spark.createDataFrame(nodes, "node long, code binary"), len(nodes), 8, DEGREE), DEGREE).collect()
     assert len(lists) == len(nodes)
     assert {len(r.pairs) // _PAIR.itemsize for r in lists} == {DEGREE}
+
+
+def test_recall_holds_as_the_table_grows(spark):
+    rng = np.random.default_rng(12)
+    for n, asks in ((2000, 20), (12000, 50)):
+        assert unit_recall(spark, rng.normal(size=(n, 64)).astype(np.float32), asks) >= 0.9
+
+
+def test_lengths_and_scales_are_searched_each_by_itself(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist(), 1, "x") for i in range(100)]
+    rows += [(1000 + i, rng.normal(size=3).tolist(), 1, "x") for i in range(60)]
+    rows += [(2000 + i, (rng.normal(size=5) * 10.0 ** (3 * (i % 12))).tolist(), 1, "x") for i in range(60)]
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    vecs = {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows}
+    assert set(got) == {0, 50, 1000, 1050, 2000, 2050}
+    for q, mine in got.items():
+        unit = lambda x: x / np.linalg.norm(x)
+        want = sorted((-round(float(unit(vecs[q]) @ unit(v)), 9), i) for i, v in vecs.items() if i != q and len(v) == len(vecs[q]))[:5]
+        assert {i for _, i, _ in mine} == {i for _, i in want}
+    wide = [(0, [1e200, 2e200], 1, "x"), (1, [2e-200, 4e-200], 1, "x"), (2, [-1e200, 1.0], 1, "x")]
+    far = nearest_neighbours(spark.createDataFrame(wide, "vec_id long, embedding array<double>, label int, score string"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in far] == [1, 2] and abs(far[0].score - 1) < 1e-9
