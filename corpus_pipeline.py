@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm.decontaminate import drop_contaminated
 from mnemospark.llm.mixture import take_mixture
-from mnemospark.llm.secrets import redact_secrets
+from mnemospark.llm.secrets import append_ledger, read_ledger, redact_with_ledger
 from mnemospark.llm.simhash import drop_near_duplicates
 from mnemospark.llm.toxicity import drop_toxic, fit_toxicity
 from mnemospark.session import ensure_checkpoint_dir, read_table
@@ -32,12 +32,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text become marks."""
-    return redact_secrets(docs)
+    """Every document stays; secrets in its text become marks.
+
+    Where ``spark.mnemospark.secrets.ledger`` names a folder, only versions that the ledger there lacks are
+    scanned, and what this scan learns is appended to it.
+    """
+    folder = spark.conf.get("spark.mnemospark.secrets.ledger", None)
+    redacted, new = redact_with_ledger(docs, read_ledger(spark, folder))
+    append_ledger(new, folder)
+    return redacted
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
