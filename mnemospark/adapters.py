@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.session import read_table
+from mnemospark.session import broadcast_if_small, read_table
+
+#: More nations than this are joined by a shuffle.
+MAX_NATIONS = 10_000
 
 NOW = "2024-02-01 00:00:00"
 
@@ -25,7 +28,7 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read_table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS id", "'company' AS kind", "CAST(NULL AS STRING) AS parent_id", "concat('r', r_regionkey) AS path", "1 AS depth")
     n = read_table(spark, sf_dir, "nation")
     nations = n.selectExpr("concat('n', n_nationkey) AS id", "'team' AS kind", "concat('r', n_regionkey) AS parent_id", "concat('r', n_regionkey, '.n', n_nationkey) AS path", "2 AS depth")
-    c = read_table(spark, sf_dir, "customer").join(F.broadcast(n.select("n_nationkey", "n_regionkey")), F.expr("c_nationkey = n_nationkey"))
+    c = read_table(spark, sf_dir, "customer").join(broadcast_if_small(n.select("n_nationkey", "n_regionkey"), MAX_NATIONS), F.expr("c_nationkey = n_nationkey"))
     users = c.selectExpr("concat('c', c_custkey) AS id", "'user' AS kind", "concat('n', c_nationkey) AS parent_id", "concat('r', n_regionkey, '.n', c_nationkey, '.c', c_custkey) AS path", "3 AS depth")
     return r.unionByName(nations).unionByName(users)
 
@@ -36,6 +39,61 @@ SCOPES_SQL = """scopes AS (
   UNION ALL SELECT 'c' || c_custkey, 'user', 'n' || c_nationkey, 'r' || n_regionkey || '.n' || c_nationkey || '.c' || c_custkey, 3 FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
+def owned_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scopes`` with ``principal_id``, the owner: the group or customer of the scope's own id."""
+    return scopes(spark, sf_dir).withColumn("principal_id", F.col("id"))
+
+
+OWNED_SCOPES_SQL = SCOPES_SQL.replace("scopes AS (", "tree AS (", 1) + ", scopes AS (SELECT *, id AS principal_id FROM tree)"
+
+
+def system_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(principal_id): the first region."""
+    return read_table(spark, sf_dir, "region").where("r_regionkey = 0").selectExpr("concat('r', r_regionkey) AS principal_id")
+
+
+SYSTEM_ADMINS_SQL = "system_admins AS (SELECT 'r' || r_regionkey AS principal_id FROM region WHERE r_regionkey = 0)"
+
+
+def asked_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(principal_id, scope_id): every customer and nation asks for its own scope, those above it, a nation and a region beside it."""
+    c = read_table(spark, sf_dir, "customer").join(broadcast_if_small(read_table(spark, sf_dir, "nation"), MAX_NATIONS), F.expr("c_nationkey = n_nationkey"))
+    each = c.selectExpr("concat('c', c_custkey) AS principal_id", "explode(array(concat('c', c_custkey), concat('n', c_nationkey), concat('r', n_regionkey), concat('n', (c_nationkey + 3) % 25), concat('c', c_custkey + 5), concat('r', (n_regionkey + 1) % 5))) AS scope_id")
+    n = read_table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) AS principal_id", "explode(array(concat('n', n_nationkey), concat('r', n_regionkey), concat('n', (n_nationkey + 1) % 25))) AS scope_id")
+    r = read_table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS principal_id", "explode(array(concat('r', r_regionkey), concat('n', r_regionkey), concat('r', (r_regionkey + 1) % 5))) AS scope_id")
+    return each.unionByName(n).unionByName(r)
+
+
+ASKED_SCOPES_SQL = """asked AS (
+  SELECT 'c' || c_custkey AS principal_id, unnest(['c' || c_custkey, 'n' || c_nationkey, 'r' || n_regionkey, 'n' || ((c_nationkey + 3) % 25), 'c' || (c_custkey + 5), 'r' || ((n_regionkey + 1) % 5)]) AS scope_id
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT 'n' || n_nationkey, unnest(['n' || n_nationkey, 'r' || n_regionkey, 'n' || ((n_nationkey + 1) % 25)]) FROM nation
+  UNION SELECT 'r' || r_regionkey, unnest(['r' || r_regionkey, 'n' || r_regionkey, 'r' || ((r_regionkey + 1) % 5)]) FROM region)"""
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token_id, principal_id, permissions, scope_ids, revoked_at, expires_at): one token for every customer, some bound to scopes, revoked, expired or invalid."""
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        "concat('t', c_custkey) AS token_id", "concat('c', c_custkey) AS principal_id",
+        "CASE c_custkey % 5 WHEN 0 THEN array('read') WHEN 1 THEN array('memories:read', 'memories:write', 'skills:read') WHEN 2 THEN array('admin') WHEN 3 THEN array('write', 'graph:read') ELSE array('graph:write', 'read') END AS permissions",
+        "CASE WHEN c_custkey % 4 = 0 THEN array(concat('n', c_nationkey)) WHEN c_custkey % 4 = 1 THEN CAST(array() AS ARRAY<STRING>) END AS scope_ids",
+        f"CASE WHEN c_custkey % 11 = 0 THEN timestamp'{NOW}' - INTERVAL 1 DAY END AS revoked_at",
+        f"CASE WHEN c_custkey % 7 = 0 THEN timestamp'{NOW}' - INTERVAL 1 DAY WHEN c_custkey % 7 = 1 THEN timestamp'{NOW}' + INTERVAL 1 DAY END AS expires_at",
+    )
+
+
+def sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artifact_id, grantee_scope_id, expires_at): every seventh artifact is shared with a nation or a region."""
+    return read_table(spark, sf_dir, "documents").where("doc_id % 21 = 0").selectExpr(
+        "doc_id AS artifact_id", "CASE WHEN doc_id % 2 = 0 THEN concat('r', doc_id % 5) ELSE concat('n', doc_id % 25) END AS grantee_scope_id",
+        f"CASE WHEN doc_id % 4 = 0 THEN timestamp'{NOW}' - INTERVAL 1 DAY WHEN doc_id % 4 = 1 THEN timestamp'{NOW}' + INTERVAL 1 DAY END AS expires_at",
+    )
+
+
+SHARING_SQL = f"""sharing AS (SELECT doc_id AS artifact_id, CASE WHEN doc_id % 2 = 0 THEN 'r' || (doc_id % 5) ELSE 'n' || (doc_id % 25) END AS grantee_scope_id,
+  CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '{NOW}' - INTERVAL 1 DAY WHEN doc_id % 4 = 1 THEN TIMESTAMP '{NOW}' + INTERVAL 1 DAY END AS expires_at FROM documents WHERE doc_id % 21 = 0)"""
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as memories; every fifth belongs to a region, the others to a nation."""
     return read_table(spark, sf_dir, "documents").selectExpr(

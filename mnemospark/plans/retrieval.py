@@ -153,14 +153,18 @@ def digest_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.without_digested(R.best(_knowledge(spark, sf_dir), 60), _digests(spark, sf_dir)), "score")
 
 
-@query("artifact_visibility", f"""WITH {A.ARTIFACTS_SQL}, {A.SCOPES_SQL}
-SELECT a.id, a.visibility, a.owner_scope_id FROM artifacts a WHERE status = 'published' AND ((visibility = 'project' AND owner_scope_id = 'n3')
-  OR (visibility IN ('team', 'department') AND owner_scope_id IN (SELECT u.id FROM scopes u, scopes t WHERE t.id = 'n3' AND (t.path = u.path OR starts_with(t.path, u.path || '.'))))
-  OR visibility = 'company' OR a.id % 21 = 0)""")
+@query("artifact_visibility", f"""WITH {A.ARTIFACTS_SQL}, {A.SCOPES_SQL}, {A.SHARING_SQL}, q AS (SELECT id AS asked_scope, path FROM scopes WHERE kind <> 'user')
+SELECT q.asked_scope, a.id, a.visibility, a.owner_scope_id FROM q, artifacts a JOIN scopes s ON s.id = a.owner_scope_id
+WHERE status = 'published' AND ((visibility = 'project' AND owner_scope_id = asked_scope)
+  OR (visibility IN ('team', 'department') AND (s.path = q.path OR starts_with(q.path, s.path || '.')))
+  OR (visibility = 'company' AND s.kind = 'company')
+  OR a.id IN (SELECT artifact_id FROM sharing g JOIN scopes gs ON gs.id = g.grantee_scope_id WHERE (gs.path = q.path OR starts_with(q.path, gs.path || '.')) AND (g.expires_at IS NULL OR g.expires_at > TIMESTAMP '{A.NOW}')))""")
 def artifact_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every nation and region may see."""
     rows = A.artifacts(spark, sf_dir).where("status = 'published'")
-    shared = rows.where("id % 21 = 0").select(F.col("id").alias("artifact_id"))
-    return S.visible(rows, A.scopes(spark, sf_dir), "n3", shared).select("id", "visibility", "owner_scope_id")
+    asked = A.scopes(spark, sf_dir).where("kind <> 'user'").select(F.col("id").alias("asked_scope"))
+    found = S.visible(rows, A.scopes(spark, sf_dir), asked, A.sharing(spark, sf_dir), A.now())
+    return found.select("asked_scope", "id", "visibility", "owner_scope_id")
 
 
 @query("skill_recall", f"""WITH {A.SKILLS_SQL}, q AS (SELECT {_TRI.format("'large steel'")} AS b), c AS (SELECT *, {_TRI.format("name || ' ' || description")} AS a FROM skills, q WHERE status = 'published'),
