@@ -61,19 +61,21 @@ def slug(name: Column) -> Column:
 
 
 #: Fixed list: file extensions of source code.
-CODE_EXTENSIONS = "go|py|js|jsx|ts|tsx|java|kt|c|h|cc|cpp|hpp|cs|rs|rb|php|lua|sh|bash|sql|css|scss|html|tf|hcl|proto|toml|yaml|yml|swift|scala"
-#: Fixed list: words that open a line of code.
-CODE_WORDS = "func|def|class|import|return|package|const|var|let|struct|interface|public|private|static|if|for|while|fn|use|impl"
+CODE_EXTENSIONS = (".go", ".py", ".js", ".ts", ".jsx", ".tsx", ".rs", ".java", ".c", ".cpp", ".h", ".rb", ".sh", ".cs", ".php", ".swift", ".kt", ".scala", ".lua", ".r", ".m", ".ex", ".exs")
+#: Fixed list: words that, with a blank and more after them, make a line look like code.
+CODE_WORDS = ("func", "def", "class", "import", "return", "const", "var", "let")
+_FILLED = r"[^\x09-\x0D\x20\x85\xA0]"
+CODE_LINE = rf"[{{}}]|^\x20\x20\x20\x20|(?:{'|'.join(CODE_WORDS)})\x20[\s\S]*{_FILLED}"
 
 
 def content_kind(content: Column, source_ref: Column) -> Column:
-    """``code`` by the extension of the reference, else if over 40% of the filled lines look like code."""
-    path = source_path(F.coalesce(source_ref, F.lit("")))
-    lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
-    code = F.filter(lines, lambda x: x.rlike(r"[{}]") | x.startswith("    ") | x.rlike(rf"^\s*(?:{CODE_WORDS})\b"))
-    by_lines = F.coalesce(F.try_divide(F.size(code).cast("double"), F.size(lines)), F.lit(0.0)) > 0.4
-    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(extension.rlike(rf"^(?:{CODE_EXTENSIONS})$"), "code").when(extension != "", "text").when(by_lines, "code").otherwise("text")
+    """``code`` or ``text`` by the extension of a ``file:`` reference; without one, ``code`` if over 40% of the filled lines look like code."""
+    path = F.regexp_replace(F.substring(source_ref, 6, 1 << 30), r":[^:]*$", "")
+    extension = F.lower(F.regexp_extract(F.regexp_extract(path, r"([^/]*)$", 1), r"^.+(\.[^.]*)$", 1))
+    extension = F.when(source_ref.startswith("file:"), extension).otherwise("")
+    lines = F.filter(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: x.rlike(_FILLED))
+    by_lines = F.coalesce(F.try_divide(F.size(F.filter(lines, lambda x: x.rlike(CODE_LINE))).cast("double"), F.size(lines)), F.lit(0.0)) > 0.4
+    return F.when(extension.isin(*CODE_EXTENSIONS), "code").when(F.coalesce(extension, F.lit("")) != "", "text").when(by_lines, "code").otherwise("text")
 
 
 def entity_mentions(content: Column, source_ref: Column, max_concepts: int = 10) -> Column:

@@ -24,14 +24,26 @@ def days_since(then: Column, now: Column) -> Column:
     return (F.unix_timestamp(now) - F.unix_timestamp(then)) / F.lit(86400.0)
 
 
-def by_vector(rows: DataFrame, query: Column, limit: int) -> DataFrame:
-    """(id, vector): the nearest rows by cosine; rows without a vector do not take part."""
-    return rows.where("vec is not null").select("id", cosine_similarity(F.col("vec"), query).alias("vector")).orderBy(F.desc("vector"), "id").limit(limit)
+def by_vector(rows: DataFrame, query: DataFrame, limit: int) -> DataFrame:
+    """(id, vector): the rows nearest to the one vector ``q`` of ``query``; rows without a vector do not take part, and without a query there are none."""
+    near = rows.where("vec is not null").crossJoin(F.broadcast(query.select("q").where("q is not null").limit(1)))
+    return near.select("id", F.round(cosine_similarity(F.col("vec"), F.col("q")), 9).alias("vector")).orderBy(F.desc("vector"), "id").limit(limit)
+
+
+def by_first_vectors(rows: DataFrame, tables: list[DataFrame], query: DataFrame, limit: int) -> DataFrame:
+    """``by_vector`` over the first of ``tables (id, vec)`` that gives any candidate for ``rows (id)``: a model's own table, then the vectors kept with the rows."""
+    found = None
+    for t in tables:
+        found = by_vector(t.join(rows.select("id"), "id", "left_semi"), query, limit)
+        if t is tables[-1] or not found.isEmpty():
+            break
+    return found
 
 
 def by_trigram(rows: DataFrame, query: str, limit: int, column: str = "content") -> DataFrame:
     score = jaccard(trigrams(F.col(column)), trigrams(F.lit(query)))
-    return rows.select("id", score.alias("trigram")).where(F.col("trigram") > TRIGRAM_CUT).orderBy(F.desc("trigram"), "id").limit(limit)
+    # cutting after the limit keeps the same rows and computes each score once
+    return rows.select("id", score.alias("trigram")).orderBy(F.desc("trigram"), "id").limit(limit).where(F.col("trigram") > TRIGRAM_CUT)
 
 
 def by_terms(rows: DataFrame, query: str, limit: int, column: str = "content") -> DataFrame:
@@ -40,8 +52,69 @@ def by_terms(rows: DataFrame, query: str, limit: int, column: str = "content") -
     here = words(F.col(column))
     hits = F.size(F.filter(here, lambda w: F.array_contains(terms, w)))
     every = F.size(F.array_except(terms, here)) == 0
-    scored = rows.select("id", every.alias("every"), (hits.cast("double") / F.greatest(F.size(here), F.lit(1))).alias("text"))
-    return scored.where("every").select("id", "text").orderBy(F.desc("text"), "id").limit(limit)
+    scored = rows.select("id", F.when(every, hits.cast("double") / F.greatest(F.size(here), F.lit(1))).alias("text"))
+    return scored.orderBy(F.desc_nulls_last("text"), "id").limit(limit).where("text is not null")
+
+
+def recall_memories(
+    rows: DataFrame, now: Column, query: str, vector: DataFrame, tables: list[DataFrame], code_vector: DataFrame | None = None, code_tables: list[DataFrame] | None = None,
+    mode: str = "hybrid", limit: int = 10, types: list[str] | None = None, since: Column | None = None, until: Column | None = None, min_score: float = 0.0,
+) -> DataFrame:
+    """(id, memory_type, score): the best memories for a query in one of three modes.
+
+    ``text`` asks the vectors only; ``code`` the code vectors, and words where there are none; ``hybrid`` vectors, words and trigrams.
+    The window ``since`` to ``until`` holds for candidates; ``types`` and ``min_score`` for what is scored.
+    """
+    rows = rows if since is None else rows.where(F.col("created_at") >= since)
+    rows = rows if until is None else rows.where(F.col("created_at") <= until)
+    if mode == "code":
+        found = by_first_vectors(rows, code_tables, code_vector, 2 * limit) if code_tables else None
+        signals = [by_terms(rows, query, 2 * limit) if found is None or found.isEmpty() else found]
+    else:
+        signals = [by_first_vectors(rows, tables, vector, 2 * limit)]
+        if mode == "hybrid":
+            signals += [by_terms(rows, query, 2 * limit), by_trigram(rows, query, 2 * limit)]
+    scored = rows.drop("content").join(F.broadcast(merged(*signals)), "id").withColumn("score", memory_score(now))
+    scored = scored if not types else scored.where(F.col("memory_type").isin(types))
+    return best(scored.select("id", "memory_type", "score"), limit, min_score)
+
+
+def recall_skills(rows: DataFrame, query: str, vector: DataFrame, tables: list[DataFrame], agent: str = "any", limit: int = 20, min_score: float = 0.0) -> DataFrame:
+    """(id, score): published skills for an agent type by vector, words and trigrams of ``content``, their use, and full recency."""
+    rows = rows.where((F.col("status") == "published") & (F.array_contains("agent_types", "any") | F.array_contains("agent_types", agent)))
+    signals = [by_first_vectors(rows, tables, vector, 2 * limit), by_terms(rows, query, 2 * limit), by_trigram(rows, query, 2 * limit)]
+    score = base_score(F.least(F.col("invocation_count") / 100.0, F.lit(1.0)), F.lit(1.0))
+    return best(rows.select("id", "invocation_count").join(F.broadcast(merged(*signals)), "id").select("id", score.alias("score")), limit, min_score)
+
+
+def combine_layers(memories: DataFrame, knowledge: DataFrame, skills: DataFrame, limit: int, min_score: float = 0.0) -> DataFrame:
+    """(layer, id, score, content, full_content_available): the best of three layers of ``(id, score, content)`` rows.
+
+    Memories (with ``promoted_to``) whose artifact is among the results go; knowledge (with ``summary``) shows its summary where it has one.
+    """
+    short = F.coalesce(F.length("summary") > 0, F.lit(False))
+    known = knowledge.select(F.lit("knowledge").alias("layer"), "id", "score", F.when(short, F.col("summary")).otherwise(F.col("content")).alias("content"), short.alias("full_content_available"))
+    own = without_promoted(memories, knowledge).select(F.lit("memory").alias("layer"), "id", "score", "content", F.lit(False).alias("full_content_available"))
+    able = skills.select(F.lit("skill").alias("layer"), "id", "score", "content", F.lit(False).alias("full_content_available"))
+    return known.unionByName(own).unionByName(able).where(F.col("score") >= min_score).orderBy(F.desc("score"), "layer", "id").limit(limit)
+
+
+def near_probe(asked: DataFrame, memories: DataFrame, distance: float = 0.05, limit: int = 5) -> DataFrame:
+    """(asked_id, id, distance): for every new memory ``asked (id, scope_id, vec)`` the active ones of its scope within a distance, the nearest ``limit``."""
+    new = asked.select(F.col("id").alias("asked_id"), "scope_id", F.col("vec").alias("asked_vec"))
+    near = new.join(memories.where("is_active and vec is not null").select("id", "scope_id", "vec"), "scope_id").where("id <> asked_id")
+    found = near.select("asked_id", "id", F.round(1 - cosine_similarity(F.col("vec"), F.col("asked_vec")), 9).alias("distance")).where(F.col("distance") <= distance)
+    place = F.row_number().over(Window.partitionBy("asked_id").orderBy("distance", "id"))
+    return found.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+
+
+def query_similar(table: DataFrame, scopes: DataFrame, query: DataFrame, object_type: str, scope_path: str | None = None, limit: int = 20) -> DataFrame:
+    """(object_id, score): the nearest objects of a type in a model's table ``(object_type, object_id, scope_id, vec)``, within the scopes at or below a path."""
+    rows = table.where(F.col("object_type") == object_type)
+    if scope_path:
+        inside = (F.col("path") == scope_path) | F.col("path").startswith(f"{scope_path}.")
+        rows = rows.join(scopes.where(inside).select(F.col("id").alias("scope_id")), "scope_id", "left_semi")
+    return by_vector(rows.select(F.col("object_id").alias("id"), "vec"), query, limit).select(F.col("id").alias("object_id"), F.col("vector").alias("score"))
 
 
 def merged(*signals: DataFrame) -> DataFrame:
@@ -115,7 +188,31 @@ def without_digested(results: DataFrame, digests: DataFrame) -> DataFrame:
     return results.join(present, "id", "left_anti")
 
 
-def pack(rows: DataFrame, budget: int, order: list[Column], tokens: str = "tokens") -> DataFrame:
-    """Rows in order with the running sum of their tokens, marked whether they still fit."""
-    run = F.sum(tokens).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("running", run).withColumn("fits", F.col("running") <= budget)
+def pack(rows: DataFrame, budget: int, order: list[str], keys: list[str]) -> DataFrame:
+    """``keys`` and (tokens, place, running, taken): blocks in ``order`` until the budget is spent; one that does not fit is left out, and later ones may still fit.
+
+    ``rows`` are what a recall with a limit gave: they are folded as one bounded list.
+    """
+    return _folded(rows.withColumn("stub_tokens", F.lit(None).cast("long")), budget, order, keys).drop("stubbed")
+
+
+def pack_with_stubs(rows: DataFrame, budget: int, order: list[str], keys: list[str]) -> DataFrame:
+    """As ``pack``, but a block that does not fit stands as a stub of ``stub_tokens``, which counts as well; every block is taken."""
+    return _folded(rows, budget, order, keys).drop("taken")
+
+
+def _folded(rows: DataFrame, budget: int, order: list[str], keys: list[str]) -> DataFrame:
+    names = list(dict.fromkeys([*order, *keys, "tokens", "stub_tokens"]))
+    blocks = rows.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("blocks"))
+
+    def step(state: Column, b: Column) -> Column:
+        fits = state.total + b.tokens <= budget
+        stub = b.stub_tokens.isNotNull()
+        cost = F.when(fits, b.tokens).when(stub, b.stub_tokens).otherwise(F.lit(0)).cast("long")
+        one = F.struct(*[b[k].alias(k) for k in keys], cost.alias("tokens"), (F.size(state.out) + 1).cast("long").alias("place"), (state.total + cost).alias("running"), (fits | stub).alias("taken"), (~fits & stub).alias("stubbed"))
+        return F.struct((state.total + cost).alias("total"), F.concat(state.out, F.array(one)).alias("out"))
+
+    types = {f.name: f.dataType.simpleString() for f in rows.select(*names).schema}
+    empty = "array<struct<" + ",".join(f"{k}:{types[k]}" for k in keys) + ",tokens:bigint,place:bigint,running:bigint,taken:boolean,stubbed:boolean>>"
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(empty).alias("out"))
+    return blocks.select(F.explode(F.aggregate("blocks", start, step, lambda s: s.out)).alias("b")).select("b.*")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from mnemospark import adapters as A
 from mnemospark.functions import text as T
-from mnemospark.functions.vector import cosine_similarity
 from mnemospark.operators import recall as R
 from mnemospark.operators import scoping as S
 from mnemospark.plans.registry import query
@@ -26,9 +25,9 @@ _TRI = f"list_distinct(flatten(list_transform({_WORDS}, lambda w: list_transform
 _JAC = "coalesce(len(list_intersect({0}, {1})) / nullif(CAST(len({0}) + len({1}) - len(list_intersect({0}, {1})) AS DOUBLE), 0), 0)"
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> F.Column:
-    """The vector of document 0 as one-row input; it is a parameter of the query, not data."""
-    return F.lit([float(x) for x in A.vectors(spark, sf_dir).where("id = 0").head()["vec"]])
+def _query_vector(spark: SparkSession, sf_dir: str, of: int = 0) -> DataFrame:
+    """(q): the vector of one document, which stands for an embedded question; empty if there is none."""
+    return A.vectors(spark, sf_dir).where(F.col("id") == of).select(F.col("vec").alias("q"))
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +43,7 @@ c AS (SELECT m.*, {_COS} AS vector, 0.0 AS text, 0.0 AS trigram FROM memories m
 k AS (SELECT * FROM c ORDER BY vector DESC, id LIMIT 20)
 SELECT id, memory_type, round({_MSCORE}, 6) AS score FROM k ORDER BY {_MSCORE} DESC, id LIMIT 10""")
 def recall_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _active(spark, sf_dir).join(A.vectors(spark, sf_dir), "id")
-    near = rows.withColumn("vector", F.round(cosine_similarity(F.col("vec"), _query_vector(spark, sf_dir)), 9)).orderBy(F.desc("vector"), "id").limit(2 * LIMIT)
-    near = near.withColumns({"text": F.lit(0.0), "trigram": F.lit(0.0)}).withColumn("score", R.memory_score(A.now()))
-    return _rounded(R.best(near, LIMIT).select("id", "memory_type", "score"), "score")
+    return _rounded(R.recall_memories(_active(spark, sf_dir), A.now(), "", _query_vector(spark, sf_dir), [A.vectors(spark, sf_dir)], mode="text"), "score")
 
 
 @query("recall_hybrid", f"""WITH {A.MEMORIES_SQL}, {A.VECTORS_SQL}, {_QVEC},
@@ -63,12 +59,50 @@ c AS (SELECT id, coalesce(max(vector), 0) AS vector, coalesce(max(text), 0) AS t
 s AS (SELECT c.id, memory_type, {_MSCORE} AS sc FROM c JOIN a ON c.id = a.id)
 SELECT id, memory_type, round(sc, 6) AS score FROM s ORDER BY sc DESC, id LIMIT 10""")
 def recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.recall_memories(_active(spark, sf_dir), A.now(), QUESTION, _query_vector(spark, sf_dir), [A.vectors(spark, sf_dir)]), "score")
+
+
+_WINDOW = "created_at BETWEEN TIMESTAMP '2023-09-01' AND TIMESTAMP '2024-01-15'"
+
+
+@query("recall_modes", f"""WITH {A.MEMORIES_SQL}, {A.VECTORS_SQL}, {_QVEC}, a AS (SELECT * FROM memories WHERE is_active AND {_WINDOW}),
+near AS (SELECT a.*, {_COS} AS vector, vectors.id % 2 AS odd, row_number() OVER (PARTITION BY vectors.id % 2 = 0 ORDER BY {_COS} DESC, a.id) AS place FROM a JOIN vectors ON vectors.id = a.id, qv),
+code AS (SELECT a.*, {_COS} AS vector FROM a JOIN vectors ON vectors.id = a.id, qv WHERE content_kind = 'code' ORDER BY vector DESC, a.id LIMIT 20),
+u AS (SELECT 'text' AS mode, id, memory_type, importance, last_accessed, created_at, vector, 0.0 AS text, 0.0 AS trigram FROM near WHERE odd = 0 AND place <= 20
+  UNION ALL SELECT 'code', id, memory_type, importance, last_accessed, created_at, vector, 0.0, 0.0 FROM code),
+s AS (SELECT mode, id, {_MSCORE} AS sc FROM u WHERE memory_type IN ('semantic', 'episodic', 'procedural')),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY sc DESC, id) AS place FROM s WHERE sc >= 0.1)
+SELECT mode, id, round(sc, 6) AS score FROM r WHERE place <= 10""")
+def recall_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text recall from a model's own table (vectors with even numbers), which goes before those kept with the rows, and code recall from the vectors of code."""
+    vectors = A.vectors(spark, sf_dir)
     rows = _active(spark, sf_dir)
-    with_vec = rows.select("id").join(A.vectors(spark, sf_dir), "id")
-    near = with_vec.select("id", F.round(cosine_similarity(F.col("vec"), _query_vector(spark, sf_dir)), 9).alias("vector")).orderBy(F.desc("vector"), "id").limit(2 * LIMIT)
-    found = R.merged(near, R.by_terms(rows, QUESTION, 2 * LIMIT), R.by_trigram(rows, QUESTION, 2 * LIMIT))
-    scored = rows.drop("content").join(F.broadcast(found), "id").withColumn("score", R.memory_score(A.now()))
-    return _rounded(R.best(scored, LIMIT).select("id", "memory_type", "score"), "score")
+    code = vectors.join(rows.where("content_kind = 'code'").select("id"), "id", "left_semi")
+    asked = dict(types=["semantic", "episodic", "procedural"], since=F.lit("2023-09-01").cast("timestamp"), until=F.lit("2024-01-15").cast("timestamp"), min_score=0.1)
+    question = _query_vector(spark, sf_dir)
+    text = R.recall_memories(rows, A.now(), "", question, [vectors.where("id % 2 = 0"), vectors], mode="text", **asked)
+    by_code = R.recall_memories(rows, A.now(), "", question, [], question, [code], mode="code", **asked)
+    both = text.select(F.lit("text").alias("mode"), "id", "score").unionByName(by_code.select(F.lit("code").alias("mode"), "id", "score"))
+    return _rounded(both, "score")
+
+
+@query("near_duplicate_probe", f"""WITH {A.MEMORIES_SQL}, {A.VECTORS_SQL}, m AS (SELECT memories.id, scope_id, is_active, created_at, vec FROM memories JOIN vectors ON vectors.id = memories.id),
+new AS (SELECT scope_id, max_by(id, struct_pack(c := created_at, i := id)) AS id FROM m GROUP BY scope_id),
+p AS (SELECT n.id AS asked_id, m.id, round(1 - list_dot_product(m.vec, q.vec) / sqrt(list_dot_product(m.vec, m.vec) * list_dot_product(q.vec, q.vec)), 9) AS distance
+  FROM new n JOIN m q ON q.id = n.id JOIN m ON m.scope_id = n.scope_id AND m.id <> n.id WHERE m.is_active),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY distance, id) AS place FROM p WHERE distance <= 0.95) SELECT asked_id, id, round(distance, 6) AS distance FROM r WHERE place <= 5""")
+def near_duplicate_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest memory of every scope against its scope."""
+    rows = A.memories(spark, sf_dir).select("id", "scope_id", "is_active", "created_at").join(A.vectors(spark, sf_dir), "id")
+    newest = rows.groupBy("scope_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max_by("vec", F.struct("created_at", "id")).alias("vec"))
+    return _rounded(R.near_probe(newest, rows, distance=0.95), "distance")
+
+
+@query("query_similar", f"""WITH {A.MEMORIES_SQL}, {A.SCOPES_SQL}, {A.VECTORS_SQL}, {_QVEC}
+SELECT m.id AS object_id, round({_COS}, 6) AS score FROM memories m JOIN vectors v ON v.id = m.id JOIN scopes s ON s.id = m.scope_id, qv WHERE s.path = 'r1' OR starts_with(s.path, 'r1.') ORDER BY {_COS} DESC, m.id LIMIT 20""")
+def query_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = A.memories(spark, sf_dir).select(F.lit("memory").alias("object_type"), F.col("id").alias("object_id"), "scope_id").join(A.vectors(spark, sf_dir).withColumnRenamed("id", "object_id"), "object_id")
+    return _rounded(R.query_similar(table, A.scopes(spark, sf_dir), _query_vector(spark, sf_dir), "memory", "r1"), "score")
 
 
 @query("recall_code_fallback", f"""WITH {A.MEMORIES_SQL}, w AS (SELECT id, {_WORDS.format('content')} AS ws FROM memories WHERE is_active AND content_kind = 'code'),
@@ -107,12 +141,12 @@ def fts_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fts_english")
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stemmed terms must occur; ranked by cover density. Fixed query terms stand for a user's words."""
-    terms = [T.stem(w) for w in ("onions", "heating", "then")]
+    """All stemmed words of the question must occur; ranked by cover density."""
+    terms = [T.stem(w) for w in ("things", "erbles", "ertion")]
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.english_terms("text").alias("terms"))
-    wanted = F.array(*[F.lit(t) for t in ("on", "in", "er")])
+    wanted = F.array(*[F.lit(t) for t in terms])
     places = F.filter(F.transform("terms", lambda t, i: F.struct(i.alias("at"), (F.array_position(wanted, t) - 1).cast("int").alias("term"))), lambda p: p.term >= 0)
-    ranked = docs.select("id", places.alias("places")).where(F.size("places") >= 3).select("id", F.round(T.cover_density(F.col("places"), 3), 6).alias("score"))
+    ranked = docs.select("id", places.alias("places")).where(F.size("places") >= len(terms)).select("id", F.round(T.cover_density(F.col("places"), len(terms)), 6).alias("score"))
     return ranked.where("score > 0").withColumn("query_stem", F.lit(" ".join(terms))).orderBy(F.desc("score"), "id").limit(100)
 
 
@@ -210,18 +244,72 @@ def cross_scope_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run over all compared scopes, strictly each, with a limit for every scope."""
     asked = read_table(spark, sf_dir, "nation").where("n_regionkey < 3").selectExpr("concat('n', n_nationkey) AS scope_id")
     zero = {n: F.lit(0.0) for n in ("vector", "text", "trigram")}
-    rows = _active(spark, sf_dir).where("created_at >= timestamp'2023-09-01'").join(F.broadcast(asked), "scope_id", "left_semi")
+    rows = _active(spark, sf_dir).where("created_at >= timestamp'2023-09-01'").join(asked, "scope_id", "left_semi")
     return _rounded(R.best(rows.withColumns(zero).withColumn("score", R.memory_score(A.now())).select("scope_id", "id", "score"), 5, by=["scope_id"]), "score")
 
 
-@query("context_pack", f"""WITH {A.MEMORIES_SQL}, {_KFROM},
+_PACKED = f"""{A.MEMORIES_SQL}, {_KFROM},
 u AS (SELECT id, 0 AS layer, sc FROM (SELECT * FROM s ORDER BY sc DESC, id LIMIT 20) UNION ALL (SELECT id, 1, importance FROM memories WHERE is_active ORDER BY importance DESC, id LIMIT 20)),
-t AS (SELECT u.id, layer, sc, strlen(coalesce(text, '')) // 4 AS tokens FROM u JOIN documents ON doc_id = u.id),
-r AS (SELECT *, sum(tokens) OVER (ORDER BY layer, sc DESC, id ROWS UNBOUNDED PRECEDING) AS running FROM t)
-SELECT id, CAST(layer AS INT) AS layer, tokens, CAST(running AS BIGINT) AS running, running <= 8000 AS fits FROM r""")
-def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+b AS (SELECT u.id, layer, CASE WHEN layer = 0 AND length(a.summary) > 0 THEN a.summary ELSE coalesce(text, '') END AS content, a.summary, coalesce(text, '') AS body, row_number() OVER (ORDER BY layer, sc DESC, u.id) AS place
+  FROM u JOIN documents ON doc_id = u.id LEFT JOIN artifacts a ON a.id = u.id AND layer = 0)"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What knowledge and memory recall gave, with the score negated so that blocks sort as they are packed."""
     knowledge = R.best(_knowledge(spark, sf_dir), 20).select("id", F.lit(0).alias("layer"), "score")
     memory = R.best(_active(spark, sf_dir).select("id", F.col("importance").alias("score")), 20).select("id", F.lit(1).alias("layer"), "score")
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    rows = docs.join(F.broadcast(knowledge.unionByName(memory)), "id")
-    return R.pack(rows, 8000, [F.col("layer"), F.desc("score"), F.col("id")]).select("id", "layer", "tokens", "running", "fits")
+    found = F.broadcast(knowledge.unionByName(memory))
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body")).join(found, "id")
+    summaries = A.artifacts(spark, sf_dir).select("id", "summary", F.lit(0).alias("layer"))
+    return docs.join(summaries, ["id", "layer"], "left").withColumn("rank", -F.col("score"))
+
+
+@query("context_pack", f"""WITH RECURSIVE {_PACKED}, t AS (SELECT id, layer, place, strlen(body) // 4 AS tokens FROM b),
+fold AS (SELECT place, id, layer, CASE WHEN tokens <= 8000 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 8000 THEN tokens ELSE 0 END AS running, tokens <= 8000 AS taken FROM t WHERE place = 1
+  UNION ALL SELECT t.place, t.id, t.layer, CASE WHEN running + tokens <= 8000 THEN tokens ELSE 0 END, running + CASE WHEN running + tokens <= 8000 THEN tokens ELSE 0 END, running + tokens <= 8000 FROM fold JOIN t ON t.place = fold.place + 1)
+SELECT id, CAST(layer AS INT) AS layer, CAST(used AS BIGINT) AS tokens, CAST(place AS BIGINT) AS place, CAST(running AS BIGINT) AS running, taken FROM fold""")
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _blocks(spark, sf_dir).withColumn("tokens", T.estimated_tokens(F.col("body")))
+    return R.pack(rows, 8000, ["layer", "rank", "id"], ["id", "layer"])
+
+
+_LEAD = "CASE WHEN regexp_matches(substring({0}, 1, 120), '[.\n]') THEN regexp_extract(substring({0}, 1, 120), '^([^.\n]*[.]?)', 1) WHEN length({0}) <= 120 THEN {0} ELSE substring({0}, 1, 120) || '…' END"
+
+
+@query("context_pack_stubs", f"""WITH RECURSIVE {_PACKED},
+t AS (SELECT id, layer, place, strlen(content) // 4 AS tokens, strlen(CASE WHEN layer = 0 AND length(summary) > 0 THEN summary ELSE {_LEAD.format("body")} END) // 4 AS stub FROM b),
+fold AS (SELECT place, id, layer, CASE WHEN tokens <= 300 THEN tokens ELSE stub END AS used, CASE WHEN tokens <= 300 THEN tokens ELSE stub END AS running, tokens > 300 AS stubbed FROM t WHERE place = 1
+  UNION ALL SELECT t.place, t.id, t.layer, CASE WHEN running + tokens <= 300 THEN tokens ELSE stub END, running + CASE WHEN running + tokens <= 300 THEN tokens ELSE stub END, running + tokens > 300 FROM fold JOIN t ON t.place = fold.place + 1)
+SELECT id, CAST(layer AS INT) AS layer, CAST(used AS BIGINT) AS tokens, CAST(place AS BIGINT) AS place, CAST(running AS BIGINT) AS running, stubbed FROM fold""")
+def context_pack_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _blocks(spark, sf_dir)
+    short = (F.col("layer") == 0) & (F.length("summary") > 0)
+    content = F.when(short, F.col("summary")).otherwise(F.col("body"))
+    stub = F.when(short, F.col("summary")).otherwise(T.lead(F.col("body")))
+    rows = rows.withColumns({"tokens": T.estimated_tokens(content), "stub_tokens": T.estimated_tokens(stub)})
+    return R.pack_with_stubs(rows, 300, ["layer", "rank", "id"], ["id", "layer"])
+
+
+@query("orchestrated_recall", f"""WITH {A.MEMORIES_SQL}, {A.VECTORS_SQL}, {_QVEC}, {_KFROM}, {A.SKILLS_SQL},
+k AS (SELECT id, sc FROM s ORDER BY sc DESC, id LIMIT 10),
+mv AS (SELECT m.*, {_COS} AS vector, 0.0 AS text, 0.0 AS trigram FROM memories m JOIN vectors ON vectors.id = m.id, qv WHERE is_active ORDER BY vector DESC, m.id LIMIT 20),
+mm AS (SELECT id, promoted_to, content, {_MSCORE} AS sc FROM mv ORDER BY sc DESC, id LIMIT 10),
+g AS (SELECT sk.*, {_TRI.format("name || ' ' || description")} AS a, {_TRI.format("'large steel'")} AS b FROM skills sk WHERE status = 'published' AND (list_contains(agent_types, 'any') OR list_contains(agent_types, 'coder'))),
+sv AS (SELECT g.id, {_COS} AS v, NULL::DOUBLE AS f, NULL::DOUBLE AS t FROM g JOIN vectors ON vectors.id = g.id, qv ORDER BY v DESC, g.id LIMIT 20),
+sf AS (SELECT id, NULL::DOUBLE AS v, len(list_filter(ws, lambda x: list_contains(['large', 'steel'], x))) / greatest(len(ws), 1)::DOUBLE AS f, NULL::DOUBLE AS t FROM (SELECT id, {_WORDS.format("name || ' ' || description")} AS ws FROM g) WHERE list_has_all(ws, ['large', 'steel']) ORDER BY f DESC, id LIMIT 20),
+st AS (SELECT id, NULL::DOUBLE AS v, NULL::DOUBLE AS f, {_JAC.format('a', 'b')} AS t FROM g WHERE {_JAC.format('a', 'b')} > 0.1 ORDER BY t DESC, id LIMIT 20),
+sm AS (SELECT id, coalesce(max(v), 0) AS v, coalesce(max(f), 0) AS f, coalesce(max(t), 0) AS t FROM (SELECT * FROM sv UNION ALL SELECT * FROM sf UNION ALL SELECT * FROM st) GROUP BY id),
+ss AS (SELECT id, name || ' ' || description AS content, 0.50 * v + 0.10 * f + 0.10 * t + 0.20 * least(invocation_count / 100.0::DOUBLE, 1.0) + 0.10 AS sc FROM sm JOIN g USING (id) ORDER BY sc DESC, id LIMIT 10),
+u AS (SELECT 'knowledge' AS layer, k.id, sc, CASE WHEN length(summary) > 0 THEN summary ELSE content END AS content, coalesce(length(summary) > 0, FALSE) AS full_content_available FROM k JOIN artifacts ON artifacts.id = k.id
+  UNION ALL SELECT 'memory', id, sc, content, FALSE FROM mm WHERE promoted_to IS NULL OR promoted_to NOT IN (SELECT id FROM k)
+  UNION ALL SELECT 'skill', id, sc, content, FALSE FROM ss)
+SELECT layer, id, round(sc, 6) AS score, md5(content) AS content_hash, full_content_available FROM u WHERE sc >= 0.1 ORDER BY sc DESC, layer, id LIMIT 20""")
+def orchestrated_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories, knowledge with summaries, and skills for one question, without memories that became knowledge."""
+    vectors, question = A.vectors(spark, sf_dir), _query_vector(spark, sf_dir)
+    memories = R.recall_memories(_active(spark, sf_dir), A.now(), "", question, [vectors], mode="text").select("id", "score").join(_active(spark, sf_dir).select("id", "content", "promoted_to"), "id")
+    knowledge = R.best(_knowledge(spark, sf_dir), 10).select("id", "score").join(A.artifacts(spark, sf_dir).select("id", "content", "summary"), "id")
+    rows = A.skills(spark, sf_dir).withColumn("content", F.concat_ws(" ", "name", "description"))
+    skills = R.recall_skills(rows, "large steel", question, [vectors], agent="coder", limit=10).join(rows.select("id", "content"), "id")
+    found = R.combine_layers(memories, knowledge, skills, 20, min_score=0.1)
+    return _rounded(found.select("layer", "id", "score", F.md5("content").alias("content_hash"), "full_content_available"), "score")

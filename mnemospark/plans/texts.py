@@ -18,10 +18,13 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.chunks("text")).alias("chunk", "content")).select("doc_id", "chunk", F.length("content").alias("n_chars"), F.md5("content").alias("content_hash"))
 
 
-@query("classify_content", rf"""WITH {A.MEMORIES_SQL}, x AS (SELECT id, content, regexp_replace(regexp_replace(source_ref, '^file:', ''), ':\d+$', '') AS path FROM memories)
-SELECT id, CASE WHEN regexp_matches(lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)), '^(?:{T.CODE_EXTENSIONS})$') THEN 'code' WHEN regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) <> '' THEN 'text'
-  WHEN coalesce(len(list_filter(list_filter(string_split(content, chr(10)), lambda l: trim(l, ' ') <> ''), lambda l: regexp_matches(l, '[{{}}]') OR starts_with(l, '    ') OR regexp_matches(l, '^\s*(?:{T.CODE_WORDS})\b')))
-    / nullif(len(list_filter(string_split(content, chr(10)), lambda l: trim(l, ' ') <> '')), 0)::DOUBLE, 0) > 0.4 THEN 'code' ELSE 'text' END AS kind FROM x""")
+_EXTENSION = r"lower(regexp_extract(regexp_extract(regexp_replace(substring(source_ref, 6), ':[^:]*$', ''), '([^/]*)$', 1), '^.+(\.[^.]*)$', 1))"
+_CODE_LINES = f"list_filter(string_split(content, chr(10)), lambda l: regexp_matches(l, '{T._FILLED}'))"
+
+
+@query("classify_content", f"""WITH {A.MEMORIES_SQL}, x AS (SELECT id, content, CASE WHEN starts_with(source_ref, 'file:') THEN {_EXTENSION} ELSE '' END AS extension FROM memories)
+SELECT id, CASE WHEN extension IN {T.CODE_EXTENSIONS} THEN 'code' WHEN extension <> '' THEN 'text'
+  WHEN len(list_filter({_CODE_LINES}, lambda l: regexp_matches(l, '{T.CODE_LINE}'))) > 0.4 * len({_CODE_LINES}) THEN 'code' ELSE 'text' END AS kind FROM x""")
 def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.memories(spark, sf_dir).select("id", T.content_kind(F.col("content"), F.col("source_ref")).alias("kind"))
 
