@@ -60,6 +60,36 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9_]+", "-"), r"^[-_]+|[-_]+$", "")
 
 
+def slug_candidate(raw: Column) -> Column:
+    """Lower case; runs of other characters become one hyphen; hyphens and underscores at the ends go; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.btrim(F.coalesce(raw, F.lit("")))), r"[^a-z0-9_-]+", "-"), r"^[-_]+|[-_]+$", "")
+
+
+def first_slug(slug: Column, source: Column, name: Column) -> Column:
+    """The first that is not empty: the slug given, the base name of the source without its extension, the name."""
+    base = F.regexp_replace(F.regexp_extract(F.replace(F.coalesce(source, F.lit("")), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return F.get(F.filter(F.transform(F.array(slug, base, name), slug_candidate), lambda s: s != ""), F.lit(0))
+
+
+def title_of_slug(slug: Column) -> Column:
+    """The parts of a slug with capital letters; a slug without parts as it is."""
+    parts = F.array_remove(F.split(slug, "[-_]"), "")
+    return F.when(F.size(parts) == 0, slug).otherwise(F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), " "))
+
+
+def scope_parts(scope: Column) -> Column:
+    """(kind, external_id) of ``kind:external_id``, both trimmed; both null if one is missing."""
+    at = F.instr(scope, ":")
+    kind, rest = F.btrim(F.substring_index(scope, ":", 1)), F.btrim(scope.substr(at + 1, F.length(scope)))
+    good = (at > 0) & (kind != "") & (rest != "")
+    return F.struct(F.when(good, kind).alias("kind"), F.when(good, rest).alias("external_id"))
+
+
+def path_label(external_id: Column) -> Column:
+    """What a scope is called in a path: all but ASCII letters, digits and underscores become underscores."""
+    return F.regexp_replace(external_id, "[^a-zA-Z0-9_]", "_")
+
+
 #: Fixed list: file extensions of source code.
 CODE_EXTENSIONS = (".go", ".py", ".js", ".ts", ".jsx", ".tsx", ".rs", ".java", ".c", ".cpp", ".h", ".rb", ".sh", ".cs", ".php", ".swift", ".kt", ".scala", ".lua", ".r", ".m", ".ex", ".exs")
 #: Fixed list: words that, with a blank and more after them, make a line look like code.

@@ -2,28 +2,79 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.vector import cosine_distance
 from mnemospark.operators.components import connected_components
+from mnemospark.session import checkpointed
 
-BUCKETS = 64
+#: Rows of a part; two parts make a tile, which one task compares.
+PART = 512
+
+
+def _cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """Cosines of all rows of one side with all of the other; of unequal lengths the shorter counts, and without a direction there is none (NaN)."""
+    va, vb = ([np.array(v or [], float) for v in c.to_pylist()] for c in (a, b))
+    out = np.full((len(va), len(vb)), np.nan)
+    by_length = lambda vs: {n: [k for k, v in enumerate(vs) if len(v) == n] for n in {len(v) for v in vs} if n}
+    for m, left in by_length(va).items():
+        for n, right in by_length(vb).items():
+            d = min(m, n)
+            x, y = np.stack([va[k][:d] for k in left]), np.stack([vb[k][:d] for k in right])
+            norm = np.sqrt((x * x).sum(axis=1)[:, None] * (y * y).sum(axis=1)[None, :])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[np.ix_(left, right)] = np.where(norm > 0, (x @ y.T) / norm, np.nan)
+    return out
+
+
+def _parts(rows: DataFrame, block: list[str]) -> DataFrame:
+    """``rows`` with the number of parts of their block and their own part."""
+    size = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    return rows.join(size, block).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
 def near_pairs(rows: DataFrame, threshold: float, block: list[str]) -> DataFrame:
     """(a, b, distance): pairs of ``rows (id, vec, *block)`` of one block within a cosine distance, smaller id first.
 
-    A block is compared in tiles: its rows are dealt into parts by their id, and every pair of parts
+    A block is compared in tiles: its rows are dealt into parts by their id, and every pair of parts, in one order only,
     is a task of its own, so that a large block is never held as a whole.
     """
-    size = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("parts"))
-    dealt = rows.join(size, block).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tile = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = dealt.select(*block, F.col("id").alias("a"), F.col("vec").alias("va"), F.col("part").alias("i"), tile.alias("j"))
-    right = dealt.select(*block, F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("part").alias("j"), tile.alias("i"))
-    pairs = left.join(right, [*block, "i", "j"]).where("a < b")
-    return pairs.select("a", "b", cosine_distance(F.col("va"), F.col("vb")).alias("distance")).where(F.col("distance") <= threshold)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = _parts(rows.where("vec is not null"), block).select(*block, "id", "vec", "part", other)
+    tiles = dealt.select(*block, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "vec", "part")
+
+    def compare(t: pa.Table) -> pa.Table:
+        part, ids = t.column("part").to_numpy(), t.column("id").to_numpy()
+        i = t.column("i")[0].as_py()
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == t.column("j")[0].as_py())
+        distance = 1 - _cosines(t.column("vec").take(pa.array(left)), t.column("vec").take(pa.array(right)))
+        x, y = np.nonzero(distance <= threshold)
+        a, b = ids[left[x]], ids[right[y]]
+        keep = a < b if (left.size and right.size and left[0] == right[0]) else a != b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": distance[x, y][keep]})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return tiles.groupBy(*block, "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, distance double")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: list[str]) -> DataFrame:
+    """(a, b, similarity): pairs of a row of ``left`` and one of ``right``, both (id, vec, *block), of one block and above a cosine; by tiles as above."""
+    one, two = _parts(left.where("vec is not null"), block), _parts(right.where("vec is not null"), block)
+    sizes = lambda d, n: d.select(*block, F.col("parts").alias(n)).distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = one.join(sizes(two, "others"), block).select(*block, F.col("part").alias("i"), every("others").alias("j"), "id", "vec")
+    two = two.join(sizes(_parts(left.where("vec is not null"), block), "others"), block).select(*block, every("others").alias("i"), F.col("part").alias("j"), "id", "vec")
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        near = _cosines(x.column("vec"), y.column("vec"))
+        a, b = np.nonzero(near > least)
+        return pa.table({"a": x.column("id").to_numpy()[a], "b": y.column("id").to_numpy()[b], "similarity": near[a, b]})
+
+    two = two.select(*[F.col(c).alias(c) for c in two.columns])  # new columns, as both sides may come from one frame
+    keys, kind = [*block, "i", "j"], left.schema["id"].dataType.simpleString()
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -31,16 +82,53 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
+def first_clusters(members: DataFrame, scopes: DataFrame, most: int = 10) -> DataFrame:
+    """(scope_id, cluster, id): per scope the ``most`` largest clusters of ``members (id, cluster)``, ties to the smaller one: what one run of the job takes on."""
+    rows = members.join(scopes.select("id", "scope_id"), "id")
+    sized = rows.groupBy("scope_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("scope_id").orderBy(F.desc("n"), "cluster"))
+    return rows.join(sized.withColumn("_place", place).where(F.col("_place") <= most).select("scope_id", "cluster"), ["scope_id", "cluster"]).select("scope_id", "cluster", "id")
+
+
 def consolidation_candidates(memories: DataFrame) -> DataFrame:
     return memories.where("is_active AND importance < 0.7 AND access_count < 3")
 
 
+#: Members of a merged memory that one row lists; further ones follow in further rows.
+LISTED = 1000
+
+
 def merge_clusters(members: DataFrame) -> DataFrame:
-    """(cluster, sources, importance, content): one memory per cluster of ``members (cluster, id, importance, content)``."""
-    each = F.sort_array(F.collect_list(F.struct("id", "content")))
-    return members.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("sources"), F.max("importance").alias("importance"), F.array_join(F.transform(each, lambda x: x.content), "\n\n").alias("content")
-    )
+    """(cluster, part, sources, importance, content): the memory that a cluster of ``members (cluster, id, importance, content)`` becomes.
+
+    A merged text of more than ``LISTED`` members continues in further parts, so that no row and no task holds a whole large cluster;
+    ``sources`` and ``importance`` are those of the whole cluster.
+    """
+    total = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sources"), F.max("importance").alias("importance"))
+    placed = numbered(members.select("cluster", "id", "content"), "cluster", "id").withColumn("part", F.floor((F.col("place") - 1) / LISTED).cast("int"))
+    each = F.sort_array(F.collect_list(F.struct("place", "content")))
+    text = placed.groupBy("cluster", "part").agg(F.array_join(F.transform(each, lambda x: x.content), "\n\n").alias("content"))
+    return text.join(total, "cluster").select("cluster", "part", "sources", "importance", "content")
+
+
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``rows`` with ``place``, their number from 1 within a group by ``order``; a group of any size is numbered over many tasks.
+
+    Rows are range-partitioned by group and order; a task numbers its own, and adds how many of the group earlier tasks hold.
+    """
+    dealt = rows.repartitionByRange(F.col(group), F.col(order)).withColumn("_pid", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    here = F.row_number().over(Window.partitionBy("_pid", group).orderBy(order))
+    counts = dealt.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.withColumn("_here", here).join(before.drop("_n"), [group, "_pid"]).withColumn("place", F.col("_here") + F.col("_before")).drop("_pid", "_here", "_before")
+
+
+def merge_job(memories: DataFrame, members: DataFrame, strategy: str = "merge") -> tuple[DataFrame, DataFrame]:
+    """What merging does to the sources and what it records: the memories with merged ones inactive, and audit rows (source_id, result, strategy)."""
+    gone = members.select("id", "cluster").distinct()
+    after = memories.join(gone.select("id", F.lit(True).alias("_gone")), "id", "left").withColumn("is_active", F.col("is_active") & F.col("_gone").isNull()).drop("_gone")
+    return after, gone.select(F.col("id").alias("source_id"), F.col("cluster").alias("result"), F.lit(strategy).alias("strategy"))
 
 
 def mean_vectors(rows: DataFrame, group: list[str]) -> DataFrame:

@@ -72,16 +72,19 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     return ranks.select("node", "rank")
 
 
-def augmented(hits: DataFrame, relations: DataFrame, memories: DataFrame, per_neighbour: int = 3) -> DataFrame:
+def augmented(hits: DataFrame, relations: DataFrame, memories: DataFrame, allowed: DataFrame, seen: DataFrame, per_neighbour: int = 3) -> DataFrame:
     """(id, score): the newest memories of the neighbours of every hit's entity, at hit score times confidence times 0.6.
 
-    ``hits``: (entity_id, score); ``memories``: (id, entity_id, created_at). A memory keeps its best score.
+    ``hits``: (entity_id, score); ``memories``: (id, scope_id, entity_id, created_at), of which those outside ``allowed (scope_id)`` and those in
+    ``seen (id)`` are left out. The first hit counts, in the order of the results (score, entity) and then of confidence.
     """
     near = neighbours(relations, hits.select("entity_id").distinct()).groupBy("entity_id", "neighbour_id").agg(F.max("confidence").alias("confidence"))
     newest = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("created_at"), "id"))
-    few = memories.withColumn("place", newest).where(F.col("place") <= per_neighbour).select("id", F.col("entity_id").alias("neighbour_id"))
+    few = memories.withColumn("place", newest).where(F.col("place") <= per_neighbour).join(allowed.distinct(), "scope_id", "left_semi").join(seen.select("id"), "id", "left_anti")
+    few = few.select("id", F.col("entity_id").alias("neighbour_id"))
     score: Column = F.col("score") * F.col("confidence") * 0.6
-    return near.join(hits, "entity_id").join(few, "neighbour_id").groupBy("id").agg(F.max(score).alias("score"))
+    order = F.struct(-F.col("score"), "entity_id", -F.col("confidence"), "neighbour_id")
+    return near.join(hits, "entity_id").join(few, "neighbour_id").groupBy("id").agg(F.min_by(score, order).alias("score"))
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.vector import cosine_similarity
+from mnemospark.operators.dedup import similar_pairs
 from mnemospark.operators.recall import DECAY, DECAY_OTHER, days_since
 
 
@@ -38,16 +39,18 @@ def stale_artifacts(artifacts: DataFrame, open_flags: DataFrame, now: Column) ->
     return fresh.select(F.col("id").alias("artifact_id"), F.lit("low_access_age").alias("signal"), F.lit(0.3).alias("confidence"), evidence.alias("evidence"))
 
 
-def contradictions(artifacts: DataFrame, memories: DataFrame, topic: float, negation: Column, least: float, judge: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def contradictions(artifacts: DataFrame, memories: DataFrame, topic: float, negation: DataFrame, least: float, judge: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(artifact_id, memory_id, confidence): per artifact the first memory near its topic that also resembles a negation.
 
-    Both inputs are (id, block, vec, content); only rows of one block meet. ``judge`` may decide on
-    the two contents; without it every survivor counts.
+    Both inputs are (id, block, vec, content); only rows of one block meet, in tiles, and only memories near the one vector ``q`` of
+    ``negation``. ``judge`` may decide on the two contents; without it every survivor counts.
     """
-    a = artifacts.select(F.col("id").alias("artifact_id"), "block", F.col("vec").alias("va"), F.col("content").alias("ca"))
-    m = memories.select(F.col("id").alias("memory_id"), "block", F.col("vec").alias("vm"), F.col("content").alias("cm")).withColumn("against", cosine_similarity(F.col("vm"), negation)).where(F.col("against") > least)
-    near = a.join(m, "block").where("artifact_id <> memory_id").withColumn("sim", cosine_similarity(F.col("va"), F.col("vm"))).where(F.col("sim") > topic)
-    near = near if judge is None else near.where(judge(F.col("ca"), F.col("cm")))
+    against = memories.where("vec is not null").crossJoin(F.broadcast(negation.select("q").where("q is not null").limit(1))).where(cosine_similarity(F.col("vec"), F.col("q")) > least)
+    near = similar_pairs(artifacts.select("id", "vec", "block"), against.select("id", "vec", "block"), topic, ["block"])
+    near = near.select(F.col("a").alias("artifact_id"), F.col("b").alias("memory_id"), F.col("similarity").alias("sim")).where("artifact_id <> memory_id")
+    if judge is not None:
+        near = near.join(artifacts.select(F.col("id").alias("artifact_id"), F.col("content").alias("ca")), "artifact_id").join(memories.select(F.col("id").alias("memory_id"), F.col("content").alias("cm")), "memory_id")
+        near = near.where(judge(F.col("ca"), F.col("cm")))
     first = near.groupBy("artifact_id").agg(F.min_by(F.struct("memory_id", "sim"), "memory_id").alias("first"))
     return first.select("artifact_id", "first.memory_id", F.least(F.lit(0.9), 1.5 * F.col("first.sim")).alias("confidence"))
 

@@ -128,6 +128,11 @@ def base_score(importance: Column, recency: Column) -> Column:
     return W_VECTOR * F.col("vector") + W_TEXT * F.col("text") + W_TRIGRAM * F.col("trigram") + W_IMPORTANCE * importance + W_RECENCY * recency
 
 
+def combine_scores(vector: Column, text: Column, importance: Column, recency: Column, is_knowledge: Column) -> Column:
+    """The plain formula of the merge: 0.50, 0.20, 0.20 and 0.10, and 0.10 more for knowledge."""
+    return 0.50 * vector + 0.20 * text + 0.20 * importance + 0.10 * recency + F.when(is_knowledge, 0.10).otherwise(0.0)
+
+
 def memory_score(now: Column) -> Column:
     rate = F.when(F.col("memory_type") == "working", DECAY["working"]).when(F.col("memory_type") == "episodic", DECAY["episodic"]).otherwise(DECAY_OTHER)
     return base_score(F.col("importance"), F.exp(-rate * days_since(F.coalesce("last_accessed", "created_at"), now)))

@@ -15,7 +15,7 @@ _REL = A.RELATIONS_SQL
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
+    return read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
 
 
 def _near(name: str, predicates: list[str] | None, direction: str) -> None:
@@ -23,11 +23,11 @@ def _near(name: str, predicates: list[str] | None, direction: str) -> None:
     out = f"SELECT subject_id AS entity_id, object_id AS neighbour_id, predicate, 'out' AS direction, confidence FROM relations WHERE subject_id IN (SELECT id FROM sup) {keep}"
     back = f"SELECT object_id AS entity_id, subject_id AS neighbour_id, predicate, 'in' AS direction, confidence FROM relations WHERE object_id IN (SELECT id FROM sup) {keep}"
     body = {"out": out, "in": back, "both": f"{out} UNION ALL {back}"}[direction]
-    side = "SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal > 8000" if direction != "in" else "SELECT 'p' || p_partkey AS id FROM part WHERE p_size = 1"
+    side = "SELECT 's' || s_suppkey AS id FROM supplier" if direction != "in" else "SELECT 'p' || p_partkey AS id FROM part"
 
     @query(name, f"WITH {_REL}, sup AS ({side}) {body}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        asked = _suppliers(spark, sf_dir) if direction != "in" else read_table(spark, sf_dir, "part").where("p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("entity_id"))
+        asked = _suppliers(spark, sf_dir) if direction != "in" else read_table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("entity_id"))
         return G.neighbours(A.relations(spark, sf_dir), asked, predicates, direction)
 
 
@@ -45,13 +45,13 @@ def relations_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("resolve_symbol", """WITH e AS (SELECT p_partkey AS entity_id, CASE p_size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'variable' END AS entity_type, replace(lower(p_name), ' ', '.') AS canonical FROM part),
-names AS (SELECT DISTINCT regexp_extract(canonical, '([^.]+)$', 1) AS name FROM e UNION SELECT canonical FROM e WHERE entity_id % 3 = 0),
+names AS (SELECT DISTINCT regexp_extract(canonical, '([^.]+)$', 1) AS name FROM e UNION SELECT canonical FROM e),
 c AS (SELECT n.name, entity_id, CASE WHEN canonical = n.name THEN 0 ELSE 1 END AS way, CASE entity_type WHEN 'function' THEN 1 WHEN 'class' THEN 6 ELSE 9 END AS kind, length(canonical) AS n
   FROM names n JOIN e ON canonical = n.name OR ends_with(canonical, '.' || n.name) AND NOT contains(n.name, '.'))
 SELECT name, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY way, CASE WHEN way = 0 THEN kind ELSE n END, n, entity_id) AS k FROM c) WHERE k = 1""")
 def resolve_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "part").selectExpr("p_partkey AS entity_id", "CASE p_size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'variable' END AS entity_type", "replace(lower(p_name), ' ', '.') AS canonical")
-    names = e.select(F.regexp_extract("canonical", r"([^.]+)$", 1).alias("name")).unionByName(e.where("entity_id % 3 = 0").select(F.col("canonical").alias("name"))).distinct()
+    names = e.select(F.regexp_extract("canonical", r"([^.]+)$", 1).alias("name")).unionByName(e.select(F.col("canonical").alias("name"))).distinct()
     return G.resolve_symbols(e, names)
 
 
@@ -94,15 +94,20 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pagerank(bought.unionByName(placed)).withColumn("rank", F.round("rank", 9))
 
 
-@query("graph_augment", f"""WITH {_REL}, {A.MEMORIES_SQL}, m AS (SELECT id, 'p' || (id % 200 + 1) AS entity_id, created_at FROM memories WHERE is_active),
-hits AS (SELECT 's' || s_suppkey AS entity_id, 0.5 + (s_suppkey % 10) / 20.0::DOUBLE AS score FROM supplier WHERE s_acctbal > 8000),
+@query("graph_augment", f"""WITH {_REL}, {A.MEMORIES_SQL}, m AS (SELECT id, scope_id, 'p' || (id % 200 + 1) AS entity_id, created_at FROM memories WHERE is_active),
+hits AS (SELECT 's' || s_suppkey AS entity_id, 0.5 + (s_suppkey % 10) / 20.0::DOUBLE AS score FROM supplier),
 near AS (SELECT entity_id, nb, max(confidence) AS c FROM (SELECT subject_id AS entity_id, object_id AS nb, confidence FROM relations UNION ALL SELECT object_id, subject_id, confidence FROM relations) GROUP BY ALL),
-few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) AS k FROM m) WHERE k <= 3)
-SELECT few.id, round(max(score * c * 0.6), 6) AS score FROM hits JOIN near ON near.entity_id = hits.entity_id JOIN few ON few.entity_id = near.nb GROUP BY few.id""")
+few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) AS k FROM m) WHERE k <= 3),
+found AS (SELECT few.id, score * c * 0.6 AS s, row_number() OVER (PARTITION BY few.id ORDER BY score DESC, hits.entity_id, c DESC, nb) AS place FROM hits JOIN near ON near.entity_id = hits.entity_id JOIN few ON few.entity_id = near.nb
+  WHERE starts_with(few.scope_id, 'n') AND few.id % 10 <> 0)
+SELECT id, round(s, 6) AS score FROM found WHERE place = 1""")
 def graph_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = read_table(spark, sf_dir, "supplier").where("s_acctbal > 8000").selectExpr("concat('s', s_suppkey) AS entity_id", "0.5D + (s_suppkey % 10) / 20D AS score")
-    memories = A.memories(spark, sf_dir).where("is_active").selectExpr("id", "concat('p', id % 200 + 1) AS entity_id", "created_at")
-    return G.augmented(hits, A.relations(spark, sf_dir), memories).withColumn("score", F.round("score", 6))
+    """Every supplier is a hit; memories of nations are allowed, and every tenth document is among the results already."""
+    hits = read_table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey) AS entity_id", "0.5D + (s_suppkey % 10) / 20D AS score")
+    memories = A.memories(spark, sf_dir).where("is_active").selectExpr("id", "scope_id", "concat('p', id % 200 + 1) AS entity_id", "created_at")
+    allowed = read_table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) AS scope_id")
+    seen = read_table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"))
+    return G.augmented(hits, A.relations(spark, sf_dir), memories, allowed, seen).withColumn("score", F.round("score", 6))
 
 
 @query("html_links", r"""SELECT page_id, 'imports' AS predicate, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS target FROM pages""")

@@ -35,11 +35,32 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.clusters(_pairs(spark, sf_dir, 0.65))
 
 
-@query("merge_clusters", f"""{_CLUSTERS}, {A.MEMORIES_SQL} SELECT cluster, count(*) AS sources, max(importance) AS importance, md5(string_agg(content, chr(10) || chr(10) ORDER BY memories.id)) AS content_hash
-FROM clu JOIN memories ON memories.id = clu.id GROUP BY cluster""")
+@query("merge_clusters", f"""{_CLUSTERS}, {A.MEMORIES_SQL}, m AS (SELECT cluster, memories.id, content, CAST((row_number() OVER (PARTITION BY cluster ORDER BY memories.id) - 1) // {D.LISTED} AS INT) AS part,
+  count(*) OVER (PARTITION BY cluster) AS sources, max(importance) OVER (PARTITION BY cluster) AS importance FROM clu JOIN memories ON memories.id = clu.id)
+SELECT cluster, part, sources, importance, md5(string_agg(content, chr(10) || chr(10) ORDER BY id)) AS content_hash FROM m GROUP BY cluster, part, sources, importance""")
 def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = D.clusters(_pairs(spark, sf_dir, 0.65)).join(A.memories(spark, sf_dir), "id").select("cluster", "id", "importance", "content")
-    return D.merge_clusters(members).select("cluster", "sources", "importance", F.md5("content").alias("content_hash"))
+    return D.merge_clusters(members).select("cluster", "part", "sources", "importance", F.md5("content").alias("content_hash"))
+
+
+@query("consolidation_run", f"""{_CLUSTERS}, {A.MEMORIES_SQL}, m AS (SELECT scope_id, cluster, clu.id FROM clu JOIN memories ON memories.id = clu.id),
+n AS (SELECT scope_id, cluster, row_number() OVER (PARTITION BY scope_id ORDER BY count(*) DESC, cluster) AS place FROM m GROUP BY scope_id, cluster)
+SELECT scope_id, cluster, id FROM m JOIN n USING (scope_id, cluster) WHERE place <= 10""")
+def consolidation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one run of the job takes on: ten clusters of every scope."""
+    return D.first_clusters(D.clusters(_pairs(spark, sf_dir, 0.65)), A.memories(spark, sf_dir), 10)
+
+
+@query("merged_sources", f"""{_CLUSTERS}, {A.MEMORIES_SQL} SELECT id, is_active AND id NOT IN (SELECT id FROM clu) AS is_active FROM memories""")
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of merged memories become inactive."""
+    after, _ = D.merge_job(A.memories(spark, sf_dir), D.clusters(_pairs(spark, sf_dir, 0.65)))
+    return after.select("id", "is_active")
+
+
+@query("merge_audit", f"""{_CLUSTERS}, {A.MEMORIES_SQL} SELECT id AS source_id, cluster AS result, 'merge' AS strategy FROM clu""")
+def merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.merge_job(A.memories(spark, sf_dir), D.clusters(_pairs(spark, sf_dir, 0.65)))[1]
 
 
 @query("mean_vectors", "SELECT label, i - 1 AS at, round(avg(embedding[i]::DOUBLE), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY ALL")
@@ -78,12 +99,12 @@ def stale_low_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("contradictions", f"""WITH e AS (SELECT vec_id AS id, label AS block, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT v AS q FROM e WHERE id = 1),
-s AS (SELECT a.id AS artifact_id, m.id AS memory_id, {_COS.format('a.v', 'm.v')} AS sim FROM e a JOIN e m ON a.block = m.block AND a.id <> m.id, n WHERE a.id % 3 = 0 AND {_COS.format('m.v', 'q')} > 0.05)
+s AS (SELECT a.id AS artifact_id, m.id AS memory_id, {_COS.format('a.v', 'm.v')} AS sim FROM e a JOIN e m ON a.block = m.block AND a.id <> m.id, n WHERE {_COS.format('m.v', 'q')} > 0.05)
 SELECT artifact_id, min(memory_id) AS memory_id, round(least(0.9, 1.5 * min_by(sim, memory_id)), 6) AS confidence FROM s WHERE sim > 0.2 GROUP BY artifact_id""")
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").cast("array<double>").alias("vec"), F.lit("").alias("content"))
-    against = F.lit([float(x) for x in rows.where("id = 1").head()["vec"]])
-    return J.contradictions(rows.where("id % 3 = 0"), rows, 0.2, against, 0.05).withColumn("confidence", F.round("confidence", 6))
+    negation = rows.where("id = 1").select(F.col("vec").alias("q"))
+    return J.contradictions(rows, rows, 0.2, negation, 0.05).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("flag_digests", f"""WITH {A.ARTIFACTS_SQL}, links AS (SELECT d.id AS digest_id, s.id AS source_id FROM artifacts d JOIN artifacts s ON s.id IN (d.id + 3, d.id + 6, d.id + 9) WHERE d.artifact_kind = 'digest')

@@ -106,11 +106,12 @@ def promotion_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts.select("artifact_id", "source_memory_id", "status")
 
 
-@query("synthesise", f"""WITH {A.ARTIFACTS_SQL} SELECT owner_scope_id, CAST(count(*) AS INT) AS sources, md5(string_agg('## ' || title || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY id)) AS content_hash
-FROM artifacts WHERE status = 'published' AND artifact_kind <> 'digest' GROUP BY owner_scope_id HAVING count(*) >= 2""")
+@query("synthesise", f"""WITH {A.ARTIFACTS_SQL}, s AS (SELECT owner_scope_id, id, title, content, CAST((row_number() OVER (PARTITION BY owner_scope_id ORDER BY id) - 1) // {L.LISTED} AS INT) AS part, CAST(count(*) OVER (PARTITION BY owner_scope_id) AS INT) AS sources
+  FROM artifacts WHERE status = 'published' AND artifact_kind <> 'digest')
+SELECT owner_scope_id, part, sources, md5(string_agg('## ' || title || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY id)) AS content_hash FROM s WHERE sources >= 2 GROUP BY ALL""")
 def synthesise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.artifacts(spark, sf_dir).where("status = 'published' AND artifact_kind <> 'digest'").select("owner_scope_id", "id", "title", "content")
-    return L.synthesise(rows, "owner_scope_id").select("owner_scope_id", "sources", F.md5("content").alias("content_hash"))
+    return L.synthesise(rows, "owner_scope_id").select("owner_scope_id", "part", "sources", F.md5("content").alias("content_hash"))
 
 
 @query("active_memories", f"WITH {A.MEMORIES_SQL} SELECT scope_id, count(*) AS active FROM memories WHERE is_active GROUP BY scope_id")
