@@ -400,11 +400,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, at_least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``at_least`` or more; all columns and all other rows stay."""
+    """``docs`` without the rows that score ``at_least`` or more; all columns, whatever their names, and all other rows stay.
+
+    Null texts score like empty ones; rows with null or repeated ids are judged each by its text; an empty input stays empty.
+    """
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots cannot be handed to Arrow functions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = model.scores(model.features(b.column("text").to_pylist())) < at_least
+            keep = model.scores(model.features(b.column(at).to_pylist())) < at_least
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -59,3 +59,57 @@ def test_stages_in_order_take_effect(spark, tmp_path):
     assert all(r.taken > 0 and r.taken % r.size == 0 and r.taken <= 3 * r.size for r in seen["mixture"].values())
     again = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert again == {i: r.taken for i, r in seen["mixture"].items()}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, _key string, row string, blob string, mark string, size string, own string, `dotted.name` string"
+
+
+def tables(spark, root, docs, schema=ODD):
+    spark.createDataFrame(docs, schema).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int").limit(2 if docs else 0).write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(0, "seven wise owls watched the quiet harbour lights until morning came")], "item_id long, text string").limit(1 if docs else 0).write.parquet(f"{root}/benchmark.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, str(tmp_path), [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "taken", "dotted.name"} <= set(out.columns)
+
+
+def test_odd_rows_and_clashing_columns_stay_whole(spark, tmp_path):
+    rest = ("en", "s", 0, "k", "_k", "r", "b", "m", "sz", "o", "d")
+    word = lambda i: "".join(chr(97 + (i * k) % 26) for k in (3, 5, 7, 11))
+    long = " ".join(word(i) for i in range(60_000))
+    texts = [(1, "alpha beta gamma delta password=abcdefgh"), (None, "no number here but words"), (None, "no number here but words"), (2, None), (3, ""), (4, "same id one text"), (4, "same id another wholly different text"), (5, long), (6, long + " token: secretvalue9")]
+    tables(spark, str(tmp_path), [(i, t, *rest) for i, t in texts])
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, kept = frame.columns, {}
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, str(tmp_path))
+        if at < 4:
+            assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/{at}")
+        frame = spark.read.parquet(f"{tmp_path}/{at}")
+        kept[name] = sorted(((r.doc_id is None, r.doc_id, r.text) for r in frame.collect()), key=str)
+        assert all(r._key == "_k" and r["dotted.name"] == "d" for r in frame.collect())
+    assert len(kept["toxicity"]) == 9
+    assert [i for _, i, _ in kept["near_duplicates"]].count(None) == 2
+    assert {t for _, i, t in kept["near_duplicates"] if i == 4} == {"same id one text", "same id another wholly different text"}
+    assert len([1 for _, i, t in kept["near_duplicates"] if not t]) == 1
+    assert len(kept["secrets"]) == len(kept["decontamination"]) == len(kept["near_duplicates"])
+    assert not any("abcdefgh" in (t or "") or "secretvalue9" in (t or "") for _, _, t in kept["secrets"])
+    assert any(t and len(t) > 200_000 for _, _, t in kept["secrets"])
+
+
+def test_a_named_ledger_is_kept_and_changes_no_row(spark, tmp_path):
+    rows = [(i, f"text number {i} with token=abcdef{i}{i}", "en", "s", 0) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plain = sorted(map(str, corpus_pipeline.secrets(spark, frame, "").collect()))
+    spark.conf.set("spark.mnemospark.secrets.ledger", str(tmp_path / "ledger"))
+    try:
+        for _ in range(2):
+            assert sorted(map(str, corpus_pipeline.secrets(spark, frame, "").collect())) == plain
+        ledger = spark.read.parquet(str(tmp_path / "ledger"))
+        assert ledger.count() == ledger.dropDuplicates(["blob", "rule"]).count() == 36
+    finally:
+        spark.conf.unset("spark.mnemospark.secrets.ledger")
