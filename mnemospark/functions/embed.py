@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,11 +15,30 @@ DIMENSIONS = 32
 MAX_BYTES = 32_000
 
 
+#: FNV-1a with 64 bits, and the seed that stands for zero in the xorshift generator.
+FNV_OFFSET, FNV_PRIME, ZERO_SEED = 0xCBF29CE484222325, 0x100000001B3, 0xCAFEBABE
+_MASK = (1 << 64) - 1
+
+
+def fnv1a(data: bytes) -> int:
+    h = FNV_OFFSET
+    for byte in data:
+        h = (h ^ byte) * FNV_PRIME & _MASK
+    return h
+
+
 def hashed_vector(text: str | None, n: int = DIMENSIONS) -> list[float]:
-    """A unit vector that only depends on the text; equal texts have distance 0."""
-    seed = int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little")
-    v = np.random.default_rng(seed).normal(size=n)
-    return (v / np.linalg.norm(v)).tolist()
+    """A unit vector in single precision that only depends on the text: its FNV-1a hash seeds a xorshift generator. Equal texts have distance 0."""
+    state, raw = fnv1a((text or "").encode()), []
+    for _ in range(n):
+        state = state or ZERO_SEED
+        state = (state ^ state << 13) & _MASK
+        state ^= state >> 7
+        state = (state ^ state << 17) & _MASK
+        raw.append((state - (1 << 64) if state >> 63 else state) / float(1 << 63))
+    norm = sum(v * v for v in raw)
+    scale = np.float32(1 / np.sqrt(norm)) if norm > 0 else np.float32(1)
+    return [float(np.float32(v) * scale) for v in raw]
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

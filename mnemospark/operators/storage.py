@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same keys; ``new`` has each key once."""
-    return old.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
+    """Rows of ``new`` replace those of ``old`` with the same keys; of rows of ``new`` that repeat a key one stays."""
+    once = new.dropDuplicates(keys)
+    return old.join(once.select(*keys), keys, "left_anti").select(*new.columns).unionByName(once)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

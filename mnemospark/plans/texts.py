@@ -85,7 +85,7 @@ def fake_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.functions.embed import hashed_vectors
 
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.select("id", hashed_vectors("text").alias("vec")).select("id", F.size("vec").alias("dimensions"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return docs.select("id", hashed_vectors("text").alias("vec")).select("id", F.size("vec").alias("dimensions"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.round(F.col("vec")[0], 6).alias("first"))
 
 
 @query("template_fill", r"SELECT p_partkey AS id, replace(replace('Use {{name}} of $BRAND', '{{name}}', p_name), '$BRAND', p_brand) AS prompt FROM part")

@@ -2,12 +2,13 @@ import ast
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import code as C
 from mnemospark.functions import text as T
-from mnemospark.functions.embed import embed, hashed_vector
+from mnemospark.functions.embed import embed, fnv1a, hashed_vector
 from mnemospark.functions.vector import cosine_distance, cosine_similarity, fit_dimensions
 from mnemospark.operators import components, dedup, graph, lifecycle, recall, scoping, storage
 from mnemospark.sources.ingest import changed_files, extract_text, read_files
@@ -172,3 +173,48 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3  # later windows stay open
     E.run_to_end(E.fresh_snapshots(E.event_stream(spark, str(tmp_path / "in"), df.schema), ["user_id"], "1 day"), str(tmp_path / "once"), str(tmp_path / "s2"))
     assert spark.read.parquet(str(tmp_path / "once")).count() == 2
+
+
+def test_hashed_vectors_are_those_of_the_published_generators():
+    assert [fnv1a(b) for b in (b"", b"a", b"foobar")] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+    assert hashed_vector("x") == hashed_vector("x") != hashed_vector("y")
+    assert abs(sum(v * v for v in hashed_vector("é𝄞", 64)) - 1) < 1e-5
+    assert hashed_vector(None) == hashed_vector("")
+
+
+def test_blocks_that_do_not_fit_are_left_out_or_stand_as_stubs(spark):
+    rows = spark.createDataFrame([(1, 50, 5), (2, 80, 8), (3, 30, 3), (4, 20, 2), (5, 1, 1)], "id int, tokens long, stub_tokens long")
+    got = [(r.id, r.tokens, r.running, r.taken) for r in recall.pack(rows.drop("stub_tokens"), 100, ["id"], ["id"]).orderBy("place").collect()]
+    assert got == [(1, 50, 50, True), (2, 0, 50, False), (3, 30, 80, True), (4, 20, 100, True), (5, 0, 100, False)]
+    got = [(r.id, r.tokens, r.running, r.stubbed) for r in recall.pack_with_stubs(rows, 100, ["id"], ["id"]).orderBy("place").collect()]
+    assert got == [(1, 50, 50, False), (2, 8, 58, True), (3, 30, 88, False), (4, 2, 90, True), (5, 1, 91, False)]
+
+
+def test_numbers_in_large_groups(spark):
+    rows = spark.range(5000).selectExpr("id % 3 = 0 AS g", "id").repartition(5)
+    got = {(r.g, r.id): r.place for r in dedup.numbered(rows, "g", "id").collect()}
+    for g in (True, False):
+        ids = [i for i in range(5000) if (i % 3 == 0) == g]
+        assert [got[g, i] for i in ids] == list(range(1, len(ids) + 1))
+
+
+def test_pairs_by_tiles_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vecs = rng.normal(size=(1300, 4))
+    rows = spark.createDataFrame([(i, int(i % 7 == 0), v.tolist()) for i, v in enumerate(vecs)] + [(5000, 0, None), (5001, 0, [0.0] * 4), (5002, 0, [])], "id long, block int, vec array<double>")
+    got = {(r.a, r.b) for r in dedup.near_pairs(rows, 0.02, ["block"]).collect()}
+    u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    near = np.argwhere(1 - u @ u.T <= 0.02)
+    assert got == {(int(i), int(j)) for i, j in near if i < j and (i % 7 == 0) == (j % 7 == 0)}
+    both = {(r.a, r.b) for r in dedup.similar_pairs(rows.where("id < 400"), rows, 0.98, ["block"]).collect()}
+    assert both == {(int(i), int(j)) for i, j in near if i < 400 and (i % 7 == 0) == (j % 7 == 0) and u[i] @ u[j] > 0.98}
+
+
+def test_reviews_follow_the_rules(spark):
+    log = [("k", n, a, w, w == "author", w == "admin") for n, (a, w) in enumerate([("endorse", "x"), ("submit", "x"), ("submit", "author"), ("endorse", "author"), ("endorse", "x"), ("endorse", "x"), ("endorse", "y"), ("deprecate", "x"), ("deprecate", "admin"), ("republish", "admin")])]
+    df = spark.createDataFrame(log, "k string, at int, action string, actor string, is_author boolean, is_admin boolean")
+    assert tuple(lifecycle.replay_review(df, "k", "at", []).first()) == ("k", "published", 2, 6)
+    assert tuple(lifecycle.replay_review(df, "k", "at", [], "skill").first()) == ("k", "published", 2, 9)
+    more = df.unionByName(spark.createDataFrame([("k", 20, "delete", "x", False, False), ("k", 21, "rollback", "admin", False, True), ("k", 22, "delete", "admin", False, True), ("k", 23, "submit", "author", True, False)], df.schema))
+    assert lifecycle.replay_review(more, "k", "at", []).first().status == "deleted"
+    assert lifecycle.replay_review(more, "k", "at", [], "skill").first().status == "in_review"
