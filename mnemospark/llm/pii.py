@@ -15,7 +15,6 @@ import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, groupby
 
 import numpy as np
@@ -119,14 +118,26 @@ def _hash(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % _SIZE
 
 
-@lru_cache(maxsize=200_000)
-def _ids(kind: str, names: tuple[str, ...]) -> list[int]:
-    return [_id(kind, n) for n in names]
+#: What was worked out before, for features by name and segments by text; plain tables, so that tasks can ship them by value.
+_KNOWN: dict[tuple, object] = {}
+_MOST_KNOWN = 300_000
+
+
+def _remember(key: tuple, value: object) -> object:
+    if len(_KNOWN) >= _MOST_KNOWN:
+        _KNOWN.clear()
+    _KNOWN[key] = value
+    return value
 
 
-@lru_cache(maxsize=200_000)
 def _id(kind: str, name: str) -> int:
-    return _hash(f"{kind}|{name}")
+    found = _KNOWN.get((kind, name))
+    return _remember((kind, name), _hash(f"{kind}|{name}")) if found is None else found
+
+
+def _ids(kind: str, names: tuple[str, ...]) -> list[int]:
+    found = _KNOWN.get((kind, names))
+    return _remember((kind, names), [_id(kind, n) for n in names]) if found is None else found
 
 
 _SHAPE = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
@@ -136,18 +147,21 @@ def _edge(c: str, end: str) -> str:
     return end if not c else " " if c.isspace() else "x" if c.isalnum() else c
 
 
-@lru_cache(maxsize=100_000)
 def _shared(s: str, left: str, right: str, before: str) -> tuple[str, ...]:
     """Names of the features of a segment that its kind does not change."""
+    found = _KNOWN.get((s, left, right, before))
+    if found is not None:
+        return found
     d = len(_digits(s))
     groups = [(k, sum(1 for _ in g)) for k, g in groupby(s.translate(_SHAPE))]
     shape = "".join("a" if k == "a" else str(min(n, 9)) if k == "0" else k * n for k, n in groups)
     kinds = [k for k, _ in groups]
     first = "0" if kinds[0] == "0" else "a" if s[0].isalnum() else s[0]
-    return (
+    names = (
         "bias", f"digits={min(d, 21)}", "shape=" + shape[:24], "first=" + first, "left=" + _edge(left, "^"), "right=" + _edge(right, "$"), "before=" + before, f"parts={min(kinds.count('0'), 8)}",
         f"letters={'a' in kinds}", f"dots={min(s.count('.'), 4)}", f"hyphens={min(s.count('-'), 4)}", "signs=" + "".join(sorted({k for k in kinds if k not in 'a0. -'}))[:6],
     )
+    return _remember((s, left, right, before), names)
 
 
 def _features(text: str, a: int, b: int, before: str, kind: str) -> list[int]:
@@ -357,7 +371,9 @@ def fit_windows(texts: list[str], seed: int = 7, per_kind: int = WINDOWS_PER_KIN
                     data.append((*candidates(other, 0, len(other)), {span}))
                 nothing = _spoiled(window, inside[0], rng)
                 data.append((*candidates(nothing, 0, len(nothing)), set()))
-    return SemiMarkov().fit(data)
+    model = SemiMarkov().fit(data)
+    _KNOWN.clear()  # tasks start with an empty table instead of a copy of this one
+    return model
 
 
 def fit_pii(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> SemiMarkov:
