@@ -99,6 +99,13 @@ def combine_layers(memories: DataFrame, knowledge: DataFrame, skills: DataFrame,
     return known.unionByName(own).unionByName(able).where(F.col("score") >= min_score).orderBy(F.desc("score"), "layer", "id").limit(limit)
 
 
+def touched(memories: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """``memories`` after a recall: each of ``hits (id)`` was accessed once more, at ``now``."""
+    rows = memories.join(F.broadcast(hits.select("id").distinct().withColumn("_hit", F.lit(True))), "id", "left")  # a recall has a limit
+    hit = F.coalesce("_hit", F.lit(False))
+    return rows.withColumns({"access_count": F.col("access_count") + hit.cast("int"), "last_accessed": F.when(hit, now).otherwise(F.col("last_accessed"))}).drop("_hit")
+
+
 def near_probe(asked: DataFrame, memories: DataFrame, distance: float = 0.05, limit: int = 5) -> DataFrame:
     """(asked_id, id, distance): for every new memory ``asked (id, scope_id, vec)`` the active ones of its scope within a distance, the nearest ``limit``."""
     new = asked.select(F.col("id").alias("asked_id"), "scope_id", F.col("vec").alias("asked_vec"))

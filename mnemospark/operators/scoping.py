@@ -216,6 +216,12 @@ def newest_versions(rows: DataFrame, keys: list[str], order: str, tie: str) -> D
     return rows.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
+def shared_with(asked: DataFrame, shared: DataFrame, now: Column) -> DataFrame:
+    """(asked_scope, artifact_id): what is shared with exactly the scopes of ``asked (asked_scope)`` and not expired."""
+    live = shared.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    return asked.join(live.select(F.col("grantee_scope_id").alias("asked_scope"), "artifact_id"), "asked_scope").distinct()
+
+
 def visible(artifacts: DataFrame, scopes: DataFrame, asked: DataFrame, shared: DataFrame, now: Column) -> DataFrame:
     """(asked_scope, columns of ``artifacts``) for every scope of ``asked (asked_scope)``: what it may see.
 

@@ -105,6 +105,16 @@ def query_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.query_similar(table, A.scopes(spark, sf_dir), _query_vector(spark, sf_dir), "memory", "r1"), "score")
 
 
+@query("recall_access", f"""WITH {A.MEMORIES_SQL}, {A.VECTORS_SQL}, {_QVEC},
+c AS (SELECT m.*, {_COS} AS vector, 0.0 AS text, 0.0 AS trigram FROM memories m JOIN vectors v ON m.id = v.id, qv WHERE is_active), k AS (SELECT * FROM c ORDER BY vector DESC, id LIMIT 20),
+h AS (SELECT id FROM k ORDER BY {_MSCORE} DESC, id LIMIT 10)
+SELECT id, CAST(access_count + CASE WHEN id IN (SELECT id FROM h) THEN 1 ELSE 0 END AS INT) AS access_count, CASE WHEN id IN (SELECT id FROM h) THEN TIMESTAMP '{A.NOW}' ELSE last_accessed END AS last_accessed FROM memories""")
+def recall_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a recall leaves behind: its results were accessed once more."""
+    hits = R.recall_memories(_active(spark, sf_dir), A.now(), "", _query_vector(spark, sf_dir), [A.vectors(spark, sf_dir)], mode="text")
+    return R.touched(A.memories(spark, sf_dir), hits, A.now()).select("id", "access_count", "last_accessed")
+
+
 @query("recall_code_fallback", f"""WITH {A.MEMORIES_SQL}, w AS (SELECT id, {_WORDS.format('content')} AS ws FROM memories WHERE is_active AND content_kind = 'code'),
 f AS (SELECT id, len(list_filter(ws, lambda x: list_contains(['the', 'that'], x))) / greatest(len(ws), 1)::DOUBLE AS text FROM w WHERE list_has_all(ws, ['the', 'that']))
 SELECT id, round(text, 6) AS score FROM f ORDER BY text DESC, id LIMIT 20""")

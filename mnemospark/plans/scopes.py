@@ -164,6 +164,12 @@ def shared_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.memories(spark, sf_dir).where("is_active").join(live, "scope_id", "left_semi").select("id")
 
 
+@query("shared_artifacts", f"WITH {A.SCOPES_SQL}, {A.SHARING_SQL} SELECT DISTINCT id AS asked_scope, artifact_id FROM scopes JOIN sharing ON grantee_scope_id = id WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{A.NOW}'")
+def shared_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shared with each scope itself."""
+    return S.shared_with(A.scopes(spark, sf_dir).select(F.col("id").alias("asked_scope")), A.sharing(spark, sf_dir), A.now())
+
+
 @query("promotion_access", f"""WITH {A.MEMBERSHIPS_SQL} SELECT member_id AS principal_id, parent_id AS scope_id, CASE WHEN role IN ('owner', 'admin') THEN 'direct' ELSE 'review' END AS access FROM memberships""")
 def promotion_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     access = F.when(F.col("role").isin("owner", "admin"), "direct").otherwise("review")

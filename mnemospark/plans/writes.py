@@ -135,6 +135,22 @@ def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.edit_artifacts(rows, rows.select("id", F.lit("new").alias("content")))[1].select("artifact_id", "version", F.md5("content").alias("content_hash"))
 
 
+@query("endorsement_counts", "SELECT user_id AS artifact_id, count(DISTINCT event_id % 7) AS endorsements FROM events WHERE event_type = 'view' GROUP BY user_id")
+def endorsement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views stand for endorsements; one counts once a person."""
+    rows = read_table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("artifact_id"), (F.col("event_id") % 7).alias("person"))
+    return rows.groupBy("artifact_id").agg(F.count_distinct("person").alias("endorsements"))
+
+
+@query("registered_models", "SELECT lang AS slug, 'text' AS content_type, lang = 'model-3' AS is_active, count(*) > 100 AS is_ready FROM documents GROUP BY lang UNION ALL SELECT 'model-3', 'text', TRUE, FALSE UNION ALL SELECT 'code-1', 'code', TRUE, TRUE")
+def registered_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages stand for text models that a new active model replaces; code models stay."""
+    old = read_table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("slug")).agg((F.count(F.lit(1)) > 100).alias("is_ready"))
+    old = old.select("slug", F.lit("text").alias("content_type"), F.lit(True).alias("is_active"), "is_ready")
+    models = old.unionByName(spark.createDataFrame([("code-1", "code", True, True)], old.schema))
+    return W.register_model(models, spark.createDataFrame([("model-3", "text", True, False)], old.schema))
+
+
 @query("cluster_topics", f"WITH {A.MEMORIES_SQL} SELECT scope_id AS cluster, count(*) AS members, CAST(count(*) FILTER (contains(lower(content), 'tion')) AS BIGINT) AS about FROM memories WHERE is_active GROUP BY scope_id")
 def cluster_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes stand for clusters."""
