@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from mnemospark.session import broadcast_if_small, checkpointed
 
 DEGREE = 24
-ROUNDS = 2
+ROUNDS = 3
 LEAF = 160
 TREES = 2
 #: Entries expanded in the first round, and how many rounds there are at most.
