@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, html, mixture, neighbours, pii, quality, secrets, toxicity, urls
+from mnemospark.llm import decontaminate, html, mixture, neighbours, pieces, pii, quality, secrets, toxicity, urls
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
@@ -62,6 +63,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(pages, html.fit_pages(pages))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.encode_documents(read_table(spark, sf_dir, "documents"), model))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": op8_urls,
         "op9_mixture": op9_mixture,
         "op10_html": op10_html,
+        "op11_pieces": op11_pieces,
     }
 
 
