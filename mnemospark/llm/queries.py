@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, html, mixture, negatives, neighbours, pieces, pii, quality, secrets, toxicity, urls
+from mnemospark.llm import decontaminate, divergence, html, mixture, negatives, neighbours, pieces, pii, quality, secrets, toxicity, urls
 from mnemospark.llm.simhash import simhash_components
 from mnemospark.session import read_table
 
@@ -68,6 +68,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode_documents(read_table(spark, sf_dir, "documents"), model))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixture": op9_mixture,
         "op10_html": op10_html,
         "op11_pieces": op11_pieces,
+        "op12_divergence": op12_divergence,
         "op13_negatives": op13_negatives,
     }
 
@@ -95,5 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_secrets": secrets.oracle_sql(),
         "op8_urls": urls.oracle_sql(),
         "op9_mixture": mixture.ORACLE.format(docs="documents"),
+        "op12_divergence": divergence.ORACLE,
         "op13_negatives": negatives.ORACLE,
     }
