@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: The first distinct words that a worker remembers, each of at most so many characters; others are encoded each time.
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 MAX_WORD_CHARS = 64
+#: Words of up to so many characters keep their agenda in a list.
+SHORT = 24
+NEVER = float("inf")
 #: Characters that are encoded, checked and handed on together; a longer text is a batch of its own.
 BATCH_CHARS = 1_000_000
 
@@ -69,6 +72,31 @@ class PieceModel:
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word by the score-ordered agenda."""
+        out: list[int] = []
+        for s in self._short(word) if len(word) <= SHORT else self._long(word):
+            if s in self.id_of:
+                out.append(self.id_of[s])
+            elif s:
+                out += [self.id_of_byte.get(b, self.unknown) for b in s.encode()] if self.id_of_byte else [self.unknown]
+        return out
+
+    def _short(self, word: str) -> list[str]:
+        """Symbols of a short word; its agenda is a list by place, as that is quicker to search than a heap is to keep."""
+        symbols = list(word)
+        cost = self.cost.get
+        agenda = [cost(word[k : k + 2], NEVER) for k in range(len(word) - 1)]
+        while agenda and (least := min(agenda)) < NEVER:
+            k = agenda.index(least)  # the leftmost of equals
+            symbols[k] = both = symbols[k] + symbols[k + 1]
+            del symbols[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = cost(both + symbols[k + 1], NEVER)
+            if k:
+                agenda[k - 1] = cost(symbols[k - 1] + both, NEVER)
+        return symbols
+
+    def _long(self, word: str) -> list[str]:
+        """Symbols of a word of any length, joined ones empty; its agenda is a heap."""
         symbols: list[str] = list(word)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -87,13 +115,7 @@ class PieceModel:
                     heapq.heappush(agenda, (cost[more], left, far, more))
             if (near := before[left]) >= 0 and (more := symbols[near] + both) in cost:
                 heapq.heappush(agenda, (cost[more], near, left, more))
-        out: list[int] = []
-        for s in symbols:
-            if s in self.id_of:
-                out.append(self.id_of[s])
-            elif s:
-                out += [self.id_of_byte.get(b, self.unknown) for b in s.encode()] if self.id_of_byte else [self.unknown]
-        return out
+        return symbols
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without begin or end ids; an empty text has none."""
