@@ -12,8 +12,8 @@ that occur in toxic documents far more often than by chance. Copies would make a
 rare word look so, and therefore texts that share their smallest or largest shingle hash count as
 one. A word counts towards a landmark as far as it comes nearer than the words of clean texts do, so
 that garbled insults count where no other word looks like them. Texts with words that no clean text has are
-also learned with just one of them. The curve is fitted on margins of texts that the model behind them has not
-seen, and moved from the share of toxic texts in the sample to their share among all labels and by the cost of a miss.
+also learned with just one of them; texts of few words or none that are near no landmark are learned as clean, so that
+being short is no sign of anything. The curve is fitted on margins of texts that the model behind them has not seen, and moved from the share of toxic texts in the sample to their share among all labels and by the cost of a miss.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ NEAR, MOST_NEAR, RISE = 0.4, 0.6, 0.15
 PLAIN = 0.02
 #: Hinge-loss cost of any text, the ridge under the whitening, and the folds that the curve is fitted on.
 COST, RIDGE, FOLDS = 10.0, 1.0, 3
+#: Texts of fewer words than this that are near no landmark are learned as clean, in all this share of the texts.
+FEW, FEW_SHARE = 12, 0.2
 #: A missed toxic text is as bad as this many dropped clean ones; the scores' odds count it.
 MISS_COST = 3.0
 
@@ -282,7 +284,7 @@ def fit_documents(landmarks: Landmarks, x: np.ndarray, y: np.ndarray, fold: np.n
     model = ToxicityModel(landmarks, root @ u[:-1], float(u[-1]))
     margin = np.zeros(len(y))
     for k in range(FOLDS):
-        rest, here = fold % FOLDS != k, fold % FOLDS == k
+        rest, here = fold != k, fold == k
         if here.any():
             both = len(set(y[rest].tolist())) > 1
             margin[here] = z[here] @ (_margins(z[rest], y[rest], seed) if both else u)
@@ -378,7 +380,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     x = np.frombuffer(b"".join(seen.column("x").to_pylist()), np.float32).reshape(-1, 2 * marks.size + 2).astype(float)
     every = {r.y: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).count().collect()}
     share = every.get(1, 0) / max(1, sum(every.values()))
-    model = fit_documents(marks, x, np.where(seen.column("y").to_numpy() == 1, 1.0, -1.0), seen.column("doc").to_numpy() % FOLDS, seen.column("real").to_numpy(zero_copy_only=False), share)
+    few = np.zeros((max(1, round(FEW_SHARE * len(x) / FEW)) * FEW, x.shape[1]))
+    few[:, -1] = np.log1p(np.arange(len(few)) % FEW) / 8
+    y = np.concatenate([np.where(seen.column("y").to_numpy() == 1, 1.0, -1.0), np.full(len(few), -1.0)])
+    fold = np.concatenate([seen.column("doc").to_numpy() % FOLDS, np.full(len(few), -1)])  # in every fold's model
+    real = np.concatenate([seen.column("real").to_numpy(zero_copy_only=False), np.zeros(len(few), bool)])
+    x = np.vstack([x, few])
+    model = fit_documents(marks, x, y, fold, real, share)
     model.reach, model.whole = reach, pure
     model.__post_init__()
     return model

@@ -113,3 +113,11 @@ def test_a_named_ledger_is_kept_and_changes_no_row(spark, tmp_path):
         assert ledger.count() == ledger.dropDuplicates(["blob", "rule"]).count() == 36
     finally:
         spark.conf.unset("spark.mnemospark.secrets.ledger")
+
+
+def test_null_empty_and_short_rows_pass_the_toxicity_stage(spark, tmp_path):
+    write(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    odd = docs.unionByName(spark.createDataFrame([(400 + n, " ".join(["ma"] * n), "en", "s0", n) for n in range(8)] + [(None, None, None, None, None)], docs.schema))
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, odd, str(tmp_path)).collect()
+    assert {302, 303, None, *range(400, 408)} <= {r.doc_id for r in kept}

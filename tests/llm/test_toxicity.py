@@ -156,3 +156,18 @@ def test_repeated_ids_and_labels(spark):
     assert score_toxicity(df, one).count() == len(rows)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert drop_toxic(empty, fit_toxicity(empty, lab)).count() == 0
+
+
+def test_empty_and_short_clean_texts_are_clean_where_all_fitted_texts_are_long(spark):
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = fit_toxicity(docs, labels)
+    wordless = model.scores(model.features(["", None, " \n\t ", "!!! --- 12"]))
+    assert (wordless < 0.4).all()
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where("text is not null").orderBy("doc_id").limit(500).select("text").collect()
+    for n in range(1, 11):
+        assert (model.scores(model.features([" ".join(r.text.split()[:n]) for r in clean])) >= 0.5).mean() <= 0.01, n
+    assert (model.scores(model.features(["hello", "the house", "le chien et la maison", "one two three four five"])) < 0.5).all()
+    seen = score_toxicity(docs, model).join(labels, "doc_id").where("held_out").select("score", "toxic").collect()
+    assert sum(r.score >= 0.5 for r in seen if r.toxic == 1) >= 0.9 * sum(r.toxic == 1 for r in seen)
+    assert sum(r.score >= 0.5 for r in seen if r.toxic == 0) <= 0.005 * sum(r.toxic == 0 for r in seen)
