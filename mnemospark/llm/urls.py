@@ -63,7 +63,9 @@ def match_rules(urls: DataFrame, rules: DataFrame, rows_per_sweep: int = ROWS_PE
     labels = F.split("host", r"\.")
     # only the suffixes that are some rule's host can meet an open interval
     hosts = stacks.select("zone", F.substring_index("key", _SEP, 1).alias("host_key")).distinct()
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.slice("_labels", i, F.size("_labels") - i + 1))
+    most = hosts.agg(F.max(F.size(F.split("host_key", r"\."))).alias("n")).head().n or 1  # no suffix of more labels is a rule's host
+    first = F.greatest(F.lit(1), F.size("_labels") - most + 1)
+    suffixes = F.transform(F.sequence(first, F.size("_labels")), lambda i: F.slice("_labels", i, F.size("_labels") - i + 1))
     each = urls.where("host <> ''").withColumn("_labels", labels).select("id", F.element_at("_labels", -1).alias("zone"), "path", F.explode(suffixes).alias("s"))
     points = each.select("id", "zone", _key(F.col("s"), F.col("path")).alias("key"), F.array_join(F.reverse("s"), ".").alias("host_key"))
     points = points.join(hosts, ["zone", "host_key"], "left_semi").select("id", "zone", "key")

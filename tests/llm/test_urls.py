@@ -42,3 +42,12 @@ def test_empty(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA), rules).count() == 0
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert [r.verdict for r in judge_urls(pages, rules.limit(0)).collect()] == ["allow"]
+
+
+def test_hosts_of_very_many_labels_are_judged_as_others(spark):
+    long = ".".join("abc"[i % 3] for i in range(100_000))
+    urls = [f"http://{long}.example.org/es/x", f"http://{long}/de/", f"http://{long}.com/de/", "http://" + "." * 50_000 + "com/de/", *URLS]
+    pages = spark.createDataFrame([(i, u, 1, "r", "x") for i, u in enumerate(urls)], SCHEMA)
+    for rules in (RULES, MORE):
+        got = {r.page_id: tuple(r)[1:] for r in judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string")).collect()}
+        assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
