@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from mnemospark.functions.english import english_terms, english_words, stem  # noqa: F401 - part of this module's functions
+
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -120,41 +121,6 @@ def entity_mentions(content: Column, source_ref: Column, max_concepts: int = 10)
     return F.array_distinct(F.concat(kind("file", files), kind("pr", refs), kind("person", persons), kind("concept", concepts)))
 
 
-#: Fixed list: words that open an English sentence's grammar and carry no topic.
-STOP_WORDS = frozenset("a an and are as at be but by for from had has have he her his i if in into is it its not of on or our she so such that the their them then there these they this to was we were what which who will with you your".split())
-
-
-def _measure(stem: str) -> int:
-    """How often a vowel run is followed by a consonant run."""
-    form = "".join("v" if c in "aeiou" or c == "y" and i and stem[i - 1] not in "aeiou" else "c" for i, c in enumerate(stem))
-    return len(re.findall("vc", re.sub(r"(.)\1+", r"\1", form)))
-
-
-def stem(word: str) -> str:
-    """A light English stemmer: plurals, -ed, -ing, -ly and common noun endings off stems that stay long enough."""
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ness", ""), ("ment", ""), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("s", "")):
-        if word.endswith(end) and _measure(word[: -len(end)]) >= 1 and not (end == "s" and word.endswith("ss")):
-            word = word[: -len(end)] + new
-            break
-    if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "lsz":
-        word = word[:-1]
-    return word[:-1] + "i" if word.endswith("y") and _measure(word[:-1]) >= 1 else word
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def english_terms(text: pd.Series) -> pd.Series:
-    """Stems of the words without accents and stop words, in order; an empty string marks a stop word's place."""
-    seen: dict[str, str] = {}
-
-    def term(w: str) -> str:
-        if w not in seen:
-            plain = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
-            seen[w] = "" if plain in STOP_WORDS else stem(plain)
-        return seen[w]
-
-    return text.map(lambda t: [term(w) for w in re.findall(r"[^\W_]+", (t or "").lower())])
-
-
 def cover_density(places: Column, terms: int) -> Column:
     """Sum of 1 / length over the shortest runs that hold all query terms.
 

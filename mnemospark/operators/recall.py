@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.text import jaccard, trigrams, words
 from mnemospark.functions.vector import cosine_similarity
+from mnemospark.operators.search import match_trigrams, match_words
 
 #: Fixed weights of the score and decay rates a day.
 W_VECTOR, W_TEXT, W_TRIGRAM, W_IMPORTANCE, W_RECENCY = 0.50, 0.10, 0.10, 0.20, 0.10
@@ -59,21 +60,27 @@ def by_terms(rows: DataFrame, query: str, limit: int, column: str = "content") -
 def recall_memories(
     rows: DataFrame, now: Column, query: str, vector: DataFrame, tables: list[DataFrame], code_vector: DataFrame | None = None, code_tables: list[DataFrame] | None = None,
     mode: str = "hybrid", limit: int = 10, types: list[str] | None = None, since: Column | None = None, until: Column | None = None, min_score: float = 0.0,
+    word_index: str | None = None, trigram_index: str | None = None, scopes: DataFrame | None = None,
 ) -> DataFrame:
     """(id, memory_type, score): the best memories for a query in one of three modes.
 
     ``text`` asks the vectors only; ``code`` the code vectors, and words where there are none; ``hybrid`` vectors, words and trigrams.
-    The window ``since`` to ``until`` holds for candidates; ``types`` and ``min_score`` for what is scored.
+    The window ``since`` to ``until`` holds for candidates; ``types`` and ``min_score`` for what is scored. With ``scopes (scope_id)``, those that the asker
+    is authorised for, candidates come from these alone, and from none where there are none. ``word_index`` and ``trigram_index`` are folders of
+    indexes of the contents, whose postings are read in place of the texts.
     """
+    rows = rows if scopes is None else rows.join(scopes.select("scope_id").distinct(), "scope_id", "left_semi")
     rows = rows if since is None else rows.where(F.col("created_at") >= since)
     rows = rows if until is None else rows.where(F.col("created_at") <= until)
+    by_words = by_terms(rows, query, 2 * limit) if word_index is None else match_words(rows.sparkSession, word_index, query, 2 * limit, rows)
     if mode == "code":
         found = by_first_vectors(rows, code_tables, code_vector, 2 * limit) if code_tables else None
-        signals = [by_terms(rows, query, 2 * limit) if found is None or found.isEmpty() else found]
+        signals = [by_words if found is None or found.isEmpty() else found]
     else:
         signals = [by_first_vectors(rows, tables, vector, 2 * limit)]
         if mode == "hybrid":
-            signals += [by_terms(rows, query, 2 * limit), by_trigram(rows, query, 2 * limit)]
+            grams = by_trigram(rows, query, 2 * limit) if trigram_index is None else match_trigrams(rows.sparkSession, trigram_index, query, 2 * limit, rows)
+            signals += [by_words, grams]
     scored = rows.drop("content").join(F.broadcast(merged(*signals)), "id").withColumn("score", memory_score(now))
     scored = scored if not types else scored.where(F.col("memory_type").isin(types))
     return best(scored.select("id", "memory_type", "score"), limit, min_score)

@@ -9,6 +9,7 @@ from mnemospark import adapters as A
 from mnemospark.functions import text as T
 from mnemospark.operators import recall as R
 from mnemospark.operators import scoping as S
+from mnemospark.operators import search
 from mnemospark.plans.registry import query
 from mnemospark.session import read_table
 
@@ -38,6 +39,28 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def _index(spark: SparkSession, sf_dir: str, kind: str, table: str = "documents") -> str:
+    """The folder of the index of a table's texts; it is built where it is not there yet."""
+    source = read_table(spark, sf_dir, table)
+    rows = source.selectExpr("doc_id AS id", "text AS content") if table == "documents" else source.selectExpr("p_partkey AS id", "concat(p_type, ' ', p_name) AS content")
+    write = search.write_trigram_index if kind == "trigram" else lambda r, f: search.write_word_index(r, f, kind)
+    return search.kept(source, f"{table}-{kind}", lambda folder: write(rows, folder))
+
+
+@query("text_index_terms", f"""WITH w AS (SELECT doc_id AS id, unnest({_WORDS.format("coalesce(text, '')")}) AS term FROM documents), c AS (SELECT id, term, count(*) AS n FROM w GROUP BY ALL)
+SELECT term, count(*) AS docs, CAST(sum(n) AS BIGINT) AS occurrences FROM c GROUP BY term""")
+def text_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the word index holds of every term."""
+    held = spark.read.parquet(_index(spark, sf_dir, "simple"))
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("places")).cast("long").alias("occurrences"))
+
+
+@query("trigram_index_grams", f"""WITH g AS (SELECT doc_id AS id, unnest({_TRI.format("coalesce(text, '')")}) AS term FROM documents)
+SELECT term, count(*) AS docs FROM g GROUP BY term""")
+def trigram_index_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(_index(spark, sf_dir, "trigram")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+
+
 @query("recall_text", f"""WITH {A.MEMORIES_SQL}, {A.VECTORS_SQL}, {_QVEC},
 c AS (SELECT m.*, {_COS} AS vector, 0.0 AS text, 0.0 AS trigram FROM memories m JOIN vectors v ON m.id = v.id, qv WHERE is_active),
 k AS (SELECT * FROM c ORDER BY vector DESC, id LIMIT 20)
@@ -59,7 +82,26 @@ c AS (SELECT id, coalesce(max(vector), 0) AS vector, coalesce(max(text), 0) AS t
 s AS (SELECT c.id, memory_type, {_MSCORE} AS sc FROM c JOIN a ON c.id = a.id)
 SELECT id, memory_type, round(sc, 6) AS score FROM s ORDER BY sc DESC, id LIMIT 10""")
 def recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(R.recall_memories(_active(spark, sf_dir), A.now(), QUESTION, _query_vector(spark, sf_dir), [A.vectors(spark, sf_dir)]), "score")
+    indexes = dict(word_index=_index(spark, sf_dir, "simple"), trigram_index=_index(spark, sf_dir, "trigram"))
+    return _rounded(R.recall_memories(_active(spark, sf_dir), A.now(), QUESTION, _query_vector(spark, sf_dir), [A.vectors(spark, sf_dir)], **indexes), "score")
+
+
+@query("recall_authorised", f"""WITH {A.MEMORIES_SQL}, {A.VECTORS_SQL}, {_QVEC},
+a AS (SELECT * FROM memories WHERE is_active AND scope_id IN ('n1', 'n2', 'n3', 'r1')),
+q AS (SELECT {_WORDS.format("'" + QUESTION + "'")} AS terms, {_TRI.format("'" + QUESTION + "'")} AS tri),
+v AS (SELECT a.id, {_COS} AS vector, NULL::DOUBLE AS text, NULL::DOUBLE AS trigram FROM a JOIN vectors ON a.id = vectors.id, qv ORDER BY vector DESC, id LIMIT 20),
+w AS (SELECT id, {_WORDS.format('content')} AS ws, terms FROM a, q),
+f AS (SELECT id, NULL::DOUBLE, len(list_filter(ws, lambda x: list_contains(terms, x))) / greatest(len(ws), 1)::DOUBLE AS text, NULL::DOUBLE FROM w WHERE list_has_all(ws, terms) ORDER BY text DESC, id LIMIT 20),
+g AS (SELECT id, {_TRI.format('content')} AS t, tri FROM a, q),
+t AS (SELECT id, NULL::DOUBLE, NULL::DOUBLE, {_JAC.format('t', 'tri')} AS s FROM g WHERE {_JAC.format('t', 'tri')} > 0.1 ORDER BY s DESC, id LIMIT 20),
+c AS (SELECT id, coalesce(max(vector), 0) AS vector, coalesce(max(text), 0) AS text, coalesce(max(trigram), 0) AS trigram FROM (SELECT * FROM v UNION ALL SELECT * FROM f UNION ALL SELECT * FROM t) GROUP BY id),
+s AS (SELECT c.id, memory_type, {_MSCORE} AS sc FROM c JOIN a ON c.id = a.id)
+SELECT id, memory_type, round(sc, 6) AS score FROM s ORDER BY sc DESC, id LIMIT 10""")
+def recall_authorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid recall of an asker who is authorised for three nations and a region."""
+    own = A.scopes(spark, sf_dir).where("id IN ('n1', 'n2', 'n3', 'r1')").select(F.col("id").alias("scope_id"))
+    indexes = dict(word_index=_index(spark, sf_dir, "simple"), trigram_index=_index(spark, sf_dir, "trigram"))
+    return _rounded(R.recall_memories(_active(spark, sf_dir), A.now(), QUESTION, _query_vector(spark, sf_dir), [A.vectors(spark, sf_dir)], scopes=own, **indexes), "score")
 
 
 _WINDOW = "created_at BETWEEN TIMESTAMP '2023-09-01' AND TIMESTAMP '2024-01-15'"
@@ -126,8 +168,8 @@ def recall_code_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trigram_search", f"""WITH q AS (SELECT {_TRI.format("'econom brass'")} AS b), p AS (SELECT p_partkey AS id, {_TRI.format("p_type || ' ' || p_name")} AS a, b FROM part, q)
 SELECT id, round({_JAC.format('a', 'b')}, 6) AS score FROM p WHERE {_JAC.format('a', 'b')} > 0.1 ORDER BY {_JAC.format('a', 'b')} DESC, id LIMIT 50""")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read_table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "concat(p_type, ' ', p_name) AS content")
-    return R.by_trigram(parts, "econom brass", 50).select("id", F.round("trigram", 6).alias("score"))
+    found = search.match_trigrams(spark, _index(spark, sf_dir, "trigram", "part"), "econom brass", 50)
+    return found.select("id", F.round("trigram", 6).alias("score"))
 
 
 @query("ilike_search", "SELECT doc_id AS id, lang FROM documents WHERE text ILIKE '%tion the%' ORDER BY doc_id")
@@ -145,19 +187,15 @@ def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT id, len(list_filter(ws, lambda x: list_contains(['the', 'and', 'with'], x))) / greatest(len(ws), 1)::DOUBLE AS text FROM w WHERE list_has_all(ws, ['the', 'and', 'with']))
 SELECT id, round(text, 6) AS score FROM f ORDER BY text DESC, id LIMIT 100""")
 def fts_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS content")
-    return R.by_terms(docs, "the and with", 100).select("id", F.round("text", 6).alias("score"))
+    return search.match_words(spark, _index(spark, sf_dir, "simple"), "the and with", 100).select("id", F.round("text", 6).alias("score"))
 
 
 @query("fts_english")
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stemmed words of the question must occur; ranked by cover density."""
-    terms = [T.stem(w) for w in ("things", "erbles", "ertion")]
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.english_terms("text").alias("terms"))
-    wanted = F.array(*[F.lit(t) for t in terms])
-    places = F.filter(F.transform("terms", lambda t, i: F.struct(i.alias("at"), (F.array_position(wanted, t) - 1).cast("int").alias("term"))), lambda p: p.term >= 0)
-    ranked = docs.select("id", places.alias("places")).where(F.size("places") >= len(terms)).select("id", F.round(T.cover_density(F.col("places"), len(terms)), 6).alias("score"))
-    return ranked.where("score > 0").withColumn("query_stem", F.lit(" ".join(terms))).orderBy(F.desc("score"), "id").limit(100)
+    """All terms of the question must occur; ranked by cover density."""
+    question = "the things of erbles and ertion"
+    found = search.match_english(spark, _index(spark, sf_dir, "english"), question, 100)
+    return found.select("id", F.round("text", 6).alias("score"), F.lit(" ".join(sorted(set(T.english_words(question)) - {""}))).alias("query_stem"))
 
 
 _KSCORE = f"""0.50 * 0 + 0.10 * text + 0.10 * 0 + 0.20 * least(endorsement_count / 10.0::DOUBLE, 1.0)
