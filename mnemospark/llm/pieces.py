@@ -12,8 +12,9 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+import sys
+import types
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +150,12 @@ class PieceModel:
         return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "piece-bytes")
 
 
-@lru_cache(maxsize=1)
 def _model(proto: bytes) -> PieceModel:
-    """The model of this worker, which keeps its words from task to task."""
-    return PieceModel(proto)
+    """The model of this worker process, which keeps its words from task to task."""
+    kept = sys.modules.setdefault("_piece_model_of_worker", types.ModuleType("_piece_model_of_worker")).__dict__
+    if kept.get("proto") != proto:
+        kept.update(proto=proto, model=PieceModel(proto))
+    return kept["model"]
 
 
 def _slices(texts: list[str]) -> Iterator[slice]:
