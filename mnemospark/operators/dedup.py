@@ -2,79 +2,28 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators.angular import angular_pairs
 from mnemospark.operators.components import connected_components
 from mnemospark.session import checkpointed
 
-#: Rows of a part; two parts make a tile, which one task compares.
+#: Rows of a part, about; two parts make a tile, which one task compares.
 PART = 512
-
-
-def _cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
-    """Cosines of all rows of one side with all of the other; of unequal lengths the shorter counts, and without a direction there is none (NaN)."""
-    va, vb = ([np.array(v or [], float) for v in c.to_pylist()] for c in (a, b))
-    out = np.full((len(va), len(vb)), np.nan)
-    by_length = lambda vs: {n: [k for k, v in enumerate(vs) if len(v) == n] for n in {len(v) for v in vs} if n}
-    for m, left in by_length(va).items():
-        for n, right in by_length(vb).items():
-            d = min(m, n)
-            x, y = np.stack([va[k][:d] for k in left]), np.stack([vb[k][:d] for k in right])
-            norm = np.sqrt((x * x).sum(axis=1)[:, None] * (y * y).sum(axis=1)[None, :])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[np.ix_(left, right)] = np.where(norm > 0, (x @ y.T) / norm, np.nan)
-    return out
-
-
-def _parts(rows: DataFrame, block: list[str]) -> DataFrame:
-    """``rows`` with the number of parts of their block and their own part."""
-    size = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    return rows.join(size, block).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+#: More than what a distance and its cosine lose to rounding.
+ROUNDING = 1e-12
 
 
 def near_pairs(rows: DataFrame, threshold: float, block: list[str]) -> DataFrame:
-    """(a, b, distance): pairs of ``rows (id, vec, *block)`` of one block within a cosine distance, smaller id first.
-
-    A block is compared in tiles: its rows are dealt into parts by their id, and every pair of parts, in one order only,
-    is a task of its own, so that a large block is never held as a whole.
-    """
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = _parts(rows.where("vec is not null"), block).select(*block, "id", "vec", "part", other)
-    tiles = dealt.select(*block, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "vec", "part")
-
-    def compare(t: pa.Table) -> pa.Table:
-        part, ids = t.column("part").to_numpy(), t.column("id").to_numpy()
-        i = t.column("i")[0].as_py()
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == t.column("j")[0].as_py())
-        distance = 1 - _cosines(t.column("vec").take(pa.array(left)), t.column("vec").take(pa.array(right)))
-        x, y = np.nonzero(distance <= threshold)
-        a, b = ids[left[x]], ids[right[y]]
-        keep = a < b if (left.size and right.size and left[0] == right[0]) else a != b
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": distance[x, y][keep]})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return tiles.groupBy(*block, "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, distance double")
+    """(a, b, distance): pairs of ``rows (id, vec, *block)`` of one block within a cosine distance, smaller id first; by parts that pivots leave (see ``angular``)."""
+    found = angular_pairs(rows, None, 1 - threshold - ROUNDING, block, PART)
+    return found.select("a", "b", (1 - F.col("cosine")).alias("distance")).where(F.col("distance") <= threshold)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: list[str]) -> DataFrame:
-    """(a, b, similarity): pairs of a row of ``left`` and one of ``right``, both (id, vec, *block), of one block and above a cosine; by tiles as above."""
-    one, two = _parts(left.where("vec is not null"), block), _parts(right.where("vec is not null"), block)
-    sizes = lambda d, n: d.select(*block, F.col("parts").alias(n)).distinct()
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = one.join(sizes(two, "others"), block).select(*block, F.col("part").alias("i"), every("others").alias("j"), "id", "vec")
-    two = two.join(sizes(_parts(left.where("vec is not null"), block), "others"), block).select(*block, every("others").alias("i"), F.col("part").alias("j"), "id", "vec")
-
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        near = _cosines(x.column("vec"), y.column("vec"))
-        a, b = np.nonzero(near > least)
-        return pa.table({"a": x.column("id").to_numpy()[a], "b": y.column("id").to_numpy()[b], "similarity": near[a, b]})
-
-    two = two.select(*[F.col(c).alias(c) for c in two.columns])  # new columns, as both sides may come from one frame
-    keys, kind = [*block, "i", "j"], left.schema["id"].dataType.simpleString()
-    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    """(a, b, similarity): pairs of a row of ``left`` and one of ``right``, both (id, vec, *block), of one block and above a cosine; by parts as above."""
+    return angular_pairs(left, right, least, block, PART, inclusive=False).withColumnRenamed("cosine", "similarity")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.text import jaccard, trigrams, words
 from mnemospark.functions.vector import cosine_similarity
+from mnemospark.operators.angular import angular_pairs
 from mnemospark.operators.search import match_trigrams, match_words
 
 #: Fixed weights of the score and decay rates a day.
@@ -19,6 +20,8 @@ DECAY_OTHER = 0.005
 HALF_LIFE = {"meeting": 7, "retro": 14, "research": 45, "spec": 60, "design": 60, "decision": 90}
 HALF_LIFE_OTHER = 30
 TRIGRAM_CUT = 0.1
+#: Rows of a part that a probe compares as a whole.
+PROBE_PART = 1024
 
 
 def days_since(then: Column, now: Column) -> Column:
@@ -115,9 +118,9 @@ def touched(memories: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
 
 def near_probe(asked: DataFrame, memories: DataFrame, distance: float = 0.05, limit: int = 5) -> DataFrame:
     """(asked_id, id, distance): for every new memory ``asked (id, scope_id, vec)`` the active ones of its scope within a distance, the nearest ``limit``."""
-    new = asked.select(F.col("id").alias("asked_id"), "scope_id", F.col("vec").alias("asked_vec"))
-    near = new.join(memories.where("is_active and vec is not null").select("id", "scope_id", "vec"), "scope_id").where("id <> asked_id")
-    found = near.select("asked_id", "id", F.round(1 - cosine_similarity(F.col("vec"), F.col("asked_vec")), 9).alias("distance")).where(F.col("distance") <= distance)
+    known = memories.where("is_active and vec is not null").select("id", "vec", "scope_id")
+    near = angular_pairs(asked.select("id", "vec", "scope_id"), known, 1 - distance - 1e-9, ["scope_id"], PROBE_PART).where("a <> b")
+    found = near.select(F.col("a").alias("asked_id"), F.col("b").alias("id"), F.round(1 - F.col("cosine"), 9).alias("distance")).where(F.col("distance") <= distance)
     place = F.row_number().over(Window.partitionBy("asked_id").orderBy("distance", "id"))
     return found.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
