@@ -223,3 +223,16 @@ RELATIONS_SQL = """relations AS (
     SELECT 'n' || (l_suppkey % 25) AS scope_id, 's' || l_suppkey AS subject_id,
       CASE l_linenumber % 4 WHEN 0 THEN 'imports' WHEN 1 THEN 'calls' WHEN 2 THEN 'uses' ELSE 'defines' END AS predicate,
       'p' || l_partkey AS object_id, round(1 - l_discount, 2) AS c FROM lineitem) GROUP BY ALL)"""
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, scope_id, entity_type, name): suppliers as services, parts as functions, classes and variables."""
+    s = read_table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey) AS entity_id", "concat('n', s_suppkey % 25) AS scope_id", "'service' AS entity_type", "concat('s', s_suppkey) AS name")
+    kinds = "CASE p_size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'variable' END AS entity_type"
+    p = read_table(spark, sf_dir, "part").selectExpr("concat('p', p_partkey) AS entity_id", "concat('n', p_partkey % 25) AS scope_id", kinds, "p_name AS name")
+    return s.unionByName(p)
+
+
+ENTITIES_SQL = """entities AS (
+  SELECT 's' || s_suppkey AS entity_id, 'n' || (s_suppkey % 25) AS scope_id, 'service' AS entity_type, 's' || s_suppkey AS name FROM supplier
+  UNION ALL SELECT 'p' || p_partkey, 'n' || (p_partkey % 25), CASE p_size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'variable' END, p_name FROM part)"""

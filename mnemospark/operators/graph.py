@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,89 @@ def neighbours(relations: DataFrame, entities: DataFrame, predicates: list[str]
 SYMBOL_KINDS = ("function", "method", "type", "struct", "interface", "class", "module", "package", "variable", "file")
 
 
-def resolve_symbols(entities: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, entity_id): per name the entity of exactly that canonical name by the order of kinds, else the shortest that ends with it.
+#: Kinds that a name qualified by an import may stand for, in order.
+CODE_KINDS = ("function", "method", "type", "struct", "interface", "class", "variable")
+
+
+def suffix_keys(canonical: Column) -> Column:
+    """A name and what follows each ``.``, ``::`` and ``#`` in it: what it can be found by."""
+    after = lambda i: F.substring(canonical, i - 1, F.lit(1)).isin(".", "#") | (F.substring(canonical, i - 2, F.lit(2)) == "::") & (i > 2)
+    starts = F.filter(F.sequence(F.lit(2), F.length(canonical)), after)
+    ends = F.when(F.length(canonical) > 1, F.transform(starts, lambda i: F.substring(canonical, i, F.length(canonical)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(canonical), ends))
+
 
-    Names are matched with the last part of a canonical name after ``.``, ``::`` or ``#`` by equality.
+def by_suffix(entities: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
+    """(name, entity_id, place): per name the entities whose canonical name is it or ends with it after ``.``, ``::`` or ``#``, the shortest first, ties to the smaller id.
+
+    Every suffix of a canonical name is a key, so that names of several parts are joined by equality; names and suffixes without a partner do not meet.
     """
+    asked = names.select("name").where("name <> ''").distinct()
+    keys = entities.select("entity_id", F.length("canonical").alias("_n"), F.explode(suffix_keys(F.col("canonical"))).alias("name"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("_n", "entity_id"))
+    return keys.join(asked, "name", "left_semi").withColumn("place", place).where(F.col("place") <= limit).select("name", "entity_id", "place")
+
+
+def resolve_symbols(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, entity_id): per name the entity of exactly that canonical name by the order of kinds, else the shortest that ends with it (see ``by_suffix``)."""
     rank = F.array_position(F.array(*[F.lit(k) for k in SYMBOL_KINDS]), F.col("entity_type"))
-    whole = entities.select(F.col("canonical").alias("name"), "entity_id", F.lit(0).alias("way"), rank.alias("kind"), F.length("canonical").alias("n"))
-    tail = F.regexp_extract("canonical", r"(?:\.|::|#)([^.:#]+)$", 1)
-    ends = entities.select(tail.alias("name"), "entity_id", F.lit(1).alias("way"), rank.alias("kind"), F.length("canonical").alias("n")).where("name <> ''")
-    hit = names.join(whole.unionByName(ends), "name")
-    return hit.groupBy("name").agg(F.min_by("entity_id", F.struct("way", F.when(F.col("way") == 0, F.col("kind")).otherwise(F.col("n")), "n", "entity_id")).alias("entity_id"))
+    whole = entities.select(F.col("canonical").alias("name"), "entity_id", rank.alias("kind")).where("kind > 0").join(names.select("name"), "name", "left_semi")
+    exact = whole.groupBy("name").agg(F.min_by("entity_id", F.struct("kind", "entity_id")).alias("entity_id"), F.lit(0).alias("way"))
+    ends = by_suffix(entities, names, 1).select("name", "entity_id", F.lit(1).alias("way"))
+    return exact.unionByName(ends).groupBy("name").agg(F.min_by("entity_id", "way").alias("entity_id"))
+
+
+def resolve_targets(asked: DataFrame, local: DataFrame, imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """(file, name, entity_id, stage): what a name that a file calls or uses stands for; names that nothing bears are absent.
+
+    ``asked``: (file, name); ``local``: (file, name, entity_id), the symbols of a file; ``imports``: (file, canonical, name) of imported packages;
+    ``entities``: (entity_id, entity_type, canonical). First the file's own symbols, then a package's canonical or plain name with the name, in the order of packages, of
+    these two and of kinds, then the shortest canonical name that ends with it.
+    """
+    asked = asked.select("file", "name").distinct()
+    own = asked.join(local, ["file", "name"]).groupBy("file", "name").agg(F.min("entity_id").alias("entity_id")).withColumn("stage", F.lit(1))
+    rank = F.array_position(F.array(*[F.lit(k) for k in CODE_KINDS]), F.col("entity_type"))
+    package = imports.select("file", "canonical", F.posexplode(F.array("canonical", "name")).alias("form", "head")).distinct()
+    wanted = asked.join(package, "file").select("file", "name", F.col("canonical").alias("package"), "form", F.concat("head", F.lit("."), "name").alias("canonical"))
+    code = entities.select("canonical", "entity_id", rank.alias("kind")).where("kind > 0")
+    through = wanted.join(code, "canonical").groupBy("file", "name").agg(F.min_by("entity_id", F.struct("package", "form", "kind", "entity_id")).alias("entity_id")).withColumn("stage", F.lit(2))
+    ends = asked.join(by_suffix(entities, asked, 1).drop("place"), "name").select("file", "name", "entity_id", F.lit(4).alias("stage"))
+    every = own.unionByName(through).unionByName(ends)
+    return every.groupBy("file", "name").agg(F.min_by("entity_id", "stage").alias("entity_id"), F.min("stage").alias("stage"))
+
+
+@dataclass(frozen=True)
+class Hop:
+    """One step of a path: the predicates it may have (any without them), ``out``, ``in`` or ``both`` ways, and a condition on the entity it ends at."""
+
+    predicates: tuple[str, ...] = ()
+    direction: str = "out"
+    where: Column | None = None
+
+
+def match_paths(entities: DataFrame, relations: DataFrame, scope_id: str, start: Column | None, hops: list[Hop]) -> DataFrame:
+    """(n0, p1, d1, n1, p2, d2, n2, ...): paths that begin at an entity of a scope: entity, predicate, direction, entity, and so on.
+
+    The scope bounds the first entity before anything is joined; conditions are on columns of ``entities (entity_id, scope_id, ...)`` and cut each side before its
+    join. No path holds one relation twice; without hops it is the entities themselves. Hops without a direction that is known raise ``ValueError``.
+    """
+    if bad := [h.direction for h in hops if h.direction not in ("out", "in", "both")]:
+        raise ValueError(f"no such direction: {bad[0]}")
+    first = entities.where(F.col("scope_id") == scope_id)
+    paths = (first if start is None else first.where(start)).select(F.col("entity_id").alias("n0"))
+    for k, hop in enumerate(hops, 1):
+        edges = relations.where(F.col("predicate").isin(*hop.predicates)) if hop.predicates else relations
+        key = F.struct("scope_id", "subject_id", "predicate", "object_id").alias(f"_e{k}")
+        ways = {"out": ("subject_id", "object_id"), "in": ("object_id", "subject_id")}
+        each = [edges.select(F.col(a).alias(f"n{k - 1}"), F.col("predicate").alias(f"p{k}"), F.lit(d).alias(f"d{k}"), F.col(b).alias(f"n{k}"), key) for d, (a, b) in ways.items() if hop.direction in (d, "both")]
+        step = each[0] if len(each) == 1 else each[0].unionByName(each[1].where(F.col(f"n{k}") != F.col(f"n{k - 1}")))  # a loop is one step, whichever way
+        if hop.where is not None:
+            step = step.join(entities.where(hop.where).select(F.col("entity_id").alias(f"n{k}")), f"n{k}", "left_semi")
+        paths = paths.join(step, f"n{k - 1}")
+        for j in range(1, k):
+            paths = paths.where(F.col(f"_e{j}") != F.col(f"_e{k}"))
+    names = [c for k in range(1, len(hops) + 1) for c in (f"p{k}", f"d{k}", f"n{k}")]
+    return paths.select("n0", *names)
 
 
 def co_occurrences(links: DataFrame, group: str, item: str) -> DataFrame:

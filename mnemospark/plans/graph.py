@@ -45,16 +45,68 @@ def relations_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("resolve_symbol", """WITH e AS (SELECT p_partkey AS entity_id, CASE p_size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'variable' END AS entity_type, replace(lower(p_name), ' ', '.') AS canonical FROM part),
-names AS (SELECT DISTINCT regexp_extract(canonical, '([^.]+)$', 1) AS name FROM e UNION SELECT canonical FROM e),
+names AS (SELECT DISTINCT regexp_extract(canonical, '([^.]+)$', 1) AS name FROM e UNION SELECT regexp_extract(canonical, '([^.]+[.][^.]+)$', 1) FROM e UNION SELECT canonical FROM e),
 c AS (SELECT n.name, entity_id, CASE WHEN canonical = n.name THEN 0 ELSE 1 END AS way, CASE entity_type WHEN 'function' THEN 1 WHEN 'class' THEN 6 ELSE 9 END AS kind, length(canonical) AS n
-  FROM names n JOIN e ON canonical = n.name OR ends_with(canonical, '.' || n.name) AND NOT contains(n.name, '.'))
+  FROM names n JOIN e ON canonical = n.name OR ends_with(canonical, '.' || n.name))
 SELECT name, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY way, CASE WHEN way = 0 THEN kind ELSE n END, n, entity_id) AS k FROM c) WHERE k = 1""")
 def resolve_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "part").selectExpr("p_partkey AS entity_id", "CASE p_size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'variable' END AS entity_type", "replace(lower(p_name), ' ', '.') AS canonical")
-    names = e.select(F.regexp_extract("canonical", r"([^.]+)$", 1).alias("name")).unionByName(e.select(F.col("canonical").alias("name"))).distinct()
+    forms = [F.regexp_extract("canonical", r"([^.]+)$", 1), F.regexp_extract("canonical", r"([^.]+[.][^.]+)$", 1), F.col("canonical")]
+    names = e.select(F.explode(F.array(*forms)).alias("name")).where("name <> ''").distinct()
     return G.resolve_symbols(e, names)
 
 
+_SYMBOLS = """e AS (SELECT p_partkey AS entity_id, CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'package' ELSE 'variable' END AS entity_type,
+  replace(lower(p_name), ' ', CASE p_partkey % 3 WHEN 0 THEN '.' WHEN 1 THEN '::' ELSE '#' END) || CASE WHEN p_partkey % 5 = 0 THEN '.' || lower(p_brand) ELSE '' END AS canonical FROM part)"""
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols whose names have several parts, parted in the ways of several languages."""
+    return read_table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS entity_id", "CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'package' ELSE 'variable' END AS entity_type",
+        "concat(replace(lower(p_name), ' ', CASE p_partkey % 3 WHEN 0 THEN '.' WHEN 1 THEN '::' ELSE '#' END), CASE WHEN p_partkey % 5 = 0 THEN concat('.', lower(p_brand)) ELSE '' END) AS canonical",
+    )
+
+
+@query("suffix_candidates", f"""WITH {_SYMBOLS}, names AS (SELECT DISTINCT unnest([split_part(lower(p_name), ' ', 2), replace(lower(p_name), ' ', '.'), split_part(lower(p_name), ' ', 2) || '.' || lower(p_brand), lower(p_brand)]) AS name FROM part)
+SELECT name, entity_id, CAST(place AS INTEGER) AS place FROM (SELECT n.name, entity_id, row_number() OVER (PARTITION BY n.name ORDER BY length(canonical), entity_id) AS place FROM names n JOIN e
+  ON canonical = n.name OR ends_with(canonical, '.' || n.name) OR ends_with(canonical, '::' || n.name) OR ends_with(canonical, '#' || n.name) WHERE n.name <> '') WHERE place <= 5""")
+def suffix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = "explode(array(coalesce(try_element_at(split(lower(p_name), ' '), 2), ''), replace(lower(p_name), ' ', '.'), concat(coalesce(try_element_at(split(lower(p_name), ' '), 2), ''), '.', lower(p_brand)), lower(p_brand))) AS name"
+    return G.by_suffix(_symbols(spark, sf_dir), read_table(spark, sf_dir, "part").selectExpr(forms))
+
+
+@query("resolved_targets", f"""WITH {_SYMBOLS}, f AS (SELECT DISTINCT l_suppkey AS file, l_linenumber AS n, entity_id, canonical, regexp_extract(canonical, '([^.:#]+)$', 1) AS tail,
+  regexp_extract(canonical, '^(.*)[.][^.]*$', 1) AS head FROM lineitem JOIN e ON entity_id = l_partkey),
+asked AS (SELECT DISTINCT file, CASE WHEN entity_id % 4 = 0 THEN canonical ELSE tail END AS name FROM f WHERE n IN (2, 4)), own AS (SELECT file, tail AS name, min(entity_id) AS entity_id FROM f WHERE n = 1 GROUP BY ALL),
+pkg AS (SELECT DISTINCT file, head AS canonical, unnest([head, regexp_extract(head, '([^.:#]+)$', 1)]) AS head, unnest([0, 1]) AS form FROM f WHERE n = 4 AND head <> ''),
+a AS (SELECT a.file, a.name, o.entity_id, 1 AS stage, '' AS package, 0 AS form, 0 AS kind FROM asked a JOIN own o USING (file, name)
+  UNION ALL SELECT a.file, a.name, e.entity_id, 2, p.canonical, form, list_position(['function', 'method', 'type', 'struct', 'interface', 'class', 'variable'], entity_type) FROM asked a JOIN pkg p USING (file) JOIN e ON e.canonical = p.head || '.' || a.name WHERE entity_type <> 'package'
+  UNION ALL SELECT a.file, a.name, e.entity_id, 4, '', 0, length(e.canonical) FROM asked a JOIN e ON e.canonical = a.name OR ends_with(e.canonical, '.' || a.name) OR ends_with(e.canonical, '::' || a.name) OR ends_with(e.canonical, '#' || a.name))
+SELECT file, name, entity_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY stage, package, form, kind, entity_id) AS k FROM a) WHERE k = 1""")
+def resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as files: their first lines define symbols, their second and fourth use some, their fourth import packages."""
+    e = _symbols(spark, sf_dir)
+    tail, head = F.regexp_extract("canonical", "([^.:#]+)$", 1), F.regexp_extract("canonical", r"^(.*)[.][^.]*$", 1)
+    f = read_table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS file", "l_linenumber AS n", "l_partkey AS entity_id").distinct().join(e, "entity_id")
+    asked = f.where("n IN (2, 4)").select("file", F.when(F.col("entity_id") % 4 == 0, F.col("canonical")).otherwise(tail).alias("name"))
+    local = f.where("n = 1").select("file", tail.alias("name"), "entity_id")
+    imports = f.where("n = 4").select("file", head.alias("canonical")).where("canonical <> ''").select("file", "canonical", tail.alias("name"))
+    return G.resolve_targets(asked, local, imports, e)
+
+
+@query("graph_paths", f"""WITH {_REL}, {A.ENTITIES_SQL}, r AS (SELECT * FROM relations)
+SELECT a.subject_id AS n0, a.predicate AS p1, 'out' AS d1, a.object_id AS n1, b.predicate AS p2, 'in' AS d2, b.subject_id AS n2
+FROM entities s JOIN r a ON a.subject_id = s.entity_id JOIN entities m ON m.entity_id = a.object_id JOIN r b ON b.object_id = m.entity_id JOIN entities t ON t.entity_id = b.subject_id
+WHERE s.scope_id = 'n3' AND s.entity_type = 'service' AND a.predicate IN ('calls', 'uses') AND m.entity_type = 'function' AND b.predicate = 'calls' AND t.name <> s.name
+  AND NOT (a.scope_id = b.scope_id AND a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.object_id = b.object_id)""")
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services of a scope, the functions they call or use, and the other services that call these."""
+    hops = [G.Hop(("calls", "uses"), "out", F.col("entity_type") == "function"), G.Hop(("calls",), "in", F.col("entity_type") == "service")]
+    found = G.match_paths(A.entities(spark, sf_dir), A.relations(spark, sf_dir), "n3", F.col("entity_type") == "service", hops)
+    return found.where("n0 <> n2")
+
+
 @query("cooccurrence_edges", """WITH x AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS a FROM lineitem)
 SELECT a.a, b.a AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.a < b.a GROUP BY ALL HAVING count(*) >= 2""")
 def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
