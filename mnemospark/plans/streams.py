@@ -30,6 +30,20 @@ def invocation_stats_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+@query("snapshots_kept", """WITH RECURSIVE e AS (SELECT user_id, event_type, ts FROM events WHERE ts IS NOT NULL),
+k AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY ALL
+  UNION ALL SELECT k.user_id, k.event_type, (SELECT min(e.ts) FROM e WHERE e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 5 DAYS) AS n FROM k WHERE n IS NOT NULL)
+SELECT user_id, event_type, ts FROM k""")
+def snapshots_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream with state over the events of a user and type: one is kept if it comes five days or more after the last kept."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid4().hex}"
+    schema = read_table(spark, sf_dir, "events").schema
+    stream = E.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    E.run_to_end(E.kept_snapshots(stream, ["user_id", "event_type"], "5 days"), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out").withColumn("ts", F.col("ts").cast(schema["ts"].dataType))
+
+
 @query("event_windows_tumbling", "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tumbling(read_table(spark, sf_dir, "events"), "6 hours").select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -39,6 +44,37 @@ def fresh_snapshots(events: DataFrame, keys: list[str], late: str = "60 seconds"
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def kept_snapshots(events: DataFrame, keys: list[str], gap: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
+    """(keys, ts): events of a stream that come ``gap`` or more after the last one that was kept of their keys.
+
+    The state of a key is the time of its last kept event; a timer clears it once the watermark has passed that time and the gap, so that state does not grow
+    with the keys ever seen. Events later than the watermark are dropped; an event before the last kept one is kept only if it is ``gap`` or more before it, and sets no time back.
+    Within a batch events are taken in the order of their times. Null times are dropped.
+    """
+    micros = int(pd.Timedelta(gap) / pd.Timedelta(microseconds=1))
+    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        times = np.sort(np.concatenate([b["ts"].to_numpy("datetime64[us]").astype(np.int64) for b in batches]))
+        kept = []
+        for t in times.tolist():
+            if last is None or abs(t - last) >= micros:
+                kept.append(t)
+                last = t if last is None else max(t, last)
+        if kept:
+            state.update((last,))
+        if state.exists:
+            state.setTimeoutTimestamp(max((last + micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({k: [v] * len(kept) for k, v in zip(keys, key, strict=True)} | {"ts": pd.to_datetime(kept, unit="us")})
+
+    timed = events.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(*keys, "ts")
+    return timed.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_end(frame: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Work off what is there and stop: Parquet in append mode, else every batch as the whole table."""
     if mode == "append":
