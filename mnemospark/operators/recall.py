@@ -11,6 +11,7 @@ from mnemospark.functions.text import jaccard, trigrams, words
 from mnemospark.functions.vector import cosine_similarity
 from mnemospark.operators.angular import angular_pairs
 from mnemospark.operators.search import match_trigrams, match_words
+from mnemospark.session import checkpointed
 
 #: Fixed weights of the score and decay rates a day.
 W_VECTOR, W_TEXT, W_TRIGRAM, W_IMPORTANCE, W_RECENCY = 0.50, 0.10, 0.10, 0.20, 0.10
@@ -89,6 +90,69 @@ def recall_memories(
     return best(scored.select("id", "memory_type", "score"), limit, min_score)
 
 
+def recall_knowledge(
+    rows: DataFrame, now: Column, query: str, vector: DataFrame, tables: list[DataFrame], word_index: str, trigram_index: str, digests: DataFrame | None = None,
+    limit: int = 10, since: Column | None = None, until: Column | None = None, min_score: float = 0.0,
+) -> DataFrame:
+    """(id, kind, score): the best published artifacts for a query by vectors (a model's own table first), words and trigrams, endorsements and recency.
+
+    ``rows``: (id, kind, created_at, published_at, endorsement_count) that the asker may see; the window holds for when they were published, else made.
+    Sources of a digest that is among the results are left out after the limit; ``digests``: (digest_id, source_id).
+    """
+    when = F.coalesce("published_at", "created_at")
+    rows = rows if since is None else rows.where(when >= since)
+    rows = rows if until is None else rows.where(when <= until)
+    spark = rows.sparkSession
+    signals = [by_first_vectors(rows, tables, vector, 2 * limit), match_words(spark, word_index, query, 2 * limit, rows), match_trigrams(spark, trigram_index, query, 2 * limit, rows)]
+    scored = rows.join(F.broadcast(merged(*signals)), "id").withColumn("score", knowledge_score(now) + intent_boost(F.col("kind"), query))
+    found = best(scored.select("id", "kind", "score"), limit, min_score)
+    return found if digests is None else without_digested(checkpointed(found), digests)
+
+
+def scoped_signals(rows: DataFrame, query: str, vector: DataFrame, vectors: DataFrame, word_index: str, trigram_index: str, limit: int) -> DataFrame:
+    """(scope_id, id, vector, text, trigram): for every scope of ``rows (scope_id, id)`` its own candidates, the first ``limit`` by each signal; all scopes in one run."""
+    spark = rows.sparkSession
+    place = lambda s: F.row_number().over(Window.partitionBy("scope_id").orderBy(F.desc(s), "id"))
+    asked = vector.select("q").where("q is not null").limit(1)
+    near = vectors.where("vec is not null").join(rows, "id").crossJoin(F.broadcast(asked)).select("scope_id", "id", F.round(cosine_similarity(F.col("vec"), F.col("q")), 9).alias("vector"))
+    words = match_words(spark, word_index, query, None, rows).join(rows, "id").select("scope_id", "id", "text")
+    grams = match_trigrams(spark, trigram_index, query, None, rows).join(rows, "id").select("scope_id", "id", "trigram")
+    first = [d.withColumn("_place", place(s)).where(F.col("_place") <= limit).drop("_place") for d, s in ((near, "vector"), (words, "text"), (grams, "trigram"))]
+    names = ("vector", "text", "trigram")
+    wide = [d.select("scope_id", "id", *[(F.col(n) if n in d.columns else F.lit(None)).cast("double").alias(n) for n in names]) for d in first]
+    return reduce(DataFrame.unionByName, wide).groupBy("scope_id", "id").agg(*[F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in names])
+
+
+#: Fixed reason of a layer that the asker may not read.
+FORBIDDEN = "forbidden"
+
+
+def cross_scope_context(
+    asked: DataFrame, granted: DataFrame, memories: DataFrame, artifacts: DataFrame, now: Column, query: str, vector: DataFrame, vectors: DataFrame, word_index: str, trigram_index: str,
+    limit: int = 10, since: Column | None = None, min_score: float = 0.0,
+) -> tuple[DataFrame, DataFrame]:
+    """((scope_id, layer, id, score), (scope_id, layer, reason)): for each of ``asked (scope_id)`` strictly its own memories and knowledge, and the layers that were skipped.
+
+    ``granted``: (scope_id, layer) that the asker may read; a scope without any layer has no results. A memory whose artifact is among the knowledge
+    of its scope goes; the ``limit`` holds for each layer, then for each scope.
+    """
+    layers = asked.select("scope_id").distinct().withColumn("layer", F.explode(F.array(F.lit("memory"), F.lit("knowledge"))))
+    skipped = layers.join(granted, ["scope_id", "layer"], "left_anti").withColumn("reason", F.lit(FORBIDDEN))
+    allowed = layers.join(granted, ["scope_id", "layer"], "left_semi")
+    of = lambda rows, layer: rows.join(allowed.where(F.col("layer") == layer).select("scope_id"), "scope_id", "left_semi")
+    m, a = of(memories, "memory"), of(artifacts.withColumnRenamed("owner_scope_id", "scope_id"), "knowledge")
+    if since is not None:
+        m, a = m.where(F.col("created_at") >= since), a.where(F.coalesce("published_at", "created_at") >= since)
+    signals = lambda rows: scoped_signals(rows.select("scope_id", "id"), query, vector, vectors, word_index, trigram_index, 2 * limit)
+    known = a.join(signals(a), ["scope_id", "id"]).withColumn("score", knowledge_score(now) + intent_boost(F.col("kind"), query)).select("scope_id", "id", "score")
+    known = checkpointed(best(known, limit, min_score, by=["scope_id"]))
+    own = best(m.join(signals(m), ["scope_id", "id"]).withColumn("score", memory_score(now)).select("scope_id", "id", "score", "promoted_to"), limit, min_score, by=["scope_id"])
+    own = own.join(known.select("scope_id", F.col("id").alias("promoted_to")), ["scope_id", "promoted_to"], "left_anti")
+    both = known.select("scope_id", F.lit("knowledge").alias("layer"), "id", "score").unionByName(own.select("scope_id", F.lit("memory").alias("layer"), "id", "score"))
+    place = F.row_number().over(Window.partitionBy("scope_id").orderBy(F.desc("score"), "layer", "id"))
+    return both.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place"), skipped
+
+
 def recall_skills(rows: DataFrame, query: str, vector: DataFrame, tables: list[DataFrame], agent: str = "any", limit: int = 20, min_score: float = 0.0) -> DataFrame:
     """(id, score): published skills for an agent type by vector, words and trigrams of ``content``, their use, and full recency."""
     rows = rows.where((F.col("status") == "published") & (F.array_contains("agent_types", "any") | F.array_contains("agent_types", agent)))

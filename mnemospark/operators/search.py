@@ -99,16 +99,17 @@ def postings(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:
     return spark.read.parquet(folder).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
 
 
-def match_words(spark: SparkSession, folder: str, query: str, limit: int, among: DataFrame | None = None) -> DataFrame:
+def match_words(spark: SparkSession, folder: str, query: str, limit: int | None, among: DataFrame | None = None) -> DataFrame:
     """(id, text): texts of a ``simple`` index that hold every word of the query, by how large a part of the text those words are.
 
-    ``among (id)`` bounds the texts, such as active ones of some scopes, before the limit is applied. A query without words matches nothing.
+    ``among (id)`` bounds the texts, such as active ones of some scopes, before the limit is applied; without a limit all come, in any order. A query without words matches nothing.
     """
     terms = sorted(set(simple_words(query)))
     found = postings(spark, folder, terms)
     found = found if among is None else found.join(among.select("id").distinct(), "id", "left_semi")
     every = found.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.size("places")).alias("hits"), F.max("size").alias("size")).where(F.col("terms") == len(terms))
-    return every.select("id", (F.col("hits").cast("double") / F.col("size")).alias("text")).orderBy(F.desc("text"), "id").limit(limit)
+    scored = every.select("id", (F.col("hits").cast("double") / F.col("size")).alias("text"))
+    return scored if limit is None else scored.orderBy(F.desc("text"), "id").limit(limit)
 
 
 def match_english(spark: SparkSession, folder: str, query: str, limit: int, among: DataFrame | None = None) -> DataFrame:
@@ -124,7 +125,7 @@ def match_english(spark: SparkSession, folder: str, query: str, limit: int, amon
     return ranked.select("id", score.alias("text")).orderBy(F.desc("text"), "id").limit(limit)
 
 
-def match_trigrams(spark: SparkSession, folder: str, query: str, limit: int, among: DataFrame | None = None, cut: float = TRIGRAM_CUT) -> DataFrame:
+def match_trigrams(spark: SparkSession, folder: str, query: str, limit: int | None, among: DataFrame | None = None, cut: float = TRIGRAM_CUT) -> DataFrame:
     """(id, trigram): texts whose trigrams are more than ``cut`` similar to the query's, by shared over all.
 
     The similarity follows from the postings. A text of far more or fewer trigrams than the query can't pass, which prunes postings by size; for
@@ -136,7 +137,8 @@ def match_trigrams(spark: SparkSession, folder: str, query: str, limit: int, amo
     found = found if among is None else found.join(among.select("id").distinct(), "id", "left_semi")
     counted = found.groupBy("id").agg(F.count(F.lit(1)).alias("shared"), F.max("size").alias("size"))
     score = F.col("shared").cast("double") / (n + F.col("size") - F.col("shared"))
-    return counted.select("id", score.alias("trigram")).where(F.col("trigram") > cut).orderBy(F.desc("trigram"), "id").limit(limit)
+    scored = counted.select("id", score.alias("trigram")).where(F.col("trigram") > cut)
+    return scored if limit is None else scored.orderBy(F.desc("trigram"), "id").limit(limit)
 
 
 def similar_texts(folder: str, spark: SparkSession, asked: DataFrame, cut: float) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
+from mnemospark.functions.skills import file_problem
 from mnemospark.operators.recall import near_probe
+from mnemospark.session import checkpointed
 
 #: Fixed: how often an embedding is tried, the life of a working memory in seconds, and the distance of a near-duplicate.
 MAX_RETRIES = 3
@@ -138,3 +140,30 @@ def index_files(entities: DataFrame, relations: DataFrame, symbols: DataFrame, e
 def delete_files(relations: DataFrame, files: DataFrame) -> DataFrame:
     """Relations without those that come from the ``files (scope_id, source_file)``."""
     return relations.join(files.distinct(), ["scope_id", "source_file"], "left_anti")
+
+
+def edit_skills(skills: DataFrame, files: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
+    """Skills and their files after ``edits``, and the versions before that are kept.
+
+    ``skills``: (id, version, body, parameters); ``files``: (skill_id, relative_path, content, is_executable); ``edits``: (id, body, parameters, changed_by, files), where
+    null ``files`` leave the files as they are and a list replaces them all, an empty one too. An edit with a file that is not valid, or of no known skill, is refused
+    as a whole: ``refused (id, relative_path, problem)``. Of several edits of a skill that with the largest (body, parameters, changed_by) counts; of files that
+    repeat a path the largest. Gives ``skills``, ``files``, ``history (skill_id, version, body, parameters, changed_by)``, ``history_files`` and ``refused``.
+    """
+    each = edits.where("id is not null").groupBy("id").agg(F.max_by(F.struct("body", "parameters", "changed_by", "files"), F.struct("body", "parameters", "changed_by")).alias("e")).select("id", "e.*")
+    listed = each.select("id", F.explode("files").alias("f")).select("id", "f.*")
+    bad = listed.withColumn("problem", file_problem(F.col("relative_path"), F.coalesce("is_executable", F.lit(False)))).where("problem is not null").select("id", "relative_path", "problem")
+    unknown = each.join(skills, "id", "left_anti").select("id", F.lit(None).cast("string").alias("relative_path"), F.lit("unknown skill").alias("problem"))
+    refused = checkpointed(bad.unionByName(unknown))
+    good = checkpointed(each.join(refused.select("id").distinct(), "id", "left_anti"))
+    met = skills.join(good.select("id", F.col("body").alias("_body"), F.col("parameters").alias("_parameters"), "changed_by", F.lit(True).alias("_edited")), "id", "left")
+    edited = F.coalesce("_edited", F.lit(False))
+    after = met.withColumns({"body": F.when(edited, F.col("_body")).otherwise(F.col("body")), "parameters": F.when(edited, F.col("_parameters")).otherwise(F.col("parameters")), "version": F.col("version") + edited.cast("int")})
+    history = met.where(edited).select(F.col("id").alias("skill_id"), "version", "body", "parameters", "changed_by")
+    own = ["skill_id", "relative_path", "content", "is_executable"]
+    kept = files.join(history.select("skill_id", "version"), "skill_id").select("skill_id", "version", *own[1:])
+    replaced = good.where("files is not null")
+    new = replaced.select(F.col("id").alias("skill_id"), F.explode("files").alias("f")).groupBy("skill_id", "f.relative_path").agg(F.max(F.struct("f.content", "f.is_executable")).alias("f"))
+    stay = files.join(replaced.select(F.col("id").alias("skill_id")), "skill_id", "left_anti").select(*own)
+    now = stay.unionByName(new.select("skill_id", "relative_path", "f.content", F.coalesce("f.is_executable", F.lit(False)).alias("is_executable")))
+    return {"skills": after.select(*skills.columns), "files": now, "history": history, "history_files": kept, "refused": refused}

@@ -296,6 +296,64 @@ def cross_scope_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.best(rows.withColumns(zero).withColumn("score", R.memory_score(A.now())).select("scope_id", "id", "score"), 5, by=["scope_id"]), "score")
 
 
+_KFULL = _KSCORE.replace("0.50 * 0 ", "0.50 * vector ").replace("0.10 * 0 ", "0.10 * trigram ")
+
+
+@query("knowledge_recall_hybrid", f"""WITH {A.ARTIFACTS_SQL}, {A.VECTORS_SQL}, {_QVEC}, {_DIGEST},
+a AS (SELECT * FROM artifacts WHERE status = 'published' AND coalesce(published_at, created_at) BETWEEN TIMESTAMP '2023-06-01' AND TIMESTAMP '{A.NOW}'),
+q AS (SELECT {_WORDS.format("'" + QUESTION + "'")} AS terms, {_TRI.format("'" + QUESTION + "'")} AS tri),
+v AS (SELECT a.id, {_COS} AS vector, NULL::DOUBLE AS text, NULL::DOUBLE AS trigram FROM a JOIN vectors ON a.id = vectors.id, qv ORDER BY vector DESC, id LIMIT 60),
+w AS (SELECT id, {_WORDS.format('content')} AS ws, terms FROM a, q),
+f AS (SELECT id, NULL::DOUBLE, len(list_filter(ws, lambda x: list_contains(terms, x))) / greatest(len(ws), 1)::DOUBLE AS text, NULL::DOUBLE FROM w WHERE list_has_all(ws, terms) ORDER BY text DESC, id LIMIT 60),
+g AS (SELECT id, {_TRI.format('content')} AS t, tri FROM a, q),
+t AS (SELECT id, NULL::DOUBLE, NULL::DOUBLE, {_JAC.format('t', 'tri')} AS s FROM g WHERE {_JAC.format('t', 'tri')} > 0.1 ORDER BY s DESC, id LIMIT 60),
+c AS (SELECT id, coalesce(max(vector), 0) AS vector, coalesce(max(text), 0) AS text, coalesce(max(trigram), 0) AS trigram FROM (SELECT * FROM v UNION ALL SELECT * FROM f UNION ALL SELECT * FROM t) GROUP BY id),
+s AS (SELECT c.id, kind, {_KFULL} AS sc FROM c JOIN a ON c.id = a.id), r AS (SELECT * FROM s ORDER BY sc DESC, id LIMIT 30)
+SELECT id, kind, round(sc, 6) AS score FROM r WHERE id NOT IN (SELECT source_id FROM digests WHERE digest_id IN (SELECT id FROM r))""")
+def knowledge_recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published knowledge by all three signals, without the sources of digests among the results."""
+    rows = A.artifacts(spark, sf_dir).where("status = 'published'").drop("content")
+    found = R.recall_knowledge(
+        rows, A.now(), QUESTION, _query_vector(spark, sf_dir), [A.vectors(spark, sf_dir)], _index(spark, sf_dir, "simple"), _index(spark, sf_dir, "trigram"), _digests(spark, sf_dir), 30,
+        F.lit("2023-06-01").cast("timestamp"), A.now(),
+    )
+    return _rounded(found, "score")
+
+
+_SIGNAL = "SELECT layer, scope_id, id, {0} AS vector, {1} AS text, {2} AS trigram FROM ({3}) WHERE k <= 10"
+
+
+@query("cross_scope_layers", f"""WITH {A.MEMORIES_SQL}, {A.ARTIFACTS_SQL}, {A.VECTORS_SQL}, {_QVEC}, asked AS (SELECT 'n' || n_nationkey AS scope_id, n_nationkey AS k FROM nation WHERE n_regionkey < 3),
+m AS (SELECT memories.* FROM memories JOIN asked USING (scope_id) WHERE is_active AND created_at >= TIMESTAMP '2023-09-01' AND k % 5 <> 1 AND k % 7 <> 3),
+a AS (SELECT artifacts.*, scope_id FROM artifacts JOIN asked ON owner_scope_id = scope_id WHERE status = 'published' AND coalesce(published_at, created_at) >= TIMESTAMP '2023-09-01' AND k % 4 <> 2 AND k % 7 <> 3),
+r AS (SELECT 'memory' AS layer, scope_id, id, content FROM m UNION ALL SELECT 'knowledge', scope_id, id, content FROM a),
+q AS (SELECT {_WORDS.format("'" + QUESTION + "'")} AS terms, {_TRI.format("'" + QUESTION + "'")} AS tri),
+v AS (SELECT layer, scope_id, r.id, {_COS} AS s, row_number() OVER (PARTITION BY layer, scope_id ORDER BY {_COS} DESC, r.id) AS k FROM r JOIN vectors ON vectors.id = r.id, qv),
+w AS (SELECT layer, scope_id, id, {_WORDS.format('content')} AS ws, terms FROM r, q), x AS (SELECT layer, scope_id, id, len(list_filter(ws, lambda x: list_contains(terms, x))) / greatest(len(ws), 1)::DOUBLE AS s FROM w WHERE list_has_all(ws, terms)),
+f AS (SELECT *, row_number() OVER (PARTITION BY layer, scope_id ORDER BY s DESC, id) AS k FROM x),
+g AS (SELECT layer, scope_id, id, {_TRI.format('content')} AS t, tri FROM r, q), y AS (SELECT layer, scope_id, id, {_JAC.format('t', 'tri')} AS s FROM g WHERE {_JAC.format('t', 'tri')} > 0.1),
+t AS (SELECT *, row_number() OVER (PARTITION BY layer, scope_id ORDER BY s DESC, id) AS k FROM y),
+c AS (SELECT layer, scope_id, id, coalesce(max(vector), 0) AS vector, coalesce(max(text), 0) AS text, coalesce(max(trigram), 0) AS trigram FROM (
+  {_SIGNAL.format('s', 'NULL::DOUBLE', 'NULL::DOUBLE', 'SELECT * FROM v')} UNION ALL {_SIGNAL.format('NULL::DOUBLE', 's', 'NULL::DOUBLE', 'SELECT * FROM f')} UNION ALL {_SIGNAL.format('NULL::DOUBLE', 'NULL::DOUBLE', 's', 'SELECT * FROM t')}) GROUP BY ALL),
+ks AS (SELECT c.scope_id, c.id, {_KFULL} AS sc FROM c JOIN a ON a.id = c.id AND a.scope_id = c.scope_id WHERE layer = 'knowledge'), kl AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY sc DESC, id) AS place FROM ks),
+ms AS (SELECT c.scope_id, c.id, promoted_to, {_MSCORE} AS sc FROM c JOIN m ON m.id = c.id AND m.scope_id = c.scope_id WHERE layer = 'memory'), ml AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY sc DESC, id) AS place FROM ms),
+u AS (SELECT scope_id, 'knowledge' AS layer, id, sc FROM kl WHERE place <= 5
+  UNION ALL SELECT scope_id, 'memory', id, sc FROM ml WHERE place <= 5 AND NOT EXISTS (SELECT 1 FROM kl WHERE kl.place <= 5 AND kl.scope_id = ml.scope_id AND kl.id = ml.promoted_to)),
+p AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY sc DESC, layer, id) AS place FROM u)
+SELECT scope_id, layer, id, round(sc, 6) AS score, NULL AS reason FROM p WHERE place <= 5
+UNION ALL SELECT scope_id, 'memory', NULL, NULL, 'forbidden' FROM asked WHERE k % 5 = 1 OR k % 7 = 3 UNION ALL SELECT scope_id, 'knowledge', NULL, NULL, 'forbidden' FROM asked WHERE k % 4 = 2 OR k % 7 = 3""")
+def cross_scope_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen nations compared in memories and knowledge; some layers of some are forbidden."""
+    nation = read_table(spark, sf_dir, "nation").where("n_regionkey < 3").selectExpr("concat('n', n_nationkey) AS scope_id", "n_nationkey AS k")
+    granted = nation.where("k % 5 <> 1 AND k % 7 <> 3").selectExpr("scope_id", "'memory' AS layer").unionByName(nation.where("k % 4 <> 2 AND k % 7 <> 3").selectExpr("scope_id", "'knowledge' AS layer"))
+    found, skipped = R.cross_scope_context(
+        nation, granted, _active(spark, sf_dir).drop("content"), A.artifacts(spark, sf_dir).where("status = 'published'").drop("content"), A.now(), QUESTION, _query_vector(spark, sf_dir), A.vectors(spark, sf_dir),
+        _index(spark, sf_dir, "simple"), _index(spark, sf_dir, "trigram"), 5, F.lit("2023-09-01").cast("timestamp"),
+    )
+    none = skipped.select("scope_id", "layer", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score"), "reason")
+    return _rounded(found.withColumn("reason", F.lit(None).cast("string")).unionByName(none), "score")
+
+
 _PACKED = f"""{A.MEMORIES_SQL}, {_KFROM},
 u AS (SELECT id, 0 AS layer, sc FROM (SELECT * FROM s ORDER BY sc DESC, id LIMIT 20) UNION ALL (SELECT id, 1, importance FROM memories WHERE is_active ORDER BY importance DESC, id LIMIT 20)),
 b AS (SELECT u.id, layer, CASE WHEN layer = 0 AND length(a.summary) > 0 THEN a.summary ELSE coalesce(text, '') END AS content, a.summary, coalesce(text, '') AS body, row_number() OVER (ORDER BY layer, sc DESC, u.id) AS place

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark import adapters as A
 from mnemospark.functions import text as T
-from mnemospark.functions.skills import front_matter, parameter_fits
+from mnemospark.functions.skills import front_matter, invoked, parameter_fits
 from mnemospark.plans.registry import query
 from mnemospark.session import read_table
 
@@ -95,6 +95,19 @@ def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), filled.alias("prompt"))
 
 
+@query("skill_invocations", r"""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'Call ' || s_name || ' in ' || s_nationkey || CASE WHEN s_suppkey % 5 = 1 THEN ' fast' ELSE ' $SPEED' END || ': ' || s_name END AS prompt,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'nation: expected integer' ELSE '' END AS errors FROM supplier""")
+def skill_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skill called once for every supplier with values from its row, some of a wrong type."""
+    values = "to_json(named_struct('who', s_name, 'speed', CASE WHEN s_suppkey % 5 = 1 THEN 'fast' END))"
+    number = "CASE WHEN s_suppkey % 5 = 0 THEN concat('\"', s_nationkey, '\"') WHEN s_suppkey % 5 = 2 THEN concat(s_nationkey, '.0') ELSE CAST(s_nationkey AS STRING) END"
+    calls = read_table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", f"concat('{{\"nation\":', {number}, ',', substring({values}, 2)) AS params")
+    one = lambda name, kind, need, *values: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(need).alias("required"), F.array(*[F.lit(v) for v in values]).cast("array<string>").alias("values"))
+    schema = F.array(one("who", "string", True), one("nation", "integer", True), one("speed", "enum", False, "fast", "slow"))
+    done = calls.select("id", invoked(F.lit("Call {{who}} in $NATION $SPEED: $WHO"), schema, F.col("params")).alias("i"))
+    return done.select("id", "i.prompt", F.array_join("i.errors", "; ").alias("errors"))
+
+
 @query("token_hashes", "SELECT c_custkey AS id, sha256('tok_' || c_name) AS token_hash FROM customer")
 def token_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.sha2(F.concat(F.lit("tok_"), "c_name"), 256).alias("token_hash"))

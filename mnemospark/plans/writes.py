@@ -274,3 +274,35 @@ def knowledge_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("skill_review", _replay_sql("skill", 3))
 def skill_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, sf_dir, "skill", 3)
+
+
+_SKILL_EDITS = """sk AS (SELECT p_partkey AS id, CAST(p_size AS INT) AS version, p_name AS body, p_type AS parameters FROM part),
+f AS (SELECT p_partkey AS skill_id, 'scripts/run' || n || '.sh' AS relative_path, p_brand || n AS content, TRUE AS is_executable FROM part, range(0, 2) t(n)),
+e AS (SELECT p_partkey + 3 AS id, p_name || '!' AS body, p_brand AS parameters, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS form FROM part WHERE p_partkey % 3 = 0),
+bad AS (SELECT id FROM e WHERE form = 3 UNION SELECT id FROM e WHERE id NOT IN (SELECT id FROM sk)), good AS (SELECT * FROM e WHERE id NOT IN (SELECT id FROM bad))"""
+
+
+@query("skill_edits", f"""WITH {_SKILL_EDITS}
+SELECT 'skill' AS what, sk.id, CAST(sk.version + CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS INT) AS version, coalesce(g.body, sk.body) AS text, '' AS path FROM sk LEFT JOIN good g USING (id)
+UNION ALL SELECT 'history', sk.id, sk.version, sk.body, '' FROM sk JOIN good USING (id)
+UNION ALL SELECT 'history_file', f.skill_id, sk.version, f.content, f.relative_path FROM f JOIN good ON good.id = skill_id JOIN sk ON sk.id = skill_id
+UNION ALL SELECT 'file', skill_id, NULL, content, relative_path FROM f WHERE skill_id NOT IN (SELECT id FROM good WHERE form > 0)
+UNION ALL SELECT 'file', id, NULL, body, 'references/note.md' FROM good WHERE form = 1
+UNION ALL SELECT 'refused', id, NULL, CASE WHEN form = 3 THEN 'not below references/' ELSE 'unknown skill' END, CASE WHEN form = 3 THEN 'note.md' END FROM e WHERE form = 3 OR id NOT IN (SELECT id FROM sk) AND form <> 3
+UNION ALL SELECT 'refused', id, NULL, 'unknown skill', NULL FROM e WHERE form = 3 AND id NOT IN (SELECT id FROM sk)""")
+def skill_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third part is edited: files stay, are replaced, all go, or one is not valid, which refuses the edit."""
+    part = read_table(spark, sf_dir, "part")
+    skills = part.selectExpr("p_partkey AS id", "p_size AS version", "p_name AS body", "p_type AS parameters")
+    files = part.selectExpr("p_partkey AS skill_id", "explode(sequence(0, 1)) AS n", "p_brand").selectExpr("skill_id", "concat('scripts/run', n, '.sh') AS relative_path", "concat(p_brand, n) AS content", "true AS is_executable")
+    one = lambda path: f"array(named_struct('relative_path', '{path}', 'content', concat(p_name, '!'), 'is_executable', false))"
+    none = "CAST(array() AS ARRAY<STRUCT<relative_path: STRING, content: STRING, is_executable: BOOLEAN>>)"
+    listed = f"CASE p_partkey % 4 WHEN 1 THEN {one('references/note.md')} WHEN 2 THEN {none} WHEN 3 THEN {one('note.md')} END AS files"
+    edits = part.where("p_partkey % 3 = 0").selectExpr("p_partkey + 3 AS id", "concat(p_name, '!') AS body", "p_brand AS parameters", "'c1' AS changed_by", listed)
+    done = W.edit_skills(skills, files, edits)
+    row = lambda d, what, id_, version, text, path: d.select(F.lit(what).alias("what"), F.col(id_).alias("id"), version.cast("int").alias("version"), F.col(text).alias("text"), path.alias("path"))
+    null, blank = F.lit(None), F.lit("")
+    out = row(done["skills"], "skill", "id", F.col("version"), "body", blank).unionByName(row(done["history"], "history", "skill_id", F.col("version"), "body", blank))
+    out = out.unionByName(row(done["history_files"], "history_file", "skill_id", F.col("version"), "content", F.col("relative_path")))
+    out = out.unionByName(row(done["files"], "file", "skill_id", null, "content", F.col("relative_path")))
+    return out.unionByName(row(done["refused"], "refused", "id", null, "problem", F.col("relative_path")))

@@ -218,3 +218,38 @@ def test_reviews_follow_the_rules(spark):
     more = df.unionByName(spark.createDataFrame([("k", 20, "delete", "x", False, False), ("k", 21, "rollback", "admin", False, True), ("k", 22, "delete", "admin", False, True), ("k", 23, "submit", "author", True, False)], df.schema))
     assert lifecycle.replay_review(more, "k", "at", []).first().status == "deleted"
     assert lifecycle.replay_review(more, "k", "at", [], "skill").first().status == "in_review"
+
+
+def test_files_of_skills(spark):
+    from mnemospark.functions.skills import file_problem
+
+    cases = [
+        ("", False, "empty"), (None, False, "empty"), ("SKILL.md", False, "reserved"), ("/a", False, "absolute"), ("\\a", False, "absolute"), ("a\\b", False, "backslash"), ("scripts/" + "a" * 247, True, None), ("scripts/" + "a" * 248, True, "too long"),
+        ("scripts/../x", True, "traversal"), ("scripts/.x", True, "invalid part"), ("scripts//x", True, "invalid part"), ("scripts/x\n", True, "invalid part"), ("run.sh", True, "not below scripts/"), ("note.md", False, "not below references/"), ("references/a.md", False, None), ("data/x.json", False, None),
+    ]
+    got = spark.createDataFrame([(k, p, e) for k, (p, e, _) in enumerate(cases)], "k int, p string, e boolean").select("k", file_problem(F.col("p"), F.col("e")).alias("r")).collect()
+    assert {r.k: r.r for r in got} == {k: w for k, (*_, w) in enumerate(cases)}
+
+
+def test_skills_are_invoked_with_checked_values(spark):
+    from mnemospark.functions.skills import invoked
+
+    schema = [("Name", "string", True, None), ("n", "integer", False, None), ("flag", "boolean", False, None), ("mode", "enum", False, ["a", "b"])]
+    body = "Hi {{name}} $NAME {{Name}} n={{n}} $N f={{flag}} m=$MODE"
+    cases = {
+        '{"Name":"Ann","n":3,"flag":true,"mode":"b"}': ("Hi Ann Ann {{Name}} n=3 3 f=true m=b", []),
+        '{"Name":"Ann","n":2.50,"extra":1}': ("Hi Ann Ann {{Name}} n=2.5 2.5 f={{flag}} m=$MODE", []),
+        '{"Name":"$N","n":4.0}': ("Hi 4 4AME {{Name}} n=4 4 f={{flag}} m=$MODE", []),
+        '{"Name":"x","n":0.0000001}': ("Hi x x {{Name}} n=0.0000001 0.0000001 f={{flag}} m=$MODE", []),
+        "{}": (None, ["Name: required parameter is missing"]),
+        "no json": (None, ["Name: required parameter is missing"]),
+        '{"Name":1,"n":"3","flag":"true","mode":"c"}': (None, ["Name: expected string", "n: expected integer", "flag: expected boolean", "mode: not an allowed value"]),
+        '{"Name":"x","mode":1}': (None, ["mode: expected string for enum"]),
+    }
+    kind = "p string, b string, s array<struct<name:string,type:string,required:boolean,values:array<string>>>"
+    rows = spark.createDataFrame([(p, body, schema) for p in cases], kind)
+    got = {r.p: (r.i.prompt, list(r.i.errors)) for r in rows.select("p", invoked(F.col("b"), F.col("s"), F.col("p")).alias("i")).collect()}
+    # $NAME goes before $N, and what it put in is replaced in its turn
+    want = dict(cases)
+    want['{"Name":"$N","n":4.0}'] = ("Hi 4 4 {{Name}} n=4 4 f={{flag}} m=$MODE", [])
+    assert got == want
