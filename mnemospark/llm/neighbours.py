@@ -41,6 +41,8 @@ RESCORE = 60
 HOT = 4
 #: Queries that one row of a node's asks holds, about.
 ASKS = 256
+#: A node that more than this many times ``ASKS`` queries ask in one round is a hub.
+HUB = 4
 MAX_BROADCAST_LEAVES = 100_000
 #: Cosines that lie this close may change places when they are scored on the originals.
 TIE = 1e-12
@@ -135,7 +137,7 @@ def usable(vec: Column) -> Column:
 
 
 def vector_classes(rows: DataFrame, keep: int, dtype: str = "<f8") -> DataFrame:
-    """Rows (node, ids, vec, even, code) from usable rows (id, vec): one per distinct vector, with its ``keep`` smallest ids.
+    """Rows (node, ids, vec, even, code) from usable rows (id, row, vec): one per distinct vector, with its ``keep`` smallest (id, row); ``node`` is the first one's row.
 
     ``code`` packs the components as ``dtype``, which must hold them exactly; ``even`` is the vector scaled by a power of two,
     which changes no bit of a cosine but lets no square overflow.
@@ -143,8 +145,8 @@ def vector_classes(rows: DataFrame, keep: int, dtype: str = "<f8") -> DataFrame:
     The limit is applied before the shuffle, so that a vector that a third of all rows share costs
     ``keep`` rows a task.
     """
-    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    few = rows.withColumn("place", place).where(F.col("place") <= keep).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id", "row"))
+    few = rows.withColumn("place", place).where(F.col("place") <= keep).groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("ids"))
 
     def run(batches: Rows) -> Rows:
         for b in batches:
@@ -153,7 +155,7 @@ def vector_classes(rows: DataFrame, keep: int, dtype: str = "<f8") -> DataFrame:
             codes = [v.astype(dtype).tobytes() for v in vecs]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(even, pa.list_(pa.float64())), pa.array(codes, pa.binary())], ["node", "ids", "vec", "even", "code"])
 
-    return few.select(F.col("ids")[0].alias("node"), "ids", "vec").mapInArrow(run, "node long, ids array<long>, vec array<double>, even array<double>, code binary")
+    return few.select(F.col("ids")[0]["row"].alias("node"), "ids", "vec").mapInArrow(run, "node long, ids array<struct<id:long,row:long>>, vec array<double>, even array<double>, code binary")
 
 
 def _first_lists(nodes: DataFrame, n: int, width: int, degree: int) -> DataFrame:
@@ -402,11 +404,8 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, width:
     for _ in range(rounds):
         spent += expand
         pool = max(POOL, 2 * spent)
-        asked = state.mapInArrow(asking(expand, pool), "node long, query long, code binary, low double").repartition("node")
-        salt = F.pmod(F.xxhash64("query"), F.lit(salts)).alias("salt")
-        grouped = asked.groupBy("node", salt).agg(F.collect_list(F.struct("query", "code", "low")).alias("asks"))
-        met = grouped.hint("shuffle_hash").join(graph, "node").select("asks", "others", "codes")
-        told = met.mapInArrow(answer, "query long, code binary, seen binary")
+        asked = state.mapInArrow(asking(expand, pool), "node long, query long, code binary, low double")
+        told = _met(asked, graph, salts).mapInArrow(answer, "query long, code binary, seen binary")
         work = merging(expand, pool)
         state = checkpointed(state.unionByName(told).repartition("query").sortWithinPartitions("query").mapInArrow(lambda it, work=work: by_group(it, work), "query long, code binary, seen binary"))
         before, share = share, found_share(state, floors) if floors else 1.0
@@ -417,6 +416,26 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, width:
     return state.select("query", "seen")
 
 
+def _met(asked: DataFrame, graph: DataFrame, salts: int) -> DataFrame:
+    """Rows (asks, others, codes): nodes with those that ask them, about ``ASKS`` a row.
+
+    Nodes lie where the graph has them, and their asks are sent there. A hub that very many queries ask at once is an exception: its asks are dealt
+    into parts, and its neighbours are sent to each.
+    """
+    several = F.collect_list(F.struct("query", "code", "low")).alias("asks")
+    hubs = asked.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB * ASKS)
+    hubs = checkpointed(hubs.select("node", F.ceil(F.col("n") / ASKS).cast("int").alias("parts")))
+    few = broadcast_if_small(hubs, MAX_BROADCAST_LEAVES)
+    salt = F.pmod(F.xxhash64("query"), F.lit(salts)).alias("salt")
+    plain = asked.join(broadcast_if_small(hubs.select("node"), MAX_BROADCAST_LEAVES), "node", "left_anti").repartition("node").groupBy("node", salt).agg(several)
+    met = plain.hint("shuffle_hash").join(graph, "node").select("asks", "others", "codes")
+    if hubs.isEmpty():
+        return met
+    dealt = asked.join(few, "node").withColumn("salt", F.pmod(F.xxhash64("query"), "parts").cast("int")).groupBy("node", "salt").agg(several)
+    sent = graph.join(few, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return met.unionByName(dealt.join(sent, ["node", "salt"]).select("asks", "others", "codes"))
+
+
 def _settled(state: DataFrame) -> bool:
     """True if no pool has anything left to expand."""
 
@@ -437,23 +456,23 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 5, id_c
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest other rows found for every query row, ties to the smaller id.
 
     Unusable vectors (see ``usable``) and null ids take no part; vectors of different lengths have no cosine,
-    so each length is searched by itself; of rows that repeat an id the smallest vector counts. Fewer than ``k`` other
-    rows give fewer results; an empty input gives none. Other columns are ignored.
+    so each length is searched by itself. Rows that repeat an id are rows of their own: each is a candidate for its repeats, and each that asks gets its own
+    ``k`` results under the same query id. Fewer than ``k`` other rows give fewer results; an empty input gives none. Other columns are ignored.
     """
     dtype = "<f4" if embeddings.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec"))).groupBy("id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks"))
+    rows = checkpointed(rows.where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("row", F.monotonically_increasing_id()))
     lengths = sorted(r.d for r in rows.select(F.size("vec").alias("d")).distinct().collect())
     found = [_of_length(rows.where(F.size("vec") == d), d, k, dtype) for d in lengths or [1]]
     return reduce(DataFrame.unionByName, found)
 
 
 def _of_length(rows: DataFrame, width: int, k: int, dtype: str) -> DataFrame:
-    """``nearest_neighbours`` of rows (id, vec, asks), one an id, whose vectors have ``width`` components."""
-    classes = checkpointed(vector_classes(rows.select("id", "vec"), k + 1, dtype))
+    """``nearest_neighbours`` of rows (id, row, vec, asks) whose vectors have ``width`` components; ``row`` is unique."""
+    classes = checkpointed(vector_classes(rows.select("id", "row", "vec"), k + 1, dtype))
     n = classes.count()
     graph = checkpointed(adjacency(descent_graph(classes, n, width), classes))
-    asks = checkpointed(rows.where("asks").join(classes.select("node", "code", "vec"), "vec").select(F.col("id").alias("query_id"), "node"))
+    asks = checkpointed(rows.where("asks").join(classes.select("node", "code", "vec"), "vec").select(F.col("id").alias("query_id"), F.col("row").alias("own_row"), "node"))
     starts = checkpointed(asks.select("node").distinct().join(classes, "node").select(F.col("node").alias("query"), "code", F.col("node").alias("start")))
     with _batches_of(rows.sparkSession, SEARCH_BATCH):
         seen = greedy_search(starts, graph, classes, width, k)
@@ -473,10 +492,10 @@ def _of_length(rows: DataFrame, width: int, k: int, dtype: str) -> DataFrame:
     pairs = seen.mapInArrow(best, "query long, node long")
     own = classes.select(F.col("node").alias("query"), F.col("even").alias("own"))
     scored = pairs.join(classes.select("node", "ids", "even"), "node").join(own, "query").select("query", "ids", cosine(F.col("own"), F.col("even")).alias("score"))
-    # the k + 1 best ids of a query's vector hold the k best of each of its rows
-    flat = scored.select("query", "score", F.explode("ids").alias("vec_id"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    top = flat.withColumn("place", place).where(F.col("place") <= k + 1).select("query", "vec_id", "score")
-    each = asks.withColumnRenamed("node", "query").join(top, "query").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # the k + 1 best rows of a query's vector hold the k best of each of its rows
+    flat = scored.select("query", "score", F.explode("ids").alias("n")).select("query", "score", F.col("n.id").alias("vec_id"), F.col("n.row").alias("row"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    top = flat.withColumn("place", place).where(F.col("place") <= k + 1).select("query", "vec_id", "row", "score")
+    each = asks.withColumnRenamed("node", "query").join(top, "query").where("row <> own_row")
+    rank = F.row_number().over(Window.partitionBy("own_row").orderBy(F.desc("score"), "vec_id", "row"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

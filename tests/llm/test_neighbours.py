@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from mnemospark.llm import neighbours
 from mnemospark.llm.neighbours import _PAIR, DEGREE, _first_lists, _merged, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
@@ -120,3 +121,34 @@ def test_lengths_and_scales_are_searched_each_by_itself(spark):
     wide = [(0, [1e200, 2e200], 1, "x"), (1, [2e-200, 4e-200], 1, "x"), (2, [-1e200, 1.0], 1, "x")]
     far = nearest_neighbours(spark.createDataFrame(wide, "vec_id long, embedding array<double>, label int, score string"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in far] == [1, 2] and abs(far[0].score - 1) < 1e-9
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    vecs = [(i // 2, rng.normal(size=8).astype(np.float32)) for i in range(300)] + [(50, v) for v in np.repeat(rng.normal(size=(1, 8)), 9, axis=0).astype(np.float32)]
+    rows = [(i, v.tolist(), 1, "x") for i, v in vecs]
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    u = np.stack([v / np.linalg.norm(v) for _, v in [(i, v.astype(float)) for i, v in vecs]])
+    want = {}
+    for n, (q, _) in enumerate(vecs):
+        if q % 50 == 0:
+            order = sorted((-round(float(u[n] @ u[m]), 9), i) for m, (i, _) in enumerate(vecs) if m != n)[:5]
+            want.setdefault(q, []).extend((k, i, -s) for k, (s, i) in enumerate(order, 1))
+    assert {q: sorted(x[:2] for x in mine) for q, mine in got.items()} == {q: sorted(x[:2] for x in w) for q, w in want.items()}
+
+
+def test_hubs_that_all_queries_ask_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKS", 4)
+    monkeypatch.setattr(neighbours, "HUB", 2)
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=16)
+    assert unit_recall(spark, (centre + 0.05 * rng.normal(size=(600, 16))).astype(np.float32), 6) >= 0.95
+    asked = spark.createDataFrame([(n % 3, q, b"", 0.0) for q in range(60) for n in range(q % 3 + 1)], "node long, query long, code binary, low double")
+    graph = spark.createDataFrame([(n, b"a", b"b") for n in range(3)], "node long, others binary, codes binary")
+    met = neighbours._met(asked, graph, 1)
+    assert "salt" in "".join(line for line in met._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(node" in line)
+    found = met.collect()
+    assert sorted(q.query for r in found for q in r.asks) == sorted(r.query for r in asked.collect())
+    assert max(len(r.asks) for r in found) < 20
