@@ -96,6 +96,33 @@ def expand_permissions(names: Column) -> Column:
     return F.array_intersect(F.array_distinct(F.flatten(F.transform(names, one))), _texts(EVERY_PERMISSION))
 
 
+def _bits(names: list[str]) -> int:
+    return sum(1 << EVERY_PERMISSION.index(n) for n in names)
+
+
+#: What a short form or a permission stands for, as bits by the place of a permission in the sorted list of all.
+_BITS = {p: 1 << k for k, p in enumerate(EVERY_PERMISSION)} | {o: _bits([p for p in EVERY_PERMISSION if p.endswith(f":{o}")]) for o in ("read", "write", "edit", "delete")}
+EVERY_BIT, READ_BITS = _bits(EVERY_PERMISSION), _BITS["read"]
+
+
+def permission_bits(names: Column) -> Column:
+    """The bits of some names; short forms stand for several, and names that no resource has for none."""
+    known = F.create_map(*[F.lit(x) for n, b in _BITS.items() for x in (n, b)])
+    return F.aggregate(names, F.lit(0).cast("long"), lambda m, n: m.bitwiseOR(F.coalesce(F.try_element_at(known, n), F.lit(0).cast("long"))))
+
+
+def role_bits(role: Column) -> Column:
+    out = F.lit(0).cast("long")
+    for name, names in ROLES.items():
+        out = F.when(role == name, F.lit(_bits(names)).cast("long")).otherwise(out)
+    return out
+
+
+def permissions_of(bits: Column) -> Column:
+    """The names of the set bits, sorted."""
+    return F.filter(_texts(EVERY_PERMISSION), lambda _, k: F.getbit(bits, k) == 1)
+
+
 def valid_permissions(names: Column) -> Column:
     """Whether a token may declare these names: some, none of them ``admin``, each a short form or a permission."""
     known = _texts(["read", "write", "edit", "delete", *EVERY_PERMISSION])
@@ -117,15 +144,15 @@ def ancestry(memberships: DataFrame) -> DataFrame:
 
 
 def held_permissions(scopes: DataFrame, memberships: DataFrame, grants: DataFrame, now: Column) -> DataFrame:
-    """(principal_id, at, permissions): what a principal holds right at a scope: by owning it, by a role in its owner (its own or that of
+    """(principal_id, at, bits): what a principal holds right at a scope, as ``permission_bits``: by owning it, by a role in its owner (its own or that of
     a group it belongs to), and by unexpired grants. ``scopes`` has ``principal_id``, the owner."""
-    owned = scopes.where("principal_id is not null").select("principal_id", F.col("id").alias("at"), _texts(ROLES["owner"]).alias("permissions"))
+    owned = scopes.where("principal_id is not null").select("principal_id", F.col("id").alias("at"), F.lit(_bits(ROLES["owner"])).cast("long").alias("bits"))
     roles = ancestry(memberships).join(memberships.select(F.col("member_id").alias("ancestor_id"), "parent_id", "role"), "ancestor_id").select("principal_id", "parent_id", "role").distinct()
     places = scopes.select(F.col("principal_id").alias("parent_id"), F.col("id").alias("at"))
-    by_role = roles.join(places, "parent_id").select("principal_id", "at", role_permissions(F.col("role")).alias("permissions"))
+    by_role = roles.join(places, "parent_id").select("principal_id", "at", role_bits(F.col("role")).alias("bits"))
     live = grants.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
-    granted = live.select("principal_id", F.col("scope_id").alias("at"), expand_permissions(F.col("permissions")).alias("permissions"))
-    return owned.unionByName(by_role).unionByName(granted)
+    granted = live.select("principal_id", F.col("scope_id").alias("at"), permission_bits(F.col("permissions")).alias("bits"))
+    return owned.unionByName(by_role).unionByName(granted).groupBy("principal_id", "at").agg(F.bit_or("bits").alias("bits"))
 
 
 def effective_permissions(asked: DataFrame, scopes: DataFrame, memberships: DataFrame, grants: DataFrame, system_admins: DataFrame, now: Column) -> DataFrame:
@@ -138,13 +165,12 @@ def effective_permissions(asked: DataFrame, scopes: DataFrame, memberships: Data
     held = checkpointed(held_permissions(scopes, memberships, grants, now))
     up = ancestors(scopes)
     above = asked.join(up.select(F.col("id").alias("scope_id"), F.col("ancestor_id").alias("at")), "scope_id")
-    down = above.join(held, ["principal_id", "at"]).select("principal_id", "scope_id", "permissions")
-    reading = F.filter("permissions", lambda p: p.endswith(":read"))
+    down = above.join(held, ["principal_id", "at"]).select("principal_id", "scope_id", "bits")
     raised = held.join(up.where("distance > 0").select(F.col("id").alias("at"), F.col("ancestor_id").alias("scope_id")), "at")
-    below = raised.join(asked, ["principal_id", "scope_id"]).select("principal_id", "scope_id", reading.alias("permissions"))
+    below = raised.join(asked, ["principal_id", "scope_id"]).select("principal_id", "scope_id", F.col("bits").bitwiseAND(F.lit(READ_BITS)).alias("bits"))
     admins = asked.join(system_admins.select("principal_id").distinct(), "principal_id", "left_semi").join(scopes.select(F.col("id").alias("scope_id")), "scope_id", "left_semi")
-    every = down.unionByName(below).unionByName(admins.select("principal_id", "scope_id", _texts(EVERY_PERMISSION).alias("permissions")))
-    found = every.select("principal_id", "scope_id", F.explode("permissions").alias("p")).groupBy("principal_id", "scope_id").agg(F.sort_array(F.collect_set("p")).alias("permissions"))
+    every = down.unionByName(below).unionByName(admins.select("principal_id", "scope_id", F.lit(EVERY_BIT).cast("long").alias("bits")))
+    found = every.groupBy("principal_id", "scope_id").agg(F.bit_or("bits").alias("bits")).select("principal_id", "scope_id", permissions_of(F.col("bits")).alias("permissions"))
     return asked.join(found, ["principal_id", "scope_id"], "left").select("principal_id", "scope_id", F.coalesce("permissions", F.array().cast("array<string>")).alias("permissions"))
 
 

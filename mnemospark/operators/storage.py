@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same keys; of rows of ``new`` that repeat a key one stays."""
-    once = new.dropDuplicates(keys)
+    """Rows of ``new`` replace those of ``old`` with the same keys; of rows of ``new`` that repeat a key the one that is largest in its other columns, in their order, stays."""
+    rest = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*[c if c in keys else F.col(f"_row.{c}") for c in new.columns]) if rest else new.distinct()
     return old.join(once.select(*keys), keys, "left_anti").select(*new.columns).unionByName(once)
 
 

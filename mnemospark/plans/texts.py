@@ -72,10 +72,10 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(T.estimated_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
 
 
-@query("embedding_inputs", "SELECT doc_id AS id, strlen(replace(text, chr(7), '')) AS bytes FROM documents WHERE text IS NOT NULL AND strlen(replace(text, chr(7), '')) BETWEEN 1 AND 32000")
+@query("embedding_inputs", "SELECT doc_id AS id, strlen(replace(text, chr(0), '')) AS bytes FROM documents WHERE text IS NOT NULL AND strlen(replace(text, chr(0), '')) BETWEEN 1 AND 32000")
 def embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that an embedder takes: control characters dropped, not empty, at most 32,000 bytes."""
-    clean = F.replace("text", F.lit("\x07"), F.lit(""))
+    """Texts that an embedder takes: NUL dropped, not empty, at most 32,000 bytes."""
+    clean = F.replace("text", F.lit("\x00"), F.lit(""))
     return read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.octet_length(clean).cast("long").alias("bytes")).where("bytes BETWEEN 1 AND 32000")
 
 
