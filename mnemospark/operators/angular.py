@@ -140,10 +140,15 @@ def tiles(left: DataFrame, right: DataFrame, angle: float, block: list[str], sam
 
 
 def directed(rows: DataFrame, block: list[str]) -> DataFrame:
-    """Rows (id, vec, *block) that have a direction: no null, empty, all-zero or non-finite vectors."""
+    """Rows (id, vec, *block) of a block that is not null that have a direction: no null, empty, all-zero or non-finite vectors."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     vec = F.col("vec").cast("array<double>")
-    return rows.where(F.coalesce(F.exists(vec, lambda x: x != 0) & ~F.exists(vec, bad), F.lit(False))).select("id", vec.alias("vec"), *block)
+    known = rows.dropna(subset=block)
+    return known.where(F.coalesce(F.exists(vec, lambda x: x != 0) & ~F.exists(vec, bad), F.lit(False))).select("id", vec.alias("vec"), *block)
+
+
+def _largest(rows: DataFrame, block: list[str]) -> int:
+    return rows.groupBy(*block).count().agg(F.max("count")).head()[0] or 0
 
 
 def angular_pairs(left: DataFrame, right: DataFrame | None, least: float, block: list[str], part_rows: int, inclusive: bool = True) -> DataFrame:
@@ -154,12 +159,15 @@ def angular_pairs(left: DataFrame, right: DataFrame | None, least: float, block:
     """
     left = directed(left, block)
     two = left if right is None else directed(right, block)
-    chosen = checkpointed(pivots(two, block))
-    one = checkpointed(parted(left, chosen, block, part_rows))
-    two = one if right is None else checkpointed(parted(two, chosen, block, part_rows))
-    pairs = checkpointed(tiles(one, two, widest(least), block, right is None))
     keys = [*block, "i", "j"]
-    sides = [d.select(*block, F.col("part").alias(k), "id", "vec").join(pairs, [*block, k]).select(*keys, "id", "vec") for d, k in ((one, "i"), (two, "j"))]
+    if max(_largest(d, block) for d in ([left] if right is None else [left, two])) <= part_rows:  # every block is one tile
+        sides = [d.select(*block, F.lit("").alias("i"), F.lit("").alias("j"), "id", "vec") for d in (left, two)]
+    else:
+        chosen = checkpointed(pivots(two, block))
+        one = checkpointed(parted(left, chosen, block, part_rows))
+        two = one if right is None else checkpointed(parted(two, chosen, block, part_rows))
+        pairs = checkpointed(tiles(one, two, widest(least), block, right is None))
+        sides = [d.select(*block, F.col("part").alias(k), "id", "vec").join(pairs, [*block, k]).select(*keys, "id", "vec") for d, k in ((one, "i"), (two, "j"))]
     sides[1] = sides[1].select(*[F.col(c).alias(c) for c in sides[1].columns])  # new columns, as both sides may come from one frame
     itself = right is None
 

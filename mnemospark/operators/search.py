@@ -38,13 +38,21 @@ def trigram_set(text: str | None, seen: dict[str, frozenset[str]] | None = None)
 
 
 def _clustered(postings: DataFrame, folder: str) -> None:
-    """Write postings (term, id, ...) by bucket and term; ranges over term, size and id spread a term of many rows over tasks."""
+    """Write postings (term, id, ...) by bucket, sorted by term and size; the ids of a bucket are dealt into parts, so that a term of many rows lies in several files."""
+    spark = postings.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")
-    keys = ["bucket", "term", "size", "id"]
-    dealt = postings.withColumn("bucket", bucket).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "size", "id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """Rows (id, content) with an id; those of a table of few files are dealt to all cores first, as each text is much work."""
+    known = rows.where("id is not null").select("id", "content")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return known.repartition(cores, "id") if known.rdd.getNumPartitions() < cores else known
+
+
 def write_word_index(rows: DataFrame, folder: str, analyser: str = "simple") -> None:
     """Index ``rows (id, content)`` by word: postings (term, id, places, size) with the word's places from 0 and the number of words of the text.
 
@@ -69,8 +77,7 @@ def write_word_index(rows: DataFrame, folder: str, analyser: str = "simple") ->
                 sizes += [len(words)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column(0).take(pa.array(at, pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int32())], ["term", "id", "places", "size"])
 
-    known = rows.where("id is not null").select("id", "content")
-    _clustered(known.mapInArrow(run, f"term string, id {kind}, places array<int>, size int"), folder)
+    _clustered(_texts(rows).mapInArrow(run, f"term string, id {kind}, places array<int>, size int"), folder)
 
 
 def write_trigram_index(rows: DataFrame, folder: str) -> None:
@@ -89,8 +96,7 @@ def write_trigram_index(rows: DataFrame, folder: str) -> None:
                 sizes += [len(own)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column(0).take(pa.array(at, pa.int32())), pa.array(sizes, pa.int32())], ["term", "id", "size"])
 
-    known = rows.where("id is not null").select("id", "content")
-    _clustered(known.mapInArrow(run, f"term string, id {kind}, size int"), folder)
+    _clustered(_texts(rows).mapInArrow(run, f"term string, id {kind}, size int"), folder)
 
 
 def postings(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ def cloud(n, centres, noise, seed, d=12):
     return [(i, f"g{i % 2}", (middle[i % centres] * rng.uniform(0.5, 3) + noise * rng.normal(size=d)).tolist()) for i in range(n)]
 
 
-ODD = [(9000, "g0", None), (9001, "g0", [0.0] * 12), (9002, "g0", []), (9003, "g0", [1.0, 2.0, 3.0]), (9004, None, [1.0] * 12), (9005, "g0", [1.0, 2.0, 3.1]), (9006, "alone", [1.0, 0.0])]
+ODD = [(9000, "g0", None), (9001, "g0", [0.0] * 12), (9002, "g0", []), (9003, "g0", [1.0, 2.0, 3.0]), (9004, None, [1.0] * 12), (9007, None, [1.0] * 12), (9005, "g0", [1.0, 2.0, 3.1]), (9006, "alone", [1.0, 0.0])]
 
 
 def brute(left, right, least, strict=False):
@@ -65,3 +65,9 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert D.near_pairs(none, 0.1, ["g"]).count() == 0
     assert D.similar_pairs(none, spark.createDataFrame(ODD, SCHEMA), 0.1, ["g"]).count() == 0
+
+
+def test_blocks_of_one_part_equal_all_pairs(spark):
+    rows = cloud(300, 9, 0.4, 1) + ODD
+    got = D.near_pairs(spark.createDataFrame(rows, SCHEMA), 0.05, ["g"]).collect()
+    assert {(r.a, r.b) for r in got} == brute(rows, rows, 0.95) and len(got) == len(brute(rows, rows, 0.95))
