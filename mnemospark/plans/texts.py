@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemospark import adapters as A
 from mnemospark.functions import text as T
-from mnemospark.functions.skills import front_matter, invoked, parameter_fits
+from mnemospark.functions.skills import file_problem, front_matter, invoked, parameter_fits
+from mnemospark.functions.vector import fit_dimensions
 from mnemospark.plans.registry import query
 from mnemospark.session import read_table
 
@@ -108,6 +109,31 @@ def skill_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "i.prompt", F.array_join("i.errors", "; ").alias("errors"))
 
 
+@query("fitted_dimensions", """WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 32 ELSE 80 END AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT id, CAST(n AS INTEGER) AS dimensions, round(list_sum(v[1:n]), 6) AS total, round(coalesce(v[n], 0), 6) AS last FROM e""")
+def fitted_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors cut to 32 components or padded to 80, as tables of models with other sizes need them."""
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    fitted = F.when(F.col("id") % 2 == 0, fit_dimensions(F.col("v"), 32)).otherwise(fit_dimensions(F.col("v"), 80))
+    done = rows.select("id", fitted.alias("v"))
+    return done.select("id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.element_at("v", -1), 6).alias("last"))
+
+
+_PATHS = """SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'scripts/' WHEN 1 THEN 'references/' WHEN 2 THEN '' ELSE '/' END || regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', '') || CASE page_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.sh' ELSE '/..' END AS path,
+  page_id % 2 = 0 AS executable FROM pages"""
+
+
+@query("skill_file_checks", f"""WITH p AS ({_PATHS})
+SELECT id, path, CASE WHEN path = '' THEN 'empty' WHEN path = 'SKILL.md' THEN 'reserved' WHEN starts_with(path, '/') THEN 'absolute' WHEN contains(path, chr(92)) THEN 'backslash' WHEN strlen(path) > 255 THEN 'too long'
+  WHEN list_contains(string_split(path, '/'), '..') THEN 'traversal' WHEN NOT regexp_full_match(path, '[a-zA-Z0-9][a-zA-Z0-9._-]*(/[a-zA-Z0-9][a-zA-Z0-9._-]*)*') THEN 'invalid part'
+  WHEN executable AND NOT starts_with(path, 'scripts/') THEN 'not below scripts/' WHEN NOT executable AND ends_with(path, '.md') AND NOT starts_with(path, 'references/') THEN 'not below references/' END AS problem FROM p""")
+def skill_file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages as paths of supplementary files."""
+    read_table(spark, sf_dir, "pages").createOrReplaceTempView("_skill_file_pages")
+    rows = spark.sql(_PATHS.replace("FROM pages", "FROM _skill_file_pages"))
+    return rows.select("id", "path", file_problem(F.col("path"), F.col("executable")).alias("problem"))
+
+
 @query("token_hashes", "SELECT c_custkey AS id, sha256('tok_' || c_name) AS token_hash FROM customer")
 def token_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.sha2(F.concat(F.lit("tok_"), "c_name"), 256).alias("token_hash"))
