@@ -30,6 +30,21 @@ def delete_where(rows: DataFrame, where: Column) -> DataFrame:
     return rows.where(~F.coalesce(where, F.lit(False)))
 
 
+def delete_cascading(rows: DataFrame, where: Column, key: str, children: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``rows`` without those that fit, and child tables without what points at them.
+
+    ``children``: by name a table and its columns that hold the key of a parent, any of which is enough; null references point at nothing. A parent key that also remains in
+    another row of ``rows`` counts as deleted.
+    """
+    gone = rows.where(F.coalesce(where, F.lit(False))).select(F.col(key).alias("_gone")).where("_gone is not null").distinct()
+    left = {}
+    for name, (table, columns) in children.items():
+        for c in columns:
+            table = table.join(gone, table[c] == gone["_gone"], "left_anti")
+        left[name] = table
+    return delete_where(rows, where), left
+
+
 def keyset_page(rows: DataFrame, order: list[str], after: dict[str, Column], size: int) -> DataFrame:
     """The next ``size`` rows after a cursor in ascending order."""
     later = F.struct(*order) > F.struct(*[after[c].alias(c) for c in order])

@@ -117,3 +117,17 @@ def synthesise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("active_memories", f"WITH {A.MEMORIES_SQL} SELECT scope_id, count(*) AS active FROM memories WHERE is_active GROUP BY scope_id")
 def active_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.memories(spark, sf_dir).where("is_active").groupBy("scope_id").agg(F.count(F.lit(1)).alias("active"))
+
+
+@query("delete_cascades", f"""WITH {A.ENTITIES_SQL}, {A.RELATIONS_SQL}, gone AS (SELECT entity_id FROM entities WHERE scope_id IN ('n3', 'n7')), links AS (SELECT doc_id AS memory_id, 'p' || (doc_id % 200 + 1) AS entity_id FROM documents)
+SELECT 'entity' AS what, entity_id AS a, scope_id AS b, '' AS c FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM gone)
+UNION ALL SELECT 'relation', subject_id, predicate, object_id FROM relations WHERE subject_id NOT IN (SELECT entity_id FROM gone) AND object_id NOT IN (SELECT entity_id FROM gone)
+UNION ALL SELECT 'link', CAST(memory_id AS VARCHAR), entity_id, '' FROM links WHERE entity_id NOT IN (SELECT entity_id FROM gone)""")
+def delete_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of two scopes go, with the relations and links that name them."""
+    links = read_table(spark, sf_dir, "documents").selectExpr("doc_id AS memory_id", "concat('p', doc_id % 200 + 1) AS entity_id")
+    relations = A.relations(spark, sf_dir).select("subject_id", "predicate", "object_id")
+    kept, left = S.delete_cascading(A.entities(spark, sf_dir), F.col("scope_id").isin("n3", "n7"), "entity_id", {"relation": (relations, ["subject_id", "object_id"]), "link": (links, ["entity_id"])})
+    row = lambda d, what, a, b, c: d.select(F.lit(what).alias("what"), F.col(a).cast("string").alias("a"), F.col(b).alias("b"), c.alias("c"))
+    out = row(kept, "entity", "entity_id", "scope_id", F.lit("")).unionByName(row(left["relation"], "relation", "subject_id", "predicate", F.col("object_id")))
+    return out.unionByName(row(left["link"], "link", "memory_id", "entity_id", F.lit("")))

@@ -253,3 +253,12 @@ def test_skills_are_invoked_with_checked_values(spark):
     want = dict(cases)
     want['{"Name":"$N","n":4.0}'] = ("Hi 4 4 {{Name}} n=4 4 f={{flag}} m=$MODE", [])
     assert got == want
+
+
+def test_deleting_takes_children_along(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (None, "x")], "id int, k string")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, None), (None, 1), (3, 3)], "a int, b int")
+    kept, left = storage.delete_cascading(rows, F.col("k") == "x", "id", {"edges": (edges, ["a", "b"]), "same": (edges, ["a"])})
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.where("k is null or k = 'y'").collect()))
+    assert {tuple(r) for r in left["edges"].collect()} == {(2, 3), (3, None), (3, 3)}
+    assert {tuple(r) for r in left["same"].collect()} == {(2, 3), (3, None), (3, 3), (None, 1)}
