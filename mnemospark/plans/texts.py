@@ -52,6 +52,15 @@ def summarise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(T.summarise(F.col("text"))).alias("summary_hash"))
 
 
+@query("summary_backfill", f"""WITH {A.ARTIFACTS_SQL}, t AS (SELECT id, content AS text FROM artifacts WHERE summary IS NULL AND content <> ''), p AS (SELECT id, text, {_PARTS} AS ps FROM t), h AS (SELECT *, ps[1:150] AS head FROM p),
+c AS (SELECT *, list_position(list_reverse(list_transform(head, lambda w: regexp_matches(w, '[.!?]$'))), true) AS back FROM h)
+SELECT id, md5(CASE WHEN len(ps) <= 150 THEN text WHEN back > 0 THEN array_to_string(head[1:len(head) - back + 1], ' ') ELSE array_to_string(head, ' ') END) AS summary_hash FROM c""")
+def summary_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the artifacts that have none yet."""
+    rows = A.artifacts(spark, sf_dir).where("summary IS NULL AND content <> ''")
+    return rows.select("id", F.md5(T.summarise(F.col("content"))).alias("summary_hash"))
+
+
 @query("extract_lead", r"""SELECT doc_id, CASE WHEN regexp_matches(substring(text, 1, 120), '[.\n]') THEN regexp_extract(substring(text, 1, 120), '^([^.\n]*\.?)', 1)
   WHEN length(text) <= 120 THEN text ELSE substring(text, 1, 120) || '…' END AS lead FROM documents WHERE text IS NOT NULL""")
 def extract_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
