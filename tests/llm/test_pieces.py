@@ -69,6 +69,21 @@ def test_words_beyond_the_memory_are_encoded_each_time(model, monkeypatch):
     assert not bare._words
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(ODD, st.text("ab ▁.,\u0000é中ж", max_size=30)), max_size=12))
+def test_words_side_by_side_equal_words_one_by_one(model, library, texts):
+    assert model.encode_all(texts) == [library.encode(t) for t in texts]
+    words = {t.replace("▁", " ") for t in texts if t}
+    assert model.merge_all(words) == {w: tuple(model.merge(w.replace(" ", "▁"))) for w in words}
+
+
+def test_a_word_is_remembered_without_the_marks_beside_it():
+    with open(MODEL, "rb") as f:
+        bare = pieces.PieceModel(f.read())
+    bare.encode("(the the. the, (the) the")
+    assert set(bare._words) == {" the", "the", " (", ".", ",", ")"}
+
+
 def test_documents_null_empty_long_repeated_and_clashing_columns(spark, library):
     long = "wörd number 12 and more\n" * 100_000
     rows = [(1, "Hello  world", "x", 0), (1, "Hello  world", "x", 0), (2, None, "x", 0), (3, "", "x", 0), (None, " a", "x", 0), (4, long, "x", 0), (5, "ab1" * 50_000, "x", 0)]
