@@ -52,10 +52,7 @@ def _terms(text: bytes) -> Counter[bytes]:
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Rows (lang, source, term, n, docs): occurrences of a term in a group and how many documents of it have the term.
-
-    Each group also has one row with a null term, which counts its documents.
-    """
+    """Rows (lang, source, term, n, docs): occurrences of a term in a group and how many documents of it have the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
@@ -84,11 +81,13 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
             cols = [pa.array([lang], pa.string()).take(pa.array(np.zeros(k, np.int32))), pa.array([source], pa.string()).take(pa.array(np.zeros(k, np.int32))), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
 
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).cast("binary").alias("text"))
+    rows = docs.select(_filled(lang_col).alias("lang"), _filled(source_col).alias("source"), _filled(text_col).cast("binary").alias("text"))
     counted = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    groups = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")).select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "docs")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).unionByName(groups)
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _filled(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
 def share(count: Column, total: Column, v: Column) -> Column:
@@ -172,12 +171,11 @@ def _pairs(kept: DataFrame, groups: DataFrame, postings: int) -> DataFrame:
     rows = terms.unionByName(heads)
     keys = ["lang", "shard", "block"]
 
-    def work(key: tuple, mine: pa.Table, index: pa.Table) -> pa.Table:
-        found = _accumulated(mine, index)
+    def work(key: tuple, index: pa.Table) -> pa.Table:
+        found = _accumulated(index.filter(index["mine"]), index)
         return found.add_column(0, "lang", pa.array([key[0].as_py()], pa.string()).take(pa.array(np.zeros(len(found), np.int32))))
 
-    index = rows.withColumn("block", each(blocks))
-    met = rows.withColumn("block", block).groupBy(*keys).cogroup(index.groupBy(*keys))
+    met = rows.withColumn("block", each(blocks)).withColumn("mine", F.col("block") == block).groupBy(*keys)
     part = met.applyInArrow(work, "lang string, source string, peer string, own long, both long, base long")
     whole = checkpointed(part.groupBy("lang", "source", "peer").agg(F.sum("own").alias("own"), F.sum("both").alias("both"), F.max("base").alias("base")))
     ahead = whole.select("lang", "source", "peer", (F.col("own") + F.col("both")).alias("value"), "base")
@@ -199,14 +197,14 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lan
     terms has the zero share for each kept term; a language that keeps none gives pairs of value 0. Ties go to the item that is first in UTF-8. Rows that repeat
     count each; other columns are ignored; an empty input gives no rows.
     """
-    counts = checkpointed(term_counts(docs, lang_col, source_col, text_col))
-    known = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-    vocabulary = checkpointed(known.where(F.col("docs") >= min_docs).select("lang", "term", "lang_n"))
-    langs = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    inside = counts.where("term is not null").join(vocabulary, ["lang", "term"])
-    totals = inside.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
-    named = counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    filled = named.na.fill(0, ["total", "terms", "v", "lang_total"])
+    anywhere = Window.partitionBy("lang", "term")
+    counts = term_counts(docs, lang_col, source_col, text_col)
+    spread = counts.select("lang", "source", "term", "n", F.sum("n").over(anywhere).alias("lang_n"), F.sum("docs").over(anywhere).alias("lang_docs"), F.min("source").over(anywhere).alias("first"))
+    inside = checkpointed(spread.where(F.col("lang_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n", (F.col("source") == F.col("first")).cast("long").alias("one")))
+    totals = checkpointed(inside.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"), F.sum("one").alias("ones")))
+    langs = totals.groupBy("lang").agg(F.sum("ones").alias("v"), F.sum("total").alias("lang_total"))  # each kept term is one in one group
+    named = docs.select(_filled(lang_col).alias("lang"), _filled(source_col).alias("source")).distinct()
+    filled = named.join(totals.drop("ones"), ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "terms", "v", "lang_total"])
     groups = checkpointed(filled.withColumn("p0", share(F.lit(0).cast("long"), F.col("total"), F.col("v"))))
     sized = inside.join(groups.select("lang", "source", "total", "v", "lang_total"), ["lang", "source"])
     kept = checkpointed(sized.select("lang", "source", "term", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q")))

@@ -63,6 +63,20 @@ def test_counts_beyond_what_a_long_product_holds(spark):
     assert row.p == 1 + 10**9 * (10**13 + 2) // (4 * 10**13 + 2000)
 
 
+def test_counts_are_shuffled_once_for_each_key(spark, monkeypatch):
+    plans = []
+
+    def kept(df, cut=divergence.checkpointed):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(divergence, "checkpointed", kept)
+    assert audited(spark, [("a b", "en", "x"), ("a c", "en", "y")], min_docs=1) == brute([("a b", "en", "x"), ("a c", "en", "y")], min_docs=1)
+    keys = [re.sub(r"#\d+L?", "", k) for p in plans for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", p)]
+    assert sorted(k for k in keys if "term" in k) == ["lang, source, term", "lang, term"]
+    assert [k for k in keys if "shard" in k] == ["lang, shard, block"]
+
+
 def test_empty_table(spark):
     assert audited(spark, []) == []
 
