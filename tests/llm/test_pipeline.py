@@ -121,3 +121,12 @@ def test_null_empty_and_short_rows_pass_the_toxicity_stage(spark, tmp_path):
     odd = docs.unionByName(spark.createDataFrame([(400 + n, " ".join(["ma"] * n), "en", "s0", n) for n in range(8)] + [(None, None, None, None, None)], docs.schema))
     kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, odd, str(tmp_path)).collect()
     assert {302, 303, None, *range(400, 408)} <= {r.doc_id for r in kept}
+
+
+def test_decontamination_takes_a_long_run_of_capitalised_words(spark, tmp_path):
+    write(spark, str(tmp_path))
+    item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").where("item_id = 2").first().text
+    run = "we met " + "Anna " * 20000
+    frame = spark.createDataFrame([(1, run, "en", "s", len(run)), (2, f"{run} {item}", "en", "s", 0), (3, "clean text of five words", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, frame, str(tmp_path))
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: run, 3: "clean text of five words"}
