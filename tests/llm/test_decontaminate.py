@@ -124,3 +124,10 @@ def test_slot_marks_in_a_text_are_no_slots_and_columns_may_clash(spark):
     assert [w for w in words_ if slot(w)] == ["5"]
     kept = drop_contaminated(df, spark.createDataFrame([(0, text)], "item_id long, text string"))
     assert kept.columns == df.columns and [r.key for r in kept.collect()] == ["c"]
+
+
+def test_a_long_run_of_capitalised_words_is_one_name(spark):
+    run = "Anna " * 20000
+    df = spark.createDataFrame([(1, f"so then we met {run}who sold seven boats", "x", 1), (2, f"so then he met {run}", "x", 1)], SCHEMA).repartition(2)
+    bench = spark.createDataFrame([(0, "so then we met Bob Smith who sold seven boats")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched_words, r.item_words) for r in contaminated(df, bench).collect()} == {(1, 0, 9, 9)}
