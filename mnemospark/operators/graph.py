@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.session import checkpointed
+from mnemospark.session import broadcast_if_small, checkpointed
+
+#: At most this many qualified names are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_NAMES = 500_000
 
 
 def neighbours(relations: DataFrame, entities: DataFrame, predicates: list[str] | None = None, direction: str = "both") -> DataFrame:
@@ -56,20 +59,35 @@ def resolve_symbols(entities: DataFrame, names: DataFrame) -> DataFrame:
     return exact.unionByName(ends).groupBy("name").agg(F.min_by("entity_id", "way").alias("entity_id"))
 
 
+def qualified_names(entities: DataFrame) -> DataFrame:
+    """(head, name, entity_id, kind): every canonical name of a kind in ``CODE_KINDS`` cut at each of its dots, with the first kind that bears it, ties to the smaller id."""
+    rank = F.array_position(F.array(*[F.lit(k) for k in CODE_KINDS]), F.col("entity_type"))
+    first = entities.select("canonical", F.struct(rank.alias("kind"), "entity_id").alias("s")).where("s.kind > 0").groupBy("canonical").agg(F.min("s").alias("s"))
+    dots = F.filter(F.sequence(F.lit(1), F.length("canonical")), lambda i: F.substring(F.col("canonical"), i, F.lit(1)) == ".")
+    cut = first.select("canonical", "s", F.explode(dots).alias("i"))
+    head, name = F.substring(F.col("canonical"), F.lit(1), F.col("i") - 1), F.substring(F.col("canonical"), F.col("i") + 1, F.length("canonical"))
+    return cut.select(head.alias("head"), name.alias("name"), "s.entity_id", "s.kind")
+
+
 def resolve_targets(asked: DataFrame, local: DataFrame, imports: DataFrame, entities: DataFrame) -> DataFrame:
     """(file, name, entity_id, stage): what a name that a file calls or uses stands for; names that nothing bears are absent.
 
     ``asked``: (file, name); ``local``: (file, name, entity_id), the symbols of a file; ``imports``: (file, canonical, name) of imported packages;
     ``entities``: (entity_id, entity_type, canonical). First the file's own symbols, then a package's canonical or plain name with the name, in the order of packages, of
     these two and of kinds, then the shortest canonical name that ends with it.
+
+    A file's names meet its packages where the file lies: only packages and names that some canonical name begins and ends with, and only
+    to ask the broadcast ``qualified_names``; what they make together is neither written nor sorted, unless those are too many to broadcast.
     """
-    asked = asked.select("file", "name").distinct()
-    own = asked.join(local, ["file", "name"]).groupBy("file", "name").agg(F.min("entity_id").alias("entity_id")).withColumn("stage", F.lit(1))
-    rank = F.array_position(F.array(*[F.lit(k) for k in CODE_KINDS]), F.col("entity_type"))
-    package = imports.select("file", "canonical", F.posexplode(F.array("canonical", "name")).alias("form", "head")).distinct()
-    wanted = asked.join(package, "file").select("file", "name", F.col("canonical").alias("package"), "form", F.concat("head", F.lit("."), "name").alias("canonical"))
-    code = entities.select("canonical", "entity_id", rank.alias("kind")).where("kind > 0")
-    through = wanted.join(code, "canonical").groupBy("file", "name").agg(F.min_by("entity_id", F.struct("package", "form", "kind", "entity_id")).alias("entity_id")).withColumn("stage", F.lit(2))
+    asked = checkpointed(asked.select("file", "name").distinct())
+    first = local.groupBy("file", "name").agg(F.min("entity_id").alias("entity_id"))
+    own = asked.join(first, ["file", "name"]).select("file", "name", "entity_id", F.lit(1).alias("stage"))
+    known = checkpointed(qualified_names(entities))
+    heads, names = (broadcast_if_small(known.select(c).distinct(), MAX_BROADCAST_NAMES) for c in ("head", "name"))
+    package = imports.select("file", F.col("canonical").alias("package"), F.col("name").alias("plain")).distinct()
+    package = package.select("file", "package", F.posexplode(F.array("package", "plain")).alias("form", "head")).join(heads, "head", "left_semi")
+    wanted = asked.join(names, "name", "left_semi").join(package, "file").join(broadcast_if_small(known, MAX_BROADCAST_NAMES), ["head", "name"])
+    through = wanted.groupBy("file", "name").agg(F.min_by("entity_id", F.struct("package", "form", "kind", "entity_id")).alias("entity_id")).withColumn("stage", F.lit(2))
     ends = asked.join(by_suffix(entities, asked, 1).drop("place"), "name").select("file", "name", "entity_id", F.lit(4).alias("stage"))
     every = own.unionByName(through).unionByName(ends)
     return every.groupBy("file", "name").agg(F.min_by("entity_id", "stage").alias("entity_id"), F.min("stage").alias("stage"))

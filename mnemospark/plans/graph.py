@@ -87,11 +87,14 @@ SELECT file, name, entity_id, stage FROM (SELECT *, row_number() OVER (PARTITION
 def resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as files: their first lines define symbols, their second and fourth use some, their fourth import packages."""
     e = _symbols(spark, sf_dir)
-    tail, head = F.regexp_extract("canonical", "([^.:#]+)$", 1), F.regexp_extract("canonical", r"^(.*)[.][^.]*$", 1)
-    f = read_table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS file", "l_linenumber AS n", "l_partkey AS entity_id").distinct().join(e, "entity_id")
-    asked = f.where("n IN (2, 4)").select("file", F.when(F.col("entity_id") % 4 == 0, F.col("canonical")).otherwise(tail).alias("name"))
-    local = f.where("n = 1").select("file", tail.alias("name"), "entity_id")
-    imports = f.where("n = 4").select("file", head.alias("canonical")).where("canonical <> ''").select("file", "canonical", tail.alias("name"))
+    tail = lambda c: F.regexp_extract(c, "([^.:#]+)$", 1)
+    named = e.select("entity_id", "canonical", tail("canonical").alias("tail"), F.regexp_extract("canonical", r"^(.*)[.][^.]*$", 1).alias("head"))
+    uses = named.select("entity_id", F.when(F.col("entity_id") % 4 == 0, F.col("canonical")).otherwise(F.col("tail")).alias("name"))
+    packages = named.where("head <> ''").select("entity_id", F.col("head").alias("canonical"), tail("head").alias("name"))
+    lines = read_table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS file", "l_linenumber AS n", "l_partkey AS entity_id")
+    asked = lines.where("n IN (2, 4)").join(uses, "entity_id").select("file", "name")
+    local = lines.where("n = 1").join(named, "entity_id").select("file", F.col("tail").alias("name"), "entity_id")
+    imports = lines.where("n = 4").join(packages, "entity_id").select("file", "canonical", "name")
     return G.resolve_targets(asked, local, imports, e)
 
 

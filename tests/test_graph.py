@@ -39,6 +39,28 @@ def test_targets_are_resolved_in_stages(spark, entities):
     assert got == {("f", "Func"): (98, 1), ("f", "own"): (99, 1), ("g", "Func"): (0, 2), ("h", "Func"): (2, 4), ("h", "b::c"): (5, 4)}
 
 
+def test_names_meet_packages_without_a_shuffle_of_their_pairs(spark, monkeypatch):
+    n = 500
+    asked = spark.range(n).selectExpr("'f' AS file", "concat('name', id) AS name")
+    imports = spark.range(n).selectExpr("'f' AS file", "concat('a.pkg', id) AS canonical", "concat('pkg', id) AS name")
+    every = [(f"a.pkg{i}.name{i}", f"pkg{i}.name{i + 1}", f"a.pkg{i}::name{i + 2}", f".name{i}.") for i in range(n)]
+    entities = spark.createDataFrame([(10 * i + k, "class", c) for i, cs in enumerate(every) for k, c in enumerate(cs)], "entity_id long, entity_type string, canonical string")
+    status = spark.sparkContext._jsc.sc()
+    written = lambda: (status.listenerBus().waitUntilEmpty(), status.statusStore().executorList(False).apply(0).totalShuffleWrite())[1]
+    resolve = lambda: {r.name: (r.entity_id, r.stage) for r in G.resolve_targets(asked, asked.selectExpr("file", "name", "1L AS entity_id").limit(0), imports, entities).collect()}
+    # a.pkg{k} bears name{k} by its canonical name, pkg{k - 1} by the plain one; the smaller canonical name goes first
+    want = {f"name{k}": (10 * k if not k or f"a.pkg{k}" < f"a.pkg{k - 1}" else 10 * (k - 1) + 1, 2) for k in range(n)}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = written()
+        assert resolve() == want
+        assert written() - before < 1_000_000
+        monkeypatch.setattr(G, "MAX_BROADCAST_NAMES", 0)
+        assert resolve() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 EDGES = [("s", "a", "calls", "b"), ("s", "b", "calls", "c"), ("s", "c", "uses", "a"), ("s", "a", "calls", "a"), ("s", "d", "calls", "b"), ("t", "a", "calls", "b")]
 
 
