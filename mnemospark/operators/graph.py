@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,10 @@ from mnemospark.session import broadcast_if_small, checkpointed
 
 #: At most this many qualified names are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_NAMES = 500_000
+#: About as many entities of one name and type stand in a block; at most this many types of a name in more than one block are broadcast.
+SAME_AS_BLOCK, MAX_BROADCAST_TYPES = 500, 500_000
+#: About as many edges are made by one task.
+SAME_AS_EDGES = 5_000_000
 
 
 def neighbours(relations: DataFrame, entities: DataFrame, predicates: list[str] | None = None, direction: str = "both") -> DataFrame:
@@ -136,6 +141,26 @@ def co_occurrences(links: DataFrame, group: str, item: str) -> DataFrame:
     return x.join(x.withColumnRenamed("a", "b"), "g").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def same_as(entities: DataFrame) -> DataFrame:
+    """(subject_id, object_id): pairs of entities ``(id, canonical, t)`` of equal canonical name and another type, the smaller id first.
+
+    There are as many pairs as there are, but no others are looked at: entities of one name and type stand in blocks, each two blocks of
+    a name and different types are a tile whose pairs are all edges, and tiles are dealt to tasks by their own keys, as many as the edges need.
+    """
+    e = entities.select("id", "canonical", "t").dropna()
+    sizes = checkpointed(e.groupBy("canonical", "t").agg(F.count(F.lit(1)).alias("n")))
+    total, own = F.sum("n").cast("double"), F.sum(F.col("n").cast("double") * F.col("n"))
+    edges = sizes.groupBy("canonical").agg(((total * total - own) / 2).alias("edges")).agg(F.sum("edges")).first()[0] or 0
+    several = sizes.where(F.col("n") > SAME_AS_BLOCK).select("canonical", "t", F.ceil(F.col("n") / SAME_AS_BLOCK).alias("k"))
+    placed = e.join(broadcast_if_small(several, MAX_BROADCAST_TYPES), ["canonical", "t"], "left")
+    block = F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).alias("block")
+    blocks = placed.select("canonical", "t", block, "id").groupBy("canonical", "t", "block").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    others = blocks.select("canonical", F.col("t").alias("t2"), F.col("block").alias("block2"), F.col("ids").alias("ids2"))
+    tiles = blocks.join(others, "canonical").where("t < t2").repartition(math.ceil(edges / SAME_AS_EDGES) or 1, "canonical", "t", "block", "t2", "block2")
+    pairs = tiles.select(F.explode("ids").alias("a"), "ids2").select("a", F.explode("ids2").alias("b")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("subject_id"), F.greatest("a", "b").alias("object_id"))
+
+
 def chain(rows: DataFrame, group: str, order: str) -> DataFrame:
     """(group, order, next_order): every element with the one after it."""
     return rows.select(group, order, F.lead(order).over(Window.partitionBy(group).orderBy(order)).alias(f"next_{order}")).where(F.col(f"next_{order}").isNotNull())

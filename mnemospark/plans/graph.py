@@ -120,8 +120,7 @@ def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.id AS subject_id, b.id AS object_id, 'same_as' AS predicate FROM e a JOIN e b ON a.canonical = b.canonical AND a.t <> b.t AND a.id < b.id""")
 def same_as_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "lower(p_name) AS canonical", "p_type AS t")
-    other = e.select(F.col("id").alias("object_id"), "canonical", F.col("t").alias("other"))
-    return e.join(other, "canonical").where("t <> other AND id < object_id").select(F.col("id").alias("subject_id"), "object_id", F.lit("same_as").alias("predicate"))
+    return G.same_as(e).select("subject_id", "object_id", F.lit("same_as").alias("predicate"))
 
 
 @query("chunk_edges", "SELECT conv_id, turn, next_turn FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations) WHERE next_turn IS NOT NULL")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.operators import graph as G
+from mnemospark.plans import QUERIES
 
 NAMES = ["pkg.Func", "a.pkg.Func", "Func", "mod::Func", "x#Func", "a::b::c", "a.b#c", "c", "odd:Func", "", "::", "very.long.name.of.pkg.Func", "pkgXFunc"]
 
@@ -61,6 +62,27 @@ def test_names_meet_packages_without_a_shuffle_of_their_pairs(spark, monkeypatch
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("block", [1, 2, 500])
+def test_same_as_pairs_every_other_type_of_a_name(spark, monkeypatch, block):
+    monkeypatch.setattr(G, "SAME_AS_BLOCK", block)
+    monkeypatch.setattr(G, "SAME_AS_EDGES", 3)
+    rows = [(i * 7 % 23, "ab"[i % 2], "xyz"[i * i % 3]) for i in range(20)] + [(3, "a", "x"), (3, "a", "x"), (3, "a", "y"), (None, "a", "x"), (90, None, "x"), (91, "a", None), (92, "alone", "x"), (93, "", "x"), (94, "", "")]
+    want = sorted((i, j) for i, c, t in rows for j, d, u in rows if None not in (i, c, t, j, d, u) and c == d and t != u and i < j)
+    e = spark.createDataFrame(rows, "id long, canonical string, t string")
+    assert sorted((r.subject_id, r.object_id) for r in G.same_as(e).collect()) == want
+    assert G.same_as(e.limit(0)).collect() == []
+
+
+def test_edges_of_one_name_are_made_by_several_tasks(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS p_partkey", "'Red Bolt' AS p_name", "concat('t', id % 4) AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        made = QUERIES["same_as_edges"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in made) == 6_000_000 and max(r["count"] for r in made) < 5_000_000
+
+
 EDGES = [("s", "a", "calls", "b"), ("s", "b", "calls", "c"), ("s", "c", "uses", "a"), ("s", "a", "calls", "a"), ("s", "d", "calls", "b"), ("t", "a", "calls", "b")]
 
 
